@@ -9,6 +9,7 @@ from rentloom.functions.money import money_text
 from rentloom.functions.period import month_end
 from rentloom.operators import occupancy, ops
 from rentloom.plans import review as plan
+from rentloom.session import cut_lineage
 
 ENTRIES: dict = {}
 THRESHOLD = "50000.00"
@@ -132,18 +133,16 @@ def rollup(spark, d):
     return ops.actual_budget_coverage(ops.account_rollup(ops.dedupe_gl(gl(spark, d))))
 
 
-def full_review(spark, d):
+def full_review(spark, d, stage=cut_lineage):
     ledger = gl(spark, d)
     days = ledger.select("property_id", "period").distinct()
     days = days.withColumn("review_day", F.add_months(F.to_date(F.concat("period", F.lit("-01"))), 312))
-    return plan.review(
-        ledger,
-        load(spark, d, "v_properties"),
-        load(spark, d, "v_snapshots"),
-        load(spark, d, "v_mappings"),
-        ops.Materiality(THRESHOLD),
-        days,
-    )
+    return plan.review(ledger, *dimensions(spark, d), days, stage=stage)
+
+
+def dimensions(spark, d):
+    names = ("v_properties", "v_snapshots", "v_mappings")
+    return *(load(spark, d, n) for n in names), ops.Materiality(THRESHOLD)
 
 
 BRIDGE = ["actual_revenue", "budget_revenue", "actual_expenses", "budget_expenses", "actual_noi", "budget_noi"]
@@ -554,12 +553,12 @@ def four_counts_a3(spark, d):
           on o.property_id = r.property_id and o.period = r.period""",
 )
 def review_summary_a12(spark, d):
-    s = plan.summary(full_review(spark, d))
+    s = plan.summary_table(gl(spark, d), *dimensions(spark, d), months_to_review=312)
     keep = "actual_rows budget_rows missing_budget_accounts budget_only_accounts material_variances".split()
     s = s.select(
         "property_id", "period", *keep, "mapping_exceptions", "mismatch_status", "freshness", *BRIDGE, "status"
     )
-    return texts(s.fillna(0, subset=["material_variances"]), *BRIDGE)
+    return texts(s, *BRIDGE)
 
 
 @entry(

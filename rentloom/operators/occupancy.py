@@ -57,26 +57,31 @@ def newest_snapshots(snaps: DataFrame, n: int = 1000) -> DataFrame:
     return top_n(snaps, ["property_id"], order, n)
 
 
-def as_of_snapshot(requests: DataFrame, snaps: DataFrame) -> DataFrame:
+def as_of_snapshot(requests: DataFrame, snaps: DataFrame, monthly: bool = False) -> DataFrame:
     """For each request (property_id, bound, …): the newest snapshot dated at or before the bound.
 
     Requests and daily snapshots are laid on one time line per property and the last snapshot is carried forward:
-    one shuffle and no range join. Both sides are first reduced to one row per (property, day).
+    one shuffle and no range join. Snapshots are first reduced to one row per (property, day), and so are the
+    requests, so a line never has more rows than the calendar has days. ``monthly=True`` says the requests already
+    are at most one per property and month; their columns then ride along and the join back is saved.
     """
     daily = daily_snapshots(snaps)
     current = F.struct("as_of_date", *COUNTS, "source_file", "source_row", "prior")
     line = daily.select(
         "property_id", F.col("as_of_date").alias("day"), F.lit(0).alias("turn"), current.alias("current")
-    ).unionByName(
-        requests.select("property_id", F.col("bound").alias("day")).distinct().withColumn("turn", F.lit(1)),
-        allowMissingColumns=True,
     )
+    asked = requests.select("property_id", F.col("bound").alias("day"), F.lit(1).alias("turn"))
+    payload = [c for c in requests.columns if c not in ("property_id", "bound")]
+    if monthly:
+        asked = requests.select(
+            "property_id", F.col("bound").alias("day"), F.lit(1).alias("turn"), F.struct(*payload).alias("asked")
+        )
+    line = line.unionByName(asked if monthly else asked.distinct(), allowMissingColumns=True)
     w = Window.partitionBy("property_id").orderBy("day", "turn").rowsBetween(Window.unboundedPreceding, 0)
-    found = (
-        line.withColumn("current", F.last("current", ignorenulls=True).over(w))
-        .filter("turn = 1")
-        .select("property_id", F.col("day").alias("bound"), "current")
-    )
+    found = line.withColumn("current", F.last("current", ignorenulls=True).over(w)).filter("turn = 1")
+    found = found.withColumnRenamed("day", "bound").drop("turn")
+    if monthly:
+        return found.select("property_id", "bound", "asked.*", "current")
     return requests.join(found, ["property_id", "bound"], "left")
 
 

@@ -122,32 +122,39 @@ def actual_budget_coverage(rollup: DataFrame) -> DataFrame:
     )
 
 
+def variance_expr() -> Column:
+    """actual − budget where both exist and the account carries one name and category; else NULL."""
+    ok = (F.col("coverage") == "covered") & (F.col("labels") == 1)
+    return F.when(ok, F.col("actual") - F.col("budget")).cast("decimal(38,2)")
+
+
 def account_variance(rollup: DataFrame) -> DataFrame:
     """actual − budget per covered account. Accounts that carry several names or categories refuse."""
     covered = actual_budget_coverage(rollup).filter(F.col("coverage") == "covered")
-    error = F.when(F.col("labels") > 1, F.lit("INVALID_CONTRACT"))
     return covered.select(
         *ACCOUNT_KEY,
         "account_name",
         "category",
         "actual",
         "budget",
-        F.when(error.isNull(), F.col("actual") - F.col("budget")).cast("decimal(38,2)").alias("variance"),
-        error.alias("error_code"),
+        variance_expr().alias("variance"),
+        F.when(F.col("labels") > 1, F.lit("INVALID_CONTRACT")).alias("error_code"),
     )
 
 
-def noi_bridge(variance: DataFrame) -> DataFrame:
-    """Revenue, expense, NOI and unmapped totals per (property, period); NOI = revenue − expense."""
+def bridge_sums(covered: Column) -> list[Column]:
+    """Aggregates of revenue, expense and unmapped money over the covered accounts of a group.
+
+    A group without covered accounts gives NULL, not zero; inside a covered group an empty class is a true zero.
+    """
     revenue = F.lower("category").isin(REVENUE_CATEGORIES)
     unmapped = F.lower("category") == UNMAPPED_CATEGORY
     zero = F.lit("0").cast("decimal(38,2)")
 
     def total(side: str, which: Column) -> Column:
-        # A covered property-month has rows, so an empty class is a true zero here, not a missing feed.
-        return F.sum(F.when(which, F.col(side)).otherwise(zero)).cast("decimal(38,2)")
+        return F.sum(F.when(covered, F.when(which, F.col(side)).otherwise(zero))).cast("decimal(38,2)")
 
-    sums = variance.groupBy(*REVIEW_KEY).agg(
+    return [
         *[
             total(side, which).alias(f"{side}_{name}")
             for side in ("actual", "budget")
@@ -155,41 +162,39 @@ def noi_bridge(variance: DataFrame) -> DataFrame:
         ],
         total("actual", unmapped).alias("unmapped_actual"),
         total("budget", unmapped).alias("unmapped_budget"),
-        F.count("*").alias("covered_accounts"),
-        F.max("error_code").alias("bridge_error"),
-    )
+        F.count_if(covered).alias("covered_accounts"),
+    ]
+
+
+def bridge_results(sums: DataFrame) -> DataFrame:
+    """NOI = revenue − expenses, and the three variances."""
     c = F.col
+    actual_noi, budget_noi = c("actual_revenue") - c("actual_expenses"), c("budget_revenue") - c("budget_expenses")
     return sums.withColumns(
         {
             "revenue_variance": c("actual_revenue") - c("budget_revenue"),
             "expense_variance": c("actual_expenses") - c("budget_expenses"),
-            "actual_noi": c("actual_revenue") - c("actual_expenses"),
-            "budget_noi": c("budget_revenue") - c("budget_expenses"),
-            "noi_variance": (c("actual_revenue") - c("actual_expenses"))
-            - (c("budget_revenue") - c("budget_expenses")),
+            "actual_noi": actual_noi,
+            "budget_noi": budget_noi,
+            "noi_variance": actual_noi - budget_noi,
         }
     )
 
 
-def default_variance(rollup: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The built-in variance function: by-account rows and their NOI bridge."""
-    by_account = account_variance(rollup)
-    return by_account, noi_bridge(by_account)
+def noi_bridge(variance: DataFrame) -> DataFrame:
+    """Revenue, expense, NOI and unmapped totals per (property, period) over covered accounts."""
+    return bridge_results(variance.groupBy(*REVIEW_KEY).agg(*bridge_sums(F.lit(True))))
 
 
-VarianceFn = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+VarianceFn = Callable[[DataFrame], DataFrame]
 
 
-def bound_variance(rollup: DataFrame, fn: VarianceFn | None) -> tuple[DataFrame, DataFrame] | None:
-    """Run the caller's variance function and hold it to the contract; None means no function is bound."""
-    if fn is None:
-        return None
-    by_account, bridge = fn(rollup)
-    need = {*ACCOUNT_KEY, "account_name", "category", "actual", "budget", "variance"}
-    need_bridge = {*REVIEW_KEY, "actual_noi", "budget_noi", "noi_variance", "unmapped_actual", "unmapped_budget"}
-    if not need <= set(by_account.columns) or not need_bridge <= set(bridge.columns):
+def bound_variance(rollup: DataFrame, fn: VarianceFn) -> DataFrame:
+    """Run the caller's variance function and hold its result to the by-account contract."""
+    by_account = fn(rollup)
+    if not {*ACCOUNT_KEY, "account_name", "category", "actual", "budget", "variance"} <= set(by_account.columns):
         raise ValueError("INVALID_CONTRACT")
-    return by_account, bridge
+    return by_account
 
 
 def material_variances(variance: DataFrame, threshold: str) -> DataFrame:
@@ -247,20 +252,20 @@ def mapping_states(mappings: DataFrame) -> DataFrame:
     )
 
 
-def map_accounts(rollup: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Review state of each account's mapping. A property's own row hides the wildcard row for that account."""
+def with_mapping_state(rollup: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Add the review state of each account's mapping: gl_categories, mapped_category, statuses, reason and
+    mapping_error. A property's own row hides the wildcard row for that account."""
     states = mapping_states(mappings)
     scoped = states.filter("scope <> '*'").select(
         "account_code", F.col("scope").alias("property_id"), F.col("states").alias("own")
     )
     shared = states.filter("scope = '*'").select("account_code", F.col("states").alias("shared"))
     joined = (
-        rollup.select(*ACCOUNT_KEY, F.sort_array("categories").alias("gl_categories"))
+        rollup.withColumn("gl_categories", F.sort_array("categories"))
         .join(scoped, ["property_id", "account_code"], "left")
         .join(shared, "account_code", "left")
         .withColumn("states", F.coalesce("own", "shared"))
     )
-    status = F.transform("states", lambda s: s["status"])
     single = F.get("states", F.lit(0))
     reason = (
         F.when(F.col("states").isNull(), "absent")
@@ -268,15 +273,22 @@ def map_accounts(rollup: DataFrame, mappings: DataFrame) -> DataFrame:
         .when(single["status"] != "approved", "status")
     )
     changed = (F.size("gl_categories") != 1) | (F.get("gl_categories", F.lit(0)) != single["noi_category"])
-    return joined.select(
-        *ACCOUNT_KEY,
-        "gl_categories",
-        F.when(F.size("states") == 1, single["noi_category"]).alias("mapped_category"),
-        F.array_sort(F.array_distinct(status)).alias("statuses"),
-        reason.alias("reason"),
-        F.when(reason.isNotNull(), "UNREVIEWED_ACCOUNT_MAPPING")
-        .when(changed, "CHANGED_ACCOUNT_MAPPING")
-        .alias("error_code"),
+    return joined.withColumns(
+        {
+            "mapped_category": F.when(F.size("states") == 1, single["noi_category"]),
+            "statuses": F.array_sort(F.array_distinct(F.transform("states", lambda s: s["status"]))),
+            "reason": reason,
+            "mapping_error": F.when(reason.isNotNull(), "UNREVIEWED_ACCOUNT_MAPPING").when(
+                changed, "CHANGED_ACCOUNT_MAPPING"
+            ),
+        }
+    ).drop("own", "shared", "states")
+
+
+def map_accounts(rollup: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Review state of each account's mapping, one row per (property, period, account)."""
+    return with_mapping_state(rollup, mappings).select(
+        *ACCOUNT_KEY, "gl_categories", "mapped_category", "statuses", "reason", F.col("mapping_error").alias("error_code")
     )
 
 

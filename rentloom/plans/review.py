@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentloom.functions.metrics import feed_age
 from rentloom.functions.period import month_end
+from rentloom.functions.refusal import top_n
 from rentloom.operators import occupancy, ops
 from rentloom.operators.ops import ACCOUNT_KEY, REVIEW_KEY, Materiality
 
@@ -46,12 +48,11 @@ EXCEPTIONS = {
 
 @dataclass
 class Review:
+    """Tables of one review run. ``accounts`` holds one row per (property, period, account)."""
+
     clean: DataFrame
-    rollup: DataFrame
-    variance: DataFrame
-    bridge: DataFrame
+    accounts: DataFrame
     occupancy: DataFrame
-    mapping: DataFrame
     policy: Materiality
     has_variance_fn: bool = True
 
@@ -63,42 +64,61 @@ def review(
     mappings: DataFrame,
     policy: Materiality | None = None,
     review_days: DataFrame | None = None,
-    variance_fn: ops.VarianceFn | None = ops.default_variance,
+    variance_fn: ops.VarianceFn | None = ops.account_variance,
+    stage: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Review:
     """Build the review tables. ``review_days(property_id, period, review_day)`` is optional; without a day the
-    snapshot bound is the month end and freshness stays unknown."""
-    policy = policy or Materiality()
-    clean = ops.dedupe_gl(gl)
-    rollup = ops.actual_budget_coverage(ops.account_rollup(clean))
-    bound = ops.bound_variance(rollup, variance_fn)
-    if bound is None:
-        variance, bridge = (t.limit(0) for t in ops.default_variance(rollup))
-    else:
-        variance, bridge = bound
+    snapshot bound is the month end and freshness stays unknown.
 
-    requests = rollup.select(*REVIEW_KEY).distinct()
+    ``summary`` reads the ledger once and needs no staging. Outputs that read several tables (``exceptions``,
+    ``measured_facts``) should pass ``stage=cut_lineage`` so the ledger is cleaned once and not once per rule.
+    """
+    policy = policy or Materiality()
+    stage = stage or (lambda df: df)
+    clean = stage(ops.dedupe_gl(gl))
+    accounts = ops.actual_budget_coverage(ops.account_rollup(clean))
+    accounts = with_variance(ops.with_mapping_state(accounts, mappings), variance_fn)
+    by_size = Window.partitionBy(*REVIEW_KEY).orderBy(F.abs("variance").desc_nulls_last(), "account_code")
+    threshold = F.lit(policy.variance_abs).cast("decimal(38,8)")
+    accounts = stage(
+        accounts.withColumns(
+            {
+                "is_material": F.coalesce(F.abs("variance") >= threshold, F.lit(False)),
+                "rank": F.row_number().over(by_size),
+            }
+        )
+    )
+    days = accounts.select(*REVIEW_KEY).distinct()
     if review_days is None:
-        requests = requests.withColumn("review_day", F.lit(None).cast("date"))
+        days = days.withColumn("review_day", F.lit(None).cast("date"))
     else:
-        requests = requests.join(review_days, REVIEW_KEY, "left")
-    requests = requests.withColumn("bound", F.coalesce("review_day", month_end(F.col("period"))))
+        days = days.join(review_days, REVIEW_KEY, "left")
+    days = days.withColumn("bound", F.coalesce("review_day", month_end(F.col("period"))))
     return Review(
-        clean,
-        rollup,
-        variance,
-        bridge,
-        occupancy_review(requests, snapshots, properties, policy),
-        ops.map_accounts(rollup, mappings),
-        policy,
-        variance_fn is not None,
+        clean, accounts, stage(occupancy_review(days, snapshots, properties, policy)), policy, variance_fn is not None
     )
 
 
+def with_variance(accounts: DataFrame, fn: ops.VarianceFn | None) -> DataFrame:
+    """Add ``variance``. The built-in rule is an expression; a caller's function is run and held to the contract;
+    no function leaves NULL."""
+    if fn is None:
+        return accounts.withColumn("variance", F.lit(None).cast("decimal(38,2)"))
+    if fn is ops.account_variance:
+        return accounts.withColumn("variance", ops.variance_expr())
+    by_account = ops.bound_variance(accounts, fn).select(*ACCOUNT_KEY, "variance")
+    return accounts.join(by_account, ACCOUNT_KEY, "left")
+
+
 def occupancy_review(
-    requests: DataFrame, snapshots: DataFrame, properties: DataFrame, policy: Materiality
+    requests: DataFrame,
+    snapshots: DataFrame,
+    properties: DataFrame,
+    policy: Materiality,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """Current and prior snapshot, deltas, freshness and unit-count match per request."""
-    found = occupancy.as_of_snapshot(requests, snapshots).join(
+    """Current and prior snapshot, deltas, freshness and unit-count match per (property, period) request."""
+    found = occupancy.as_of_snapshot(requests, snapshots, monthly=True).join(
         properties.select(F.col("id").alias("property_id"), "unit_count"), "property_id", "left"
     )
     den = sum((F.col(f"current.{c}") for c in ("vacant", "down")), F.col("current.occupied"))
@@ -111,8 +131,7 @@ def occupancy_review(
         .otherwise("match")
     )
     return found.select(
-        *REVIEW_KEY,
-        "review_day",
+        *(keep or [*REVIEW_KEY, "review_day"]),
         "bound",
         "current",
         den.alias("denominator"),
@@ -144,20 +163,21 @@ def exceptions(r: Review) -> DataFrame:
     no_rows = F.expr("cast(array() as array<struct<artifact:string,row:int,table:string,period:string>>)")
     account_rows = ops.account_evidence(r.clean).drop("evidence_truncated")
     cited = ops.citations(F.col("evidence"), F.col("period"))
+    accounts = r.accounts.join(account_rows, ACCOUNT_KEY)
 
-    per_account = r.rollup.select(*ACCOUNT_KEY, "coverage").join(account_rows, ACCOUNT_KEY)
-    gaps = (
-        per_account.filter("coverage <> 'covered'")
-        .groupBy(*REVIEW_KEY, "coverage")
-        .agg(
-            F.array_sort(F.collect_list("account_code")).alias("accounts"),
-            ops.merge_evidence(F.collect_list("evidence")).alias("evidence"),
-        )
+    # Evidence is merged per coverage class, so one grouping serves both coverage codes and the missing actuals.
+    merged = accounts.groupBy(*REVIEW_KEY, "coverage").agg(
+        F.array_sort(F.collect_list("account_code")).alias("accounts"),
+        ops.merge_evidence(F.collect_list("evidence")).alias("evidence"),
     )
     coverage = _exception(
-        gaps, F.col("coverage"), _text_map(accounts=F.array_join("accounts", ",")), cited, F.array_join("accounts", ",")
+        merged.filter("coverage <> 'covered'"),
+        F.col("coverage"),
+        _text_map(accounts=F.array_join("accounts", ",")),
+        cited,
+        F.array_join("accounts", ","),
     )
-    no_actuals = r.rollup.groupBy(*REVIEW_KEY).agg(
+    no_actuals = r.accounts.groupBy(*REVIEW_KEY).agg(
         F.sum("actual_rows").alias("actual_rows"), F.count_if(F.col("budget_rows") > 0).alias("budget_accounts")
     )
     no_actuals = _exception(
@@ -225,28 +245,18 @@ def exceptions(r: Review) -> DataFrame:
         F.concat_ws("|", "kind", "source_file", "source_row", "account_code"),
     )
 
-    mapping = r.mapping.filter("error_code is not null").join(account_rows, ACCOUNT_KEY)
-    mapping = _exception(
-        mapping,
-        F.col("error_code"),
-        F.map_filter(
-            _text_map(
-                account_code=F.col("account_code"),
-                reason=F.col("reason"),
-                status=F.array_join("statuses", ","),
-                gl_categories=F.when(F.col("reason").isNull(), F.array_join("gl_categories", ",")),
-                mapped_category=F.when(F.col("reason").isNull(), F.col("mapped_category")),
-            ),
-            lambda k, v: v.isNotNull(),
-        ),
-        cited,
-        F.col("account_code"),
+    keep = lambda m: F.map_filter(m, lambda k, v: v.isNotNull())
+    reviewed = F.col("reason").isNull()
+    mapping_details = keep(
+        _text_map(
+            account_code=F.col("account_code"),
+            reason=F.col("reason"),
+            status=F.array_join("statuses", ","),
+            gl_categories=F.when(reviewed, F.array_join("gl_categories", ",")),
+            mapped_category=F.when(reviewed, F.col("mapped_category")),
+        )
     )
-
-    material = ops.material_variances(r.variance, r.policy.variance_abs).join(account_rows, ACCOUNT_KEY)
-    material = _exception(
-        material,
-        "MATERIAL_VARIANCE",
+    material_details = keep(
         _text_map(
             account_code=F.col("account_code"),
             category=F.col("category"),
@@ -255,14 +265,28 @@ def exceptions(r: Review) -> DataFrame:
             variance=F.col("variance"),
             threshold=F.lit(r.policy.variance_abs),
             rank=F.col("rank"),
-        ),
-        cited,
-        F.col("account_code"),
+        )
     )
-    parts = [coverage, no_actuals, occ, dup, mapping, material]
+    found = F.array_compact(
+        F.array(
+            F.when(
+                F.col("mapping_error").isNotNull(),
+                F.struct(F.col("mapping_error").alias("code"), mapping_details.alias("details")),
+            ),
+            F.when(
+                F.col("is_material"),
+                F.struct(F.lit("MATERIAL_VARIANCE").alias("code"), material_details.alias("details")),
+            ),
+        )
+    )
+    per_account = accounts.withColumn("found", F.explode(found))
+    per_account = _exception(
+        per_account, F.col("found.code"), F.col("found.details"), cited, F.col("account_code")
+    )
+    parts = [coverage, no_actuals, occ, dup, per_account]
     if not r.has_variance_fn:
-        keys = r.rollup.select(*REVIEW_KEY).distinct()
-        parts.append(_exception(keys, "VARIANCE_NOT_IMPLEMENTED", _text_map(), no_rows, none))
+        keys = r.occupancy.select(*REVIEW_KEY)
+        parts.append(_exception(keys, "VARIANCE_NOT_IMPLEMENTED", keep(_text_map(fn=none)), no_rows, none))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -271,12 +295,10 @@ def exceptions(r: Review) -> DataFrame:
     return out.withColumns({"severity": severity[F.col("code")], "message": message[F.col("code")]})
 
 
-def exception_counts(r: Review) -> DataFrame:
-    """Exception tallies per (property, period) straight from the account rollup and the occupancy rows.
-
-    The same rules as ``exceptions`` without evidence; no ledger row is touched again.
-    """
-    gaps = r.rollup.groupBy(*REVIEW_KEY).agg(
+def review_rollup(accounts: DataFrame) -> DataFrame:
+    """Counts, mapping and materiality tallies and the NOI bridge per (property, period), in one grouping."""
+    covered = F.col("coverage") == "covered"
+    return accounts.groupBy(*REVIEW_KEY).agg(
         F.count_if(F.col("coverage") == "MISSING_BUDGET").alias("missing_budget_accounts"),
         F.count_if(F.col("coverage") == "BUDGET_WITHOUT_ACTUAL").alias("budget_only_accounts"),
         F.sum("actual_rows").alias("actual_rows"),
@@ -284,23 +306,39 @@ def exception_counts(r: Review) -> DataFrame:
         F.count("*").alias("distinct_accounts"),
         F.sum("duplicate_groups").alias("duplicate_groups"),
         F.sum("duplicate_rows").alias("duplicate_rows"),
+        F.count_if("is_material").alias("material_variances"),
+        F.count_if(F.col("mapping_error").isNotNull()).alias("mapping_exceptions"),
+        *ops.bridge_sums(covered),
     )
-    threshold = F.lit(r.policy.variance_abs).cast("decimal(38,8)")
-    material = r.variance.groupBy(*REVIEW_KEY).agg(
-        F.count_if(F.abs("variance") >= threshold).alias("material_variances")
-    )
-    mapped = r.mapping.groupBy(*REVIEW_KEY).agg(
-        F.count_if(F.col("error_code").isNotNull()).alias("mapping_exceptions")
-    )
-    return gaps.join(material, REVIEW_KEY, "left").join(mapped, REVIEW_KEY, "left").join(
-        r.occupancy, REVIEW_KEY, "left"
-    )
 
 
-def summary(r: Review) -> DataFrame:
-    """One row per (property, period): status, blocker codes, counts, occupancy and the NOI bridge."""
-    counts = exception_counts(r)
-    no_fn = F.lit(not r.has_variance_fn)
+def summary_table(
+    gl: DataFrame,
+    properties: DataFrame,
+    snapshots: DataFrame,
+    mappings: DataFrame,
+    policy: Materiality | None = None,
+    months_to_review: int | None = None,
+    variance_fn: ops.VarianceFn | None = ops.account_variance,
+) -> DataFrame:
+    """One row per (property, period): status, blocker codes, counts, occupancy and the NOI bridge.
+
+    A straight pipeline: one ledger scan, one shuffle on the import key, one on the account key, one on the review
+    key and one on the property for the snapshot look-up. ``months_to_review`` dates each review that many months
+    after its period starts; without it the snapshot bound is the month end and freshness is unknown.
+    """
+    policy = policy or Materiality()
+    accounts = ops.actual_budget_coverage(ops.account_rollup(ops.dedupe_gl(gl)))
+    accounts = with_variance(ops.with_mapping_state(accounts, mappings), variance_fn)
+    threshold = F.lit(policy.variance_abs).cast("decimal(38,8)")
+    accounts = accounts.withColumn("is_material", F.coalesce(F.abs("variance") >= threshold, F.lit(False)))
+    rows = ops.bridge_results(review_rollup(accounts))
+    start = F.to_date(F.concat("period", F.lit("-01")))
+    day = F.lit(None).cast("date") if months_to_review is None else F.add_months(start, months_to_review)
+    rows = rows.withColumn("review_day", day)
+    rows = rows.withColumn("bound", F.coalesce("review_day", month_end(F.col("period"))))
+    out = occupancy_review(rows, snapshots, properties, policy, keep=[c for c in rows.columns if c != "bound"])
+    no_fn = F.lit(variance_fn is None)
     blockers = F.array_compact(
         F.array(
             F.when(F.col("actual_rows") == 0, "MISSING_ACTUALS"),
@@ -309,7 +347,7 @@ def summary(r: Review) -> DataFrame:
             F.when(no_fn, "VARIANCE_NOT_IMPLEMENTED"),
         )
     )
-    out = counts.join(r.bridge, REVIEW_KEY, "left").withColumn("blockers", blockers)
+    out = out.withColumn("blockers", blockers)
     return out.withColumns(
         {
             "status": F.when(F.size("blockers") > 0, "blocked").otherwise("reviewed"),
@@ -358,13 +396,13 @@ def measured_facts(r: Review, limit: int = 100) -> DataFrame:
             "unit_count",
         ),
         say(
-            ops.review_counts(r.rollup).filter("duplicate_groups > 0"),
+            ops.review_counts(r.accounts).filter("duplicate_groups > 0"),
             first(5),
             "%d duplicate GL import group(s) deduplicated before variance.",
             "duplicate_groups",
         ),
         say(
-            ops.material_variances(r.variance, r.policy.variance_abs),
+            r.accounts.filter("is_material"),
             F.concat(F.lit("6"), F.lpad(F.col("rank").cast("string"), 9, "0")),
             f"Account %s variance %s {r.policy.currency} meets the materiality threshold {r.policy.variance_abs}.",
             "account_code",
@@ -374,8 +412,6 @@ def measured_facts(r: Review, limit: int = 100) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    from rentloom.functions.refusal import top_n
-
     return top_n(out, REVIEW_KEY, [F.col("fact_order")], limit)
 
 
