@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["ops"]
+MODULES = ["ops", "finance"]
 
 
 def all_entries() -> dict:

@@ -4,34 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registry.sqltext import load, view, with_views
+from registry.common import Register, m, texts
+from registry.sqltext import load, view
 from rentloom.functions.money import money_text
 from rentloom.functions.period import month_end
 from rentloom.operators import occupancy, ops
 from rentloom.plans import review as plan
 from rentloom.session import cut_lineage
 
-ENTRIES: dict = {}
+ENTRIES = Register()
+entry = ENTRIES.entry
 THRESHOLD = "50000.00"
 REVIEW_DAY = "2024-03-01"
 
-
-def entry(name, sql=None):
-    def add(fn):
-        ENTRIES[name] = (fn, None if sql is None else with_views(sql))
-        return fn
-
-    return add
-
-
-def m(expr: str, alias: str, scale: int = 2) -> str:
-    return f"cast(cast({expr} as decimal(38,{scale})) as varchar) as {alias}"
-
-
-def texts(df, *names, scale=2):
-    return df.withColumns({n: money_text(F.col(n), scale) for n in names})
-
-
 view(
     "v_o_clean",
     """

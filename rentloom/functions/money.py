@@ -51,52 +51,70 @@ def _currency_mark(body: Column) -> tuple[Column, Column]:
     return code, rest
 
 
-def parse_money(text: Column, currency: Column | str = "USD") -> Column:
-    """Struct(amount DECIMAL(24,8), amount_text, currency, error_code).
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``; keeps deep expressions from being copied at every use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    Blank-like text is an unknown amount (UNKNOWN_AMOUNT_NOT_ZERO), never zero. One separator followed by
-    exactly three digits could be a thousands or a decimal mark and is refused as ambiguous.
-    """
-    wanted = F.lit(currency) if isinstance(currency, str) else currency
+
+def _unsigned(text: Column) -> Column:
     trimmed = F.trim(text)
-    negative = trimmed.rlike(_NEGATIVE)
-    body = F.trim(F.regexp_replace(trimmed, _NEGATIVE, "$1$2"))
-    found, number = _currency_mark(body)
+    return F.struct(
+        trimmed.rlike(_NEGATIVE).alias("negative"),
+        F.trim(F.regexp_replace(trimmed, _NEGATIVE, "$1$2")).alias("body"),
+    )
+
 
-    grouped = number.rlike(_US_GROUPED)
-    grouped_eu = number.rlike(_EU_GROUPED)
-    shaped = grouped | grouped_eu | number.rlike(_WHOLE) | number.rlike(_DOT_FRACTION) | number.rlike(_COMMA_FRACTION)
+def _unmarked(part: Column) -> Column:
+    code, number = _currency_mark(part["body"])
+    return F.struct(part["negative"].alias("negative"), code.alias("code"), number.alias("number"))
+
+
+def _plain(part: Column) -> Column:
+    number = part["number"]
     plain = (
-        F.when(grouped, F.regexp_replace(number, ",", ""))
-        .when(grouped_eu, F.translate(number, ".,", "#."))
-        .otherwise(F.regexp_replace(number, ",", "."))
+        F.when(number.rlike(_US_GROUPED), F.regexp_replace(number, ",", ""))
+        .when(number.rlike(_EU_GROUPED), F.regexp_replace(F.regexp_replace(number, r"\.", ""), ",", "."))
+        .when(number.rlike(f"{_WHOLE}|{_DOT_FRACTION}|{_COMMA_FRACTION}"), F.regexp_replace(number, ",", "."))
     )
-    plain = F.regexp_replace(plain, "#", "")
-    whole = F.regexp_extract(plain, r"^([0-9]*)", 1)
-    fraction = F.regexp_extract(plain, r"\.([0-9]*)$", 1)
+    return F.struct(
+        part["negative"].alias("negative"), part["code"].alias("code"), number.alias("number"), plain.alias("plain")
+    )
+
 
+def _judged(part: Column, unknown: Column, wanted: Column) -> Column:
+    number, plain, found = part["number"], part["plain"], part["code"]
     error = first_failure(
-        (is_unknown_text(text), "UNKNOWN_AMOUNT_NOT_ZERO"),
+        (unknown, "UNKNOWN_AMOUNT_NOT_ZERO"),
         (~F.coalesce(wanted.rlike("^[A-Z]{3}$"), F.lit(False)), "INVALID_OBSERVATIONS"),
         (found.isNotNull() & (found != wanted), "INVALID_OBSERVATIONS"),
         ((number == "") | number.rlike(r"\s"), "AMBIGUOUS_NUMERIC_FORMAT"),
         (number.rlike(r"(?i)[ex]|inf|nan"), "INVALID_OBSERVATIONS"),
-        (~number.rlike(r"^[0-9.,]+$"), "AMBIGUOUS_NUMERIC_FORMAT"),
-        (~shaped, "AMBIGUOUS_NUMERIC_FORMAT"),
-        (whole.rlike(r"^0[0-9]"), "AMBIGUOUS_NUMERIC_FORMAT"),
-        (F.length(whole) > 16, "INVALID_OBSERVATIONS"),
-        (F.length(fraction) > 8, "INVALID_OBSERVATIONS"),
+        (plain.isNull() | plain.rlike(r"^0[0-9]"), "AMBIGUOUS_NUMERIC_FORMAT"),
+        (plain.rlike(r"^[0-9]{17}|\.[0-9]{9}"), "INVALID_OBSERVATIONS"),
     )
-    signed = F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), plain)
-    amount_text = F.when(error.isNull(), signed)
+    signed = F.when(error.isNull(), F.concat(F.when(part["negative"], F.lit("-")).otherwise(F.lit("")), plain))
     return F.struct(
-        amount_text.try_cast("decimal(24,8)").alias("amount"),
-        amount_text.alias("amount_text"),
+        signed.try_cast("decimal(24,8)").alias("amount"),
+        signed.alias("amount_text"),
         F.when(error.isNull(), wanted).alias("currency"),
         error.alias("error_code"),
     )
 
 
+def parse_money(text: Column, currency: Column | str = "USD") -> Column:
+    """Struct(amount DECIMAL(24,8), amount_text, currency, error_code).
+
+    Blank-like text is an unknown amount (UNKNOWN_AMOUNT_NOT_ZERO), never zero. One separator followed by
+    exactly three digits could be a thousands or a decimal mark and is refused as ambiguous.
+    """
+    wanted = F.lit(currency) if isinstance(currency, str) else currency
+    unknown = is_unknown_text(text)
+    return bind(
+        _unsigned(text),
+        lambda a: bind(_unmarked(a), lambda b: bind(_plain(b), lambda c: _judged(c, unknown, wanted))),
+    )
+
+
 def parse_amount_lenient(text: Column) -> Column:
     """Feed amounts: drop ``$`` and ``,``, parentheses mean minus; blank or dash is 0 (the one such place)."""
     bare = F.regexp_replace(F.trim(text), r"[$,)]", "")
