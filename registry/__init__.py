@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["ops", "finance"]
+MODULES = ["ops", "finance", "intake"]
 
 
 def all_entries() -> dict:

@@ -19,6 +19,8 @@ def pid(expr: str) -> str:
 
 
 VIEWS: dict[str, str] = {}
+# Views that Spark builds with its own functions (explode and the like) instead of the SQL text.
+SPARK_VIEWS: dict = {}
 
 
 def view(name: str, sql: str) -> None:
@@ -60,6 +62,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or a view over the given tables, as a DataFrame."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in SPARK_VIEWS:
+        return SPARK_VIEWS[name](spark, sf_dir)
     sql = VIEWS[name]
     used = {t: load(spark, sf_dir, t) for t in TABLES if re.search(rf"\b(from|join)\s+{t}\b", sql)}
     used |= {v: load(spark, sf_dir, v) for v in _needs(sql)}

@@ -23,3 +23,21 @@ def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[Column]
     )
     out = local.join(sizes, [*keys, "_bucket"])
     return out.withColumn(name, F.col("_before") + F.col("_local")).drop("_bucket", "_local", "_before")
+
+
+def carry_forward(df: DataFrame, keys: list[str], row: str, value: Column, name: str, chunk: int = 10_000) -> DataFrame:
+    """Last non-null ``value`` at or above each row of a key, in ``row`` order.
+
+    Keys are cut into chunks of row numbers. Inside a chunk a window carries the value; the last value of every
+    chunk is carried over the short list of chunks. One huge key therefore never sits in a single task.
+    """
+    marked = df.withColumn("_chunk", F.floor(F.col(row) / chunk)).withColumn("_value", value)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(row)
+    local = marked.withColumn("_local", F.last("_value", ignorenulls=True).over(inside))
+    ends = marked.groupBy(*keys, "_chunk").agg(
+        F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(row))).alias("_end")
+    )
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
+    out = local.join(ends, [*keys, "_chunk"])
+    return out.withColumn(name, F.coalesce("_local", "_carried")).drop("_chunk", "_value", "_local", "_carried")
