@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["ops", "finance", "intake"]
+MODULES = ["ops", "finance", "intake", "docs"]
 
 
 def all_entries() -> dict:

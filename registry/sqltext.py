@@ -53,8 +53,9 @@ def with_views(sql: str) -> str:
     if not names:
         return body
     heads = ",\n".join(f"{n} as ({VIEWS[n].strip()})" for n in names)
-    if re.match(r"(?i)with\b", body):
-        return f"with {heads},\n{body[4:].strip()}"
+    opening = re.match(r"(?i)with(\s+recursive)?\b", body)
+    if opening:
+        return f"{opening[0]} {heads},\n{body[opening.end():].strip()}"
     return f"with {heads}\n{body}"
 
 

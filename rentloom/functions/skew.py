@@ -41,3 +41,15 @@ def carry_forward(df: DataFrame, keys: list[str], row: str, value: Column, name:
     ends = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
     out = local.join(ends, [*keys, "_chunk"])
     return out.withColumn(name, F.coalesce("_local", "_carried")).drop("_chunk", "_value", "_local", "_carried")
+
+
+def previous(df: DataFrame, keys: list[str], row: str, value: Column, name: str, chunk: int = 10_000) -> DataFrame:
+    """``value`` of the row just before, in ``row`` order and across chunks; NULL on the first row of a key."""
+    marked = df.withColumn("_chunk", F.floor(F.col(row) / chunk)).withColumn("_value", F.struct(value.alias("v")))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(row)
+    local = marked.withColumn("_local", F.lag("_value").over(inside))
+    ends = marked.groupBy(*keys, "_chunk").agg(F.max_by("_value", row).alias("_end"))
+    earlier = Window.partitionBy(*keys).orderBy("_chunk")
+    ends = ends.withColumn("_carried", F.lag("_end").over(earlier)).drop("_end")
+    out = local.join(ends, [*keys, "_chunk"])
+    return out.withColumn(name, F.coalesce("_local", "_carried")["v"]).drop("_chunk", "_value", "_local", "_carried")
