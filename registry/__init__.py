@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["ops", "finance", "intake", "docs"]
+MODULES = ["ops", "finance", "intake", "docs", "ledger"]
 
 
 def all_entries() -> dict:
