@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 LEAF = "array<struct<pointer:string,kind:string,value:string>>"
 
 
-def flatten_json(text: Column | str) -> Column:
-    """Every node of a JSON value as (pointer, kind, value); NULL for text that is not JSON.
+def flatten_json(text: Column | str, whole_lists: bool = False) -> Column:
+    """Every node of a JSON value as (pointer, kind, value); NULL for text that is not JSON. With ``whole_lists`` a
+    list is one node holding its own text.
 
     Nesting has no fixed depth, which SQL functions cannot follow, so this runs in Arrow batches. The function is
     built here so that executors receive it by value and need no copy of this package."""
@@ -22,6 +23,8 @@ def flatten_json(text: Column | str) -> Column:
             yield at, "object", None
             for key, child in node.items():
                 yield from walk(child, at + "/" + str(key).replace("~", "~0").replace("/", "~1"))
+        elif isinstance(node, list) and whole_lists:
+            yield at, "array", json.dumps(node, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
         elif isinstance(node, list):
             yield at, "array", str(len(node))
             for i, child in enumerate(node):
