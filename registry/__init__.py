@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["ops", "finance", "intake", "docs", "ledger", "governance"]
+MODULES = ["ops", "finance", "intake", "docs", "ledger", "governance", "io"]
 
 
 def all_entries() -> dict:

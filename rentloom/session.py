@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +33,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rentloom-"))
     return df.checkpoint(eager=True)
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one the cluster names; below a temporary one only when that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rentloom-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
