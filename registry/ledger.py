@@ -211,7 +211,7 @@ def transactions(spark, d):
     """select property_id, feed, case when tx % 9 = 0 and effective_on < date '1998-06-01' then 'FEED_NOT_AUTHORITATIVE' end as error_code, count(*) as n from v_tx group by 1, 2, 3""",
 )
 def cutover_source_j7(spark, d):
-    props = load(spark, d, "v_properties").select(F.col("id").alias("property_id"), F.to_date(F.lit("1998-06-01")).alias("cutover_on"))
+    props = load(spark, d, "v_tx").select("property_id", F.to_date(F.lit("1998-06-01")).alias("cutover_on")).distinct()
     out = ledger.cutover_source(transactions(spark, d), props)
     return out.groupBy("property_id", "feed", "error_code").agg(F.count("*").alias("n"))
 

@@ -270,7 +270,7 @@ view(
 @entry(
     "t12_category_sum_a1",
     f"""select property_id, end_period as as_of, strftime(cast(end_period || '-01' as date) - interval 11 month, '%Y-%m') as window_start,
-        {m('value', 'value')}, case when value is not null then 'usd' end as unit, codes as account_codes,
+        {m('value', 'value')}, case when value is not null then 'usd' end as unit, coalesce(codes, '') as account_codes,
         case when value is null then 'NOT_FOUND' end as error_code from v_o_t12""",
 )
 def t12_category_sum_a1(spark, d):

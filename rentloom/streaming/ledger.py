@@ -30,6 +30,7 @@ def classify_batch(batch: DataFrame, accepted: DataFrame | None) -> DataFrame:
     Inside the batch the first (recorded_at, event_id) of a key stands. Equal amounts from another source are other
     facts. Only accepted keys that occur in the batch are looked at."""
     rows = batch.withColumn("command_sha256", command_hash())
+    rows = rows.dropDuplicates([*SOURCE_KEY, "command_sha256", "recorded_at", "event_id"])
     first = rows.groupBy(*SOURCE_KEY).agg(
         F.min(F.struct("recorded_at", "event_id", "command_sha256")).alias("first")
     )
