@@ -8,6 +8,7 @@ from registry.common import Register
 from registry.sqltext import SPARK_VIEWS, load, view
 from rentloom.functions import jsonx, text
 from rentloom.operators import documents, evidence
+from rentloom.session import cut_lineage
 
 ENTRIES = Register()
 entry = ENTRIES.entry
@@ -132,7 +133,7 @@ view(
 def spans(spark, d):
     pages = load(spark, d, "v_pages")
     totals = pages.groupBy("doc_id").agg(F.max("page").alias("total_pages"))
-    return documents.section_spans(documents.first_heading(pages), totals)
+    return documents.section_spans(documents.first_heading(pages), totals, cut_lineage)
 
 
 @entry(

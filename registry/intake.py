@@ -8,6 +8,7 @@ from registry.common import Register, m, texts
 from registry.sqltext import SPARK_VIEWS, load, view
 from rentloom.functions import tokens
 from rentloom.operators import rentroll, statements
+from rentloom.session import cut_lineage
 
 ENTRIES = Register()
 entry = ENTRIES.entry
@@ -106,7 +107,7 @@ def cells(spark, d):
 
 def rows(spark, d):
     c = cells(spark, d)
-    return rentroll.section_state(rentroll.records(c, rentroll.header_row(c)))
+    return rentroll.section_state(cut_lineage(rentroll.records(c, rentroll.header_row(c))))
 
 
 @entry(
@@ -160,7 +161,7 @@ def orphan_continuation_w9(spark, d):
     "select source_id, unit_id, first_row, evidence_rows, status, unit_use, error_code from v_o_units2",
 )
 def unit_dedupe_w13(spark, d):
-    return rentroll.normalize_rent_roll(cells(spark, d))
+    return rentroll.normalize_rent_roll(cells(spark, d), stage=cut_lineage)
 
 
 view(

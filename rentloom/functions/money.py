@@ -20,6 +20,8 @@ _WHOLE = r"^[0-9]+$"
 _US_GROUPED = r"^[1-9][0-9]{0,2}(,[0-9]{3})+\.[0-9]+$"
 _EU_GROUPED = r"^[1-9][0-9]{0,2}(\.[0-9]{3})+,[0-9]+$"
 _DOT_FRACTION = r"^[0-9]+\.([0-9]{1,2}|[0-9]{4,})$"
+# Most amounts are plain; they need no further step.
+_SIMPLE = r"^-?(0|[1-9][0-9]{0,15})(\.([0-9]{1,2}|[0-9]{4,8}))?$"
 _COMMA_FRACTION = r"^[0-9]+,[0-9]{1,2}$"
 
 
@@ -66,7 +68,11 @@ def _unsigned(text: Column) -> Column:
 
 def _unmarked(part: Column) -> Column:
     code, number = _currency_mark(part["body"])
-    return F.struct(part["negative"].alias("negative"), code.alias("code"), number.alias("number"))
+    bare = F.struct(
+        part["negative"].alias("negative"), F.lit(None).cast("string").alias("code"), part["body"].alias("number")
+    )
+    marked = F.struct(part["negative"].alias("negative"), code.alias("code"), number.alias("number"))
+    return F.when(part["body"].rlike("^[0-9.,]+$"), bare).otherwise(marked)
 
 
 def _plain(part: Column) -> Column:
@@ -109,10 +115,19 @@ def parse_money(text: Column, currency: Column | str = "USD") -> Column:
     """
     wanted = F.lit(currency) if isinstance(currency, str) else currency
     unknown = is_unknown_text(text)
-    return bind(
+    trimmed = F.trim(text)
+    direct = F.struct(
+        trimmed.try_cast("decimal(24,8)").alias("amount"),
+        trimmed.alias("amount_text"),
+        wanted.alias("currency"),
+        F.lit(None).cast("string").alias("error_code"),
+    )
+    steps = bind(
         _unsigned(text),
         lambda a: bind(_unmarked(a), lambda b: bind(_plain(b), lambda c: _judged(c, unknown, wanted))),
     )
+    simple = trimmed.rlike(_SIMPLE) & wanted.rlike("^[A-Z]{3}$")
+    return F.when(F.coalesce(simple, F.lit(False)), direct).otherwise(steps)
 
 
 def parse_amount_lenient(text: Column) -> Column:

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rentloom.functions.money import bind
+
 # Patterns of typed personal data and of text that tries to give orders.
 EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+"
 PHONE = r"(?<![0-9,.])(?:\+?1[\s.-]?)?(?:\([0-9]{3}\)|[0-9]{3})[\s.-]?[0-9]{3}[\s.-]?[0-9]{4}(?![0-9])"
@@ -20,6 +22,7 @@ INJECTION = (
     r"(?i)(?<![\p{L}\p{N}_])(?:(?:ignore|disregard)\s+(?:all\s+|any\s+)?(?:previous|prior|above)\s+instructions"
     r"|approve\s+the\s+(?:following|deal))(?![\p{L}\p{N}_])"
 )
+PERSON_WORDS = ["resident", "tenant", "lessee", "occupant", "applicant"]
 METADATA_KEYS = ["title", "subject", "producer", "creator", "pages"]
 DIGITS = r"([0-9]+(?:[.,][0-9]+)*)"
 YEAR = r"^(19|20)[0-9]{2}$"
@@ -44,10 +47,20 @@ SECTIONS = {
 
 def lines_of(text: Column) -> Column:
     """Array of lines; a final line break does not start another line."""
-    body = F.regexp_replace(text, f"(?:{LINE_BREAK})$", "")
-    return F.when(text.isNull() | (text == ""), F.expr("cast(array() as array<string>)")).otherwise(
-        F.split(body, LINE_BREAK)
+    empty = F.expr("cast(array() as array<string>)")
+    whole = bind(
+        F.split(text, LINE_BREAK),
+        lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, 1, F.size(x) - 1)).otherwise(x),
     )
+    return F.when(text.isNull(), empty).otherwise(whole)
+
+
+def _mentions(lowered: Column, words: list[str]) -> Column:
+    """Plain substring test; much cheaper than the pattern it guards."""
+    found = lowered.contains(words[0])
+    for word in words[1:]:
+        found = found | lowered.contains(word)
+    return found
 
 
 def redact_value(text: Column) -> Column:
@@ -76,7 +89,10 @@ def redact_line(text: Column) -> Column:
 
     The reason is the first personal-data type found. Lines without digits, ``@`` or a person label skip the
     replacement chain."""
-    plain = ~text.rlike(r"[0-9@]") & ~text.rlike(PERSON)
+    lowered = F.lower(text)
+    person = _mentions(lowered, PERSON_WORDS) & text.rlike(PERSON)
+    injected_text = _mentions(lowered, ["instructions", "approve"]) & text.rlike(INJECTION)
+    plain = ~text.rlike(r"[0-9@]") & ~person
     no_mail = F.regexp_replace(text, EMAIL, "[REDACTED:email]")
     no_phone = F.regexp_replace(no_mail, PHONE, "[REDACTED:phone]")
     no_ssn = F.regexp_replace(no_phone, SSN, "[REDACTED:pii]")
@@ -92,7 +108,7 @@ def redact_line(text: Column) -> Column:
     kept = F.struct(clean.alias("redacted"), reason.alias("reason"))
     untouched = F.struct(text.alias("redacted"), F.lit(None).cast("string").alias("reason"))
     return (
-        F.when(text.rlike(INJECTION), injected)
+        F.when(injected_text, injected)
         .when(plain, untouched)
         .when(_has_loose_digits(clean), local)
         .otherwise(kept)
@@ -106,17 +122,26 @@ def metadata_allowlist(metadata: Column, max_chars: int = 200) -> Column:
     return F.map_filter(redacted, lambda k, v: (F.length(v) <= max_chars) & ~_has_loose_digits(v))
 
 
-def section_key(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.trim(line)), r"[\s/,:\-_….]+", " "))
+_GAP = r"[\s/,:\-_….]"
+
+
+def _heading(aliases: list[str]) -> str:
+    """Pattern for any alias with its words apart by white space or punctuation of any length."""
+    spaced = [f"{_GAP}+".join(re.escape(w) for w in re.split(r"[ .]", a)) for a in aliases]
+    return f"{_GAP}*(?:{'|'.join(spaced)})(?:{_GAP}|$)"
+
+
+def may_have_section(text: Column) -> Column:
+    """False only if no line of the text can start with a section alias; one pass, before lines are cut."""
+    every = [a for names in SECTIONS.values() for a in names]
+    return text.rlike(f"(?i)(?:^|{LINE_BREAK}){_heading(every)}")
 
 
 def section_code(line: Column) -> Column:
     """Code of the first section, in registry order, whose alias starts the line; else NULL."""
-    key = section_key(line)
     expr = F.lit(None).cast("string")
     for code, aliases in reversed(SECTIONS.items()):
-        pattern = "^(" + "|".join(re.escape(a) for a in aliases) + ")( |$)"
-        expr = F.when(key.rlike(pattern), F.lit(code)).otherwise(expr)
+        expr = F.when(line.rlike(f"(?i)^{_heading(aliases)}"), F.lit(code)).otherwise(expr)
     return expr
 
 

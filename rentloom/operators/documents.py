@@ -5,16 +5,27 @@ A page is one row, so headings, contents pages and redaction are row-local; only
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rentloom.functions.money import bind
 from rentloom.functions.refusal import top_n
 from rentloom.functions.skew import previous
-from rentloom.functions.text import contains_pii, is_toc, lines_of, redact_line, section_code
+from rentloom.functions.text import (
+    contains_pii,
+    is_toc,
+    lines_of,
+    may_have_section,
+    redact_line,
+    section_code,
+)
 
 MAX_LINE_CHARS = 2_000
 MAX_PACKET_CHARS = 200_000
 PAGE_BUDGET = 40
+Stage = Callable[[DataFrame], DataFrame]
 
 
 def explode_lines(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -28,25 +39,29 @@ def explode_lines(pages: DataFrame, text: str = "text") -> DataFrame:
 
 def first_heading(pages: DataFrame) -> DataFrame:
     """First section heading of each page that is not a contents page: (doc_id, page, line_no, code, heading_text)."""
-    lines = lines_of(F.col("text"))
-    marked = F.transform(
-        lines,
-        lambda x, i: F.struct((i + 1).alias("line_no"), section_code(x).alias("code"), F.trim(x).alias("heading_text")),
-    )
-    first = F.get(F.filter(marked, lambda m: m["code"].isNotNull()), F.lit(0))
-    return (
-        pages.filter(~is_toc(lines))
-        .withColumn("h", first)
-        .filter(F.col("h").isNotNull())
-        .select("doc_id", "page", "h.line_no", "h.code", "h.heading_text")
-    )
+
+    def found(lines: Column) -> Column:
+        marked = F.transform(
+            F.transform(lines, section_code),
+            lambda code, i: F.struct(
+                (i + 1).alias("line_no"), code.alias("code"), F.trim(F.get(lines, i)).alias("heading_text")
+            ),
+        )
+        hits = F.slice(F.filter(marked, lambda m: m["code"].isNotNull()), 1, 1)
+        return F.when(~is_toc(lines), hits)
+
+    # One generator instead of filters: a filter on the result would evaluate the whole chain again.
+    candidates = pages.filter(may_have_section(F.col("text")))
+    return candidates.select("doc_id", "page", F.inline(bind(lines_of(F.col("text")), found)))
 
 
-def section_spans(headings: DataFrame, doc_pages: DataFrame) -> DataFrame:
+def section_spans(headings: DataFrame, doc_pages: DataFrame, stage: Stage | None = None) -> DataFrame:
     """Page span per (document, section). A heading of another code ends the span; the same code extends it.
 
-    ``doc_pages(doc_id, total_pages)``. Neighbouring headings are looked up in chunks of pages."""
+    ``doc_pages(doc_id, total_pages)``. Neighbouring headings are looked up in chunks of pages, which reads the
+    headings several times; pass ``stage=cut_lineage`` so the document text behind them is read once."""
     key = ["doc_id"]
+    headings = stage(headings) if stage else headings
     seen = previous(headings.select("doc_id", "page", "code"), key, "page", F.col("code"), "before")
     starts = seen.filter(F.col("before").isNull() | (F.col("before") != F.col("code"))).drop("before")
     starts = starts.withColumn("back", -F.col("page"))

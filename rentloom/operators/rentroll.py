@@ -6,6 +6,8 @@ down in chunks of rows, so one very long roll does not end up in a single task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -348,9 +350,14 @@ def unit_consistency(rows: DataFrame) -> DataFrame:
     )
 
 
-def normalize_rent_roll(cells: DataFrame, layout: str = "standard") -> DataFrame:
-    """Cells to deduplicated units: header, section, continuation, words, one row per unit."""
-    rows = section_state(records(cells, header_row(cells)))
+def normalize_rent_roll(
+    cells: DataFrame, layout: str = "standard", stage: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """Cells to deduplicated units: header, section, continuation, words, one row per unit.
+
+    Carrying values down reads the sheet rows twice; ``stage=cut_lineage`` keeps the cells from being read twice."""
+    rows = records(cells, header_row(cells))
+    rows = section_state(stage(rows) if stage else rows)
     return unit_dedupe(unit_rows(current_rows(rows), layout))
 
 
