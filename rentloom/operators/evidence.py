@@ -113,7 +113,7 @@ def score_cases(cases: DataFrame, observations: DataFrame) -> DataFrame:
         F.count("*").alias("observations"),
         F.max("observed").alias("observed"),
         F.bool_and("complete").alias("complete"),
-        F.flatten(F.collect_list("critical_violations")).alias("violations"),
+        F.max("critical_violations").alias("violations"),
     )
     joined = ours.join(theirs, "id", "full_outer")
     nodes = joined.withColumns({"want": flatten_json("expected"), "have": flatten_json("observed")})
@@ -166,6 +166,9 @@ def scoreboard(metrics: DataFrame) -> DataFrame:
     """Per subject: map of certified values, array of gaps, and certified_partial or uncertified_empty.
 
     ``metrics(subject, metric_id, value, error_code)`` holds one row per subject and metric of the catalogue."""
+    metrics = metrics.groupBy("subject", "metric_id").agg(
+        F.max("value").alias("value"), F.max("error_code").alias("error_code")
+    )
     value = F.when(F.col("error_code").isNull(), F.struct("metric_id", "value"))
     gap = F.when(F.col("error_code").isNotNull(), F.struct("metric_id", "error_code"))
     out = metrics.groupBy("subject").agg(

@@ -37,26 +37,25 @@ def resolve_property(requests: DataFrame, properties: DataFrame) -> DataFrame:
 
     None gives NOT_FOUND, several AMBIGUOUS_PROPERTY. Names are reduced to one row per spelling before the join."""
     ids = properties.select(F.col("id").alias("asset_id"), F.col("id").alias("by_id")).distinct()
-    spellings = F.array_distinct(
-        F.array(F.lower("name"), F.lower(F.regexp_replace("name", " ", "_")))
-    )
+    spellings = F.array_distinct(F.array(F.lower("name"), F.lower(F.regexp_replace("name", " ", "_"))))
     names = (
         properties.select("id", F.explode(spellings).alias("spelling"))
         .groupBy("spelling")
-        .agg(F.collect_set("id").alias("ids"))
+        .agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
     )
     asked = requests.withColumn(
         "spelling", F.explode(F.array_distinct(F.array(F.lower("asset_id"), normalize_asset(F.col("asset_id")))))
     )
+    # The least and greatest id of a name tell one match from several; the ids are never gathered.
     found = (
         asked.join(names, "spelling", "left")
         .groupBy(*requests.columns)
-        .agg(F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids"))
+        .agg(F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
         .join(ids, "asset_id", "left")
     )
-    exact = F.col("by_id").isNotNull()
-    code = F.when(~exact, F.when(F.size("ids") > 1, "AMBIGUOUS_PROPERTY").when(F.size("ids") == 0, "NOT_FOUND"))
-    key = F.when(exact, F.col("by_id")).when(F.size("ids") == 1, F.get("ids", F.lit(0)))
+    exact, several = F.col("by_id").isNotNull(), F.col("first_id") != F.col("last_id")
+    code = F.when(~exact, F.when(F.col("first_id").isNull(), "NOT_FOUND").when(several, "AMBIGUOUS_PROPERTY"))
+    key = F.coalesce("by_id", F.when(~several, F.col("first_id")))
     return found.select(*requests.columns, key.alias("property_id"), code.alias("error_code"))
 
 

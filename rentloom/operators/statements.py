@@ -114,7 +114,7 @@ def statement_rows(cells: DataFrame, statements: DataFrame, columns: DataFrame,
     tagged = body.join(months, ["source_id", "column"], "left")
     rows = tagged.groupBy("source_id", "row").agg(
         F.max(F.when(F.col("column") == F.col("label_column"), F.col("text"))).alias("raw_label"),
-        F.map_from_entries(
+        F.sort_array(
             F.collect_list(
                 F.when(F.col("month").isNotNull() & F.col("text").isNotNull(), F.struct("month", "text"))
             )
@@ -124,13 +124,13 @@ def statement_rows(cells: DataFrame, statements: DataFrame, columns: DataFrame,
     rows = rows.join(per_source, "source_id").withColumn("source_label", label)
     mapped = mapping.select("source_label", "canonical_account", "mapping_ref")
     rows = rows.join(mapped, "source_label", "left")
-    kind = row_kind(F.col("source_label"), F.size(F.map_keys("texts")) > 0, F.col("canonical_account").isNotNull())
+    kind = row_kind(F.col("source_label"), F.size("texts") > 0, F.col("canonical_account").isNotNull())
+    # A month that heads two columns refuses its source in ``month_coverage``; here its first cell is shown.
+    cell = lambda m: F.get(F.filter("texts", lambda t: t["month"] == m), F.lit(0))["text"]
     amounts = F.transform(
-        "months",
-        lambda m: F.struct(
-            m.alias("month"),
-            F.try_element_at(F.col("texts"), m).alias("source_text"),
-            parse_money(F.try_element_at(F.col("texts"), m)).alias("money"),
+        F.transform("months", lambda m: F.struct(m.alias("month"), cell(m).alias("text"))),
+        lambda c: F.struct(
+            c["month"].alias("month"), c["text"].alias("source_text"), parse_money(c["text"]).alias("money")
         ),
     )
     out = rows.withColumn("row_kind", kind)

@@ -53,8 +53,8 @@ def classify_batch(batch: DataFrame, accepted: DataFrame | None) -> DataFrame:
 
 def assign_version(new: DataFrame, accepted: DataFrame | None) -> DataFrame:
     """Next version numbers per aggregate for new facts, after the highest version accepted so far."""
-    day = F.col("recorded_at").cast("date")
-    rows = numbered(new, AGGREGATE, day, [F.col("recorded_at"), F.col("event_id")], "step")
+    minute = F.date_trunc("minute", "recorded_at")
+    rows = numbered(new, AGGREGATE, minute, [F.col("recorded_at"), F.col("event_id")], "step")
     if accepted is None:
         return rows.withColumn("version", F.col("step")).drop("step")
     top = accepted.groupBy(*AGGREGATE).agg(F.max("version").alias("top"))
