@@ -169,6 +169,16 @@ def page_budget_w16(spark, d):
 BUDGET, LONG = 3000, 400
 
 
+FOLD = f"""with recursive j as (select doc_id, line_no, case when length(line) > {LONG} then 'LINE_BUDGET_EXCEEDED' else reason end as reason,
+                     case when length(line) <= {LONG} and not is_local then length(l4) end as sz from v_o_red),
+        fold as (
+          select doc_id, 0::bigint as n, 0::bigint as used, false as kept from (select distinct doc_id from v_lines) s
+          union all
+          select f.doc_id, f.n + 1, case when j.sz is not null and f.used + j.sz <= {BUDGET} then f.used + j.sz else f.used end,
+                 j.sz is not null and f.used + j.sz <= {BUDGET}
+          from fold f join j on j.doc_id = f.doc_id and j.line_no = f.n + 1)"""
+
+
 def packet(spark, d):
     docs = load(spark, d, "documents").select("doc_id", "text")
     return documents.packet_lines(docs, BUDGET, LONG)
@@ -176,14 +186,7 @@ def packet(spark, d):
 
 @entry(
     "packet_accounting_a31",
-    f"""with recursive j as (select doc_id, line_no, case when length(line) > {LONG} then 'LINE_BUDGET_EXCEEDED' else reason end as reason,
-                     case when length(line) <= {LONG} and not is_local then length(l4) end as sz from v_o_red),
-        fold as (
-          select doc_id, 0::bigint as n, 0::bigint as used, false as kept from (select distinct doc_id from v_lines) s
-          union all
-          select f.doc_id, f.n + 1, case when j.sz is not null and f.used + j.sz <= {BUDGET} then f.used + j.sz else f.used end,
-                 j.sz is not null and f.used + j.sz <= {BUDGET}
-          from fold f join j on j.doc_id = f.doc_id and j.line_no = f.n + 1)
+    f"""{FOLD}
         select j.doc_id, count(*) filter (where kept) as kept_lines, count(*) filter (where kept and reason is not null) as redacted_lines,
                count(*) filter (where not kept) as local_only_lines, sum(sz) filter (where kept)::bigint as kept_chars,
                count(*) filter (where sz is not null and not kept) as packet_budget_exceeded,
@@ -199,11 +202,20 @@ def packet_accounting_a31(spark, d):
 
 @entry(
     "packet_budget_w17",
-    """select doc_id, count(*) as lines from v_lines group by 1""",
+    f"""{FOLD}
+        select j.doc_id, count(*) as lines, count(*) filter (where kept) as kept, sum(case when kept then j.line_no else 0 end)::bigint as kept_positions, max(used)::bigint as used
+        from j join fold f on f.doc_id = j.doc_id and f.n = j.line_no group by 1""",
 )
 def packet_budget_w17(spark, d):
-    """Every line of every document keeps exactly one fate."""
-    return packet(spark, d).groupBy("doc_id").agg(F.count("state").alias("lines"))
+    """Greedy packing: a line that does not fit is left out whole and a later, shorter one may still go in."""
+    out = packet(spark, d)
+    kept = F.col("state") != "local_only"
+    return out.groupBy("doc_id").agg(
+        F.count("*").alias("lines"),
+        F.count_if(kept).alias("kept"),
+        F.sum(F.when(kept, F.col("line_no")).otherwise(0)).alias("kept_positions"),
+        F.coalesce(F.sum(F.when(kept, F.length("text"))), F.lit(0)).alias("used"),
+    )
 
 
 @entry(

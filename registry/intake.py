@@ -597,3 +597,38 @@ def t12_issues_a21(spark, d):
 )
 def t12_status_a21(spark, d):
     return statements.t12_status(*issues(spark, d)).select("source_id", "issues", "status")
+
+
+@entry(
+    "column_overrides_x4",
+    """select source_id, col, case when col = 15 then 'descriptor' else role end as role, cast(null as varchar) as error_code from v_o_stmt_cols""",
+)
+def column_overrides_x4(spark, d):
+    """The caller marks the stray month of p007 as excluded and the unknown column as a descriptor."""
+    c, s = stmt(spark, d)
+    marks = s.select(
+        "source_id",
+        F.inline(
+            F.filter(
+                F.array(
+                    F.struct(F.lit(15).alias("column"), F.lit("descriptor").alias("role")),
+                    F.struct(F.when(F.col("source_id") == "p007", 2).alias("column"), F.lit("excluded").alias("role")),
+                ),
+                lambda x: x["column"].isNotNull(),
+            )
+        ),
+    )
+    out = statements.column_roles(c, s, marks)
+    return out.select("source_id", F.col("column").alias("col"), "role", "error_code")
+
+
+@entry(
+    "is_nonzero_f17",
+    """select source_id, count(*) filter (where nonzero > 0) as material_rows from v_o_stmt_rows where row_kind = 'line_item' group by 1""",
+)
+def is_nonzero_f17(spark, d):
+    from rentloom.functions.money import is_nonzero
+
+    cells = statements.t12_cells(stmt_rows(spark, d)[0]).filter("row_kind = 'line_item'")
+    rows = cells.groupBy("source_id", "row").agg(F.bool_or(is_nonzero(F.col("amount"))).alias("material"))
+    return rows.groupBy("source_id").agg(F.count_if("material").alias("material_rows"))

@@ -331,3 +331,19 @@ def freeze_report_t5(spark, d):
     issued = ledger.freeze_report(batch)
     touched = F.when(F.col("report_id").cast("bigint") % 8 == 1, F.concat("content_json", F.lit(" "))).otherwise(F.col("content_json"))
     return ledger.read_report(issued.withColumn("content_json", touched)).select("report_id", "aggregate_id", "error_code")
+
+
+@entry(
+    "grants_and_clock_x3",
+    """select aggregate_id, count(*) as n, max(recorded_at) <= timestamp '2024-01-20' as within_clock from v_assertions
+       where recorded_at <= timestamp '2024-01-20' and cast(aggregate_id as bigint) % 4 <> 1 group by 1""",
+)
+def grants_and_clock_x3(spark, d):
+    """Who may read comes from the host's current grants, and what is known from the instant the host supplies."""
+    a = assertions(spark, d)
+    n = F.col("aggregate_id").cast("bigint")
+    grants = a.select("workspace_id", "aggregate_id").distinct()
+    grants = grants.withColumns({"actor_id": F.lit("ann"), "capability": F.when(n % 4 == 1, "write").otherwise("read")})
+    clock = F.lit(datetime(2024, 1, 20))
+    seen = ledger.authorized(a.filter(F.col("recorded_at") <= clock), grants, "ann").groupBy("aggregate_id")
+    return seen.agg(F.count("*").alias("n"), (F.max("recorded_at") <= clock).alias("within_clock"))

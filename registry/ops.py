@@ -625,3 +625,59 @@ def month_end_as_of(spark, d):
     req = s.select("property_id", F.date_format("as_of_date", "yyyy-MM").alias("period")).distinct()
     out = occupancy.as_of_snapshot(req.withColumn("bound", month_end(F.col("period"))), s)
     return out.select("property_id", "period", F.col("current.as_of_date").cast("string").alias("as_of"))
+
+
+# ---------------------------------------------------------------- report shapes
+
+
+@entry(
+    "rank_variances_o3",
+    f"""select property_id, period, rank, account_code, {m('variance', 'variance')} from (
+        select *, row_number() over (partition by property_id, period order by abs(variance) desc, account_code) as rank from v_o_variance) x where rank <= 3""",
+)
+def rank_variances_o3(spark, d):
+    v = ops.material_variances(ops.account_variance(rollup(spark, d)), "0")
+    return texts(v.filter("rank <= 3").select("property_id", "period", "rank", "account_code", "variance"), "variance")
+
+
+@entry(
+    "cap_facts_o6",
+    f"""select property_id, period, least(count(*), 2) as facts from (
+        select property_id, period from v_o_occ where as_of_date is not null
+        union all select property_id, period from v_o_occ where age_days > 45
+        union all select property_id, period from v_o_occ where p_as_of is not null
+        union all select property_id, period from v_o_occ where as_of_date is not null and unit_count > 0 and unit_count <> denominator
+        union all select property_id, period from v_o_rollup group by 1, 2 having sum(duplicate_groups) > 0
+        union all select property_id, period from v_o_variance where abs(variance) >= {THRESHOLD}) x group by 1, 2""",
+)
+def cap_facts_o6(spark, d):
+    facts = plan.measured_facts(full_review(spark, d), limit=2)
+    return facts.groupBy("property_id", "period").agg(F.count("*").alias("facts"))
+
+
+@entry(
+    "explain_variance_c4",
+    f"""select v.property_id, v.period, v.account_code, v.category, {m('v.actual', 'actual')}, {m('v.budget', 'budget')}, {m('v.variance', 'variance')},
+        row_number() over (partition by v.property_id, v.period order by abs(variance) desc, account_code) as rank, abs(variance) >= {THRESHOLD} as is_material,
+        {m('b.actual_noi - b.budget_noi', 'noi_variance')} from v_o_variance v join v_o_bridge b on b.property_id = v.property_id and b.period = v.period""",
+)
+def explain_variance_c4(spark, d):
+    from rentloom.plans.catalogue import explain_variance
+
+    out = texts(explain_variance(full_review(spark, d)), "actual", "budget", "variance", "noi_variance")
+    return out.drop("account_name", "actual_noi", "budget_noi")
+
+
+@entry(
+    "list_exceptions_c5",
+    """select property_id, period, code, severity, count(*) as n from (
+        select property_id, period, 'MISSING_BUDGET' as code, 'blocker' as severity from v_o_rollup where actual_rows > 0 and budget_rows = 0 group by 1, 2
+        union all select property_id, period, 'UNREVIEWED_ACCOUNT_MAPPING', 'material' from v_o_reasons where error_code = 'UNREVIEWED_ACCOUNT_MAPPING'
+        union all select property_id, period, 'FEED_STALE', 'flag' from v_o_occ where age_days > 45) x group by 1, 2, 3, 4""",
+)
+def list_exceptions_c5(spark, d):
+    from rentloom.plans.catalogue import list_exceptions
+
+    codes = ["MISSING_BUDGET", "UNREVIEWED_ACCOUNT_MAPPING", "FEED_STALE"]
+    x = list_exceptions(full_review(spark, d), codes=codes)
+    return x.groupBy("property_id", "period", "code", "severity").agg(F.count("*").alias("n"))
