@@ -15,18 +15,41 @@ from rentloom.functions.period import month_idx, overlap_months
 from rentloom.functions.refusal import all_failures, any_of
 
 WIDE = "decimal(32,6)"
+MONEY = "decimal(18,2)"
 LINE = "struct<code:string,kind:string,evidence:string,monthly:array<decimal(18,2)>,credit_rate:decimal(9,6),paired_expense:decimal(18,2),paired_expense_evidence:string>"
 
 
-def _sum(array: Column, value=lambda x: x) -> Column:
-    zero = F.lit("0").cast(WIDE)
-    return F.aggregate(array, zero, lambda acc, x: (acc + F.coalesce(value(x).cast(WIDE), zero)).cast(WIDE))
+def _sum(array: Column) -> Column:
+    """Sum of money; NULL as soon as one amount is missing or the sum leaves 16 digits. Small decimals add as longs."""
+    return F.aggregate(array, F.lit("0").cast(MONEY), lambda acc, x: (acc + x).try_cast(MONEY))
+
+
+def _total(lines: Column, value) -> Column:
+    """Sum of an expression over summed lines."""
+    return F.aggregate(lines, F.lit("0").cast(WIDE), lambda acc, x: (acc + value(x)).cast(WIDE))
 
 
 def _last(array: Column, n: int, times: int) -> Column:
     return (_sum(F.slice(array, -n, n)) * times).cast(WIDE)
 
 
+def _summed(lines: Column) -> Column:
+    """Each other-income line with its annual sum in place of its months, so the months are added once."""
+    return F.transform(
+        lines,
+        lambda x: F.struct(
+            x["code"].alias("code"),
+            x["kind"].alias("kind"),
+            x["evidence"].alias("evidence"),
+            F.size(x["monthly"]).alias("months"),
+            _sum(x["monthly"]).alias("annual"),
+            x["credit_rate"].alias("credit"),
+            x["paired_expense"].alias("cost"),
+            x["paired_expense_evidence"].alias("cost_evidence"),
+        ),
+    )
+
+
 def annualize_trailing(months: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Long-form months(keys, month_no, amount): sum of the last n months × 12/n at every month."""
     w = Window.partitionBy(*keys).orderBy("month_no").rowsBetween(-(n - 1), 0)
@@ -68,36 +91,34 @@ def other_income_lines(cases: DataFrame) -> DataFrame:
 
 
 def _line_is_bad(line: Column) -> Column:
-    annual = _sum(line["monthly"])
-    credit, cost = line["credit_rate"], line["paired_expense"]
+    annual, credit, cost = line["annual"], line["credit"], line["cost"]
     return any_of(
         ~line["evidence"].eqNullSafe("booked_gl"),
-        F.size(line["monthly"]) != 12,
+        line["months"] != 12,
+        annual.isNull(),
         credit.isNull() | (credit < 0) | (credit > 1),
         (line["kind"] == "bad_debt") & (annual >= 0),
         (annual < 0) & (credit != 1),
-        cost < 0,
-        (cost != 0) & ~line["paired_expense_evidence"].eqNullSafe("included_in_t12_opex"),
+        cost.isNull() | (cost < 0),
+        (cost != 0) & ~line["cost_evidence"].eqNullSafe("included_in_t12_opex"),
     )
 
 
 def tie_out(cases: DataFrame) -> DataFrame:
     """Add sums and ``issues``: every reported total must equal its months, counts must add to the units."""
     c = F.col
-    lines = c("other_income")
+    lines = c("lines")
     with_sums = cases.withColumns(
         {
+            "lines": _summed(c("other_income")),
             "rent": _sum(c("net_rent_monthly")),
             "tax_sum": _sum(c("tax_monthly")),
-            "other": F.aggregate(
-                lines, F.lit("0").cast(WIDE), lambda acc, x: (acc + _sum(x["monthly"])).cast(WIDE)
-            ),
-            "other_credited": F.aggregate(
-                lines,
-                F.lit("0").cast(WIDE),
-                lambda acc, x: (acc + (_sum(x["monthly"]) * x["credit_rate"]).cast(WIDE)).cast(WIDE),
-            ),
-            "paired": _sum(lines, lambda x: x["paired_expense"]),
+        }
+    ).withColumns(
+        {
+            "other": _total(lines, lambda x: x["annual"]),
+            "other_credited": _total(lines, lambda x: x["annual"] * x["credit"]),
+            "paired": _total(lines, lambda x: x["cost"]),
         }
     )
     codes = F.transform(lines, lambda x: x["code"])
@@ -116,8 +137,8 @@ def tie_out(cases: DataFrame) -> DataFrame:
         ),
         ((c("recent_moveins") < 0) | (c("recent_moveins") > c("occupied")), "RECENT_MOVEINS"),
         ((F.size("net_rent_monthly") != 12) | (F.size("tax_monthly") != 12), "TWELVE_MONTHS_REQUIRED"),
-        (c("rent") != c("reported_net_rent"), "RENT_TIE_OUT"),
-        (c("tax_sum") != c("tax"), "TAX_TIE_OUT"),
+        (c("rent").isNull() | (c("rent") != c("reported_net_rent")), "RENT_TIE_OUT"),
+        (c("tax_sum").isNull() | (c("tax_sum") != c("tax")), "TAX_TIE_OUT"),
         (
             any_of(*[c(n) < 0 for n in negatives]) | (c("operating_expenses") < c("tax") + c("insurance")),
             "OPEX_BELOW_TAX_INSURANCE",
@@ -162,15 +183,13 @@ def income_bridge(cases: DataFrame) -> DataFrame:
     rent_last3 = _last(c("net_rent_monthly"), 3, 4)
     drop = F.greatest(F.lit("0").cast(WIDE), (c("rent") - rent_last3).cast(WIDE))
     reserve = c("reserve_per_unit") * c("units")
-    positive = F.filter("other_income", lambda x: _sum(x["monthly"]) > 0)
+    positive = F.filter("lines", lambda x: x["annual"] > 0)
     figures = {
         "net_rent": c("rent"),
         "last_3_net_rent": rent_last3,
         "other_income": c("other"),
         "credited_other_income": c("other_credited"),
-        "positive_other_income": F.aggregate(
-            positive, F.lit("0").cast(WIDE), lambda acc, x: (acc + _sum(x["monthly"])).cast(WIDE)
-        ),
+        "positive_other_income": _total(positive, lambda x: x["annual"]),
         "paired_expense": c("paired"),
         "concession_topup": topup,
         "t12_noi": c("rent") + c("other") - c("operating_expenses"),
