@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rentloom.llm import bpe, packing
+from rentloom.llm import bpe, packing, quality, toxicity
 from rentloom.llm.common import documents
 
 ENTRIES: dict = {}
@@ -26,3 +26,13 @@ def op2(spark, sf_dir):
 @entry("op10_byte_bpe")
 def op10(spark, sf_dir):
     return bpe.token_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@entry("op8_toxicity_cnn")
+def op8(spark, sf_dir):
+    return toxicity.toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+@entry("op9_subword_quality")
+def op9(spark, sf_dir):
+    return quality.quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
