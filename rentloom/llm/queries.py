@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rentloom.llm import bpe, packing, quality, toxicity
+from rentloom.llm import bpe, minhash, packing, quality, toxicity
 from rentloom.llm.common import documents
 
 ENTRIES: dict = {}
@@ -36,3 +36,8 @@ def op8(spark, sf_dir):
 @entry("op9_subword_quality")
 def op9(spark, sf_dir):
     return quality.quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+@entry("op3_circulant_minhash")
+def op3(spark, sf_dir):
+    return minhash.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
