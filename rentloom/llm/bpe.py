@@ -196,7 +196,7 @@ class Encoder:
     ``most`` words, and very long words are not kept.
     """
 
-    def __init__(self, merge: Callable[[list[bytes]], list[list[int]]], most: int = 1_500_000):
+    def __init__(self, merge: Callable[[list[bytes]], list[list[int]]], most: int = 500_000):
         self.merge = merge
         self.most = most
         self.forget()
@@ -211,7 +211,7 @@ class Encoder:
 
     def _grow(self, n: int) -> None:
         if len(self.powers) < n:
-            size = max(n, 1 << 22)
+            size = max(n, 1 << 20)
             for name, base in (("powers", self.base), ("inverse", pow(self.base, -1, 1 << 64))):
                 factors = np.full(size, base & (1 << 64) - 1, np.uint64)
                 factors[0] = 1
@@ -296,7 +296,7 @@ def encode(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "tex
         ranks = load_ranks(ranks_path)
         encoder, decoder = Encoder(Merger(ranks)), Decoder(ranks)
         for batch in batches:
-            for a, b, texts in text_slices(batch, text, 2 << 20):
+            for a, b, texts in text_slices(batch, text):
                 ids, counts = encoder.encode(texts)
                 offsets = decoder.offsets(ids)
                 ends = np.cumsum(counts)

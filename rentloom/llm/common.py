@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 WORD = "[^\x20\x09-\x0d]+"
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -8,6 +8,7 @@ the window, however large the corpus; pieces find their place by rank within the
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,13 +24,22 @@ from rentloom.llm.common import Stages, bounded_batches, own_columns, text_slice
 WINDOW = 1024
 
 
-def library_words(path: str):
-    """words → ids by the tokenizers library; special strings in a text are ordinary text."""
+def library_words(path: str, at_once: int = 1000):
+    """words → ids by the tokenizers library, a few at a time; special strings in a text are ordinary text."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism; threads would only hold memory
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return lambda words: [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def of(words: list[bytes]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for at in range(0, len(words), at_once):
+            some = [w.decode() for w in words[at : at + at_once]]
+            out += [e.ids for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        return out
+
+    return of
 
 
 def cut(df: DataFrame, tokenizer_path: str, window: int = WINDOW, key: str = "doc_id", text: str = "text", last_id: int = 0) -> DataFrame:
@@ -46,7 +56,7 @@ def cut(df: DataFrame, tokenizer_path: str, window: int = WINDOW, key: str = "do
         seen: Counter = Counter()
         part = TaskContext.get().partitionId()
         for batch in batches:
-            for a, b, texts in text_slices(batch, text, 2 << 20):
+            for a, b, texts in text_slices(batch, text, 1 << 19):
                 ids, counts = encoder.encode(texts)
                 at, rows, packed = 0, [], []
                 for row, n in enumerate(counts.tolist()):
