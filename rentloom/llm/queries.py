@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from rentloom.llm import bpe, minhash, packing, quality, toxicity
+from rentloom.llm import bpe, chunks, minhash, packing, quality, suffixes, toxicity
 from rentloom.llm.common import documents
 
 ENTRIES: dict = {}
@@ -41,3 +42,20 @@ def op9(spark, sf_dir):
 @entry("op3_circulant_minhash")
 def op3(spark, sf_dir):
     return minhash.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
+
+
+@entry("op4_gear_chunks")
+def op4(spark, sf_dir):
+    return chunks.remove_repeats(documents(spark, sf_dir), "spans").select("doc_id", "text", "spans")
+
+
+@entry("op5_deep_shallow_suffixes")
+def op5(spark, sf_dir):
+    removed = suffixes.remove_repeats(documents(spark, sf_dir))
+    return removed.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
