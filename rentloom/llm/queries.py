@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rentloom.llm import bpe, chunks, minhash, packing, quality, suffixes, toxicity
+from rentloom.llm import bpe, chunks, kdtree, kmeans_tree, minhash, packing, quality, suffixes, toxicity
 from rentloom.llm.common import documents
 
 ENTRIES: dict = {}
@@ -59,3 +59,31 @@ def op5(spark, sf_dir):
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@entry("op6_kmeans_tree")
+def op6(spark, sf_dir):
+    return kmeans_tree.search(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@entry(
+    "op7_kd_trees",
+    """
+    with whole as (
+        select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as v
+        from embeddings
+        where vec_id is not null and embedding is not null and len(embedding) > 0
+          and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+    ),
+    scored as (
+        select q.vec_id as query_id, c.vec_id,
+               cast(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) as bigint) as score
+        from whole q join whole c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+    )
+    select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+    from scored
+    qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5
+    """,
+)
+def op7(spark, sf_dir):
+    return kdtree.top_k(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
