@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from rentloom.llm.common import bounded_batches, own_columns, text_slices
+from rentloom.llm.common import bounded_batches, fresh, own_columns, text_slices
 
 GEAR_BYTES = 16  # bytes that a boundary looks at
 MEAN, LEAST, MOST = 40, 16, 96
@@ -137,15 +137,14 @@ def remove_repeats(docs: DataFrame, spans_column: str | None = None) -> DataFram
     places. An empty table stays empty.
     """
     bounded_batches(docs.sparkSession)
-    joined = docs.join(repeated_places(docs).select(F.col("doc_id").alias("_id"), F.col("places").alias("_places")), F.col("doc_id") == F.col("_id"), "left")
-    joined = joined.drop("_id")
-    names = docs.columns
+    names, again = docs.columns, fresh(docs, "places")
+    joined = docs.join(repeated_places(own_columns(docs, "doc_id", "text")).withColumnRenamed("places", again), "doc_id", "left").select(*names, again)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
         for batch in batches:
             texts, found = [], []
-            for text, places in zip(batch.column("text").to_pylist(), batch.column("_places").to_pylist()):
+            for text, places in zip(batch.column("text").to_pylist(), batch.column(again).to_pylist()):
                 raw = (text or "").encode()
                 own = spans(raw, places or [])
                 texts.append(without_spans(raw, own).decode() if own else text)

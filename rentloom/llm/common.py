@@ -126,3 +126,10 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 def own_columns(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra ones with clashing names cannot meet an operator's own."""
     return df.select(*[F.col(c) for c in columns])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name

@@ -175,6 +175,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     """
     spark = docs.sparkSession
     stages = Stages(spark, "minhash")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     table = stages.write(sketches(docs, words), "sketches")
     linked = table.filter("digest is not null and doc_id is not null")
     classes = stages.write(linked.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
@@ -237,5 +238,5 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
     Rows with a null id stay. Rows are picked by id, so copies of the kept row itself stay too.
     """
-    gone = near_duplicates(docs, words, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, words, percent).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

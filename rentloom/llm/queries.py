@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rentloom.llm import bpe, chunks, kdtree, kmeans_tree, minhash, packing, quality, suffixes, toxicity
+from rentloom.llm import bpe, chunks, kdtree, kmeans_tree, minhash, packing, pages, quality, suffixes, toxicity
 from rentloom.llm.common import documents
 
 ENTRIES: dict = {}
@@ -87,3 +88,11 @@ def op6(spark, sf_dir):
 )
 def op7(spark, sf_dir):
     return kdtree.top_k(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+@entry("op1_page_differencing")
+def op1(spark, sf_dir):
+    return pages.extract(documents(spark, sf_dir, "pages"))
+
+
+ENTRIES["pipeline"] = (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
