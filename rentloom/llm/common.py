@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
+from zipfile import ZipFile
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,21 @@ ARROW_BATCH_BYTES = 8 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that go to Python by bytes, so that very long texts cannot fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+    ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors once per application; they need no installed copy."""
+    context = spark.sparkContext
+    if getattr(context, "_llm_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="llm-code-")) / "llm_code.zip"
+    with ZipFile(target, "w") as out:
+        for file in sorted(top.rglob("*.py")):
+            out.write(file, file.relative_to(top.parent))
+    context.addPyFile(str(target))
+    context._llm_shipped = True
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -6,8 +6,9 @@ their full sets of shingles.
 
 Candidates never become all pairs of a group. Equal sets are one node from the start. In rounds, every node meets only
 the leader of each of its buckets, after a look at their signatures, and buckets whose nodes are already connected
-are dropped. When leaders bring no more links, only pairs of still unconnected nodes that share two bands are left,
-and all of them are confirmed or refused.
+are dropped. For the nodes that are then left in mixed buckets, shingles that no other of them has are counted: two sets
+share at most what is left of the smaller one, and a copy with many edits of its own can be linked with nothing. Only
+pairs that this bound allows, that are not connected yet and share two bands, are confirmed or refused, all of them.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from xxhash import xxh3_128_digest
 from rentloom.llm.common import HashCache, Stages, bounded_batches, mix32, mix64, own_columns, text_slices
 from rentloom.llm.components import components
 
-BANDS, ROWS = 48, 5  # a pair at 0.8 shares no band with a chance of 5e-9
+BANDS, ROWS = 48, 6  # a pair at 0.8 shares no band with a chance of 5e-7
 COORDINATES = BANDS * ROWS
 LEAST_AGREEMENT = 0.65  # signatures of a pair at 0.8 agree less with a chance below 1e-8
-LEADER_ROUNDS = 4
+LEADER_ROUNDS = 2
 PIECE = 1 << 18
 
 
@@ -155,7 +156,23 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(sets, pa.binary())], ["id", "set"])
 
     wanted = own_columns(docs, "doc_id", "text").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "id bigint, set binary").dropDuplicates(["id"])
+    return wanted.mapInArrow(run, "id bigint, set binary")
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """(id, own): how many shingles of each set are in no other of these sets; ids without any are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                each = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("set")]
+                row = np.repeat(np.arange(len(each)), [len(x) for x in each])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), pa.array(np.concatenate(each))], ["id", "shingle"])
+
+    rows = sets.mapInArrow(run, "id bigint, shingle bigint")
+    single = rows.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last")
+    return single.groupBy("id").agg(F.count("*").alias("own"))
 
 
 def _with(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
@@ -197,42 +214,61 @@ def _stars(docs: DataFrame, buckets: DataFrame, marks: DataFrame, words: int, pe
     spark = docs.sparkSession
     stars = spark.createDataFrame([], "a bigint, b bigint")
     tried = spark.createDataFrame([], "a bigint, b bigint")
-    like = F.col("n") * 100 >= F.col("other_n") * percent
-    like &= F.col("other_n") * 100 >= F.col("n") * percent  # sets of such different sizes cannot reach the threshold
+    sets = spark.createDataFrame([], "id bigint, set binary")
+
+    def with_sets(ids: DataFrame) -> DataFrame:
+        """All sets computed so far and those of ``ids``; none is computed twice."""
+        new = ids.join(sets.select("id"), "id", "left_anti")
+        return sets.unionByName(stages.write(full_sets(docs, new, words), "sets"))
+
     for turn in range(LEADER_ROUNDS + 1):
         last = turn == LEADER_ROUNDS
         named = buckets.join(stars.select(F.col("a").alias("id"), F.col("b").alias("_b")), "id", "left")
         named = named.select("key", "id", "n", F.coalesce("_b", "id").alias("comp"))
-        rank = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "comp")
-        mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(rank).alias("lead"))
+        mixed = named.groupBy("key").agg(
+            F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "comp")).alias("lead")
+        )
         mixed = mixed.filter("low < high").drop("low", "high")
         open_rows = stages.write(named.join(mixed, "key"), "open")
         if last:
-            other = open_rows.select("key", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp"))
-            pairs = open_rows.join(other, "key").filter(F.col("id") < F.col("other")).filter((F.col("comp") != F.col("other_comp")) & like)
-            pairs = pairs.groupBy("id", "other").count().filter("count > 1")
+            ids = open_rows.select("id").distinct()
+            sets = with_sets(ids)
+            pairs = _possible(open_rows, own_shingles(sets.join(ids, "id", "left_semi")), percent)
         else:
             led = open_rows.select("id", "n", "comp", *(F.col(f"lead.{c}").alias(o) for c, o in (("id", "other"), ("n", "other_n"), ("comp", "other_comp"))))
+            like = (F.col("n") * 100 >= F.col("other_n") * percent) & (F.col("other_n") * 100 >= F.col("n") * percent)
             pairs = led.filter((F.col("comp") != F.col("other_comp")) & like)
         ends = (F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"))
         pairs = pairs.select(*ends).distinct().join(tried, ["a", "b"], "left_anti")
-        near = _agreeing(_with(pairs, marks, "marks")).dropDuplicates(["a", "b"])
+        near = _agreeing(_with(pairs, marks, "marks"))
         if not last:  # the likeliest partner first; the others come again while the two are not connected
             near = near.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
         near = stages.write(near.select("a", "b"), "near")
         stages.drop(open_rows)
         if near.isEmpty():
             continue
-        ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = stages.write(full_sets(docs, ids, words), "sets")
+        sets = with_sets(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         links = stages.write(_confirmed(_with(near, sets, "set"), percent), "confirmed")
-        stages.drop(sets)
         tried = tried.unionByName(near)
         if not links.isEmpty():
             stars = components(stars.unionByName(links), stages)
     return stars
 
 
+def _possible(rows: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Pairs (id, other) of different components that share two bands and whose sets can reach the threshold.
+
+    A set shares at most its n - own shingles, so the smaller of these bounds the overlap of a pair. A set that cannot
+    even be linked with a subset of itself is dropped before buckets are joined.
+    """
+    rest = rows.select("key", "id", "n", "comp").join(own, "id", "left").withColumn("rest", F.col("n") - F.coalesce("own", F.lit(0)))
+    rest = rest.filter(F.col("rest") * 100 >= F.col("n") * percent).drop("own")
+    other = rest.select("key", *(F.col(c).alias(f"other_{c}") for c in ("id", "n", "comp", "rest")))
+    enough = F.least("rest", "other_rest") * (100 + percent) >= (F.col("n") + F.col("other_n")) * percent
+    pairs = rest.join(other, "key").filter((F.col("id") < F.col("other_id")) & (F.col("comp") != F.col("other_comp")) & enough)
+    return pairs.groupBy("id", F.col("other_id").alias("other")).count().filter("count > 1")
+
+
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents, with all their columns, without those that a smaller id of their component stands for.
 
