@@ -190,16 +190,19 @@ def occupancy_check_f18(spark, d):
 
 @entry(
     "parse_millage_f19",
-    f"""select s as style, count(*) as n, case when s <> 0 then 'MISSING_MILLAGE' end as code, {m('sum(case when s = 0 then v end)', 'total')}
-        from (select c_custkey % 4 as s, cast(c_acctbal as decimal(18,2)) as v from customer where c_acctbal > 0) x group by 1""",
+    f"""select s as style, v > 0 as positive, count(*) as n, case when s <> 0 or v <= 0 then 'MISSING_MILLAGE' end as code,
+        {m('sum(case when s = 0 and v > 0 then v end)', 'total')}
+        from (select c_custkey % 4 as s, cast(c_acctbal as decimal(18,2)) as v from customer) x group by 1, 2, 4""",
 )
 def parse_millage_f19(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet").filter("c_acctbal > 0").withColumn("s", F.col("c_custkey") % 4)
-    raw = F.col("c_acctbal").cast("decimal(18,2)").cast("string")
+    c = spark.read.parquet(f"{d}/customer.parquet").withColumn("s", F.col("c_custkey") % 4)
+    value = F.col("c_acctbal").cast("decimal(18,2)")
+    raw = value.cast("string")
     raw = (
-        F.when(F.col("s") == 1, F.concat(F.lit("-"), raw)).when(F.col("s") == 2, " ").when(F.col("s") == 3, "25 mills").otherwise(raw)
+        F.when(F.col("s") == 1, F.concat(F.lit("-"), F.abs(value).cast("string"))).when(F.col("s") == 2, " ").when(F.col("s") == 3, "25 mills").otherwise(raw)
     )
-    out = c.select(F.col("s").alias("style"), metrics.parse_millage(raw).alias("p")).groupBy("style")
+    positive = (value > 0).alias("positive")
+    out = c.select(F.col("s").alias("style"), positive, metrics.parse_millage(raw).alias("p")).groupBy("style", "positive")
     return texts(
         out.agg(F.count("*").alias("n"), F.max("p.error_code").alias("code"), F.sum("p.millage").alias("total")), "total"
     )

@@ -94,7 +94,7 @@ view(
     f"""
     select {pid('s_suppkey')} as id, min(s_name) as name,
            max(case when s_suppkey % 20 = 3 then cast(null as int) when s_suppkey % 20 = 4 then 0 else 100 end) as unit_count
-    from supplier where s_suppkey < 20 group by 1""",
+    from supplier group by 1""",
 )
 view(
     "v_snapshots",

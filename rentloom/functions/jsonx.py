@@ -12,7 +12,8 @@ LEAF = "array<struct<pointer:string,kind:string,value:string>>"
 
 
 def flatten_json(text: Column | str, whole_lists: bool = False) -> Column:
-    """Every node of a JSON value as (pointer, kind, value); NULL for text that is not JSON. With ``whole_lists`` a
+    """Every node of a JSON value as (pointer, kind, value); NULL for text that is not JSON, and one node of kind
+    ``refused`` for a value nested too deep to read. With ``whole_lists`` a
     list is one node holding its own text.
 
     Nesting has no fixed depth, which SQL functions cannot follow, so this runs in Arrow batches. The function is
@@ -43,6 +44,8 @@ def flatten_json(text: Column | str, whole_lists: bool = False) -> Column:
             return [{"pointer": p, "kind": k, "value": v} for p, k, v in walk(json.loads(text), "")]
         except (TypeError, ValueError):
             return None
+        except RecursionError:
+            return [{"pointer": "", "kind": "refused", "value": "JSON_TOO_DEEP"}]
 
     def flatten(texts: pd.Series) -> pd.Series:
         return texts.map(one)

@@ -53,3 +53,14 @@ def previous(df: DataFrame, keys: list[str], row: str, value: Column, name: str,
     ends = ends.withColumn("_carried", F.lag("_end").over(earlier)).drop("_end")
     out = local.join(ends, [*keys, "_chunk"])
     return out.withColumn(name, F.coalesce("_local", "_carried")["v"]).drop("_chunk", "_value", "_local", "_carried")
+
+
+def join_present(left: DataFrame, right: DataFrame, key: str, spread: list[str]) -> DataFrame:
+    """Left join on a key that may be NULL in most rows of ``left``.
+
+    A NULL key matches nothing, but all of them would hash to one partition. Each gets a number made from the columns
+    ``spread`` as a second key, so they are dealt out evenly; rows with a key join as ever.
+    """
+    number = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*spread), F.lit(1 << 20))).otherwise(F.lit(0))
+    marked = right.filter(F.col(key).isNotNull()).withColumn("_spread", F.lit(0).cast("bigint"))
+    return left.withColumn("_spread", number.cast("bigint")).join(marked, [key, "_spread"], "left").drop("_spread")

@@ -11,20 +11,23 @@ from rentloom.functions.money import bind
 
 # Patterns of typed personal data and of text that tries to give orders.
 EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+"
-PHONE = r"(?<![0-9,.])(?:\+?1[\s.-]?)?(?:\([0-9]{3}\)|[0-9]{3})[\s.-]?[0-9]{3}[\s.-]?[0-9]{4}(?![0-9])"
-SSN = r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])"
-_LABEL = r"(?<![\p{L}\p{N}_])(resident|tenant|lessee|occupant|applicant)(\s*)"
-_NAME = r"\s*[A-Z][A-Z']+(?:\s+[A-Z][A-Z']+){0,3}"
+DIGIT = r"\p{Nd}"  # digits of every script: a number in other digits is still a number
+SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
+_SEP = r"[\s\p{Z}\x1c-\x1f\x85.-]?"
+PHONE = rf"(?<![{DIGIT},.])(?:\+?1{_SEP})?(?:\({DIGIT}{{3}}\)|{DIGIT}{{3}}){_SEP}{DIGIT}{{3}}{_SEP}{DIGIT}{{4}}(?!{DIGIT})"
+SSN = rf"(?<!{DIGIT}){DIGIT}{{3}}-{DIGIT}{{2}}-{DIGIT}{{4}}(?!{DIGIT})"
+_LABEL = rf"(?<![\p{{L}}\p{{N}}_])(resident|tenant|lessee|occupant|applicant)({SPACE}*)"
+_NAME = rf"{SPACE}*[A-Z][A-Z']+(?:{SPACE}+[A-Z][A-Z']+){{0,3}}"
 PERSON = f"(?i){_LABEL}[:-]{_NAME}"
 PERSON_COLON = f"(?i){_LABEL}:{_NAME}"
 PERSON_DASH = f"(?i)({_LABEL}-{_NAME})"
 INJECTION = (
-    r"(?i)(?<![\p{L}\p{N}_])(?:(?:ignore|disregard)\s+(?:all\s+|any\s+)?(?:previous|prior|above)\s+instructions"
-    r"|approve\s+the\s+(?:following|deal))(?![\p{L}\p{N}_])"
+    rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:(?:ignore|disregard){SPACE}+(?:all{SPACE}+|any{SPACE}+)?(?:previous|prior|above){SPACE}+instructions"
+    rf"|approve{SPACE}+the{SPACE}+(?:following|deal))(?![\p{{L}}\p{{N}}_])"
 )
 PERSON_WORDS = ["resident", "tenant", "lessee", "occupant", "applicant"]
 METADATA_KEYS = ["title", "subject", "producer", "creator", "pages"]
-DIGITS = r"([0-9]+(?:[.,][0-9]+)*)"
+DIGITS = r"(\p{Nd}+(?:[.,]\p{Nd}+)*)"
 YEAR = r"^(19|20)[0-9]{2}$"
 LINE_BREAK = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"
 
@@ -92,7 +95,7 @@ def redact_line(text: Column) -> Column:
     lowered = F.lower(text)
     person = _mentions(lowered, PERSON_WORDS) & text.rlike(PERSON)
     injected_text = _mentions(lowered, ["instructions", "approve"]) & text.rlike(INJECTION)
-    plain = ~text.rlike(r"[0-9@]") & ~person
+    plain = ~text.rlike(r"[\p{Nd}@]") & ~person
     no_mail = F.regexp_replace(text, EMAIL, "[REDACTED:email]")
     no_phone = F.regexp_replace(no_mail, PHONE, "[REDACTED:phone]")
     no_ssn = F.regexp_replace(no_phone, SSN, "[REDACTED:pii]")
@@ -115,14 +118,31 @@ def redact_line(text: Column) -> Column:
     )
 
 
-def metadata_allowlist(metadata: Column, max_chars: int = 200) -> Column:
-    """Allow-listed document metadata only, redacted; long values and values with loose digits stay local."""
+def _metadata_reason(value: Column, max_chars: int) -> Column:
+    """Why a redacted metadata value has to stay local; NULL if it may leave."""
+    return F.when(F.length(value) > max_chars, "METADATA_TOO_LONG").when(
+        contains_pii(value) | _has_loose_digits(value), "UNSAFE_PII_LOCAL_ONLY"
+    )
+
+
+def _redacted_metadata(metadata: Column) -> Column:
     kept = F.map_filter(metadata, lambda k, v: k.isin(METADATA_KEYS) & v.isNotNull())
-    redacted = F.transform_values(kept, lambda k, v: redact_value(v))
-    return F.map_filter(redacted, lambda k, v: (F.length(v) <= max_chars) & ~_has_loose_digits(v))
+    return F.transform_values(kept, lambda k, v: redact_value(v))
+
 
+def metadata_allowlist(metadata: Column, max_chars: int = 200) -> Column:
+    """Allow-listed document metadata only, redacted; long values and values that may still hold personal data stay local
+    (``metadata_local_only`` says which and why)."""
+    return F.map_filter(_redacted_metadata(metadata), lambda k, v: _metadata_reason(v, max_chars).isNull())
 
-_GAP = r"[\s/,:\-_….]"
+
+def metadata_local_only(metadata: Column, max_chars: int = 200) -> Column:
+    """Key → reason of every allow-listed metadata value that has to stay local."""
+    reasons = F.transform_values(_redacted_metadata(metadata), lambda k, v: _metadata_reason(v, max_chars))
+    return F.map_filter(reasons, lambda k, v: v.isNotNull())
+
+
+_GAP = r"[\s\p{Z}\x1c-\x1f\x85/,:\-_….]"
 
 
 def _heading(aliases: list[str]) -> str:
@@ -131,12 +151,6 @@ def _heading(aliases: list[str]) -> str:
     return f"{_GAP}*(?:{'|'.join(spaced)})(?:{_GAP}|$)"
 
 
-def may_have_section(text: Column) -> Column:
-    """False only if no line of the text can start with a section alias; one pass, before lines are cut."""
-    every = [a for names in SECTIONS.values() for a in names]
-    return text.rlike(f"(?i)(?:^|{LINE_BREAK}){_heading(every)}")
-
-
 def section_code(line: Column) -> Column:
     """Code of the first section, in registry order, whose alias starts the line; else NULL."""
     expr = F.lit(None).cast("string")

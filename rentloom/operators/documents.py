@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,6 @@ from rentloom.functions.text import (
     contains_pii,
     is_toc,
     lines_of,
-    may_have_section,
     redact_line,
     section_code,
 )
@@ -51,8 +51,7 @@ def first_heading(pages: DataFrame) -> DataFrame:
         return F.when(~is_toc(lines), hits)
 
     # One generator instead of filters: a filter on the result would evaluate the whole chain again.
-    candidates = pages.filter(may_have_section(F.col("text")))
-    return candidates.select("doc_id", "page", F.inline(bind(lines_of(F.col("text")), found)))
+    return pages.select("doc_id", "page", F.inline(bind(lines_of(F.col("text")), found)))
 
 
 def section_spans(headings: DataFrame, doc_pages: DataFrame, stage: Stage | None = None) -> DataFrame:
@@ -91,20 +90,24 @@ def page_budget(spans: DataFrame, n: int = PAGE_BUDGET) -> DataFrame:
 def _fits(lines: Column, budget: int) -> Column:
     """Which lines a greedy packer keeps: a line that does not fit is left out whole and uses no budget.
 
-    If everything fits, nothing needs to be folded; only overflowing documents walk their lines in order."""
+    The walk is one pass over a document's lines, in Arrow batches and linear in their number."""
     size = lambda x: F.coalesce(F.length(x), F.lit(0))
     total = F.aggregate(lines, F.lit(0).cast("bigint"), lambda acc, x: acc + size(x))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.expr("cast(array() as array<boolean>)").alias("kept"))
 
-    def step(acc: Column, x: Column) -> Column:
-        ok = x.isNotNull() & (acc["used"] + size(x) <= budget)
-        return F.struct(
-            F.when(ok, acc["used"] + size(x)).otherwise(acc["used"]).alias("used"),
-            F.concat(acc["kept"], F.array(F.coalesce(ok, F.lit(False)))).alias("kept"),
-        )
+    def walk(sizes, present, most):
+        left, out = most, []
+        for n, here in zip(sizes, present):
+            fits = bool(here) and n <= left
+            left -= n if fits else 0
+            out.append(fits)
+        return out
 
-    folded = F.aggregate(lines, start, step)["kept"]
-    return F.when(total <= budget, F.transform(lines, lambda x: x.isNotNull())).otherwise(folded)
+    def greedy(sizes: pd.Series, present: pd.Series) -> pd.Series:
+        return pd.Series([walk(a, b, budget) for a, b in zip(sizes, present)])
+
+    present = F.transform(lines, lambda x: x.isNotNull())
+    folded = F.pandas_udf(greedy, "array<boolean>")(F.transform(lines, size), present)
+    return F.when(total <= budget, present).otherwise(folded)
 
 
 def packet_lines(docs: DataFrame, max_chars: int = MAX_PACKET_CHARS, max_line: int = MAX_LINE_CHARS) -> DataFrame:
@@ -139,7 +142,7 @@ def packet_lines(docs: DataFrame, max_chars: int = MAX_PACKET_CHARS, max_line: i
         "line_no",
         state.alias("state"),
         F.when(over, "PACKET_BUDGET_EXCEEDED").otherwise(F.col("reason")).alias("reason"),
-        F.when(F.col("fit"), F.col("redacted")).alias("text"),
+        F.when(F.col("fit") & ~contains_pii(F.col("redacted")), F.col("redacted")).alias("text"),
         (F.col("fit") & contains_pii(F.col("redacted"))).alias("leak"),
     )
 
@@ -151,7 +154,7 @@ def packet_accounting(lines: DataFrame, approved: Column | None = None) -> DataF
         F.count_if(F.col("state") != "local_only").alias("kept_lines"),
         F.count_if(F.col("state") == "redacted").alias("redacted_lines"),
         F.count_if(F.col("state") == "local_only").alias("local_only_lines"),
-        F.sum(F.when(F.col("state") != "local_only", F.length("text"))).alias("kept_chars"),
+        F.sum(F.when(F.col("state") != "local_only", F.coalesce(F.length("text"), F.lit(0)))).alias("kept_chars"),
         *[F.count_if(F.col("reason") == r).alias(r.lower()) for r in reasons],
         F.coalesce(F.bool_or("leak"), F.lit(False)).alias("leak"),
     )
@@ -173,7 +176,8 @@ def packet_accounting(lines: DataFrame, approved: Column | None = None) -> DataF
 
 
 def search_unstructured(lines: DataFrame, needle: str) -> DataFrame:
-    """Lines that contain the words (case folded), redacted; a line that must stay local never matches."""
-    redacted = redact_line(F.col("line"))["redacted"]
-    hits = lines.filter(F.lower("line").contains(needle.lower()))
-    return hits.withColumn("line", redacted).filter(F.col("line").isNotNull())
+    """Lines whose redacted text contains the words (case folded); a line that must stay local never matches.
+
+    The raw text is never searched, so nobody can test for a number or name that redaction hides."""
+    redacted = lines.withColumn("line", redact_line(F.col("line"))["redacted"])
+    return redacted.filter(F.lower("line").contains(needle.lower()))

@@ -165,9 +165,11 @@ def id_parity(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def scoreboard(metrics: DataFrame) -> DataFrame:
     """Per subject: map of certified values, array of gaps, and certified_partial or uncertified_empty.
 
-    ``metrics(subject, metric_id, value, error_code)`` holds one row per subject and metric of the catalogue."""
+    ``metrics(subject, metric_id, value, error_code)`` holds the rows of each subject and metric of the catalogue.
+    Rows with different values are a CONFLICT gap; no value is picked."""
     metrics = metrics.groupBy("subject", "metric_id").agg(
-        F.max("value").alias("value"), F.max("error_code").alias("error_code")
+        F.max("value").alias("value"),
+        F.coalesce(F.max("error_code"), F.when(F.min("value") != F.max("value"), "CONFLICT")).alias("error_code"),
     )
     value = F.when(F.col("error_code").isNull(), F.struct("metric_id", "value"))
     gap = F.when(F.col("error_code").isNotNull(), F.struct("metric_id", "error_code"))

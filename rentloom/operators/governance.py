@@ -9,7 +9,7 @@ from rentloom.functions.hashing import canonical_json, prefixed_id
 from rentloom.functions.jsonx import flatten_json
 from rentloom.functions.money import PLAIN_DECIMAL, parse_money
 from rentloom.functions.refusal import all_failures, any_of, failed, first_failure
-from rentloom.functions.skew import carry_forward, previous
+from rentloom.functions.skew import carry_forward, join_present, previous
 from rentloom.operators.evidence import worst_state
 
 # Money kinds with their basis, periods, gates, blocker actions, buckets, workflow rules.
@@ -213,7 +213,7 @@ def validate_manifest(entries: DataFrame) -> DataFrame:
         F.struct(*SAME_AS_TARGET).alias("t_same"),
         F.col("selection").alias("t_selection"),
     )
-    joined = entries.join(target, "duplicate_of", "left")
+    joined = join_present(entries, target, "duplicate_of", ["entry_id"])
     portfolio = F.col("entity_kind") == "portfolio"
     reconcile = F.col("requested_stage") == "reconcile"
     duplicate = F.col("selection") == "declared_duplicate"

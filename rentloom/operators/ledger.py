@@ -15,6 +15,7 @@ from rentloom.functions.hashing import canonical_json
 from rentloom.functions.money import opening_amount
 from rentloom.functions.period import PERIOD
 from rentloom.functions.refusal import clean_text, failed, first_failure
+from rentloom.functions.skew import join_present
 
 FACT_KEY = ["workspace_id", "aggregate_id", "key"]
 SOURCE_KEY = ["workspace_id", "aggregate_id", "source_system", "source_record", "source_revision"]
@@ -112,11 +113,9 @@ def check_stream_version(events: DataFrame) -> DataFrame:
             F.count("*").alias("corrections")
         )
     )
-    joined = (
-        events.join(before, [*stream, "version"], "left")
-        .join(target, [*stream, "supersedes_event_id"], "left")
-        .join(repeats, "supersedes_event_id", "left")
-    )
+    # Most events correct nothing: their NULL keys are spread, so they never meet in one task.
+    joined = events.join(before, [*stream, "version"], "left").join(target, [*stream, "supersedes_event_id"], "left")
+    joined = join_present(joined, repeats, "supersedes_event_id", [*stream, "version", "event_id"])
     corrects = F.col("supersedes_event_id").isNotNull()
     bad = F.array_compact(
         F.array(

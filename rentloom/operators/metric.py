@@ -32,13 +32,15 @@ def resolve_metric(requests: DataFrame, glossary: DataFrame) -> DataFrame:
 
     Competing definitions are never averaged: without a context a conflicting metric refuses."""
     metrics = glossary.groupBy("metric_id").agg(
-        F.max("status").alias("certification"),
-        F.count("context").alias("definitions"),
+        F.when(F.min("status") == F.max("status"), F.min("status")).otherwise("CONFLICT").alias("certification"),
+        F.count_distinct("context").alias("definitions"),
         F.min("context").alias("only_context"),
         F.min("owner").alias("only_owner"),
     )
-    by_context = glossary.filter("context is not null").select(
-        "metric_id", "context", F.col("owner").alias("context_owner"), F.lit(True).alias("defined")
+    by_context = glossary.filter("context is not null").groupBy("metric_id", "context").agg(
+        F.min("owner").alias("context_owner"),
+        F.lit(True).alias("defined"),
+        (F.min(F.struct("owner", "money")) != F.max(F.struct("owner", "money"))).alias("competing"),
     )
     joined = requests.join(metrics, "metric_id", "left").join(by_context, ["metric_id", "context"], "left")
     asked = F.col("context").isNotNull()
@@ -48,6 +50,7 @@ def resolve_metric(requests: DataFrame, glossary: DataFrame) -> DataFrame:
         (F.col("context").isin(UNCERTIFIED_CONTEXTS), "UNCERTIFIED_METRIC"),
         (((F.col("certification") == "CONFLICT") | (F.col("definitions") > 1)) & ~asked, "CONFLICT_UNRESOLVED"),
         (asked & (F.col("definitions") > 0) & F.col("defined").isNull(), "CONFLICT_UNRESOLVED"),
+        (F.col("competing"), "CONFLICT_UNRESOLVED"),
         (~F.col("metric_id").isin(BACKED), "UNCERTIFIED_METRIC"),
     )
     single = ~asked & (F.col("definitions") == 1)

@@ -90,18 +90,25 @@ def duplicate_imports(clean: DataFrame) -> DataFrame:
     return clean.filter(F.col("copies") > 1)
 
 
+def whole_sum(amount: Column, which: Column) -> Column:
+    """Sum of the chosen rows of a group; NULL if one of them has no amount, because missing is never zero."""
+    total = F.sum(F.when(which, amount)).cast("decimal(38,2)")
+    return F.when(F.count_if(which & amount.isNull()) == 0, total)
+
+
 def account_rollup(clean: DataFrame) -> DataFrame:
     """One row per (property, period, account): row counts, sums and labels of both kinds.
 
-    Presence is counted, never inferred from an amount: an explicit 0.00 budget is a budget.
+    Presence is counted, never inferred from an amount: an explicit 0.00 budget is a budget. A side with one missing
+    amount has no sum, and ``invalid_rows`` counts such rows.
     """
     is_actual, is_budget = F.col("kind") == "actual", F.col("kind") == "budget"
-    money = "decimal(38,2)"
     return clean.groupBy(*ACCOUNT_KEY).agg(
         F.count_if(is_actual).alias("actual_rows"),
         F.count_if(is_budget).alias("budget_rows"),
-        F.sum(F.when(is_actual, F.col("amount"))).cast(money).alias("actual"),
-        F.sum(F.when(is_budget, F.col("amount"))).cast(money).alias("budget"),
+        whole_sum(F.col("amount"), is_actual).alias("actual"),
+        whole_sum(F.col("amount"), is_budget).alias("budget"),
+        F.count_if(F.col("amount").isNull()).alias("invalid_rows"),
         F.min("account_name").alias("account_name"),
         F.min("category").alias("category"),
         F.collect_set("category").alias("categories"),
@@ -145,14 +152,16 @@ def account_variance(rollup: DataFrame) -> DataFrame:
 def bridge_sums(covered: Column) -> list[Column]:
     """Aggregates of revenue, expense and unmapped money over the covered accounts of a group.
 
-    A group without covered accounts gives NULL, not zero; inside a covered group an empty class is a true zero.
+    A group without covered accounts gives NULL, not zero; inside a covered group an empty class is a true zero, and a
+    class in which one account has no sum has none itself.
     """
     revenue = F.lower("category").isin(REVENUE_CATEGORIES)
     unmapped = F.lower("category") == UNMAPPED_CATEGORY
     zero = F.lit("0").cast("decimal(38,2)")
 
     def total(side: str, which: Column) -> Column:
-        return F.sum(F.when(covered, F.when(which, F.col(side)).otherwise(zero))).cast("decimal(38,2)")
+        summed = F.sum(F.when(covered, F.when(which, F.col(side)).otherwise(zero))).cast("decimal(38,2)")
+        return F.when(F.count_if(covered & which & F.col(side).isNull()) == 0, summed)
 
     return [
         *[
@@ -313,7 +322,7 @@ def mapping_codes(mappings: DataFrame, category: str) -> DataFrame:
 def t12_category_sum(gl: DataFrame, category: str, end: DataFrame | None = None) -> DataFrame:
     """Twelve-month sum of one category per property, ending at ``end(property_id, end_period)`` or at the
     property's latest actual month. Equal (period, code, name, source row, amount) rows count once. No row in the
-    window gives NOT_FOUND with a NULL value.
+    window gives NOT_FOUND with a NULL value, a row without amount INVALID_AMOUNT.
     """
     actual = gl.filter(F.col("kind") == "actual")
     if end is None:
@@ -323,19 +332,26 @@ def t12_category_sum(gl: DataFrame, category: str, end: DataFrame | None = None)
         .select("property_id", "period", "account_code", "account_name", "source_row", "amount")
         .dropDuplicates()
     )
-    monthly = rows.groupBy("property_id", "period", "account_code").agg(F.sum("amount").alias("amount"))
-    return _window_sum(monthly, end)
+    return _window_sum(_monthly(rows), end)
+
+
+def _monthly(rows: DataFrame) -> DataFrame:
+    """Sums per (property, period, account), and how many of the rows have no amount."""
+    invalid = F.count_if(F.col("amount").isNull()).alias("invalid")
+    return rows.groupBy("property_id", "period", "account_code").agg(F.sum("amount").alias("amount"), invalid)
 
 
 def _window_sum(monthly: DataFrame, end: DataFrame) -> DataFrame:
     last, at = month_idx(F.col("end_period")), month_idx(F.col("period"))
     inside = (at <= last) & (at > last - 12)
-    value = F.sum(F.when(inside, F.col("amount"))).cast("decimal(38,2)")
+    summed = F.sum(F.when(inside, F.col("amount"))).cast("decimal(38,2)")
+    invalid = F.coalesce(F.sum(F.when(inside, F.col("invalid"))), F.lit(0))
     return (
         end.join(monthly, "property_id", "left")
         .groupBy("property_id", "end_period")
         .agg(
-            value.alias("value"),
+            F.when(invalid == 0, summed).alias("value"),
+            (invalid > 0).alias("invalid"),
             F.array_sort(F.collect_set(F.when(inside, F.col("account_code")))).alias("account_codes"),
         )
         .select(
@@ -345,7 +361,7 @@ def _window_sum(monthly: DataFrame, end: DataFrame) -> DataFrame:
             "value",
             F.when(F.col("value").isNotNull(), "usd").alias("unit"),
             "account_codes",
-            F.when(F.col("value").isNull(), "NOT_FOUND").alias("error_code"),
+            F.when(F.col("invalid"), "INVALID_AMOUNT").when(F.col("value").isNull(), "NOT_FOUND").alias("error_code"),
         )
     )
 
@@ -363,25 +379,22 @@ def t12_from_budget_comparison(feed: DataFrame, codes: DataFrame, end: DataFrame
     )
     if end is None:
         end = rows.filter(F.length("period") == 7).groupBy("property_id").agg(F.max("period").alias("end_period"))
-    monthly = (
-        rows.join(codes, "account_code", "left_semi")
-        .groupBy("property_id", "period", "account_code")
-        .agg(F.sum("amount").alias("amount"))
-    )
-    return _window_sum(monthly, end)
+    return _window_sum(_monthly(rows.join(codes, "account_code", "left_semi")), end)
 
 
 def trailing_12(gl: DataFrame, keys: list[str]) -> DataFrame:
-    """Running twelve-month sum at every month that has rows; calendar gaps count as months without rows."""
+    """Running twelve-month sum at every month that has rows; calendar gaps count as months without rows.
+
+    A month with a missing amount has no sum, nor has a window that holds such a month."""
     monthly = (
         gl.groupBy(*keys, "period")
-        .agg(F.sum("amount").cast("decimal(38,2)").alias("amount"))
+        .agg(whole_sum(F.col("amount"), F.lit(True)).alias("amount"))
         .withColumn("month_idx", month_idx(F.col("period")))
     )
     w = Window.partitionBy(*keys).orderBy("month_idx").rangeBetween(-11, 0)
     return monthly.withColumns(
         {
-            "t12": F.sum("amount").over(w).cast("decimal(38,2)"),
+            "t12": F.when(F.count("amount").over(w) == F.count("*").over(w), F.sum("amount").over(w)).cast("decimal(38,2)"),
             "months_present": F.count("*").over(w),
             "window_start": month_label(F.col("month_idx") - 11),
         }
@@ -397,7 +410,7 @@ def get_t12(gl: DataFrame, end: str) -> DataFrame:
         gl.filter((F.col("kind") == "actual") & F.col("period").isin(labels))
         .groupBy("property_id", "account_code", "account_name", "category")
         .pivot("period", labels)
-        .agg(F.sum("amount").cast("decimal(38,2)"))
+        .agg(whole_sum(F.col("amount"), F.lit(True)))
     )
 
 

@@ -239,7 +239,9 @@ COUNTS = ["occupied", "vacant", "down", "total"]
 
 
 def reconcile_summary(reported: DataFrame, derived: DataFrame) -> DataFrame:
-    """Status of the reported counts per (source, scope): absent, invalid, unresolved, mismatch or reconciled."""
+    """Status of the reported counts per (source, scope): absent, invalid, unresolved, mismatch or reconciled.
+
+    A reported scope for which nothing was derived stays in the result as ``unsupported``."""
     row = F.struct(*COUNTS)
     merged = reported.groupBy("source_id", "scope").agg(
         F.size(F.collect_set(row)).alias("variants"),
@@ -247,17 +249,19 @@ def reconcile_summary(reported: DataFrame, derived: DataFrame) -> DataFrame:
         F.bool_or(sum((F.col(c).isNull().cast("int") for c in COUNTS), F.lit(0)) > 0).alias("incomplete"),
         F.min(row).alias("reported"),
     )
-    joined = derived.join(merged, ["source_id", "scope"], "left")
+    joined = derived.withColumn("_derived", F.lit(True)).join(merged, ["source_id", "scope"], "full_outer")
     same = F.col("reported") == F.struct(*[F.col(c).cast("bigint") for c in COUNTS])
     status = (
         F.when(F.col("copies").isNull(), "absent")
+        .when(F.col("_derived").isNull(), "unsupported")
         .when(F.col("incomplete") | (F.col("variants") > 1), "invalid")
         .when(F.col("total").isNull(), "unresolved")
         .when(same, "reconciled")
         .otherwise("mismatch")
     )
     code = (
-        F.when(F.col("incomplete"), "INVALID_SUMMARY")
+        F.when(F.col("_derived").isNull(), "UNSUPPORTED_SUMMARY_SCOPE")
+        .when(F.col("incomplete"), "INVALID_SUMMARY")
         .when(F.col("variants") > 1, "SUMMARY_CONFLICT")
         .when((status == "mismatch"), "SUMMARY_MISMATCH")
     )

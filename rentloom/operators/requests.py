@@ -43,16 +43,14 @@ def resolve_property(requests: DataFrame, properties: DataFrame) -> DataFrame:
         .groupBy("spelling")
         .agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
     )
-    asked = requests.withColumn(
-        "spelling", F.explode(F.array_distinct(F.array(F.lower("asset_id"), normalize_asset(F.col("asset_id")))))
-    )
-    # The least and greatest id of a name tell one match from several; the ids are never gathered.
-    found = (
-        asked.join(names, "spelling", "left")
-        .groupBy(*requests.columns)
-        .agg(F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
-        .join(ids, "asset_id", "left")
-    )
+    # The least and greatest id of a name tell one match from several; the ids are never gathered. A request is looked up
+    # by both of its spellings in place, so equal requests stay separate rows.
+    found = requests
+    for n, spelling in enumerate((F.lower("asset_id"), normalize_asset(F.col("asset_id")))):
+        side = names.select(F.col("spelling").alias(f"_s{n}"), F.col("first_id").alias(f"_f{n}"), F.col("last_id").alias(f"_l{n}"))
+        found = found.withColumn(f"_k{n}", spelling).join(side, F.col(f"_k{n}") == F.col(f"_s{n}"), "left")
+    found = found.withColumn("first_id", F.least("_f0", "_f1")).withColumn("last_id", F.greatest("_l0", "_l1"))
+    found = found.join(ids, "asset_id", "left")
     exact, several = F.col("by_id").isNotNull(), F.col("first_id") != F.col("last_id")
     code = F.when(~exact, F.when(F.col("first_id").isNull(), "NOT_FOUND").when(several, "AMBIGUOUS_PROPERTY"))
     key = F.coalesce("by_id", F.when(~several, F.col("first_id")))

@@ -17,6 +17,7 @@ from rentloom.operators.ops import ACCOUNT_KEY, REVIEW_KEY, Materiality
 # Severity and message of each exception code.
 EXCEPTIONS = {
     "MISSING_ACTUALS": ("blocker", "No GL actual rows for the requested period; missing actuals are not zero."),
+    "INVALID_AMOUNT": ("blocker", "Ledger rows have no readable amount; sums that would need them are not given."),
     "MISSING_BUDGET": ("blocker", "Accounts have actuals but no budget rows; missing budget is not zero budget."),
     "VARIANCE_NOT_IMPLEMENTED": (
         "blocker",
@@ -66,15 +67,20 @@ def review(
     review_days: DataFrame | None = None,
     variance_fn: ops.VarianceFn | None = ops.account_variance,
     stage: Callable[[DataFrame], DataFrame] | None = None,
+    requests: DataFrame | None = None,
 ) -> Review:
     """Build the review tables. ``review_days(property_id, period, review_day)`` is optional; without a day the
-    snapshot bound is the month end and freshness stays unknown.
+    snapshot bound is the month end and freshness stays unknown. ``requests(property_id, period)`` names what is asked:
+    months without ledger rows then come out as MISSING_ACTUALS, and nothing else is answered.
 
     ``summary`` reads the ledger once and needs no staging. Outputs that read several tables (``exceptions``,
     ``measured_facts``) should pass ``stage=cut_lineage`` so the ledger is cleaned once and not once per rule.
     """
     policy = policy or Materiality()
     stage = stage or (lambda df: df)
+    if requests is not None:
+        requests = requests.select(*REVIEW_KEY).distinct()
+        gl = gl.join(requests, REVIEW_KEY, "left_semi")
     clean = stage(ops.dedupe_gl(gl))
     accounts = ops.actual_budget_coverage(ops.account_rollup(clean))
     accounts = with_variance(ops.with_mapping_state(accounts, mappings), variance_fn)
@@ -88,7 +94,7 @@ def review(
             }
         )
     )
-    days = accounts.select(*REVIEW_KEY).distinct()
+    days = accounts.select(*REVIEW_KEY).distinct() if requests is None else requests
     if review_days is None:
         days = days.withColumn("review_day", F.lit(None).cast("date"))
     else:
@@ -148,20 +154,23 @@ def _text_map(**values: Column) -> Column:
 
 
 def _exception(df: DataFrame, code: str | Column, details: Column, evidence: Column, subject: Column) -> DataFrame:
+    truncated = F.col("evidence_truncated") if "evidence_truncated" in df.columns else F.lit(False)
     return df.select(
         *REVIEW_KEY,
         (F.lit(code) if isinstance(code, str) else code).alias("code"),
         subject.cast("string").alias("subject"),
         details.alias("details"),
         evidence.alias("evidence"),
+        truncated.alias("evidence_truncated"),
     )
 
 
 def exceptions(r: Review) -> DataFrame:
-    """One long table of typed exceptions: code, severity, fixed message, subject, details, at most 50 evidence rows."""
+    """One long table of typed exceptions: code, severity, fixed message, subject, details, at most 50 evidence rows and whether
+    there were more."""
     none = F.lit(None).cast("string")
     no_rows = F.expr("cast(array() as array<struct<artifact:string,row:int,table:string,period:string>>)")
-    account_rows = ops.account_evidence(r.clean).drop("evidence_truncated")
+    account_rows = ops.account_evidence(r.clean)
     cited = ops.citations(F.col("evidence"), F.col("period"))
     accounts = r.accounts.join(account_rows, ACCOUNT_KEY)
 
@@ -169,6 +178,7 @@ def exceptions(r: Review) -> DataFrame:
     merged = accounts.groupBy(*REVIEW_KEY, "coverage").agg(
         F.array_sort(F.collect_list("account_code")).alias("accounts"),
         ops.merge_evidence(F.collect_list("evidence")).alias("evidence"),
+        (F.bool_or("evidence_truncated") | (F.sum(F.size("evidence")) > ops.MAX_EVIDENCE)).alias("evidence_truncated"),
     )
     coverage = _exception(
         merged.filter("coverage <> 'covered'"),
@@ -177,11 +187,12 @@ def exceptions(r: Review) -> DataFrame:
         cited,
         F.array_join("accounts", ","),
     )
-    no_actuals = r.accounts.groupBy(*REVIEW_KEY).agg(
+    counted = r.accounts.groupBy(*REVIEW_KEY).agg(
         F.sum("actual_rows").alias("actual_rows"), F.count_if(F.col("budget_rows") > 0).alias("budget_accounts")
     )
+    asked = r.occupancy.select(*REVIEW_KEY).join(counted, REVIEW_KEY, "left").fillna(0, ["actual_rows", "budget_accounts"])
     no_actuals = _exception(
-        no_actuals.filter("actual_rows = 0"),
+        asked.filter("actual_rows = 0"),
         "MISSING_ACTUALS",
         _text_map(actual_rows=F.lit(0), budget_rows=F.col("budget_accounts")),
         no_rows,
@@ -269,6 +280,13 @@ def exceptions(r: Review) -> DataFrame:
     )
     found = F.array_compact(
         F.array(
+            F.when(
+                F.col("invalid_rows") > 0,
+                F.struct(
+                    F.lit("INVALID_AMOUNT").alias("code"),
+                    _text_map(account_code=F.col("account_code"), invalid_rows=F.col("invalid_rows")).alias("details"),
+                ),
+            ),
             F.when(
                 F.col("mapping_error").isNotNull(),
                 F.struct(F.col("mapping_error").alias("code"), mapping_details.alias("details")),
@@ -303,6 +321,7 @@ def review_rollup(accounts: DataFrame) -> DataFrame:
         F.count_if(F.col("coverage") == "BUDGET_WITHOUT_ACTUAL").alias("budget_only_accounts"),
         F.sum("actual_rows").alias("actual_rows"),
         F.sum("budget_rows").alias("budget_rows"),
+        F.count_if(F.col("invalid_rows") > 0).alias("invalid_accounts"),
         F.count("*").alias("distinct_accounts"),
         F.sum("duplicate_groups").alias("duplicate_groups"),
         F.sum("duplicate_rows").alias("duplicate_rows"),
@@ -320,19 +339,29 @@ def summary_table(
     policy: Materiality | None = None,
     months_to_review: int | None = None,
     variance_fn: ops.VarianceFn | None = ops.account_variance,
+    requests: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (property, period): status, blocker codes, counts, occupancy and the NOI bridge.
 
     A straight pipeline: one ledger scan, one shuffle on the import key, one on the account key, one on the review
     key and one on the property for the snapshot look-up. ``months_to_review`` dates each review that many months
     after its period starts; without it the snapshot bound is the month end and freshness is unknown.
+    ``requests(property_id, period)`` names the months to answer: one without ledger rows comes out blocked with
+    MISSING_ACTUALS, with counts of zero and sums of NULL.
     """
     policy = policy or Materiality()
+    if requests is not None:
+        requests = requests.select(*REVIEW_KEY).distinct()
+        gl = gl.join(requests, REVIEW_KEY, "left_semi")
     accounts = ops.actual_budget_coverage(ops.account_rollup(ops.dedupe_gl(gl)))
     accounts = with_variance(ops.with_mapping_state(accounts, mappings), variance_fn)
     threshold = F.lit(policy.variance_abs).cast("decimal(38,8)")
     accounts = accounts.withColumn("is_material", F.coalesce(F.abs("variance") >= threshold, F.lit(False)))
-    rows = ops.bridge_results(review_rollup(accounts))
+    rows = review_rollup(accounts)
+    if requests is not None:
+        counts = [c for c, kind in rows.dtypes if kind == "bigint"]
+        rows = requests.join(rows, REVIEW_KEY, "left").fillna(0, counts)
+    rows = ops.bridge_results(rows)
     start = F.to_date(F.concat("period", F.lit("-01")))
     day = F.lit(None).cast("date") if months_to_review is None else F.add_months(start, months_to_review)
     rows = rows.withColumn("review_day", day)
@@ -342,6 +371,7 @@ def summary_table(
     blockers = F.array_compact(
         F.array(
             F.when(F.col("actual_rows") == 0, "MISSING_ACTUALS"),
+            F.when(F.col("invalid_accounts") > 0, "INVALID_AMOUNT"),
             F.when(F.col("missing_budget_accounts") > 0, "MISSING_BUDGET"),
             F.when(F.col("mismatch_status") == "mismatch", "OCCUPANCY_COUNT_MISMATCH"),
             F.when(no_fn, "VARIANCE_NOT_IMPLEMENTED"),
@@ -359,7 +389,9 @@ def summary_table(
 
 
 def measured_facts(r: Review, limit: int = 100) -> DataFrame:
-    """Sentences that restate measured values, in a fixed order and at most 100 per review. No hypotheses."""
+    """Sentences that restate measured values, in a fixed order and at most 100 per review. No hypotheses.
+
+    ``facts`` counts all facts of the review and ``facts_truncated`` says whether some were left out."""
     o, snap = r.occupancy.filter("current is not null"), F.col("current")
 
     def say(df: DataFrame, order: Column, template: str, *args: Column | str) -> DataFrame:
@@ -412,7 +444,9 @@ def measured_facts(r: Review, limit: int = 100) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return top_n(out, REVIEW_KEY, [F.col("fact_order")], limit)
+    totals = out.groupBy(*REVIEW_KEY).agg(F.count("*").alias("facts"))
+    kept = top_n(out, REVIEW_KEY, [F.col("fact_order")], limit).join(totals, REVIEW_KEY)
+    return kept.withColumn("facts_truncated", F.col("facts") > limit)
 
 
 def review_status(exception_rows: DataFrame) -> DataFrame:

@@ -26,16 +26,29 @@ def get_session(app_name: str = "rentloom", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
+class SharedFolderMissing(RuntimeError):
+    """Staged tables need a folder that the driver and all executors see."""
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Unset, a temporary one serves a local master only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+    if base is None:
+        if not local:
+            raise SharedFolderMissing("SHARED_FOLDER_MISSING: set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.mkdtemp(prefix="rentloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder the cluster names; a temporary one only when unset."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rentloom-"))
-    return df.checkpoint(eager=True)
+    """The table written once as Parquet to the shared folder and read again; columns can be pruned by later reads."""
+    path = scratch_dir(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one the cluster names; below a temporary one only when that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rentloom-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared one the cluster names."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

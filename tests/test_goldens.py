@@ -76,7 +76,7 @@ def test_explicit_zero_budget_is_a_budget(spark):
     assert [r.coverage for r in roll.collect()] == ["covered"]
 
 
-def test_oak_ridge_bridge(spark):
+def test_bridge_of_two_accounts(spark):
     rows = [
         ("actual", "1", "R", "rental income", "192950", 1), ("actual", "2", "E", "payroll", "146200", 2),
         ("budget", "1", "R", "rental income", "220900", 1), ("budget", "2", "E", "payroll", "132300", 2),
