@@ -4,11 +4,12 @@ Two permutations make the whole signature: the first scatters the shingles, the
 for every coordinate. Coordinates are cut into bands; documents that share a band are candidates and are confirmed on
 their full sets of shingles.
 
-Candidates never become all pairs of a group. Equal sets are one node from the start. In rounds, every node meets only
-the leader of each of its buckets, after a look at their signatures, and buckets whose nodes are already connected
-are dropped. For the nodes that are then left in mixed buckets, shingles that no other of them has are counted: two sets
-share at most what is left of the smaller one, and a copy with many edits of its own can be linked with nothing. Only
-pairs that this bound allows, that are not connected yet and share two bands, are confirmed or refused, all of them.
+Candidates never become rows of all pairs. Equal sets are one node from the start. In rounds, every node meets only the
+leader of each of its buckets, after a look at their signatures, and buckets whose nodes are already connected are
+dropped. What is left are families of similar texts of which some are linked with nothing or in small components.
+Blocks of signatures from one bucket show which nodes belong to one family; then the sets of a family's nodes outside
+its largest component are held against all its other sets, block by block, and only links that connect components
+come out.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from rentloom.llm.common import HashCache, Stages, bounded_batches, mix32, mix64, own_columns, text_slices
+from rentloom.llm.common import HashCache, Stages, bounded_batches, mix32, mix64, own_columns, ragged_index, text_slices
 from rentloom.llm.components import components
 
 BANDS, ROWS = 48, 6  # a pair at 0.8 shares no band with a chance of 5e-7
 COORDINATES = BANDS * ROWS
 LEAST_AGREEMENT = 0.65  # signatures of a pair at 0.8 agree less with a chance below 1e-8
 LEADER_ROUNDS = 2
+FAMILY_BLOCK, SET_BLOCK = 1024, 256  # signatures and sets that meet at a time
 PIECE = 1 << 18
 
 
@@ -159,22 +161,6 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return wanted.mapInArrow(run, "id bigint, set binary")
 
 
-def own_shingles(sets: DataFrame) -> DataFrame:
-    """(id, own): how many shingles of each set are in no other of these sets; ids without any are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                each = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("set")]
-                row = np.repeat(np.arange(len(each)), [len(x) for x in each])
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), pa.array(np.concatenate(each))], ["id", "shingle"])
-
-    rows = sets.mapInArrow(run, "id bigint, shingle bigint")
-    single = rows.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last")
-    return single.groupBy("id").agg(F.count("*").alias("own"))
-
-
 def _with(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     """Pairs with ``value`` of both ends as x and y."""
     left = table.select(F.col("id").alias("a"), F.col(value).alias("x"))
@@ -222,51 +208,138 @@ def _stars(docs: DataFrame, buckets: DataFrame, marks: DataFrame, words: int, pe
         return sets.unionByName(stages.write(full_sets(docs, new, words), "sets"))
 
     for turn in range(LEADER_ROUNDS + 1):
-        last = turn == LEADER_ROUNDS
         named = buckets.join(stars.select(F.col("a").alias("id"), F.col("b").alias("_b")), "id", "left")
         named = named.select("key", "id", "n", F.coalesce("_b", "id").alias("comp"))
-        mixed = named.groupBy("key").agg(
-            F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "comp")).alias("lead")
-        )
+        lead = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "comp")).alias("lead")
+        mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), lead)
         mixed = mixed.filter("low < high").drop("low", "high")
         open_rows = stages.write(named.join(mixed, "key"), "open")
-        if last:
-            ids = open_rows.select("id").distinct()
-            sets = with_sets(ids)
-            pairs = _possible(open_rows, own_shingles(sets.join(ids, "id", "left_semi")), percent)
+        if turn == LEADER_ROUNDS:
+            families = _families(open_rows, marks, stages)
+            sets = with_sets(families.select("id"))
+            links = stages.write(_between(families.join(sets, "id"), percent), "between")
         else:
             led = open_rows.select("id", "n", "comp", *(F.col(f"lead.{c}").alias(o) for c, o in (("id", "other"), ("n", "other_n"), ("comp", "other_comp"))))
             like = (F.col("n") * 100 >= F.col("other_n") * percent) & (F.col("other_n") * 100 >= F.col("n") * percent)
             pairs = led.filter((F.col("comp") != F.col("other_comp")) & like)
-        ends = (F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"))
-        pairs = pairs.select(*ends).distinct().join(tried, ["a", "b"], "left_anti")
-        near = _agreeing(_with(pairs, marks, "marks"))
-        if not last:  # the likeliest partner first; the others come again while the two are not connected
-            near = near.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
-        near = stages.write(near.select("a", "b"), "near")
+            pairs = pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+            # The likeliest partner only; whatever that leaves unconnected comes again.
+            near = _agreeing(_with(pairs, marks, "marks")).groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
+            near = stages.write(near, "near")
+            if near.isEmpty():
+                continue
+            sets = with_sets(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+            links = stages.write(_confirmed(_with(near, sets, "set"), percent), "confirmed")
+            tried = tried.unionByName(near)
         stages.drop(open_rows)
-        if near.isEmpty():
-            continue
-        sets = with_sets(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        links = stages.write(_confirmed(_with(near, sets, "set"), percent), "confirmed")
-        tried = tried.unionByName(near)
         if not links.isEmpty():
             stars = components(stars.unionByName(links), stages)
     return stars
 
 
-def _possible(rows: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """Pairs (id, other) of different components that share two bands and whose sets can reach the threshold.
+def _packed(rows: DataFrame, keys: list[str], size: str, most: int, *columns: str) -> DataFrame:
+    """Rows of each group packed into blocks of about ``most``: keys, part, parts, members."""
+    parts = F.ceil(F.col(size) / most)
+    dealt = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    return dealt.groupBy(*keys, "part", "parts").agg(F.collect_list(F.struct(*columns)).alias("members"))
 
-    A set shares at most its n - own shingles, so the smaller of these bounds the overlap of a pair. A set that cannot
-    even be linked with a subset of itself is dropped before buckets are joined.
-    """
-    rest = rows.select("key", "id", "n", "comp").join(own, "id", "left").withColumn("rest", F.col("n") - F.coalesce("own", F.lit(0)))
-    rest = rest.filter(F.col("rest") * 100 >= F.col("n") * percent).drop("own")
-    other = rest.select("key", *(F.col(c).alias(f"other_{c}") for c in ("id", "n", "comp", "rest")))
-    enough = F.least("rest", "other_rest") * (100 + percent) >= (F.col("n") + F.col("other_n")) * percent
-    pairs = rest.join(other, "key").filter((F.col("id") < F.col("other_id")) & (F.col("comp") != F.col("other_comp")) & enough)
-    return pairs.groupBy("id", F.col("other_id").alias("other")).count().filter("count > 1")
+
+def _families(open_rows: DataFrame, marks: DataFrame, stages: Stages) -> DataFrame:
+    """(id, comp, family) of nodes that agree enough with a node of another component in one of their buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out_a, out_b = [], []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                sides = [(m.field("id").to_numpy(), m.field("comp").to_numpy(), m.field("marks")) for m in (x.values, y.values)]
+                ids = np.concatenate([i for i, _, _ in sides])
+                for a, b in zip(ids, _local_families(*sides)):
+                    if b >= 0 and a != ids[b]:
+                        out_a.append(a)
+                        out_b.append(ids[b])
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    rows = open_rows.select("key", "id", "comp", "size").join(marks, "id")
+    packed = _packed(rows, ["key"], "size", FAMILY_BLOCK, "id", "comp", "marks")
+    alone = packed.filter("parts = 1").select(F.col("members").alias("x"), F.col("members").alias("y"))
+    large = packed.filter("parts > 1").select("key", "part", "members")
+    other = large.select("key", F.col("part").alias("other"), F.col("members").alias("y"))
+    crossed = large.withColumnRenamed("members", "x").join(other, "key").filter("part <= other").select("x", "y")
+    edges = stages.write(alone.unionByName(crossed).mapInArrow(run, "a bigint, b bigint").distinct(), "family-edges")
+    stars = components(edges, stages)
+    named = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    named = named.join(stars.select(F.col("a").alias("id"), F.col("b").alias("_least")), "id", "left")
+    comps = open_rows.select("id", "comp").distinct()
+    return named.select("id", F.coalesce("_least", "id").alias("family")).join(comps, "id")
+
+
+def _local_families(x: tuple, y: tuple) -> np.ndarray:
+    """Place of the first member of each member's family among both blocks; -1 where a member agrees with nobody."""
+    (_, comp_x, marks_x), (_, comp_y, marks_y) = x, y
+    left, right = (np.frombuffer(b"".join(m.to_pylist()), np.uint8).reshape(-1, COORDINATES) for m in (marks_x, marks_y))
+    least = int(np.ceil(COORDINATES * (LEAST_AGREEMENT * (1 - 1 / 256) + 1 / 256)))
+    near = np.zeros((len(left), len(right)), bool)
+    for row in range(len(left)):
+        near[row] = (left[row] == right).sum(1) >= least
+    near &= comp_x[:, None] != comp_y
+    label = np.arange(len(left) + len(right))
+    a, b = label[: len(left)], label[len(left) :]
+    far = len(label)
+    for _ in range(far):
+        new_a = np.minimum(a, np.where(near, b, far).min(1, initial=far))
+        new_b = np.minimum(b, np.where(near.T, new_a, far).min(1, initial=far))
+        if (new_a == a).all() and (new_b == b).all():
+            break
+        a, b = new_a, new_b
+    return np.concatenate([np.where(near.any(1), a, -1), np.where(near.any(0), b, -1)])
+
+
+def _between(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect different components of a family; members are (id, comp, family, set).
+
+    Blocks of nodes outside the family's largest component meet all blocks of the family once."""
+    comps = members.groupBy("family", "comp").agg(F.count("*").alias("n"))
+    largest = comps.groupBy("family").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
+    sorted_in = members.join(largest, "family").withColumn("main", F.col("comp") == F.col("top.comp"))
+    sorted_in = sorted_in.withColumn("size", F.when(F.col("main"), F.col("top.n")).otherwise(F.col("all") - F.col("top.n")))
+    packed = _packed(sorted_in, ["family", "main"], "size", SET_BLOCK, "id", "comp", "set")
+    left = packed.filter(~F.col("main")).select("family", F.col("part").alias("p"), F.col("members").alias("x"))
+    right = packed.select("family", "main", "part", F.col("members").alias("y"))
+    pairs = left.join(right, "family").filter("main or p <= part").select("x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                found += _links(*((m.field("id").to_numpy(), m.field("comp").to_numpy(), m.field("set")) for m in (x.values, y.values)), percent)
+            a, b = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a bigint, b bigint")
+
+
+def _links(x: tuple, y: tuple, percent: int) -> list[tuple[int, int]]:
+    """One link for each two components of two blocks that have one; overlaps are counted over the sorted shingles of ``y``."""
+    (ids_x, comp_x, sets_x), (ids_y, comp_y, sets_y) = x, y
+    right = [np.frombuffer(v.as_buffer(), np.uint64) for v in sets_y]
+    sizes = np.array([len(v) for v in right])
+    shingles = np.concatenate(right)
+    order = np.argsort(shingles, kind="stable")
+    shingles, owner = shingles[order], np.repeat(np.arange(len(right)), sizes)[order]
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for row, value in enumerate(sets_x):
+        own = np.frombuffer(value.as_buffer(), np.uint64)
+        low = np.searchsorted(shingles, own, "left")
+        many = np.searchsorted(shingles, own, "right") - low
+        common = np.bincount(owner[ragged_index(low, many)], minlength=len(right))
+        near = (100 * common >= percent * (len(own) + sizes - common)) & (comp_y != comp_x[row])
+        for at in np.flatnonzero(near).tolist():
+            link = (int(comp_x[row]), int(comp_y[at]))
+            if link not in seen:
+                seen.add(link)
+                out.append((int(ids_x[row]), int(ids_y[at])))
+    return out
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
