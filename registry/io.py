@@ -281,13 +281,13 @@ def streamed(spark, d):
     """The ledger after a stream of all facts, replays of every fourth and altered copies of every tenth."""
     root = scratch_dir(spark, "stream")
     base, k = facts(spark, d), F.col("event_id")
-    put(base.repartition(2), f"{root}/in")
-    put(base.filter(k % 4 == 0).repartition(1), f"{root}/in")
     altered = base.filter(k % 10 == 3).withColumns(
         {"value": (F.col("value") + 1).cast("decimal(18,2)"), "recorded_at": F.col("recorded_at") + F.expr("interval 400 days")}
     )
-    put(altered.repartition(1), f"{root}/in")
-    whole = stream_ledger.resume_import(spark, f"{root}/in", f"{root}/ledger", f"{root}/conflicts", f"{root}/checkpoint", 2)
+    whole = False
+    for rows in (base, base.filter(k % 4 == 0), altered):
+        put(rows, f"{root}/in")
+        whole = stream_ledger.resume_import(spark, f"{root}/in", f"{root}/ledger", f"{root}/conflicts", f"{root}/checkpoint", 100)
     return root, whole
 
 
@@ -316,6 +316,27 @@ def resume_import_t4(spark, d):
     return spark.read.parquet(f"{root}/ledger").agg(F.count("*").alias("facts")).withColumn("validated", F.lit(again))
 
 
+@entry(
+    "freeze_reports_t5",
+    """select 'issued' as state, cast(user_id as varchar) as report_id, null as error_code from events group by 2
+       union all select 'refused', cast(user_id as varchar), 'REPORT_ALREADY_ISSUED' from events where user_id % 3 = 0 group by 2""",
+)
+def freeze_reports_t5(spark, d):
+    """One report per user, issued again unchanged for every second and with other content for every third."""
+    root, n = scratch_dir(spark, "reports"), F.col("report_id").cast("bigint")
+    users = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").cast("string").alias("report_id")).agg(F.sum("value").cast("decimal(18,2)").alias("v"))
+    content = F.to_json(F.struct(F.lit("original_thesis/1").alias("type"), F.col("report_id").alias("deal_id"), "v"))
+    first = users.select(F.lit("w").alias("workspace_id"), "report_id", F.col("report_id").alias("aggregate_id"), content.alias("content_json"))
+    other = first.filter(n % 3 == 0).withColumn("content_json", F.concat("content_json", F.lit(" ")))
+    for rows in (first, first.filter(n % 2 == 0), other):
+        put(rows, f"{root}/in")
+        stream = spark.readStream.schema(first.schema).parquet(f"{root}/in")
+        stream_ledger.freeze_reports(stream, f"{root}/issued", f"{root}/checkpoint", f"{root}/refused").awaitTermination()
+    issued = ledger.read_report(spark.read.parquet(f"{root}/issued")).select(F.lit("issued").alias("state"), "report_id", "error_code")
+    refused = spark.read.option("basePath", f"{root}/refused").parquet(f"{root}/refused")
+    return issued.unionByName(refused.select(F.lit("refused").alias("state"), "report_id", "error_code"))
+
+
 @entry(
     "late_facts_t3",
     """select p.point, count(*) as facts from v_assertions a join (values ('early', date '2024-01-10', timestamp '2024-01-11'), ('late', date '2024-01-10', timestamp '2024-06-01')) p(point, effective_at, known_at)
@@ -348,14 +369,15 @@ def stale_versions_t2(spark, d):
 def feed_monitor_t6(spark, d):
     root = scratch_dir(spark, "monitor")
     snaps = load(spark, d, "v_snapshots").select("property_id", "as_of_date", "occupied", "vacant", "down")
-    put(snaps.repartition(3), f"{root}/in")
-    stream = spark.readStream.schema(schemas.contract(schemas.SNAPSHOT_STREAM)).option("maxFilesPerTrigger", "1").parquet(f"{root}/in")
 
     def publish(batch, number):
         batch.write.mode("overwrite").parquet(f"{root}/out")
 
-    q = monitor.feed_monitor(stream, "2024-03-01", 31).writeStream.outputMode("complete").foreachBatch(publish)
-    q.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    for half in (0, 1):
+        put(snaps.filter(F.pmod(F.xxhash64("as_of_date"), F.lit(2)) == half), f"{root}/in")
+        stream = spark.readStream.schema(schemas.contract(schemas.SNAPSHOT_STREAM)).parquet(f"{root}/in")
+        q = monitor.feed_monitor(stream, "2024-03-01", 31).writeStream.outputMode("complete").foreachBatch(publish)
+        q.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{root}/out").select("property_id", F.col("as_of").cast("string").alias("as_of"), "freshness")
 
 
@@ -371,15 +393,15 @@ def journal_state_t7(spark, d):
 
     root = scratch_dir(spark, "journal")
     events = journal(spark, d).withColumns({"run_id": F.col("run_id").cast("string"), "n": F.col("n").cast("bigint")})
-    put(events.filter("n <= 4").repartition(1), f"{root}/in")
-    put(events.filter("n > 4").repartition(1), f"{root}/in")
-    stream = spark.readStream.schema(schemas.contract(schemas.JOURNAL)).option("maxFilesPerTrigger", "1").parquet(f"{root}/in")
 
     def publish(batch, number):
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
-    q = monitor.journal_state(stream).writeStream.outputMode("update").foreachBatch(publish)
-    q.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    for rows in (events.filter("n <= 4"), events.filter("n > 4")):
+        put(rows, f"{root}/in")
+        stream = spark.readStream.schema(schemas.contract(schemas.JOURNAL)).parquet(f"{root}/in")
+        q = monitor.journal_state(stream).writeStream.outputMode("update").foreachBatch(publish)
+        q.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     last = F.max_by(F.struct("stage", "events", "error_code"), "batch").alias("s")
     out = spark.read.parquet(f"{root}/out").groupBy("run_id").agg(last)
     return out.select(F.col("run_id").cast("bigint").alias("run_id"), "s.stage", "s.events", "s.error_code")

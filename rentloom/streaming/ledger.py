@@ -5,23 +5,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rentloom import schemas
 from rentloom.functions.skew import numbered
-from rentloom.operators.ledger import SOURCE_KEY, command_hash, new_reports
+from rentloom.operators.ledger import SOURCE_KEY, command_hash, freeze_report
 
 AGGREGATE = ["workspace_id", "aggregate_id"]
 
 
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    """The table at a path, or None where the path does not exist yet. Any other fault is raised, never taken for "new"."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return None
+    return spark.read.parquet(path)
 
 
 def classify_batch(batch: DataFrame, accepted: DataFrame | None) -> DataFrame:
@@ -118,16 +118,34 @@ def resume_import(
     return bad.isEmpty()
 
 
-def freeze_reports(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Append each (workspace, report) once; a later version of an issued report is ignored."""
+def freeze_reports(stream: DataFrame, target: str, checkpoint: str, refused: str | None = None) -> StreamingQuery:
+    """Append each (workspace, report) once and refuse other content under an issued id.
+
+    The same content again is a replay and changes nothing. Where one batch brings several contents for a new id, the
+    one with the smallest hash is issued whatever the row order, and the others are refused. ``refused`` is the folder
+    for refusals, one subfolder per batch; without it they go beside the target.
+    """
+    refused = refused or f"{target.rstrip('/')}-refused"
+    key = ["workspace_id", "report_id"]
 
     def write(batch: DataFrame, number: int) -> None:
-        once = batch.dropDuplicates(["workspace_id", "report_id"])
         issued = _existing(batch.sparkSession, target)
-        from rentloom.operators.ledger import freeze_report
-
-        out = freeze_report(once) if issued is None else new_reports(once, issued)
-        out.write.mode("append").parquet(target)
+        contents = freeze_report(batch).dropDuplicates([*key, "content_sha256"])
+        first = contents.groupBy(*key).agg(F.min("content_sha256").alias("standing"))
+        if issued is not None:
+            held = issued.select(*key, F.col("content_sha256").alias("held"))
+            first = first.join(held, key, "left").select(*key, "held", F.coalesce("held", "standing").alias("standing"))
+        else:
+            first = first.withColumn("held", F.lit(None).cast("string"))
+        decided = contents.join(first, key).persist()
+        try:
+            other = decided.filter(F.col("content_sha256") != F.col("standing")).drop("standing", "held")
+            other = other.withColumn("error_code", F.lit("REPORT_ALREADY_ISSUED"))
+            other.write.mode("overwrite").parquet(f"{refused}/batch={number}")
+            new = decided.filter(F.col("held").isNull() & (F.col("content_sha256") == F.col("standing")))
+            new.drop("standing", "held").write.mode("append").parquet(target)
+        finally:
+            decided.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

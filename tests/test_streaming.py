@@ -53,5 +53,7 @@ def test_reports_are_frozen_once(spark, tmp_path):
     issue('{"noi":"85000"}')
     rows = ledger.read_report(spark.read.parquet(target)).collect()
     assert [(r.content_json, r.error_code) for r in rows] == [('{"noi":"100000"}', None)]
+    refused = spark.read.parquet(f"{target}-refused").collect()
+    assert [(r.report_id, r.content_json, r.error_code) for r in refused] == [("r1", '{"noi":"85000"}', "REPORT_ALREADY_ISSUED")]
     touched = spark.read.parquet(target).withColumn("content_json", F.lit("{}"))
     assert ledger.read_report(touched).collect()[0].error_code == "INTEGRITY_FAILED"
