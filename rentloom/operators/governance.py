@@ -53,10 +53,12 @@ NEXT_STAGES = {
     "normalized": ["review_required", "reconciled"],
     "review_required": ["reconciled"],
     "reconciled": ["canonical_ready"],
-    "canonical_ready": ["execution_authorized"],
     "execution_authorized": ["engine_executed"],
     "engine_executed": ["report_ready"],
 }
+# Only the event of that name authorises, and only from this stage; a plain stage event never does.
+AUTHORIZED_FROM = "canonical_ready"
+EVENT_KINDS = ["created", "stage", "execution_authorized", "review", "engine_error", "inputs_repinned"]
 REQUIRED_INPUTS = ["om", "rr", "t12", "debt"]
 REQUIRED_VALUES = ["millage", "horizon"]
 FORMATS = ["pdf", "xlsx", "csv"]
@@ -535,8 +537,9 @@ def open_requests(units: DataFrame, proposals: DataFrame, consistency: DataFrame
 def workflow_state(events: DataFrame) -> DataFrame:
     """Latest stage, resolved fields and refusals per run from events(run_id, n, kind, stage, decision_id, field, value).
 
-    A step that the current stage does not allow, or a decision id used twice, is CORRUPT_INPUT. The first recorded
-    value of a field stands; another value later is CONFLICT_UNRESOLVED."""
+    A step that the current stage does not allow, an event of an unknown kind, or a decision id used twice is CORRUPT_INPUT.
+    The first recorded value of a field stands; another value later is CONFLICT_UNRESOLVED. With a column
+    ``decision_status``, only approved decisions resolve a field."""
     run = ["run_id"]
     becomes = (
         F.when(F.col("kind") == "created", "inspected")
@@ -546,8 +549,10 @@ def workflow_state(events: DataFrame) -> DataFrame:
     staged = events.withColumn("becomes", becomes)
     moves = previous(staged.filter("becomes is not null"), run, "n", F.col("becomes"), "before")
     allowed = F.create_map(*[x for s, nxt in NEXT_STAGES.items() for x in (F.lit(s), _literals(nxt))])
-    legal = F.when(F.col("before").isNull(), F.col("kind") == "created").otherwise(
-        F.array_contains(F.try_element_at(allowed, F.col("before")), F.col("becomes"))
+    legal = (
+        F.when(F.col("before").isNull(), F.col("kind") == "created")
+        .when(F.col("kind") == "execution_authorized", F.col("before") == AUTHORIZED_FROM)
+        .otherwise(F.array_contains(F.try_element_at(allowed, F.col("before")), F.col("becomes")))
     )
     stages = moves.groupBy(*run).agg(
         F.max_by("becomes", "n").alias("stage"), F.count_if(failed(legal)).alias("illegal_moves")
@@ -557,13 +562,15 @@ def workflow_state(events: DataFrame) -> DataFrame:
     misplaced = current.groupBy(*run).agg(
         F.count("*").alias("event_count"),
         F.count_if(needs.isNotNull() & ~F.col("current").eqNullSafe(needs)).alias("misplaced"),
+        F.count_if(failed(F.col("kind").isin(EVENT_KINDS))).alias("unknown"),
         F.max_by("kind", "n").alias("last_kind"),
     )
     reviews = events.filter("kind = 'review'")
     twice = reviews.groupBy(*run, "decision_id").agg((F.count("*") > 1).alias("again")).groupBy(*run).agg(
         F.count_if("again").alias("repeated_decisions")
     )
-    fields = reviews.groupBy(*run, "field").agg(
+    standing = reviews.filter("decision_status = 'approved'") if "decision_status" in events.columns else reviews
+    fields = standing.groupBy(*run, "field").agg(
         F.min_by("value", "n").alias("value"), (F.min("value") != F.max("value")).alias("conflict")
     )
     fields = fields.groupBy(*run).agg(
@@ -572,7 +579,7 @@ def workflow_state(events: DataFrame) -> DataFrame:
     )
     out = stages.join(misplaced, run).join(twice, run, "left").join(fields, run, "left")
     error = first_failure(
-        ((F.col("illegal_moves") > 0) | (F.col("misplaced") > 0) | (F.col("repeated_decisions") > 0), "CORRUPT_INPUT"),
+        (any_of(*[F.col(c) > 0 for c in ("illegal_moves", "misplaced", "unknown", "repeated_decisions")]), "CORRUPT_INPUT"),
         (F.col("conflicts") > 0, "CONFLICT_UNRESOLVED"),
     )
     return out.select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from rentloom.functions.metrics import feed_age
-from rentloom.operators.governance import NEXT_STAGES
+from rentloom.operators.governance import AUTHORIZED_FROM, EVENT_KINDS, NEXT_STAGES
 
 RUN_STATE = "stage string, last_n bigint, events bigint, decisions string, corrupt boolean"
 RUN_OUTPUT = "run_id string, stage string, events bigint, error_code string"
@@ -27,9 +27,10 @@ def feed_monitor(stream: DataFrame, review_day: str | None, bound: int = 45) ->
 def journal_state(stream: DataFrame) -> DataFrame:
     """State machine per run over journal events, emitting the new state after every batch.
 
-    Only the stage, a few counters and the decision ids are kept. A step that the stage does not allow, a step out
-    of order or a decision id used twice makes the run CORRUPT_INPUT for good."""
+    Only the stage, a few counters and the decision ids are kept. A step that the stage does not allow, an event of
+    an unknown kind, a step out of order or a decision id used twice makes the run CORRUPT_INPUT for good."""
     moves = {k: list(v) for k, v in NEXT_STAGES.items()}
+    known, authorized_from = list(EVENT_KINDS), AUTHORIZED_FROM
 
     def step(key, frames, state):
         stage, last, count, decisions, corrupt = state.get if state.exists else (None, 0, 0, "", False)
@@ -39,11 +40,16 @@ def journal_state(stream: DataFrame) -> DataFrame:
             count += 1
             target = {"created": "inspected", "execution_authorized": "execution_authorized"}.get(e.kind)
             target = e.stage if e.kind == "stage" else target
-            if e.n <= last:
+            if e.n <= last or e.kind not in known:
                 corrupt = True
             last = max(last, e.n)
             if target is not None:
-                legal = target in moves.get(stage, []) if stage else e.kind == "created"
+                if not stage:
+                    legal = e.kind == "created"
+                elif e.kind == "execution_authorized":
+                    legal = stage == authorized_from
+                else:
+                    legal = target in moves.get(stage, [])
                 corrupt = corrupt or not legal
                 stage = target
             elif e.kind == "review":

@@ -161,3 +161,29 @@ def test_reported_scopes_without_units_stay(spark):
     schema = "source_id string, scope string, occupied bigint, vacant bigint, down bigint, total bigint"
     rows = rentroll.reconcile_summary(spark.createDataFrame([("s", "retail", 1, 1, 0, 2)], schema), spark.createDataFrame([("s", "residential", 1, 0, 0, 1)], schema)).collect()
     assert {(r.scope, r.summary_status, r.error_code) for r in rows} == {("retail", "unsupported", "UNSUPPORTED_SUMMARY_SCOPE"), ("residential", "absent", None)}
+
+
+def test_only_the_named_event_authorises(spark):
+    from rentloom.operators import governance
+
+    path = ["stage:normalized", "stage:reconciled", "stage:canonical_ready"]
+    runs = {
+        "named": [*path, "execution_authorized:", "stage:engine_executed"],
+        "plain": [*path, "stage:execution_authorized"],
+        "early": ["stage:normalized", "execution_authorized:"],
+        "strange": [*path, "hello:"],
+    }
+    rows = [(run, n, *(x.split(":")), None, None, None) for run, steps in runs.items() for n, x in enumerate(["created:", *steps], 1)]
+    events = spark.createDataFrame(rows, "run_id string, n bigint, kind string, stage string, decision_id string, field string, value string")
+    got = {r.run_id: (r.stage, r.error_code) for r in governance.workflow_state(events).collect()}
+    assert got == {"named": ("engine_executed", None)} | {r: (None, "CORRUPT_INPUT") for r in ("plain", "early", "strange")}
+
+
+def test_decisions_that_are_not_approved_resolve_nothing(spark):
+    from rentloom.operators import governance
+
+    steps = [("created", None, None, None), ("stage", "normalized", None, None), ("stage", "review_required", None, None), ("review", None, "rejected", "1"), ("review", None, "approved", "2")]
+    rows = [("r", n, kind, stage, f"d{n}", "f", value, status) for n, (kind, stage, status, value) in enumerate(steps, 1)]
+    events = spark.createDataFrame(rows, "run_id string, n bigint, kind string, stage string, decision_id string, field string, value string, decision_status string")
+    row = governance.workflow_state(events).first()
+    assert row.resolutions == ["f=2"] and row.error_code is None
