@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     stars = _stars(docs, buckets, marks, words, percent, stages)
     found = table.join(classes.select("digest", F.col("id").alias("_node")), "digest", "left")
     found = found.join(stars.select(F.col("a").alias("_node"), F.col("b").alias("_least")), "_node", "left")
-    component = F.coalesce("_least", "_node", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_least", "_node", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
