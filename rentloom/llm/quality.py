@@ -19,6 +19,7 @@ from rentloom.llm.labelled import Rows, Slots, keep, score, training_rows
 
 BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4)
 SAMPLE, EPOCHS, RATE, BATCH, MOST_WORDS = 6000, 8, 0.3, 64, 300_000
+STEPS, MOST_EPOCHS = 700, 80  # small samples are gone through more often, to take about as many steps
 THRESHOLD = 0.3
 REPEAT_WEIGHT = 10
 REPEATED = BUCKETS  # the feature of a word that repeats the one before it
@@ -97,8 +98,9 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 5) -> t
     seen_vectors, seen_out, seen_bias = np.full(BUCKETS + 1, 1e-6), np.full((DIM, 2), 1e-4), np.full(2, 1e-4)
     share = labels.mean()
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = min(max(EPOCHS, -(-STEPS * BATCH // len(samples))), MOST_EPOCHS)
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(samples))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
