@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from rentloom.llm.common import bounded_batches, fresh, own_columns, text_slices
+from rentloom.llm.common import Stages, bounded_batches, fresh, own_columns, text_slices
 
 GEAR_BYTES = 16  # bytes that a boundary looks at
 MEAN, LEAST, MOST = 40, 16, 96
@@ -101,7 +101,9 @@ def repeated_places(docs: DataFrame) -> DataFrame:
     """
     table = chunks(docs.filter("doc_id is not null"))
     shared = table.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    later = table.join(shared.drop("last"), ["high", "low"]).filter("doc_id > first")
+    # Written, so that the join below is a plain one whose hot keys adaptive execution can split.
+    shared = Stages(docs.sparkSession, "chunks").write(shared.drop("last"), "shared")
+    later = table.join(shared, ["high", "low"]).filter("doc_id > first")
     return later.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
 
 

@@ -186,7 +186,8 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     nodes = nodes.select("id", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["id"])
     marks = linked.select(F.col("doc_id").alias("id"), "marks")
     rows = nodes.select("id", "n", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    # Written, so that the join below is a plain one whose hot keys adaptive execution can split.
+    shared = stages.write(rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "shared")
     buckets = stages.write(rows.join(shared, "key"), "buckets")
     stars = _stars(docs, buckets, marks, words, percent, stages)
     found = table.join(classes.select("digest", F.col("id").alias("_node")), "digest", "left")
@@ -212,7 +213,7 @@ def _stars(docs: DataFrame, buckets: DataFrame, marks: DataFrame, words: int, pe
         named = named.select("key", "id", "n", F.coalesce("_b", "id").alias("comp"))
         lead = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "comp")).alias("lead")
         mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), lead)
-        mixed = mixed.filter("low < high").drop("low", "high")
+        mixed = stages.write(mixed.filter("low < high").drop("low", "high"), "mixed")
         open_rows = stages.write(named.join(mixed, "key"), "open")
         if turn == LEADER_ROUNDS:
             families = _families(open_rows, marks, stages)

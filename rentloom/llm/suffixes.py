@@ -337,7 +337,8 @@ def repeated_spans(docs: DataFrame, stages: Stages) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = docs.filter("doc_id is not null")
     table = stages.write(anchors(named), "anchors")
-    again = table.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram")
+    # Written, so that the join below is a plain one whose hot keys adaptive execution can split.
+    again = stages.write(table.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram"), "again")
     shared = stages.write(table.join(again, "gram"), "shared")
     stages.drop(table)
     kinds = shared.groupBy("gram", "context").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "place")).alias("one"))
