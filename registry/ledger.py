@@ -273,9 +273,9 @@ def authorized_j19(spark, d):
 
 @entry(
     "evidence_digest_a29",
-    """select property_id, kind, row_count, sha256(string_agg(d, '' order by b)) as digest from (
-         select property_id, kind, substr(h, 1, 3) as b, sha256(string_agg(h, '' order by h)) as d, sum(count(*)) over (partition by property_id, kind)::bigint as row_count from (
-           select property_id, kind, sha256('{"account_code":"' || account_code || '","amount":"' || cast(amount as varchar) || '","id":"' || id || '"}') as h from v_gl) x group by 1, 2, 3) y group by 1, 2, 3""",
+    f"""select property_id, kind, count(*) as row_count,
+         sha256(count(*)::varchar || ',' || {" || ',' || ".join(f"sum(cast('0x' || substr(h, {1 + 8 * i}, 8) as bigint))::varchar" for i in range(8))}) as digest from (
+           select property_id, kind, sha256('{{"account_code":"' || account_code || '","amount":"' || cast(amount as varchar) || '","id":"' || id || '"}}') as h from v_gl) x group by 1, 2""",
 )
 def evidence_digest_a29(spark, d):
     from rentloom.functions.hashing import canonical_json

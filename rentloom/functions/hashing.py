@@ -22,20 +22,14 @@ def prefixed_id(prefix: str, length: int = 64, **fields: Column) -> Column:
     return F.concat(F.lit(prefix + "_"), F.substring(canonical_sha256(**fields), 1, length))
 
 
-def group_digest(df: DataFrame, keys: list[str], row: Column, name: str, fanout: int = 3) -> DataFrame:
-    """Order-free SHA-256 over all rows of each group, in two levels.
+def group_digest(df: DataFrame, keys: list[str], row: Column, name: str) -> DataFrame:
+    """Order-free SHA-256 over all rows of each group, and their number.
 
-    Rows are hashed, bucketed by the first ``fanout`` hex digits of their hash, and each bucket's sorted hashes
-    give a bucket digest; the sorted bucket digests give the group digest. A task only ever holds one bucket
-    (1/16^fanout of a group), so a group with a third of the table still spreads over the cluster.
+    Each row's hash is cut into eight 32-bit words; the count and the eight sums are hashed. Sums combine before the
+    shuffle, so a group sends one row per task however many rows it has, and nothing is gathered.
     """
     hashed = df.select(*keys, F.sha2(row, 256).alias("_h"))
-    buckets = hashed.groupBy(*keys, F.substring("_h", 1, fanout).alias("_b")).agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list("_h")), ""), 256).alias("_d"), F.count("*").alias("_n")
-    )
-    return buckets.groupBy(*keys).agg(
-        F.sha2(
-            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_b", "_d"))), lambda s: s["_d"]), ""), 256
-        ).alias(name),
-        F.sum("_n").alias("row_count"),
-    )
+    word = lambda i: F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")
+    sums = hashed.groupBy(*keys).agg(F.count("*").alias("row_count"), *[F.sum(word(i)).alias(f"_w{i}") for i in range(8)])
+    parts = [F.col(c).cast("string") for c in ("row_count", *(f"_w{i}" for i in range(8)))]
+    return sums.select(*keys, F.sha2(F.concat_ws(",", *parts), 256).alias(name), "row_count")

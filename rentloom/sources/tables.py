@@ -83,7 +83,7 @@ def _line() -> Column:
 def revision_digest(revisions: DataFrame, gl: DataFrame, snapshots: DataFrame) -> DataFrame:
     """SHA-256 per revision over its header, its snapshot and the digest of all its ledger lines.
 
-    Lines are digested in buckets first (see ``group_digest``), so a revision of any length is safe."""
+    Lines are digested by sums of hash words (see ``group_digest``), so a revision of any length is safe."""
     from rentloom.functions.hashing import group_digest
 
     lines = group_digest(gl, ["revision_id"], _line(), "lines_sha256").drop("row_count")
