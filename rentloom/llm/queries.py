@@ -40,7 +40,36 @@ def op9(spark, sf_dir):
     return quality.quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
-@entry("op3_circulant_minhash")
+@entry(
+    "op3_circulant_minhash",
+    """
+    with recursive words as (
+        select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                         '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+        from documents
+    ),
+    sets as (
+        select doc_id, case when len(w) < 2 then list_filter([array_to_string(w, ' ')], lambda x: x <> '')
+                            else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s
+        from words
+    ),
+    shingles as (select doc_id, len(s) as n, unnest(s) as g from sets),
+    links as (
+        select a.doc_id as x, b.doc_id as y
+        from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+        group by a.doc_id, b.doc_id, a.n, b.n
+        having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+    ),
+    reach(doc_id, other) as (
+        select doc_id, doc_id from sets
+        union
+        select r.doc_id, case when l.x = r.other then l.y else l.x end from reach r join links l on l.x = r.other or l.y = r.other
+    ),
+    least_of as (select doc_id, min(other) as component_id from reach group by doc_id)
+    select s.doc_id, cast(len(s.s) as bigint) as n_shingles, c.component_id, s.doc_id = c.component_id as kept
+    from sets s join least_of c on c.doc_id = s.doc_id
+    """,
+)
 def op3(spark, sf_dir):
     return minhash.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
 
@@ -71,14 +100,14 @@ def op6(spark, sf_dir):
     "op7_kd_trees",
     """
     with whole as (
-        select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as v
+        select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
         from embeddings
         where vec_id is not null and embedding is not null and len(embedding) > 0
-          and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+          and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
     ),
     scored as (
         select q.vec_id as query_id, c.vec_id,
-               cast(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) as bigint) as score
+               cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
         from whole q join whole c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
     )
     select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score

@@ -163,7 +163,8 @@ def test_registered_queries(spark, name):
     sql = queries.ENTRIES[name][1]
     if sql:
         con = duckdb.connect()
-        con.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
+        for table in ("documents", "embeddings"):
+            con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
         want = con.execute(sql)
         assert sorted(c[0] for c in want.description) == sorted(rows.columns)
         order = [c[0] for c in want.description]
