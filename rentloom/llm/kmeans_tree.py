@@ -25,6 +25,7 @@ PROBES = 200  # queries that calibrate the traversal
 RECALL = 0.98  # share of their true neighbours to reach
 BRANCHES, LEAF_SHARE, MOST_LEAVES = 8, 200, 1024
 BLOCK_ROWS, BLOCK_QUERIES = 2048, 256
+HELD_ROWS = 400_000  # found rows that a task holds before it hands some on
 
 
 @dataclass
@@ -142,6 +143,12 @@ def _found(query: np.ndarray, vec: np.ndarray, score: np.ndarray) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
 
 
+def _best(held: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    query, vec, score = (np.concatenate(x) for x in zip(*held))
+    best = best_rows(query, vec, score, k)
+    return query[best], vec[best], score[best]
+
+
 def full_scan(rows: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
     """True neighbours of a bounded number of queries: every batch of rows gives its best k, which are merged."""
 
@@ -211,11 +218,22 @@ def search(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     pairs = _blocks(asked, BLOCK_QUERIES, "query").join(_blocks(filed.select("leaf", "vec_id", "embedding"), BLOCK_ROWS, "row"), "leaf")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        count = 0
         for batch in batches:
             for x in batch.to_pylist():
                 query_ids, ids = (np.frombuffer(x[c], "<i8") for c in ("query_ids", "row_ids"))
                 points = [np.frombuffer(x[c], "<f8").reshape(-1, width) for c in ("query_points", "row_points")]
-                yield _found(*_pairs(query_ids, points[0], ids, points[1], k))
+                held.append(_pairs(query_ids, points[0], ids, points[1], k))
+                count += len(held[-1][0])
+                if count > HELD_ROWS:  # keep each query's best of all leaves seen in this task
+                    held = [_best(held, k)]
+                    count = len(held[0][0])
+                    if count > HELD_ROWS // 2:
+                        yield _found(*held[0])
+                        held, count = [], 0
+        if held:
+            yield _found(*_best(held, k))
 
     return ranked(pairs.mapInArrow(score, FOUND), k)
 
