@@ -2,9 +2,9 @@
 
 Pages are cut into lines at block elements. Within each host they are sorted by URL path, and each is paired with the
 neighbour whose path shares the longest prefix. The lines of both are aligned by their longest common subsequence;
-shared lines belong to the site and are deleted. Two things temper this: lines inside the page's article element are its
-own words even if another page quotes them, and lines in elements that are marked as navigation, advert, notice, form,
-comment or the like go even where no other page shares them.
+shared lines belong to the site and are deleted, inside the page's article element too. Two things add to this: where the
+article holds most of what is not shared, lines outside it go, and lines in elements that are marked as navigation, advert,
+notice, form, comment or the like go even where no other page shares them.
 """
 
 from __future__ import annotations
@@ -173,22 +173,22 @@ def common_places(a: list[int], b: list[int]) -> list[int]:
     return [*range(head), *reversed(found), *range(len(a) - tail, len(a))]
 
 
-def main_text(lines: list[str], kinds: bytes, codes: list[int], partners: list[list[int]]) -> str:
-    """Lines that stay after those shared with a partner are deleted, article lines apart, and those marked as the site's.
+def kept_places(lengths: list[int], kinds: bytes, codes: list[int], partners: list[list[int]]) -> list[int]:
+    """Places of the lines that stay: those marked as the site's go, and those shared with a partner, in the article or not.
 
-    On a page without article element, a partner that shares most of the plain text is a copy of the page and tells nothing
-    about the site: the next one counts. With an article element, plain lines outside it are not the main text.
+    A partner that shares most of the unmarked text is a copy of the page and tells nothing about the site: the next one
+    counts. The article decides over the lines outside it only where it holds most of the text that is not shared.
     """
-    article = ARTICLE in kinds
-    weight = sum(len(x) for x, kind in zip(lines, kinds) if kind == PLAIN)
+    own = [i for i, kind in enumerate(kinds) if kind != SITE_LINE]
     shared: set[int] = set()
     for partner in partners:
-        shared = {i for i in common_places(codes, partner) if kinds[i] != ARTICLE}
-        if article or 2 * sum(len(lines[i]) for i in shared if kinds[i] == PLAIN) <= weight:
+        found = {i for i in common_places(codes, partner) if kinds[i] != SITE_LINE}
+        if 2 * sum(lengths[i] for i in found) <= sum(lengths[i] for i in own):
+            shared = found
             break
-        shared = set()
-    stays = ARTICLE if article else PLAIN
-    return "\n".join(x for i, (x, kind) in enumerate(zip(lines, kinds)) if i not in shared and kind == stays)
+    left = [i for i in own if i not in shared]
+    article = [i for i in left if kinds[i] == ARTICLE]
+    return article if 2 * sum(lengths[i] for i in article) > sum(lengths[i] for i in left) else left
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -244,7 +244,8 @@ def extract(pages: DataFrame) -> DataFrame:
             after = next(rows, None)
             near = [x for x in (before, after) if x is not None and x["host"] == row["host"]]
             near.sort(key=lambda x: -prefix(x["path"], row["path"]))
-            yield row["page_id"], row["url"], main_text(row["lines"], row["kinds"], row["codes"], [x["codes"] for x in near])
+            stay = kept_places([len(x) for x in row["lines"]], row["kinds"], row["codes"], [x["codes"] for x in near])
+            yield row["page_id"], row["url"], "\n".join(row["lines"][i] for i in stay)
             before, row = row, after
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

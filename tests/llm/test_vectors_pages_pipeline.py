@@ -113,6 +113,18 @@ def test_pages(spark):
     assert pages.extract(df.limit(0)).collect() == []
 
 
+def test_differencing_acts_inside_articles(spark):
+    body = "<html><body><article><p>Subscribe today</p><p>{0}</p></article></body></html>"
+    teaser = "<html><body><div>{0}</div><div><article><p>Read on {1}</p></article></div></body></html>"
+    own = [f"own words of page {i} " * 4 for i in range(6)]
+    rows = [(i, f"http://c.org/{i}", body.format(own[i])) for i in range(3)]
+    rows += [(i, f"http://d.org/{i}", teaser.format(own[i], i)) for i in range(3, 6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    by = {r.page_id: r.text for r in pages.extract(df.coalesce(1)).collect()}
+    assert [by[i] for i in range(3)] == [x.strip() for x in own[:3]]
+    assert [by[i] for i in range(3, 6)] == [f"{own[i].strip()}\nRead on {i}" for i in range(3, 6)]
+
+
 def test_common_places_are_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
