@@ -1,7 +1,7 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages are cut into lines at block elements. Within each host they are sorted by URL path, and each is paired with the
-neighbour whose path shares the longest prefix. The lines of both are aligned by their longest common subsequence;
+nearby page whose path shares the longest prefix, copies of it left out. The lines of both are aligned by their longest common subsequence;
 shared lines belong to the site and are deleted, inside the page's article element too. Two things add to this: where the
 article holds most of what is not shared, lines outside it go, and lines in elements that are marked as navigation, advert,
 notice, form, comment or the like go even where no other page shares them.
@@ -12,15 +12,17 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from rentloom.llm.common import bounded_batches, own_columns
+from rentloom.llm.common import Stages, bounded_batches, own_columns
 
 # Element names and marks of HTML pages.
 BLOCKS = set(
@@ -176,47 +178,63 @@ def common_places(a: list[int], b: list[int]) -> list[int]:
 def kept_places(lengths: list[int], kinds: bytes, codes: list[int], partners: list[list[int]]) -> list[int]:
     """Places of the lines that stay: those marked as the site's go, and those shared with a partner, in the article or not.
 
-    A partner that shares most of the unmarked text is a copy of the page and tells nothing about the site: the next one
-    counts. The article decides over the lines outside it only where it holds most of the text that is not shared.
+    Partners are other line lists, nearest first. The first that shares at most half of the unmarked text is another page
+    and decides. If none does, those that lack a tenth of it or more decide together: what all of them have goes. A page
+    that is within a tenth of all its partners is one of several copies, and all of it stays. The article decides over
+    the lines outside it only where it holds most of the text that is not shared.
     """
     own = [i for i, kind in enumerate(kinds) if kind != SITE_LINE]
+    weight = sum(lengths[i] for i in own)
     shared: set[int] = set()
+    alike: list[set[int]] = []
     for partner in partners:
         found = {i for i in common_places(codes, partner) if kinds[i] != SITE_LINE}
-        if 2 * sum(lengths[i] for i in found) <= sum(lengths[i] for i in own):
+        held = sum(lengths[i] for i in found)
+        if 2 * held <= weight:
             shared = found
             break
+        if 10 * held <= 9 * weight:
+            alike.append(found)
+    else:
+        shared = set.intersection(*alike) if alike else set()
     left = [i for i in own if i not in shared]
     article = [i for i in left if kinds[i] == ARTICLE]
     return article if 2 * sum(lengths[i] for i in article) > sum(lengths[i] for i in left) else left
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, path, lines, kinds, codes) of every page."""
+def host_and_path(url: str | None) -> tuple[str, str]:
+    try:
+        place = urlsplit(url or "")
+        return place.netloc.lower(), place.path.rstrip("/")
+    except ValueError:
+        return "", url
+
+
+def with_key(pages: DataFrame) -> DataFrame:
+    """page_id, url, html and a key of url and html: rows with the same key have the same text."""
+    whole = F.concat(F.coalesce(F.concat(F.length("url").cast("string"), F.lit(":"), F.col("url")), F.lit("-")), F.lit(" "), F.coalesce("html", F.lit("")))
+    return own_columns(pages, "page_id", "url", "html").withColumn("key", F.unhex(F.md5(whole.cast("binary"))))
+
+
+OUTLINE = "key binary, host string, path string, list binary, codes array<bigint>, kinds binary, lengths array<int>"
+
+
+def outlines(keyed: DataFrame) -> DataFrame:
+    """One row per key: host, path and digest of the line list; hash, kind and length of each line, but no text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths, lines, kinds, codes = [], [], [], [], []
-            for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-                try:
-                    place = urlsplit(url or "")
-                    host, path = place.netloc.lower(), place.path.rstrip("/")
-                except ValueError:
-                    host, path = "", url
+            rows = []
+            for key, url, page in zip(batch.column("key").to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist()):
                 found = lines_of(page or "")
-                hosts.append(host)
-                paths.append(path)
-                lines.append([x for x, _ in found])
-                kinds.append(bytes(k for _, k in found))
-                codes.append([xxh3_64_intdigest(x) - (1 << 63) for x, _ in found])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(hosts), pa.array(paths), pa.array(lines, pa.list_(pa.string())), pa.array(kinds, pa.binary()), pa.array(codes, pa.list_(pa.int64()))],
-                ["page_id", "url", "host", "path", "lines", "kinds", "codes"],
-            )
+                codes = np.array([xxh3_64_intdigest(x) - (1 << 63) for x, _ in found], np.int64)
+                own = codes[[kind != SITE_LINE for _, kind in found]] if found else codes
+                rows.append((key, *host_and_path(url), xxh3_128_digest(own.tobytes()), codes.tolist(), bytes(k for _, k in found), [len(x) for x, _ in found]))
+            columns = zip(*rows) if rows else [[]] * 7
+            types = [pa.binary(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in OUTLINE.split(", ")])
 
-    kind = pages.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {kind}, url string, host string, path string, lines array<string>, kinds binary, codes array<bigint>"
-    return own_columns(pages, "page_id", "url", "html").mapInArrow(run, schema)
+    return keyed.select("key", "url", "html").mapInArrow(run, OUTLINE).dropDuplicates(["key"])
 
 
 def prefix(a: str, b: str) -> int:
@@ -228,43 +246,116 @@ def prefix(a: str, b: str) -> int:
     return n
 
 
+NEAR = 4  # partners before and after a page, each with another line list
+
+
+def recent(held: dict, row: dict) -> None:
+    """Note a row as the last of its line list in ``held``, which keeps the NEAR + 1 lists that came last, all of one host."""
+    if held and next(iter(held.values()))["host"] != row["host"]:
+        held.clear()
+    held.pop(row["list"], None)
+    held[row["list"]] = row
+    if len(held) > NEAR + 1:
+        del held[next(iter(held))]
+
+
+def partners_of(rows: list[dict]) -> Iterator[tuple[dict, list[dict]]]:
+    """Each row, in order of host and path, with its partners: up to NEAR on either side, nearest path first."""
+    after: list[list[dict]] = []
+    held: dict = {}
+    for row in reversed(rows):
+        recent(held, row)
+        after.append([x for x in reversed(held.values()) if x["list"] != row["list"]][:NEAR])
+    held = {}
+    for row, later in zip(rows, reversed(after)):
+        recent(held, row)
+        before = [x for x in reversed(held.values()) if x["list"] != row["list"]][:NEAR]
+        yield row, sorted({x["list"]: x for x in later + before}.values(), key=lambda x: -prefix(x["path"], row["path"]))
+
+
+def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    return ((part, list(rows)) for part, rows in groupby((row for batch in batches for row in batch.to_pylist()), itemgetter("part")))
+
+
+def neighbours(sorted_outlines: DataFrame) -> DataFrame:
+    """The outlines with those rows of other parts that are partners across an edge, marked by ``guest``.
+
+    Only digests of the NEAR + 1 first and last line lists of each part go through the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in by_part(batches):
+            for side, ordered in enumerate((reversed(rows), rows)):
+                held: dict = {}
+                for row in ordered:
+                    recent(held, row)
+                found = [(part, side, rank, x["host"], x["list"], x["key"], len({rows[0]["host"], rows[-1]["host"]}) == 1) for rank, x in enumerate(reversed(held.values()))]
+                types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], ["part", "side", "rank", "host", "list", "key", "one_host"])
+
+    edges: dict[tuple[int, int], list] = {}
+    kind = "part int, side int, rank int, host string, list binary, key binary, one_host boolean"
+    light = sorted_outlines.select("part", "host", "path", "key", "list").repartitionByRange("part").sortWithinPartitions("part", "host", "path", "key")
+    for row in sorted(light.mapInArrow(run, kind).collect(), key=lambda x: x["rank"]):
+        edges.setdefault((row["part"], row["side"]), []).append(row)
+    parts, guests = sorted({part for part, _ in edges}), []
+    for at, part in enumerate(parts):
+        for side, others in ((1, reversed(parts[:at])), (0, parts[at + 1 :])):
+            host, lists = edges[part, 1 - side][-1]["host"], set()
+            for other in others:
+                rows = edges[other, side]
+                if rows[0]["host"] != host:
+                    break
+                for row in rows:
+                    if len(lists) <= NEAR and row["list"] not in lists:
+                        lists.add(row["list"])
+                        guests.append((bytes(row["key"]), part))
+                if len(lists) > NEAR or not rows[0]["one_host"]:
+                    break
+    wanted = sorted_outlines.sparkSession.createDataFrame(guests, "key binary, target int")
+    far = sorted_outlines.join(wanted, "key").withColumn("part", F.col("target")).drop("target").withColumn("guest", F.lit(True))
+    return sorted_outlines.withColumn("guest", F.lit(False)).unionByName(far)
+
+
+def decided(keyed: DataFrame) -> DataFrame:
+    """(key, stay): the places of the lines that stay on the page."""
+    stages = Stages(keyed.sparkSession, "pages")
+    ranged = outlines(keyed).repartitionByRange("host", "path", "key").withColumn("part", F.spark_partition_id())
+    ranged = stages.write(ranged, "outlines")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_part(batches):
+            keys, places = [], []
+            for row, near in partners_of(rows):
+                if not row["guest"]:
+                    keys.append(row["key"])
+                    places.append(kept_places(row["lengths"], row["kinds"], row["codes"], [x["codes"] for x in near]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(places, pa.list_(pa.int32()))], ["key", "stay"])
+
+    together = neighbours(ranged).repartitionByRange("part").sortWithinPartitions("part", "host", "path", "key")
+    return together.mapInArrow(run, "key binary, stay array<int>")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
     A null html is empty, and so is the text of a page without main text. A null url is a page without host. Repeated
     rows come back each; an empty table gives an empty result; other columns are not read. Sorting by host and path deals
-    a large host over many tasks; a page at the edge of a task is paired with its neighbour inside.
+    a large host over many tasks; pages beyond the edge of a task are brought to it, so texts do not depend on the edges.
     """
     bounded_batches(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
 
-    def texts(rows: Iterator[dict]) -> Iterator[tuple]:
-        before, row = None, next(rows, None)
-        while row is not None:
-            after = next(rows, None)
-            near = [x for x in (before, after) if x is not None and x["host"] == row["host"]]
-            near.sort(key=lambda x: -prefix(x["path"], row["path"]))
-            stay = kept_places([len(x) for x in row["lines"]], row["kinds"], row["codes"], [x["codes"] for x in near])
-            yield row["page_id"], row["url"], "\n".join(row["lines"][i] for i in stay)
-            before, row = row, after
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for item in texts(row for batch in batches for row in batch.to_pylist()):
-            held.append(item)
-            if len(held) == 500:
-                yield out(held)
-                held = []
-        if held:
-            yield out(held)
-
-    def out(held: list[tuple]) -> pa.RecordBatch:
-        ids, urls, found = zip(*held)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, arrow_kind), pa.array(urls, pa.string()), pa.array(found, pa.string()), pa.array(np.array([len(x) for x in found], np.int64))],
-            ["page_id", "url", "text", "n_chars"],
-        )
-
-    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    together = parsed(pages).repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "url")
-    return together.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
+        for batch in batches:
+            found = []
+            for page, stay in zip(batch.column("html").to_pylist(), batch.column("stay").to_pylist()):
+                lines = lines_of(page or "") if stay else []
+                found.append("\n".join(lines[i][0] for i in stay or []))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array(np.array([len(x) for x in found], np.int64))],
+                ["page_id", "url", "text", "n_chars"],
+            )
+
+    keyed = with_key(pages)
+    return keyed.join(decided(keyed), "key", "left").select("page_id", "url", "html", "stay").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")

@@ -125,6 +125,24 @@ def test_differencing_acts_inside_articles(spark):
     assert [by[i] for i in range(3, 6)] == [f"{own[i].strip()}\nRead on {i}" for i in range(3, 6)]
 
 
+def test_copies_short_pages_and_task_edges_keep_their_partners(spark):
+    menu = "<div>Unmarked menu of this site, longer than the own text of its pages</div>"
+    rows = [(i, f"http://e.org/{i:02}", f"<body>{menu}<p>own text {i // 5} of five copies</p></body>") for i in range(20)]
+    rows += [(20 + i, f"http://f.org/{i}", f"<body>{menu}<p>short page {i}</p></body>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    expected = {i: f"own text {i // 5} of five copies" for i in range(20)} | {20 + i: f"short page {i}" for i in range(6)}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (1, 13):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            assert {r.page_id: r.text for r in pages.extract(df).collect()} == expected
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+
+
 def test_common_places_are_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
