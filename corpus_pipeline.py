@@ -27,7 +27,7 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier document has; n_chars follows the text. No row goes."""
-    return chunks.remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return chunks.remove_repeats(docs, whole=True).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,7 +76,7 @@ def op3(spark, sf_dir):
 
 @entry("op4_gear_chunks")
 def op4(spark, sf_dir):
-    return chunks.remove_repeats(documents(spark, sf_dir), "spans").select("doc_id", "text", "spans")
+    return chunks.remove_repeats(documents(spark, sf_dir), "spans", whole=True).select("doc_id", "text", "spans")
 
 
 @entry("op5_deep_shallow_suffixes")

@@ -254,3 +254,23 @@ def test_chunk_removal_edges(spark):
     assert len(got) == 6 and by[1].text == passage and by[3].text is None and by[4].text == "" and by[None].text == passage
     assert passage[150:350] not in by[2].text and len(by[2].spans) == 1
     assert chunks.remove_repeats(frame(spark, [])).collect() == []
+
+
+def test_whole_passages_go_up_to_their_last_byte(spark):
+    rng = random.Random(3)
+
+    def words(n):
+        return " ".join("".join(rng.choice("abcdeféß") for _ in range(rng.randint(2, 8))) for _ in range(n))
+
+    passages = [words(51) for _ in range(60)]
+    rows = [(i, f"{words(40)}.{x}.{words(40)}") for i, x in enumerate(passages)]
+    later = [(words(40), words(40)) for _ in passages]
+    rows += [(100 + i, f"{a}|{x}|{b}") for i, (x, (a, b)) in enumerate(zip(passages, later))]
+    rows.append((500, f"{later[0][0]} {words(30)}\n{rows[-1][1][:40]} {words(60)} {(again := words(51))} {words(9)} {again} {words(9)}"))
+    by = {r.doc_id: r for r in chunks.remove_repeats(frame(spark, rows), "spans", whole=True).collect()}
+    texts = dict(rows)
+    for i in range(60):
+        assert by[i].text == texts[i] and by[i].spans == []
+        a, b = later[i]
+        assert by[100 + i].text == f"{a}||{b}" and len(by[100 + i].spans) == 1
+    assert by[500].text.count(again) == 1 and by[500].text.count(again[:40]) == 1 and by[500].text.count(again[-40:]) == 1
