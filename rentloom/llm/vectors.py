@@ -43,3 +43,42 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def exact_products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of two 64-bit integer matrices, exact; one beyond 64 bits becomes the nearest long.
+
+    Both sides decide together: doubles serve while no sum can pass 2^53.
+    """
+    most = [max(int(x.max(initial=0)), -int(x.min(initial=0))) for x in (left, right)]
+    rough = left.astype(np.float64) @ right.astype(np.float64).T
+    if left.shape[1] * most[0] * most[1] <= 1 << 53:
+        return rough.astype(np.int64)
+    out = left @ right.T
+    for i, j in np.argwhere(np.abs(rough) >= 2.0**62).tolist():
+        exact = sum(a * b for a, b in zip(left[i].tolist(), right[j].tolist()))
+        out[i, j] = min(max(exact, -(1 << 63)), (1 << 63) - 1)
+    return out
+
+
+def scaled(column: pa.Array, width: int, scale: int) -> np.ndarray:
+    """floor(scale · component) of the rows of a list column of one width, as 64-bit integers."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return np.floor(scale * flat).astype(np.int64).reshape(len(column), width)
+
+
+def fits_long(column: str, scale: int) -> Column:
+    """Whether scale · component fits a 62-bit integer for all components."""
+    return ~F.exists(F.col(column), lambda v: F.abs(v.cast("double")) * scale >= float(1 << 62))
+
+
+def one_row_each(rows: DataFrame, stages) -> DataFrame:
+    """One row per vec_id, the one whose other columns sort first. Only ids that do repeat are grouped."""
+    others = [c for c in rows.columns if c != "vec_id"]
+    again = stages.write(rows.groupBy("vec_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("vec_id"), "repeated")
+    if again.isEmpty():
+        return rows
+    first = rows.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min(F.struct(*others)).alias("_r"))
+    return rows.join(again, "vec_id", "left_anti").unionByName(first.select("vec_id", *(F.col(f"_r.{c}").alias(c) for c in others)))
