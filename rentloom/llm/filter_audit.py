@@ -71,7 +71,7 @@ def failures(text: bytes) -> int:
 
 @lru_cache(maxsize=None)
 def packed_outcomes(mask: int) -> int:
-    """The big integer of a mask: 1 in each field whose outcome a document with that mask has, 120 / position shares in the last five."""
+    """The big integer of a mask: 1 in each field whose outcome such a document has, and the orders in which each filter removes it."""
     fails = [bool(mask >> i & 1) for i in range(len(LETTERS))]
     good, toxic = bool(mask & GOOD), bool(mask & TOXIC)
     table = np.zeros((len(MEASURES), len(STEPS)), np.uint64)
