@@ -192,10 +192,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Encoder:
     """Texts → ids, in slices of many texts at once. ``merge`` turns words into ids.
 
-    Merged words are kept in sorted arrays by a 64-bit hash of their bytes and length; the arrays are emptied beyond
-    ``most`` words, and very long words are not kept.
+    Merged words are kept in arrays sorted by a 64-bit hash of their bytes and length. The hash only finds a word: its
+    bytes are compared with the kept ones, and words that share a hash with another are merged on their own. The arrays
+    are emptied beyond ``most`` words or ``MOST_BYTES`` bytes.
     """
 
+    MOST_BYTES = 32 << 20
+
     def __init__(self, merge: Callable[[list[bytes]], list[list[int]]], most: int = 500_000):
         self.merge = merge
         self.most = most
@@ -208,6 +211,8 @@ class Encoder:
     def forget(self) -> None:
         self.keys, self.places, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.begins, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.text, self.held = np.zeros(1 << 18, np.uint8), 0
 
     def _grow(self, n: int) -> None:
         if len(self.powers) < n:
@@ -217,23 +222,42 @@ class Encoder:
                 factors[0] = 1
                 setattr(self, name, np.multiply.accumulate(factors))
 
-    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
-        """Merge words that are new and put them where their keys sort."""
+    def _merged(self, words: list[bytes]) -> tuple[list[int], np.ndarray]:
+        """(ids of all words, number of ids of each)."""
         rows = self.merge(words)
-        sizes = np.fromiter(map(len, rows), np.int32, len(rows))
-        total = int(sizes.sum())
-        if self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), np.uint32)])
         flat: list[int] = []
         for row in rows:
             flat += row
-        self.ids[self.used : self.used + total] = flat
+        return flat, np.fromiter(map(len, rows), np.int32, len(rows))
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Merge words that are new and put them where their keys sort."""
+        flat, sizes = self._merged(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
         places = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
-        self.used += total
+        begins = self.held + np.cumsum(lengths) - lengths
+        for name, used, more in (("ids", "used", flat), ("text", "held", np.frombuffer(b"".join(words), np.uint8))):
+            own, start = getattr(self, name), getattr(self, used)
+            if start + len(more) > len(own):
+                own = np.concatenate([own, np.zeros(max(len(more), len(own)), own.dtype)])
+                setattr(self, name, own)
+            own[start : start + len(more)] = more
+            setattr(self, used, start + len(more))
         at = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, at, keys)
-        self.places = np.insert(self.places, at, places)
-        self.sizes = np.insert(self.sizes, at, sizes)
+        columns = {"keys": keys, "places": places, "sizes": sizes, "begins": begins, "lengths": lengths}
+        for name, values in columns.items():
+            setattr(self, name, np.insert(getattr(self, name), at, values))
+
+    def _strangers(self, data: np.ndarray, begin: np.ndarray, stop: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Words whose bytes are not those kept at their places."""
+        lengths = stop - begin
+        strange = self.lengths[at] != lengths
+        if strange.any():
+            like = np.flatnonzero(~strange)
+            found = like[self._strangers(data, begin[like], stop[like], at[like])] if len(like) else like
+            return np.sort(np.concatenate([np.flatnonzero(strange), found]))
+        unlike = data[ragged_index(begin, lengths)] != self.text[ragged_index(self.begins[at], lengths)]
+        return np.flatnonzero(np.logical_or.reduceat(unlike, np.cumsum(lengths) - lengths)) if unlike.any() else np.zeros(0, np.int64)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text)."""
@@ -246,7 +270,7 @@ class Encoder:
         keys = (sums[stop] - sums[begin]) * self.inverse[begin]
         keys ^= (stop - begin).astype(np.uint64)
         unique, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.keys) > self.most:
+        if len(self.keys) > self.most or self.held > self.MOST_BYTES:
             self.forget()
         at = np.minimum(np.searchsorted(self.keys, unique), max(len(self.keys) - 1, 0))
         known = self.keys[at] == unique if len(self.keys) else np.zeros(len(unique), bool)
@@ -255,8 +279,14 @@ class Encoder:
             raw = data.tobytes()
             self._learn(unique[new], [raw[a:b] for a, b in zip(begin[first[new]].tolist(), stop[first[new]].tolist())])
             at = np.searchsorted(self.keys, unique)
-        lengths = self.sizes[at].astype(np.int64)[which]
-        ids = self.ids[ragged_index(self.places[at][which], lengths)]
+        lengths, places, table = self.sizes[at].astype(np.int64)[which], self.places[at][which], self.ids
+        strange = self._strangers(data, begin, stop, at[which])
+        if len(strange):
+            raw = data.tobytes()
+            flat, sizes = self._merged([raw[a:b] for a, b in zip(begin[strange].tolist(), stop[strange].tolist())])
+            lengths[strange], places[strange] = sizes, self.used + np.cumsum(sizes, dtype=np.int64) - sizes
+            table = np.concatenate([self.ids[: self.used], np.array(flat, np.uint32)])
+        ids = table[ragged_index(places, lengths)]
         text_of_mark = np.cumsum(ends) - ends
         counts = np.bincount(text_of_mark[words], weights=lengths, minlength=len(texts)).astype(np.int64)
         return ids, counts

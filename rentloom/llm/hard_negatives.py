@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentloom.llm.common import Stages, bounded_batches
-from rentloom.llm.vectors import exact_products, fits_long, one_row_each, scaled, usable
+from rentloom.llm.vectors import PACKED, every_shard, exact_products, fits_long, meet, one_row_each, packed, scaled, usable
 
 SHARD_ROWS, SHARD_BYTES = 65_536, 32 << 20  # most rows and bytes of vectors in a shard
 LEAST_SHARD_ROWS, FEW_SHARDS = 4096, 64  # smaller tables are cut finer, so that tasks have work
@@ -140,60 +140,34 @@ def limits_of(score: int, low: int, high: int) -> tuple[int, int]:
 
 
 def _shards(rows: DataFrame, count: int, scale: int) -> DataFrame:
-    """(width, shard, ids, labels, points): the rows of each shard, packed."""
+    """(width, shard, ids, points, tags: labels): the rows of each shard, packed."""
 
     def run(table: pa.Table) -> pa.Table:
         width, shard = table.column("width")[0].as_py(), table.column("shard")[0].as_py()
-        points = scaled(table.column("embedding"), width, scale)
-        ids, labels = (table.column(c).to_numpy().astype("<i8") for c in ("vec_id", "label"))
-        packed = {"ids": ids, "labels": labels, "points": points}
-        return pa.table({"width": pa.array([width], pa.int32()), "shard": [shard]} | {k: [v.astype("<i8").tobytes()] for k, v in packed.items()})
+        ids, labels = (table.column(c).to_numpy() for c in ("vec_id", "label"))
+        return pa.table({"shard": [shard]} | packed(width, ids, scaled(table.column("embedding"), width, scale), labels))
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(count)))
-    return dealt.groupBy("width", "shard").applyInArrow(run, "width int, shard bigint, ids binary, labels binary, points binary")
+    return dealt.groupBy("width", "shard").applyInArrow(run, f"shard bigint, width int, {PACKED}")
 
 
-def _meeting(shards: DataFrame, anchors: DataFrame, count: int, find, schema: str) -> DataFrame:
-    """Every block of anchors meets every shard of its width; ``find(shard, block)`` gives a record batch.
-
-    Shards and copies of the blocks are dealt by (width, shard); in a task each shard comes before its blocks.
-    """
-    rows = shards.select("width", "shard", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("block"), "ids", "labels", "points", F.lit(None).cast("binary").alias("limits"))
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))
-    asked = anchors.select("width", every.alias("shard"), F.lit(1).alias("kind"), "block", "ids", "labels", "points", "limits")
-    met = rows.unionByName(asked).repartition("width", "shard").sortWithinPartitions("width", "shard", "kind", "block")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, shard = None, None
-        for batch in batches:
-            for place in range(batch.num_rows):
-                x = {name: batch.column(name)[place] for name in batch.schema.names}
-                at = (x["width"].as_py(), x["shard"].as_py())
-                ids, labels, points = (np.frombuffer(x[c].as_buffer(), "<i8") for c in ("ids", "labels", "points"))
-                points = points.reshape(len(ids), at[0])
-                if x["kind"].as_py() == 0:
-                    here, shard = at, _shard(ids, labels, points)
-                elif here == at:  # a shard without rows has nothing to give
-                    limits = np.frombuffer(x["limits"].as_buffer(), "<i8").reshape(len(ids), -1) if x["limits"].is_valid else None
-                    yield find(shard, ids, labels, points, limits)
-
-    return met.mapInArrow(run, schema)
-
-
-def _blocks(anchors: DataFrame, count: int, scale: int, limits: bool) -> DataFrame:
-    """(width, block, ids, labels, points, limits) of anchors, packed; limits are the upper ones and the least lower one."""
+def _blocks(anchors: DataFrame, count: int, scale: int) -> DataFrame:
+    """(width, ids, points, tags: labels, limits) of anchors, packed; limits are the upper ones and the least lower one."""
 
     def run(table: pa.Table) -> pa.Table:
         width = table.column("width")[0].as_py()
-        points = scaled(table.column("embedding"), width, scale)
-        ids, labels = (table.column(c).to_numpy().astype("<i8") for c in ("vec_id", "label"))
-        packed = {"ids": ids.tobytes(), "labels": labels.tobytes(), "points": points.astype("<i8").tobytes()}
-        packed["limits"] = np.array(table.column("limits").to_pylist(), "<i8").tobytes() if limits else None
-        block = table.column("block")[0].as_py()
-        return pa.table({"width": pa.array([width], pa.int32()), "block": [block]} | {k: pa.array([v], pa.binary()) for k, v in packed.items()})
+        ids, labels = (table.column(c).to_numpy() for c in ("vec_id", "label"))
+        limits = np.array(table.column("limits").to_pylist(), "<i8") if "limits" in table.column_names else None
+        return pa.table(packed(width, ids, scaled(table.column("embedding"), width, scale), labels, limits))
 
     dealt = anchors.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(count)))
-    return dealt.groupBy("width", "block").applyInArrow(run, "width int, block bigint, ids binary, labels binary, points binary, limits binary")
+    return dealt.groupBy("width", "block").applyInArrow(run, f"width int, {PACKED}")
+
+
+def _sorted(x: dict) -> Shard:
+    if "sorted" not in x:
+        x["sorted"] = _shard(x["ids"], x["tags"], x["points"])
+    return x["sorted"]
 
 
 def _columns_of(names: list[str], arrays: tuple) -> pa.RecordBatch:
@@ -229,24 +203,24 @@ def mine(
 
     names = ["anchor_id", "positive_id", "score"]
 
-    def same(shard, ids, labels, points, _):
-        return _columns_of(names, best_of_label(shard, ids, labels, points, positives))
+    def same(shard, block):
+        return _columns_of(names, best_of_label(_sorted(shard), block["ids"], block["tags"], block["points"], positives))
 
-    near = _meeting(shards, _blocks(anchors, blocks, scale, False), count, same, ", ".join(f"{n} bigint" for n in names))
+    near = meet(shards, every_shard(_blocks(anchors, blocks, scale), count), same, ", ".join(f"{n} bigint" for n in names))
     order = Window.partitionBy("anchor_id").orderBy(F.desc("score"), "positive_id")
     near = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= positives).drop("place")
     chosen = stages.write(near.groupBy("anchor_id").agg(F.collect_list(F.struct("score", "positive_id")).alias("positives")), "positives")
 
-    width = positives + 1
     asked = anchors.join(chosen.select(F.col("anchor_id").alias("vec_id"), "positives"), "vec_id")
     asked = _with_limits(asked, positives, low, high)
     found_names = ["anchor_id", "slot", "negative_id", "score"]
 
-    def other(shard, ids, labels, points, limits):
-        place, *rest = best_of_slots(shard, labels, points, limits[:, : width - 1], limits[:, width - 1], k)
-        return _columns_of(found_names, (ids[place], *rest))
+    def other(shard, block):
+        limits = block["limits"].reshape(-1, positives + 1)
+        place, *rest = best_of_slots(_sorted(shard), block["tags"], block["points"], limits[:, :-1], limits[:, -1], k)
+        return _columns_of(found_names, (block["ids"][place], *rest))
 
-    found = _meeting(shards, _blocks(asked, blocks, scale, True), count, other, ", ".join(f"{n} bigint" for n in found_names))
+    found = meet(shards, every_shard(_blocks(asked, blocks, scale), count), other, ", ".join(f"{n} bigint" for n in found_names))
     order = Window.partitionBy("anchor_id", "slot").orderBy(F.desc("score"), "negative_id")
     found = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
     found = found.groupBy("anchor_id").agg(F.collect_list(F.struct("score", "negative_id")).alias("negatives"))

@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentloom.llm.common import Stages, bounded_batches
-from rentloom.llm.vectors import matrix, ranked, usable
+from rentloom.llm.vectors import PACKED, every_shard, exact_products, fits_long, meet, one_row_each, packed, ranked, scaled, usable
 
-SHARD_ROWS, LEAF_ROWS = 4096, 64
+SHARD_ROWS, LEAF_ROWS, BLOCK_QUERIES = 4096, 64, 1024
 NOTHING = -(1 << 62)
 
 
@@ -52,7 +52,7 @@ def build(ids: np.ndarray, points: np.ndarray) -> Tree:
     while todo:
         node = todo.pop()
         start, end = spans[node]
-        spread = high[node] - low[node]
+        spread = high[node].astype(float) - low[node]
         if end - start <= LEAF_ROWS or not spread.any():
             continue
         own = order[start:end]
@@ -68,7 +68,13 @@ def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, kth: np.ndarr
     """(row of the query, its best (score, vec_id)); rows that cannot be among the best k everywhere may be left out."""
     if not len(tree.ids):
         return
-    bounds = np.maximum(queries, 0) @ tree.high.T + np.minimum(queries, 0) @ tree.low.T
+    numbers, floats = queries.astype(np.float64), tree.points.astype(np.float64)
+    low, high = tree.low.astype(np.float64), tree.high.astype(np.float64)
+    bounds = np.maximum(numbers, 0) @ high.T + np.minimum(numbers, 0) @ low.T
+    # Both sides decide together whether doubles are exact; if not, bounds give way by more than they can be wrong.
+    exact = queries.shape[1] * _largest(queries) * max(_largest(tree.low), _largest(tree.high)) <= 1 << 53
+    if not exact:
+        bounds += 1 + 1e-9 * (np.abs(numbers) @ np.maximum(np.abs(high), np.abs(low)).T)
     for row, own in enumerate(query_ids.tolist()):
         best: list[tuple[int, int]] = []  # a heap of (score, -vec_id), the worst on top
         reach = bounds[row]
@@ -83,10 +89,13 @@ def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, kth: np.ndarr
                     heapq.heappush(heap, (-reach[child], child))
                 continue
             start, end = tree.spans[node]
-            scores = tree.points[start:end] @ queries[row]
+            if exact:
+                scores = floats[start:end] @ numbers[row]
+            else:
+                scores = exact_products(tree.points[start:end], queries[row : row + 1])[:, 0]
             near = np.flatnonzero(scores >= floor)
             if len(near) > 4 * k:  # a leaf of equal points can be long
-                near = near[np.lexsort((tree.ids[start + near], -scores[near]))[: k + 1]]
+                near = near[np.lexsort((tree.ids[start + near], -scores[near].astype(float) if exact else ~scores[near]))[: k + 1]]
             for place in near.tolist():
                 vec = int(tree.ids[start + place])
                 if vec == own:
@@ -100,99 +109,74 @@ def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, kth: np.ndarr
             yield row, [(s, -v) for s, v in best]
 
 
-def _pack(ids: np.ndarray, points: np.ndarray) -> tuple[bytes, bytes]:
-    return ids.astype("<i8").tobytes(), points.astype("<i8").tobytes()
+def _largest(points: np.ndarray) -> int:
+    return max(int(points.max(initial=0)), -int(points.min(initial=0)))
 
 
-def _unpack(ids: bytes, points: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, "<i8"), np.frombuffer(points, "<i8").reshape(-1, width)
+def shards(rows: DataFrame, scale: int) -> DataFrame:
+    """(width, shard, ids, points) of rows that carry their shard."""
 
+    def run(table: pa.Table) -> pa.Table:
+        width = table.column("width")[0].as_py()
+        points = scaled(table.column("embedding"), width, scale)
+        return pa.table({"shard": [table.column("shard")[0].as_py()]} | packed(width, table.column("vec_id").to_numpy(), points))
 
-def _numbers(points: np.ndarray) -> np.ndarray:
-    """Integers as doubles if inner products with them stay exact."""
-    most = int(np.abs(points).max()) if points.size else 0
-    return points.astype(np.float64) if most * most * max(points.shape[1], 1) < 1 << 52 else points
+    return rows.groupBy("width", "shard").applyInArrow(run, f"shard bigint, width int, {PACKED}")
 
 
-def shards(rows: DataFrame, count: int, width: int, is_query: Column, scale: int) -> DataFrame:
-    """(shard, ids, points, query_ids, queries): packed rows of each shard; rows that repeat an id count once."""
+def blocks(rows: DataFrame, count: int, scale: int) -> DataFrame:
+    """(width, ids, points, tags: home shards, limits: kth scores) of queries from many shards."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("vec_id").to_numpy()
-        points = np.floor(scale * matrix(table.column("embedding"))).astype(np.int64)
-        order = np.lexsort((*points.T[::-1], ids))
-        order = order[np.append(True, ids[order][1:] != ids[order][:-1])]
-        asked = order[table.column("asked").to_numpy(zero_copy_only=False)[order].astype(bool)]
-        packed = [*_pack(ids[order], points[order]), *_pack(ids[asked], points[asked])]
-        shard = table.column("shard")[0].as_py()
-        return pa.table({"shard": [shard], "ids": [packed[0]], "points": [packed[1]], "query_ids": [packed[2]], "queries": [packed[3]]})
-
-    dealt = rows.select("vec_id", "embedding", is_query.alias("asked"), F.pmod(F.xxhash64("vec_id"), F.lit(count)).alias("shard"))
-    return dealt.groupBy("shard").applyInArrow(run, "shard bigint, ids binary, points binary, query_ids binary, queries binary")
-
-
-def _searched(pairs: DataFrame, width: int, k: int) -> DataFrame:
-    """(home, query_id, vec_id, score) for rows of one shard and one block of queries."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[int, Tree] = {}
-        for batch in batches:
-            for x in batch.to_pylist():
-                if x["shard"] not in trees:
-                    trees.clear()
-                    ids, points = _unpack(x["ids"], x["points"], width)
-                    trees[x["shard"]] = build(ids, _numbers(points))
-                query_ids, queries = _unpack(x["query_ids"], x["queries"], width)
-                kth = np.frombuffer(x["kth"], "<i8") if x["kth"] else np.full(len(query_ids), NOTHING)
-                found = [(query_ids[r], v, s) for r, best in search(trees[x["shard"]], query_ids, _numbers(queries), kth, k) for s, v in best]
-                query, vec, score = zip(*found) if found else ((), (), ())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["home"]] * len(query), pa.int64()), *(pa.array(c, pa.int64()) for c in (query, vec, score))],
-                    ["home", "query_id", "vec_id", "score"],
-                )
-
-    return pairs.mapInArrow(run, "home bigint, query_id bigint, vec_id bigint, score bigint")
+        width = table.column("width")[0].as_py()
+        columns = (table.column(c).to_numpy() for c in ("shard", "kth"))
+        return pa.table(packed(width, table.column("vec_id").to_numpy(), scaled(table.column("embedding"), width, scale), *columns))
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(count)))
+    return dealt.groupBy("width", "block").applyInArrow(run, f"width int, {PACKED}")
+
+
+FOUND = "query_id bigint, vec_id bigint, score bigint"
+
+
+def _searched(k: int):
+    """What a block of queries finds in a shard; those that live there are left out once they carry a home."""
+
+    def find(shard: dict, block: dict) -> pa.RecordBatch:
+        if "tree" not in shard:
+            shard["tree"] = build(shard["ids"], shard["points"])
+        away = np.flatnonzero(block["tags"] != shard["shard"]) if "tags" in block else np.arange(len(block["ids"]))
+        ids, queries = block["ids"][away], block["points"][away]
+        kth = block["limits"][away] if "limits" in block else np.full(len(ids), NOTHING)
+        found = [(ids[r], v, s) for r, best in search(shard["tree"], ids, queries, kth, k) for s, v in best]
+        columns = zip(*found) if found else [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+
+    return find
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of floor(scale · component), ties to the smaller vec_id.
 
-    Candidates are all rows but those with the query's own id; with fewer than k of them, all come. Vectors that are null
-    or hold null or non-finite components, rows with a null id, and vectors shorter than the longest take no part. Rows that
-    repeat an id count once, with the vector that sorts first. An empty table gives an empty result; other columns
-    are not read. Scores must fit 64 bits.
+    Candidates are all rows but those with the query's own id; with fewer than k of them, all come. Vectors meet vectors
+    of their own width only. Vectors that are null or empty or hold null or non-finite components, or components that do
+    not fit 62 bits after scaling, and rows with a null id take no part. Rows that repeat an id count once, with the
+    vector that sorts first. A score beyond 64 bits counts as the nearest long. An empty table gives an empty result;
+    other columns are not read.
     """
     spark = rows.sparkSession
     bounded_batches(spark)
     stages = Stages(spark, "kdtree")
-    fine = rows.filter(F.col("vec_id").isNotNull() & usable())
-    size = fine.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
-    count, width = max(1, -(-size["n"] // SHARD_ROWS)), size["width"] or 0
-    fine = fine.filter(F.size("embedding") == width).select("vec_id", "embedding") if width else fine.select("vec_id", "embedding").limit(0)
-    packed = stages.write(shards(fine, count, width, is_query, scale), "shards")
-    trees = packed.select("shard", "ids", "points")
-    blocks = packed.filter(F.length("query_ids") > 0).select(F.col("shard").alias("home"), "query_ids", "queries")
-    at_home = packed.filter(F.length("query_ids") > 0).select("shard", F.col("shard").alias("home"), "ids", "points", "query_ids", "queries", F.lit(None).cast("binary").alias("kth"))
-    first = stages.write(_searched(at_home, width, k), "first")
-    found = first.groupBy("home", "query_id").agg(F.count("*").alias("n"), F.min("score").alias("low"))
-    found = found.withColumn("low", F.when(F.col("n") >= k, F.col("low")).otherwise(F.lit(NOTHING)))
-    known = found.groupBy("home").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "low"))).alias("kth"))
-    travelling = _with_kth(blocks.join(known, "home", "left"))
-    away = travelling.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))))
-    away = away.filter(F.col("shard") != F.col("home")).join(trees, "shard")
-    second = _searched(away, width, k)
-    return ranked(first.unionByName(second).drop("home"), k)
-
-
-def _with_kth(blocks: DataFrame) -> DataFrame:
-    """Blocks with the kth score of each query, packed in their order; what has none yet gets the lowest number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kth = []
-            for ids, known in zip(batch.column("query_ids").to_pylist(), batch.column("kth").to_pylist()):
-                low = dict(known or [])
-                kth.append(np.array([low.get(i, NOTHING) for i in np.frombuffer(ids, "<i8").tolist()], "<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("home"), batch.column("query_ids"), batch.column("queries"), pa.array(kth, pa.binary())], ["home", "query_ids", "queries", "kth"])
-
-    return blocks.mapInArrow(run, "home bigint, query_ids binary, queries binary, kth binary")
+    fine = rows.filter(F.col("vec_id").isNotNull() & usable() & fits_long("embedding", scale) & (F.size("embedding") > 0))
+    fine = one_row_each(fine.select("vec_id", "embedding"), stages).withColumn("width", F.size("embedding"))
+    size = fine.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("queries")).first()
+    count, groups = max(1, -(-size["n"] // SHARD_ROWS)), max(1, -(-size["queries"] // BLOCK_QUERIES))
+    fine = fine.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(count)))
+    trees = stages.write(shards(fine, scale), "shards")
+    queries = stages.write(fine.filter(is_query), "queries")
+    first = stages.write(meet(trees, shards(queries, scale), _searched(k), FOUND), "first")
+    known = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("low"))
+    known = known.filter(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), F.col("low").alias("kth"))
+    travelling = queries.join(known, "vec_id", "left").withColumn("kth", F.coalesce("kth", F.lit(NOTHING)))
+    second = meet(trees, every_shard(blocks(travelling, groups, scale), count), _searched(k), FOUND)
+    return ranked(first.unionByName(second), k)

@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentloom.llm.common import Stages, bounded_batches
-from rentloom.llm.vectors import best_rows, matrix, ranked, usable
+from rentloom.llm.vectors import best_rows, by_width, matrix, one_row_each, ranked, usable
 
 SAMPLE = 20_000  # rows that the tree is fitted on
 PROBES = 200  # queries that calibrate the traversal
 RECALL = 0.98  # share of their true neighbours to reach
 BRANCHES, LEAF_SHARE, MOST_LEAVES = 8, 200, 1024
+TREE_ROWS = 2048  # vectors of a width with fewer rows are one leaf
+LEAF_BITS = 20  # of a leaf's number; the width stands above them
 BLOCK_ROWS, BLOCK_QUERIES = 2048, 256
 HELD_ROWS = 400_000  # found rows that a task holds before it hands some on
 
@@ -150,12 +152,13 @@ def _best(held: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
 
 
 def full_scan(rows: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
-    """True neighbours of a bounded number of queries: every batch of rows gives its best k, which are merged."""
+    """True neighbours of a bounded number of queries of one width: every batch of rows gives its best k, which are merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield _found(*_pairs(query_ids, queries, batch.column("vec_id").to_numpy(), matrix(batch.column("embedding")), k))
+            for width, own, points in by_width(batch):
+                if width == queries.shape[1]:
+                    yield _found(*_pairs(query_ids, queries, own.column("vec_id").to_numpy(), points, k))
 
     return ranked(rows.mapInArrow(run, FOUND), k)
 
@@ -167,51 +170,62 @@ def calibrate(tree: Tree, filed: DataFrame, probes: list, k: int) -> int:
     ids, queries = np.array([p["vec_id"] for p in probes]), np.array([p["embedding"] for p in probes], float)
     true = full_scan(filed, ids, queries, k).join(filed.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").collect()
     order = {i: {leaf: n for n, leaf in enumerate(visit(tree, q, tree.leaves), 1)} for i, q in zip(ids.tolist(), queries)}
-    depths = sorted(order[r["query_id"]][r["leaf"]] for r in true)
+    depths = sorted(order[r["query_id"]][r["leaf"] & (1 << LEAF_BITS) - 1] for r in true)
     return depths[min(int(np.ceil(RECALL * len(depths))), len(depths)) - 1] if depths else 1
 
 
+def _numbered(width: int, leaf: np.ndarray) -> np.ndarray:
+    return (width << LEAF_BITS) + leaf
+
+
 def search(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products found, ties to the smaller vec_id.
 
-    Candidates are all rows but those with the query's own id. Vectors that are null, zero or hold null or non-finite
-    components, rows with a null id, and vectors shorter than the longest take no part. Rows that repeat an id count once,
-    with the vector that sorts first. An empty table gives an empty result; other columns are not read. The sample for the
+    Candidates are all rows but those with the query's own id. Vectors that are null, empty, zero or hold null or
+    non-finite components, and rows with a null id take no part; vectors meet vectors of their own width only. Rows that
+    repeat an id count once, with the vector that sorts first. An empty table gives an empty result; other columns are
+    not read. Each width with more than TREE_ROWS rows has a tree, all rows of a rarer one are one leaf. The sample for a
     tree (SAMPLE rows with the smallest hashes) and the probes (PROBES queries) are bounded; every row is filed and
     every query searched. Leaves and their queries are split into blocks, so a leaf may hold any share of the rows.
     """
     spark = rows.sparkSession
     bounded_batches(spark)
     stages = Stages(spark, "kmeans")
-    fine = rows.filter(F.col("vec_id").isNotNull() & usable(zero=False)).select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("asked"))
+    fine = rows.filter(F.col("vec_id").isNotNull() & usable(zero=False)).select("vec_id", "embedding")
+    fine = one_row_each(fine, stages).withColumn("asked", F.coalesce(is_query, F.lit(False)))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    width = fine.agg(F.max(F.size("embedding")).alias("width")).first()["width"]
-    fine = fine.filter(F.size("embedding") == F.lit(width)).groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.max("asked").alias("asked"))
     fine = stages.write(fine, "rows")
-    about = fine.agg(F.count("*").alias("n"), F.max(norm).alias("reach")).first()
-    sample = fine.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("embedding").toArrow()
-    leaves = int(min(max(about["n"] // LEAF_SHARE, 1), MOST_LEAVES))
-    tree = fit(matrix(sample.column("embedding")) if sample.num_rows else np.zeros((0, 1)), about["reach"] or 0.0, leaves)
+    # One row for each width that has a tree; there are at most rows / TREE_ROWS of them, and one in common tables.
+    widths = fine.groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n"), F.max(norm).alias("reach"))
+    trees: dict[int, Tree] = {}
+    for about in widths.filter(F.col("n") > TREE_ROWS).collect():
+        own = fine.filter(F.size("embedding") == about["width"])
+        sample = own.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("embedding").toArrow()
+        leaves = int(min(max(about["n"] // LEAF_SHARE, 1), MOST_LEAVES))
+        trees[about["width"]] = fit(matrix(sample.column("embedding")), about["reach"], leaves)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(file_rows(tree, matrix(batch.column("embedding"))))], [*batch.schema.names, "leaf"])
+            for width, own, points in by_width(batch):
+                leaf = file_rows(trees[width], points) if width in trees else np.zeros(len(points), np.int64)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(_numbered(width, leaf))], [*own.schema.names, "leaf"])
 
     kind = fine.schema["embedding"].dataType.simpleString()
     filed = stages.write(fine.mapInArrow(file, f"vec_id bigint, embedding {kind}, asked boolean, leaf bigint"), "filed")
     queries = filed.filter("asked").select("vec_id", "embedding")
-    probes = queries.orderBy(F.xxhash64("vec_id", F.lit(1))).limit(PROBES).collect()
-    depth = calibrate(tree, filed, probes, k)
+    depths = {}
+    for width, tree in trees.items():
+        probes = queries.filter(F.size("embedding") == width).orderBy(F.xxhash64("vec_id", F.lit(1))).limit(PROBES).collect()
+        depths[width] = calibrate(tree, filed, probes, k)
 
     def leaves_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                lists = [visit(tree, q, depth) for q in matrix(batch.column("embedding"))]
-                row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            for width, own, points in by_width(batch):
+                lists = [visit(trees[width], q, depths[width]) for q in points] if width in trees else [[0]] * len(points)
+                row = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+                leaf = _numbered(width, np.concatenate(lists).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(lists).astype(np.int64)), batch.column("vec_id").take(pa.array(row)), batch.column("embedding").take(pa.array(row))],
-                    ["leaf", "vec_id", "embedding"],
+                    [pa.array(leaf), own.column("vec_id").take(row), own.column("embedding").take(row)], ["leaf", "vec_id", "embedding"]
                 )
 
     asked = queries.mapInArrow(leaves_of, f"leaf bigint, vec_id bigint, embedding {kind}")
@@ -222,6 +236,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         count = 0
         for batch in batches:
             for x in batch.to_pylist():
+                width = x["leaf"] >> LEAF_BITS
                 query_ids, ids = (np.frombuffer(x[c], "<i8") for c in ("query_ids", "row_ids"))
                 points = [np.frombuffer(x[c], "<f8").reshape(-1, width) for c in ("query_points", "row_points")]
                 held.append(_pairs(query_ids, points[0], ids, points[1], k))

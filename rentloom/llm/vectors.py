@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +28,57 @@ def matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
     return flat.reshape(n, -1).astype(kind) if n else np.zeros((0, 0), kind)
 
 
+def by_width(batch: pa.RecordBatch, column: str = "embedding") -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    """(width, rows of that width, their matrix) of a batch whose vectors may differ in length."""
+    sizes = pc.list_value_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    for width in np.unique(sizes).tolist():
+        rows = batch if (sizes == width).all() else batch.take(pa.array(np.flatnonzero(sizes == width)))
+        flat = rows.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        yield width, rows, flat.reshape(rows.num_rows, width)
+
+
+def meet(shards: DataFrame, asked: DataFrame, find: Callable, schema: str) -> DataFrame:
+    """Blocks of queries meet the shards they name; ``find(shard, block)`` gives a record batch.
+
+    Both tables are (width, shard, ids, points, tags, limits), packed 64-bit integers; both are dealt by (width, shard).
+    In a task a shard's rows come before its blocks, so they are sent and unpacked once however many blocks pass by.
+    ``find`` gets dictionaries of arrays, the same one for a shard each time, so that it may keep what it derives there.
+    """
+    columns = ["width", "shard", "kind", "ids", "points", "tags", "limits"]
+    met = shards.withColumn("kind", F.lit(0)).select(columns).unionByName(asked.withColumn("kind", F.lit(1)).select(columns))
+    met = met.repartition("width", "shard").sortWithinPartitions("width", "shard", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, shard = None, {}
+        for batch in batches:
+            for place in range(batch.num_rows):
+                at = (batch.column("width")[place].as_py(), batch.column("shard")[place].as_py())
+                packed = {name: batch.column(name)[place] for name in columns[3:]}
+                own = {name: np.frombuffer(x.as_buffer(), "<i8") for name, x in packed.items() if x.is_valid}
+                own["points"] = own["points"].reshape(len(own["ids"]), at[0])
+                if batch.column("kind")[place].as_py() == 0:
+                    here, shard = at, own | {"shard": at[1]}
+                elif here == at:  # a shard without rows has nothing to give
+                    yield find(shard, own)
+
+    return met.mapInArrow(run, schema)
+
+
+PACKED = "ids binary, points binary, tags binary, limits binary"
+
+
+def packed(width: int, ids: np.ndarray, points: np.ndarray, tags: np.ndarray | None = None, limits: np.ndarray | None = None) -> dict:
+    """The packed columns of a shard or block."""
+    arrays = {"ids": ids, "points": points, "tags": tags, "limits": limits}
+    blobs = {k: pa.array([None if v is None else v.astype("<i8").tobytes()], pa.binary()) for k, v in arrays.items()}
+    return {"width": pa.array([width], pa.int32())} | blobs
+
+
+def every_shard(blocks: DataFrame, count: int) -> DataFrame:
+    """Blocks once for each shard: the stated query set against all rows."""
+    return blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))))
+
+
 def best_rows(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Places of the ``k`` best rows of each query, ties to the smaller vec_id."""
     order = np.lexsort((vec, -score, query))

@@ -50,6 +50,19 @@ def test_forgetting_words_changes_nothing():
         assert small.encode(texts)[0].tolist() == large.encode(texts)[0].tolist()
 
 
+@pytest.mark.parametrize("letters", [512, 1024, 2048])
+def test_words_with_one_hash_keep_their_own_ids(letters, library):
+    """The word of Thue and Morse and its complement share every polynomial hash modulo 2^64."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(letters))
+    other = word.translate(str.maketrans("ab", "ba"))
+    for texts in ([word, other], [f"{word} {other} {word} x"], [f"x {other}", f"{other} {word}"], [word, other, "", word + " " + other]):
+        encoder = bpe.Encoder(bpe.Merger(bpe.load_ranks(RANKS)))
+        for _ in range(2):
+            ids, counts = encoder.encode([t.encode() for t in texts])
+            ends = np.cumsum(counts)
+            assert [ids[e - n : e].tolist() for n, e in zip(counts, ends)] == [library.encode_ordinary(t) for t in texts]
+
+
 def test_edges_and_round_trip(spark, library):
     rows = [(i, t, i, "x") for i, t in enumerate(EDGES)] + [(None, "null id", 0, "x"), (3, "\n", 0, "x")]
     df = spark.createDataFrame(rows, SCHEMA)

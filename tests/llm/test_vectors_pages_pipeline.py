@@ -27,10 +27,18 @@ def vectors(seed, n=700, width=8, hot=200):
 
 
 ODD = [(9000, None, 1, "x"), (9020, [NAN] * 8, 1, "x"), (9040, [INF] + [0.0] * 7, 1, "x"), (9060, [None] + [1.0] * 7, 1, "x"), (None, [1.0] * 8, 1, "x"), (9100, [1.0] * 3, 1, "x"), (9200, [], 1, "x")]
+ODD += [(9210, [2.0] * 9, 1, "x"), (9220, [1.0] * 9, 1, "x"), (9400, [0.5] * 9, 1, "x")]
 
 
 def brute(rows, every, k, whole):
-    fine = {i: np.array(v, np.float32).astype(float) for i, v, *_ in rows if i is not None and v and len(v) == 8 and None not in v and np.isfinite(v).all()}
+    fine = {i: np.array(v, np.float32).astype(float) for i, v, *_ in rows if i is not None and v and None not in v and np.isfinite(v).all()}
+    out = {}
+    for width in {len(v) for v in fine.values()}:
+        out |= _brute({i: v for i, v in fine.items() if len(v) == width}, every, k, whole)
+    return {q: found for q, found in out.items() if found}
+
+
+def _brute(fine, every, k, whole):
     ids = np.array(sorted(fine))
     points = np.stack([fine[i] for i in ids])
     if whole:
@@ -60,6 +68,25 @@ def test_kd_trees_equal_brute_force(spark, monkeypatch, shard):
     assert answers(kdtree.top_k(df, F.col("vec_id") % 50 == 0)) == brute(rows, 50, 5, True)
 
 
+def test_one_longer_vector_hides_nothing(spark):
+    rows = vectors(7, n=300) + [(9001, [1.0] * 9, 1, "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert kmeans_tree.search(df, F.col("vec_id") % 20 == 0).count() == 15 * 20
+    assert kdtree.top_k(df, F.col("vec_id") % 50 == 0).count() == 6 * 5
+
+
+def test_kd_trees_are_exact_where_doubles_are_not(spark):
+    rng = np.random.default_rng(8)
+    large, small = rng.integers(-(1 << 31), 1 << 31, (120, 8)), rng.integers(-(1 << 23), 1 << 23, (120, 8))
+    rows = [(i, [float(x) for x in (large if i % 50 else small)[i]], 1, "x") for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("float", "double"))
+    want = {}
+    for q in range(0, 120, 50):
+        scores = [(sum(int(a) * int(b) for a, b in zip(rows[q][1], v)), i) for i, v, *_ in rows if i != q]
+        want[q] = [(i, s) for s, i in sorted(scores, key=lambda x: (-x[0], x[1]))[:5]]
+    assert answers(kdtree.top_k(df, F.col("vec_id") % 50 == 0, scale=1)) == want
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame(vectors(2, n=3, hot=1), SCHEMA)
     assert {q: len(a) for q, a in answers(kdtree.top_k(df, F.col("vec_id") % 50 == 0)).items()} == {0: 2}
