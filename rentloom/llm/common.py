@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,7 +12,7 @@ from zipfile import ZipFile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -65,13 +67,37 @@ class Stages:
         out._stage_path = path
         return out
 
+    def measured(self, df: DataFrame, name: str, *sums: Column) -> tuple[DataFrame, tuple]:
+        """The written table and what ``sums`` come to, taken while it is written, so that it is not read again for them."""
+        seen = Observation()
+        named = [x.alias(f"m{i}") for i, x in enumerate(sums)]
+        out = self.write(df.observe(seen, *named), name)
+        return out, tuple(seen.get[f"m{i}"] for i in range(len(sums)))
+
+    def together(self, *tables: DataFrame) -> DataFrame:
+        """Staged tables of one schema as a single scan."""
+        paths = [p for t in tables for p in (t._stage_path if isinstance(t._stage_path, list) else [t._stage_path])]
+        out = self.spark.read.schema(tables[0].schema).parquet(*paths)
+        out._stage_path = paths
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete staged tables that no later step reads."""
         jvm = self.spark._jvm
         conf = self.spark._jsc.hadoopConfiguration()
         for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._stage_path)
-            path.getFileSystem(conf).delete(path, True)
+            for name in df._stage_path if isinstance(df._stage_path, list) else [df._stage_path]:
+                path = jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(conf).delete(path, True)
+
+
+def give_back() -> None:
+    """Return the memory of freed arrays and collected batches to the system; a driver runs many stages one after the other."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:

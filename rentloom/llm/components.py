@@ -8,38 +8,44 @@ from pyspark.sql import functions as F
 from rentloom.llm.common import Stages
 
 
+SALTS = 2
+
+
+def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """Rows with the least neighbour of their node. Both sides are dealt by node and salt, apart from the aggregation that
+    found the least, so that adaptive execution can split a node with very many rows."""
+    salted = least.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
+    return rows.withColumn("salt", F.pmod(F.col("b"), F.lit(SALTS)).cast("int")).join(salted, ["a", "salt"]).drop("salt")
+
+
 def _large(edges: DataFrame) -> DataFrame:
     """Every node hands the smallest node it knows to its larger neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Every node links itself and its smaller neighbours with the smallest of them."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    inner = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    inner = _with_least(edges, least).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return inner.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
-
-
 def components(links: DataFrame, stages: Stages) -> DataFrame:
     """(a, b): each linked node but the smallest of its component, and that smallest node. Loops and repeats do no harm.
 
-    Only counts and a checksum come to the driver. A node with very many links is read once per link in a join whose
-    other side has one row for it, so adaptive execution can split it.
+    Only counts and a checksum come to the driver, taken while a step is written. A node with very many links is read once
+    per link in a join whose other side has one row for it and each salt, so adaptive execution can split it.
     """
     ordered = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    edges = stages.write(ordered, "links")
-    mark = _mark(edges)
+    sums = F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    edges, mark = stages.measured(ordered, "links", *sums)
     while mark[0]:
-        new = stages.write(_small(_large(edges)), "stars")
+        last = mark
+        new, mark = stages.measured(_small(_large(edges)), "stars", *sums)
         stages.drop(edges)
-        edges, last, mark = new, mark, _mark(new)
+        edges = new
         if mark == last:
             break
     return edges

@@ -200,13 +200,13 @@ def _stars(docs: DataFrame, buckets: DataFrame, marks: DataFrame, words: int, pe
     """(a, b): node and smallest node of its component, for all nodes but the smallest."""
     spark = docs.sparkSession
     stars = spark.createDataFrame([], "a bigint, b bigint")
-    tried = spark.createDataFrame([], "a bigint, b bigint")
-    sets = spark.createDataFrame([], "id bigint, set binary")
+    sets, tried = [], []
 
-    def with_sets(ids: DataFrame) -> DataFrame:
+    def all_sets(ids: DataFrame) -> DataFrame:
         """All sets computed so far and those of ``ids``; none is computed twice."""
-        new = ids.join(sets.select("id"), "id", "left_anti")
-        return sets.unionByName(stages.write(full_sets(docs, new, words), "sets"))
+        new = ids.join(stages.together(*sets).select("id"), "id", "left_anti") if sets else ids
+        sets.append(stages.write(full_sets(docs, new, words), "sets"))
+        return stages.together(*sets)
 
     for turn in range(LEADER_ROUNDS + 1):
         named = buckets.join(stars.select(F.col("a").alias("id"), F.col("b").alias("_b")), "id", "left")
@@ -215,25 +215,27 @@ def _stars(docs: DataFrame, buckets: DataFrame, marks: DataFrame, words: int, pe
         mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), lead)
         mixed = stages.write(mixed.filter("low < high").drop("low", "high"), "mixed")
         open_rows = stages.write(named.join(mixed, "key"), "open")
+        stages.drop(mixed)
         if turn == LEADER_ROUNDS:
-            families = _families(open_rows, marks, stages)
-            sets = with_sets(families.select("id"))
-            links = stages.write(_between(families.join(sets, "id"), percent), "between")
+            families = stages.write(_families(open_rows, marks, stages), "families")
+            members = families.join(all_sets(families.select("id")), "id")
+            links, (found,) = stages.measured(_between(members, percent), "between", F.count("*"))
         else:
             led = open_rows.select("id", "n", "comp", *(F.col(f"lead.{c}").alias(o) for c, o in (("id", "other"), ("n", "other_n"), ("comp", "other_comp"))))
             like = (F.col("n") * 100 >= F.col("other_n") * percent) & (F.col("other_n") * 100 >= F.col("n") * percent)
             pairs = led.filter((F.col("comp") != F.col("other_comp")) & like)
-            pairs = pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+            pairs = pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
+            if tried:
+                pairs = pairs.join(stages.together(*tried), ["a", "b"], "left_anti")
             # The likeliest partner only; whatever that leaves unconnected comes again.
             near = _agreeing(_with(pairs, marks, "marks")).groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
-            near = stages.write(near, "near")
-            if near.isEmpty():
-                continue
-            sets = with_sets(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-            links = stages.write(_confirmed(_with(near, sets, "set"), percent), "confirmed")
-            tried = tried.unionByName(near)
+            near, (found,) = stages.measured(near, "near", F.count("*"))
+            if found:
+                tried.append(near)
+                ends = all_sets(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+                links, (found,) = stages.measured(_confirmed(_with(near, ends, "set"), percent), "confirmed", F.count("*"))
         stages.drop(open_rows)
-        if not links.isEmpty():
+        if found:
             stars = components(stars.unionByName(links), stages)
     return stars
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from xxhash import xxh3_64_intdigest
 
-from rentloom.llm.common import bounded_batches, mix32, ragged_index, text_slices
+from rentloom.llm.common import bounded_batches, give_back, mix32, ragged_index, text_slices
 from rentloom.llm.labelled import Rows, Slots, keep, score, training_rows
 
 BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4)
@@ -154,7 +154,9 @@ def scorer(shares: np.ndarray, base: float):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    return train(collect_samples(training_rows(docs, labels, label, sample)))
+    model = train(collect_samples(training_rows(docs, labels, label, sample)))
+    give_back()
+    return model
 
 
 def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -108,7 +108,7 @@ def op6(spark, sf_dir):
     scored as (
         select q.vec_id as query_id, c.vec_id,
                cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
-        from whole q join whole c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+        from whole q join whole c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)
     )
     select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
     from scored

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from xxhash import xxh3_64_intdigest
 
-from rentloom.llm.common import bounded_batches, text_slices
+from rentloom.llm.common import bounded_batches, give_back, text_slices
 from rentloom.llm.labelled import Rows, Slots, keep, score, training_rows
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 16, 16, (1, 2, 3)
@@ -221,7 +221,9 @@ def scorer(model: Model):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
-    return train(collect_samples(training_rows(docs, labels, label, sample)))
+    model = train(collect_samples(training_rows(docs, labels, label, sample)))
+    give_back()
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
