@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from registry.common import Register, m, texts
-from registry.sqltext import load, view
+from registry.sqltext import K, load, view
 from rentloom.functions.hashing import group_digest
 from rentloom.functions.skew import numbered
 from rentloom.operators import ledger
@@ -48,6 +48,38 @@ def as_known_j6(spark, d):
     return texts(ledger.as_known(assertions(spark, d), POINTS).drop("workspace_id"), "value")
 
 
+# A question for every event: what its aggregate's facts were on a day near it, as known some days later or earlier.
+view(
+    "v_queries",
+    f"""
+    select event_id as query_id, 'w' as workspace_id, cast(case when {K} % 3 = 0 then user_id % 7 else user_id end as string) as aggregate_id,
+           cast(cast(ts as date) + {K} % 23 - 6 as date) as effective_at, ts + ({K} % 31 - 3) * interval '1' day as known_at
+    from events""",
+)
+
+
+@entry(
+    "as_known_at_j6",
+    f"""
+    with seen as (
+      select q.query_id, a.* from v_queries q join v_assertions a on a.aggregate_id = q.aggregate_id and a.workspace_id = q.workspace_id
+        and a.recorded_at <= q.known_at and a.valid_from <= q.effective_at and (a.valid_to is null or q.effective_at < a.valid_to)
+    ),
+    known as (
+      select query_id, aggregate_id, key, count(*) as facts, case when count(*) = 1 then min(value) end as value from seen
+      where not exists (select 1 from seen h where h.query_id = seen.query_id and h.supersedes_event_id = seen.event_id) group by 1, 2, 3
+    )
+    select query_id, aggregate_id, count(*) as keys, sum(facts)::bigint as facts, count(*) filter (where facts > 1) as conflicts, {m('sum(value)', 'value')}
+    from known group by 1, 2""",
+)
+def as_known_at_j6(spark, d):
+    known = ledger.as_known_at(assertions(spark, d), load(spark, d, "v_queries"))
+    out = known.groupBy("query_id", "aggregate_id").agg(
+        F.count("*").alias("keys"), F.sum("facts").alias("facts"), F.count("error_code").alias("conflicts"), F.sum("value").alias("value")
+    )
+    return texts(out, "value")
+
+
 @entry(
     "operations_noi_as_known_a16",
     f"""select point, aggregate_id, case when conflicts > 0 then 'CONFLICT' when bases = 0 then 'NOI_BASE_MISSING' end as error_code,

@@ -67,6 +67,96 @@ def as_known(assertions: DataFrame, points: list[Point]) -> DataFrame:
     )
 
 
+#: Facts of one aggregate above which its rows are dealt to several tasks, one part for each such number of facts.
+HOT_FACTS = 50_000
+NO_END = 1 << 22  # days; beyond every date
+
+
+def _days(date_column: Column, origin: Column) -> Column:
+    return F.datediff(date_column, origin).cast("bigint")
+
+
+def _interval_pairs(assertions: DataFrame, queries: DataFrame, span: tuple[date, int], parts: DataFrame, *columns: str) -> DataFrame:
+    """(query_id, columns) of assertions in force at a query's date and recorded by its instant, each once.
+
+    The days between the first and the last asked date form a binary tree. An assertion is filed under the few blocks that
+    make up its validity; a query looks into the one block of each level that holds its date. So the join is an equality
+    on (workspace, aggregate, level, place), an open-ended fact is a few rows, and nothing is joined that is not in
+    force. A huge aggregate is dealt to parts by event; its queries look into all of them.
+    """
+    first, days = span
+    origin, levels = F.lit(first).cast("date"), max(days - 1, 0).bit_length()
+    scope = ["workspace_id", "aggregate_id"]
+    begin = F.greatest(_days(F.col("valid_from"), origin), F.lit(0))
+    end = F.least(F.coalesce(_days(F.col("valid_to"), origin), F.lit(NO_END)), F.lit(1 << levels))
+    facts = assertions.filter(F.col("valid_from").isNotNull() & F.col("recorded_at").isNotNull()).join(parts, scope, "left")
+    part = F.pmod(F.xxhash64("event_id"), F.coalesce("parts", F.lit(1)))
+    # Bounds are columns of their own, so that the steps of every level work on short expressions.
+    facts = facts.select(*scope, "recorded_at", *columns, part.alias("part"), begin.alias("_begin"), end.alias("_end"))
+    facts = facts.filter("_begin < _end").withColumn("_b", F.explode(_tree_blocks("_begin", "_end", levels)))
+    facts = facts.select(*scope, "part", F.col("_b.level").alias("level"), F.col("_b.place").alias("place"), "recorded_at", *columns)
+    day = _days(F.col("effective_at"), origin)
+    asked = queries.join(parts, scope, "left").select(
+        *scope, "query_id", "known_at", day.alias("_day"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    )
+    level = F.explode(F.array(*(F.lit(n) for n in range(levels + 1))))
+    asked = asked.withColumn("level", level).withColumn("place", F.expr("shiftright(_day, level)")).drop("_day")
+    asked = asked.withColumn("part", F.col("part").cast("bigint"))
+    met = facts.join(asked, [*scope, "part", "level", "place"])
+    return met.filter("recorded_at <= known_at").select("query_id", *scope, *columns)
+
+
+def _tree_blocks(begin: str, end: str, levels: int) -> Column:
+    """Dyadic blocks (level, place) that cover the days begin … end - 1 exactly once, at most two a level.
+
+    A fold over the levels: on each, a block is cut off at either end where the rest does not begin or stop at a block of
+    twice the size.
+    """
+    block = "array<struct<level:int,place:bigint>>"
+    start = F.struct(F.col(begin).alias("a"), F.col(end).alias("b"), F.expr(f"cast(array() as {block})").alias("found"))
+
+    def step(state: Column, level: Column) -> Column:
+        a, b = state["a"], state["b"]
+        inner = a + a % 2
+        left = F.when((a < b) & (a % 2 == 1), F.struct(level.alias("level"), a.alias("place")))
+        right = F.when((inner < b) & (b % 2 == 1), F.struct(level.alias("level"), (b - 1).alias("place")))
+        found = F.concat(state["found"], F.array_compact(F.array(left, right)).cast(block))
+        return F.struct(F.shiftright(inner, 1).alias("a"), F.shiftright(b, 1).alias("b"), found.alias("found"))
+
+    return F.aggregate(F.array(*(F.lit(n) for n in range(levels + 1))), start, step, lambda x: x["found"])
+
+
+def active_facts_at(assertions: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, workspace_id, aggregate_id, key, value, event_id) of every fact a query sees.
+
+    ``queries(query_id, workspace_id, aggregate_id, effective_at, known_at)`` is a table of any size; an id names one
+    query. A fact is seen if it is in force on the date (its end excluded) and was recorded at or before the instant, and
+    no correction that the query sees in the same way names it. A query or fact with a null it needs is not matched.
+    """
+    asked = queries.select("query_id", "workspace_id", "aggregate_id", "effective_at", "known_at")
+    asked = asked.filter(F.col("effective_at").isNotNull() & F.col("known_at").isNotNull())
+    ends = asked.agg(F.min("effective_at").alias("first"), F.max("effective_at").alias("last")).first()
+    span = (ends["first"] or date(1970, 1, 1), (ends["last"] - ends["first"]).days + 1 if ends["first"] else 1)
+    sizes = assertions.groupBy("workspace_id", "aggregate_id").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_FACTS)
+    parts = sizes.select("workspace_id", "aggregate_id", F.ceil(F.col("n") / HOT_FACTS).cast("int").alias("parts"))
+    seen = _interval_pairs(assertions, asked, span, parts, "event_id", "key", "value")
+    corrections = assertions.filter(F.col("supersedes_event_id").isNotNull())
+    hidden = _interval_pairs(corrections, asked, span, parts, "event_id", "supersedes_event_id")
+    hidden = hidden.select("query_id", F.col("supersedes_event_id").alias("event_id"))
+    return seen.join(hidden, ["query_id", "event_id"], "left_anti")
+
+
+def as_known_at(assertions: DataFrame, queries: DataFrame) -> DataFrame:
+    """One row per (query, key) in ``as_known``'s terms: the value, or CONFLICT when sources compete."""
+    facts = active_facts_at(assertions, queries)
+    many = F.count("*") > 1
+    return facts.groupBy("query_id", *FACT_KEY).agg(
+        F.count("*").alias("facts"),
+        F.when(~many, F.min("value")).alias("value"),
+        F.when(many, F.lit("CONFLICT")).alias("error_code"),
+    )
+
+
 def operations_noi_as_known(
     known: DataFrame, base_key: str = "operations_noi_base", expense_prefix: str = "expense:"
 ) -> DataFrame:
