@@ -15,6 +15,7 @@ from rentloom.operators import ledger, ops, rentroll
 from rentloom.plans import review as plan
 from rentloom.session import scratch_dir
 from rentloom.sources import files, reports, tables
+from rentloom.streaming import commands as stream_commands
 from rentloom.streaming import ledger as stream_ledger
 from rentloom.streaming import monitor
 
@@ -305,6 +306,66 @@ def ingest_assertions_t1(spark, d):
     return texts(out, "value")
 
 
+# Three deliveries of commands, one for each event, and repeats of a fifth of them. The first holds all but
+# 4 and 6 of ten: some expect another version, some correct an unknown fact. The second holds old facts with their old
+# record times (4 of 10) and corrections of each aggregate's first accepted fact (6 of 10). The third repeats commands,
+# some unchanged (1 of 10), some with another value (2 of 10).
+view(
+    "v_command_anchor",
+    """
+    select aggregate_id, max(ts) as last_at, max(case when n = 1 then event_id end) as anchor, max(case when n = 1 then key end) as anchor_key from (
+      select aggregate_id, key, event_id, ts, row_number() over (partition by aggregate_id order by ts, event_id) as n from v_assertions
+      where event_id % 10 not in (3, 4, 5, 6)) f group by 1""",
+)
+
+
+@entry(
+    "append_rules_t1",
+    f"""
+    with first as (
+      select a.*, event_id % 10 as d, c.last_at, c.anchor from v_assertions a left join v_command_anchor c on c.aggregate_id = a.aggregate_id
+    ),
+    judged as (
+      select aggregate_id, event_id, value, case
+          when d = 3 then 'OBSOLETE_VERSION' when d = 5 then 'UNKNOWN_TARGET' when d = 4 and ts < last_at then 'CLOCK_BACKWARD'
+          when d = 6 and anchor is null then 'UNKNOWN_TARGET'
+          when d = 6 and row_number() over (partition by aggregate_id, d order by ts, event_id) > 1 then 'SECOND_CORRECTION' end as error_code, 'new' as good from first
+      union all
+      select aggregate_id, event_id, value + d - 1, case when d = 2 then 'SOURCE_REVISION_CHANGED' end, 'replay' from first where d in (1, 2)
+    )
+    select aggregate_id, case when error_code is null then good else 'conflict' end as verdict, error_code, count(*) as commands,
+           sum(event_id)::bigint as events, {m('sum(value)', 'value')},
+           case when error_code is null and good = 'new' then count(*) end as top_version
+    from judged group by aggregate_id, good, error_code""",
+)
+def append_rules_t1(spark, d):
+    root, k = scratch_dir(spark, "commands"), F.col("event_id") % 10
+    facts = load(spark, d, "v_assertions").withColumns({"recorded_at": F.col("ts"), "supersedes_event_id": F.lit(None).cast("bigint")})
+    anchors = load(spark, d, "v_command_anchor").select("aggregate_id", "anchor", "anchor_key")
+    corrections = facts.filter(k == 6).join(anchors, "aggregate_id", "left").withColumns(
+        {
+            "supersedes_event_id": F.coalesce("anchor", F.lit(1 << 60)),
+            "key": F.coalesce("anchor_key", "key"),
+            "recorded_at": F.col("ts") + F.expr("interval 1000 days"),
+        }
+    )
+    first = facts.filter(~k.isin(4, 6)).withColumn("supersedes_event_id", F.when(k == 5, F.lit(1 << 60)))
+    first = first.withColumn("expected_version", F.when(k == 3, F.lit(1 << 40)))
+    second = facts.filter(k == 4).unionByName(corrections.select(facts.columns))
+    third = facts.filter(k.isin(1, 2)).withColumn("value", (F.col("value") + F.when(k == 2, 1).otherwise(0)).cast("decimal(18,2)"))
+    columns = [f.name for f in schemas.contract(stream_commands.COMMANDS)]
+    for rows in (first, second, third):
+        if "expected_version" not in rows.columns:
+            rows = rows.withColumn("expected_version", F.lit(None).cast("bigint"))
+        put(rows.select(columns), f"{root}/in")
+        stream = stream_commands.read_commands(spark, f"{root}/in")
+        stream_commands.append_commands(stream, f"{root}/judged", f"{root}/checkpoint").awaitTermination()
+    judged = spark.read.parquet(f"{root}/judged").groupBy("aggregate_id", "verdict", "error_code")
+    top = F.max(F.when(F.col("verdict") == "new", F.col("version")))
+    out = judged.agg(F.count("*").alias("commands"), F.sum("event_id").alias("events"), F.sum("value").alias("value"), top.alias("top_version"))
+    return texts(out, "value")
+
+
 @entry(
     "resume_import_t4",
     "select count(*) as facts, true as validated from events",
