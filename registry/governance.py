@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from registry.common import Register, m, texts
 from registry.sqltext import load, view
 from rentloom.operators import governance as gov
-from rentloom.operators import ledger, metric, occupancy, ops, policy, requests
+from rentloom.operators import ledger, metric, occupancy, ops, policy, requests, workflow
 
 ENTRIES = Register()
 entry = ENTRIES.entry
@@ -869,6 +869,111 @@ def workflow_blockers_f42(spark, d):
     return out.groupBy("k", "outcome", text.alias("blockers")).agg(F.count("*").alias("n"))
 
 
+# Runs of twelve kinds over the same eleven steps: 1 leaves an input out when it pins again, 2 pins another hash, 3 approves
+# other content, 4 approves other inputs, 5 ends in an engine error, 6 has a gap, 7 uses a decision twice, 8 repeats an
+# event, 9 delivers one number with two contents, 10 resolves a foreign field unless the review is cancelled, 11 has no beginning.
+view("v_runs", "select o_orderkey as k, o_orderkey % 12 as c, o_orderkey % 3 = 0 as cancelled from orders")
+view(
+    "v_run_truth",
+    """
+    select *, case when bad then null when c = 5 then 'execution_authorized' when c = 6 then 'review_required' else 'report_ready' end as stage,
+           case c when 6 then 6 when 11 then 0 when 5 then 10 else 11 end as event_count, case c when 6 then 4 when 11 then 10 else 0 end as waiting,
+           case when not bad then c <> 6 end as approved, case when bad then null when c = 1 then 3 else 4 end as inputs,
+           case when bad then null when cancelled then 'd1' else 'd2' end as millage_by, case when not bad and not cancelled then 'd2' end as horizon_by,
+           case when bad then 'CORRUPT_INPUT' end as error_code
+    from (select *, c in (2, 3, 4, 7, 9, 11) or (c = 10 and not cancelled) as bad from v_runs) r""",
+)
+RECORDS_SQL = """select stage, event_count, waiting, approved, inputs, millage_by, horizon_by, error_code, count(*) as runs, sum(k)::bigint as ids
+    from v_run_truth group by 1, 2, 3, 4, 5, 6, 7, 8"""
+
+
+def run_journal(spark, d):
+    r, c = load(spark, d, "v_runs"), F.col("c")
+    names = gov.REQUIRED_INPUTS
+
+    def pins(but=None, other=None):
+        """Name → hash of a run's inputs, without ``but`` in runs of kind 1, another hash for ``other`` (name, kind)."""
+        sha = {n: F.concat(F.lit(n), F.col("k").cast("string")) for n in names}
+        if other is not None:
+            sha[other[0]] = F.when(c == other[1], "other").otherwise(sha[other[0]])
+        whole = F.create_map(*[x for n in names for x in (F.lit(n), sha[n])])
+        return F.when(c == 1, F.map_filter(whole, lambda n, _: n != but)).otherwise(whole) if but else whole
+
+    def text(value):
+        return F.lit(value).cast("string") if not hasattr(value, "alias") else value
+
+    def step(n, kind, **columns):
+        none = "cast(null as map<string,string>)"
+        out = {"n": F.lit(n).cast("bigint"), "kind": F.lit(kind)}
+        for name in ("stage", "content_sha256", "decision_id", "decision_status"):
+            out[name] = text(columns.get(name))
+        for name in ("inputs", "values", "resolutions"):
+            out[name] = columns[name] if name in columns else F.expr(none)
+        return F.struct(*[v.alias(k) for k, v in out.items()])
+
+    content = F.concat(F.lit("c"), (F.col("k") % 5).cast("string"))
+    unset = F.create_map(F.lit("millage"), F.lit(None).cast("string"))
+    second = F.create_map(F.lit("millage"), F.lit("2"), F.when(c == 10, "rent").otherwise("horizon"), F.lit("9"))
+    steps = [
+        step(1, "created", content_sha256=content, inputs=pins(), values=unset),
+        step(2, "stage", stage="normalized"),
+        step(3, "stage", stage="review_required"),
+        step(4, "review", decision_id="d1", decision_status="approved", resolutions=F.create_map(F.lit("millage"), F.lit("1"))),
+        step(5, "review", decision_id=F.when(c == 7, "d1").otherwise("d2"), decision_status=F.when(F.col("cancelled"), "cancelled").otherwise("approved"), resolutions=second),
+        step(6, "inputs_repinned", inputs=pins("debt", ("om", 2))),
+        step(7, "stage", stage="reconciled"),
+        step(8, "stage", stage="canonical_ready"),
+        step(9, "execution_authorized", content_sha256=F.when(c == 3, "x").otherwise(content), inputs=pins("debt", ("rr", 4))),
+        F.when(c == 5, step(10, "engine_error")).otherwise(step(10, "stage", stage="engine_executed")),
+        step(11, "stage", stage="report_ready"),
+    ]
+    again = F.when(c == 8, F.array(steps[4])).when(
+        c == 9, F.array(step(4, "review", decision_id="d1", decision_status="approved", resolutions=F.create_map(F.lit("millage"), F.lit("7"))))
+    )
+    told = F.concat(F.array(*steps), F.coalesce(again, F.expr("array()").cast(f"array<{r.select(steps[1].alias('s')).schema['s'].dataType.simpleString()}>")))
+    gone = ((c == 6) & (F.col("e.n") == 7)) | ((c == 11) & (F.col("e.n") == 1)) | ((c == 5) & (F.col("e.n") == 11))
+    e = r.select("k", "c", F.explode(told).alias("e")).filter(~gone)
+    names_of = [f.split()[0].strip("`") for f in workflow.EVENTS.replace("map<string,string>", "map").split(", ")]
+    return e.select(F.col("k").cast("string").alias("run_id"), *(F.col(f"e.{n}").alias(n) for n in names_of[1:]))
+
+
+def record_counts(records):
+    by = {f"{f}_by": F.col("resolved_by")[f] for f in gov.REQUIRED_VALUES}
+    out = records.withColumns({"inputs": F.when(F.col("inputs").isNotNull(), F.size("inputs"))} | by)
+    out = out.groupBy("stage", "event_count", "waiting", "approved", "inputs", "millage_by", "horizon_by", "error_code")
+    return out.agg(F.count("*").alias("runs"), F.sum(F.col("run_id").cast("bigint")).alias("ids"))
+
+
+@entry("run_records_w20", RECORDS_SQL)
+def run_records_w20(spark, d):
+    return record_counts(workflow.run_records(run_journal(spark, d)))
+
+
+@entry(
+    "run_blockers_f42",
+    """
+    select error_code, outcome, blockers, count(*) as runs, sum(k)::bigint as ids from (
+      select k, coalesce(error_code, case when approved and k % 7 = 2 then 'STALE' end) as error_code,
+        case when error_code is null and not (approved and k % 7 = 2) then
+          case when c = 5 then 'execution_error' when k % 7 = 3 then 'unsupported_input' when k % 7 = 2 or c = 1 or cancelled then 'needs_review_or_data' else 'complete' end end as outcome,
+        case when error_code is null and not (approved and k % 7 = 2) then
+          case when k % 7 = 2 then 'om:corrupt_input:,' else '' end || case when k % 7 = 3 then 't12:unsupported_engineering:,' else '' end ||
+          case when c = 1 then 'debt:pending_human_action:,' else '' end || 'millage:pending_human_action:' || millage_by || ',horizon:pending_human_action:' || coalesce(horizon_by, '') end as blockers
+      from v_run_truth) x group by 1, 2, 3""",
+)
+def run_blockers_f42(spark, d):
+    k = F.col("k")
+    live = load(spark, d, "v_runs").select("k", F.explode(gov._literals(gov.REQUIRED_INPUTS)).alias("name"))
+    name = F.col("name")
+    sha = F.when((k % 7 == 2) & (name == "om"), "changed").otherwise(F.concat(name, k.cast("string")))
+    kind = F.when((k % 7 == 3) & (name == "t12"), "docx").otherwise("pdf")
+    live = live.select(k.cast("string").alias("run_id"), "name", sha.alias("sha256"), kind.alias("format"))
+    out = workflow.run_blockers(workflow.run_records(run_journal(spark, d)), live)
+    text = F.array_join(F.transform("blockers", lambda b: F.concat(b["field"], F.lit(":"), b["kind"], F.lit(":"), F.coalesce(b["resolved_by"], F.lit("")))), ",")
+    out = out.groupBy("error_code", "outcome", text.alias("blockers"))
+    return out.agg(F.count("*").alias("runs"), F.sum(F.col("run_id").cast("bigint")).alias("ids"))
+
+
 # ---------------------------------------------------------------- migration
 
 

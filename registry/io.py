@@ -7,17 +7,17 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from registry.common import Register, m, texts
-from registry.governance import report_records
+from registry.governance import RECORDS_SQL, record_counts, report_records, run_journal
 from registry.ops import THRESHOLD, dimensions, gl
 from registry.sqltext import load, view
 from rentloom import schemas
-from rentloom.operators import ledger, ops, rentroll
+from rentloom.operators import ledger, ops, rentroll, workflow
 from rentloom.plans import review as plan
 from rentloom.session import scratch_dir
 from rentloom.sources import files, reports, tables
 from rentloom.streaming import commands as stream_commands
 from rentloom.streaming import ledger as stream_ledger
-from rentloom.streaming import monitor
+from rentloom.streaming import monitor, runs
 
 ENTRIES = Register()
 entry = ENTRIES.entry
@@ -466,3 +466,38 @@ def journal_state_t7(spark, d):
     last = F.max_by(F.struct("stage", "events", "error_code"), "batch").alias("s")
     out = spark.read.parquet(f"{root}/out").groupBy("run_id").agg(last)
     return out.select(F.col("run_id").cast("bigint").alias("run_id"), "s.stage", "s.events", "s.error_code")
+
+
+@entry("run_states_t7", RECORDS_SQL)
+def run_states_t7(spark, d):
+    """The events of all runs in two deliveries, each with about half of the numbers of every run, in no order."""
+    root, events = scratch_dir(spark, "runs"), run_journal(spark, d)
+    columns = [f.name for f in schemas.contract(workflow.EVENTS)]
+    for half in (0, 1):
+        put(events.filter(F.pmod(F.xxhash64("run_id", "n"), F.lit(2)) == half).select(columns), f"{root}/in")
+        stream = spark.readStream.schema(schemas.contract(workflow.EVENTS)).parquet(f"{root}/in")
+        runs.write_states(runs.run_states(stream), f"{root}/out", f"{root}/checkpoint", "update").awaitTermination()
+    return record_counts(runs.last_states(spark.read.parquet(f"{root}/out")))
+
+
+@entry(
+    "feed_alerts_t6",
+    """
+    with fed as (
+      select property_id, max(cast(as_of_date - case when cast(substr(property_id, 2) as int) % 7 = 3 then 60 else 0 end as date)) as as_of from v_snapshots group by 1
+    )
+    select property_id, cast(as_of as varchar) as as_of, case when date_diff('day', as_of, (select max(as_of) from fed)) > 45 then 'stale' else 'current' end as freshness from fed""",
+)
+def feed_alerts_t6(spark, d):
+    """Feeds of every seventh property are sixty days behind; nothing tells so but the days of the others."""
+    root = scratch_dir(spark, "alerts")
+    late = F.col("property_id").substr(2, 9).cast("int") % 7 == 3
+    snaps = load(spark, d, "v_snapshots").withColumn("as_of_date", F.date_sub("as_of_date", F.when(late, 60).otherwise(0)))
+    snaps = snaps.select("property_id", "as_of_date", "occupied", "vacant", "down")
+    for part in range(3):
+        put(snaps.filter(F.pmod(F.xxhash64("as_of_date"), F.lit(3)) == part), f"{root}/in")
+        stream = spark.readStream.schema(schemas.contract(schemas.SNAPSHOT_STREAM)).parquet(f"{root}/in")
+        runs.write_states(runs.feed_alerts(stream), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    alerts = spark.read.parquet(f"{root}/out").groupBy("property_id", "as_of").agg(F.max("freshness").alias("freshness"))
+    last = alerts.groupBy("property_id").agg(F.max_by(F.struct("as_of", "freshness"), "as_of").alias("s"))
+    return last.select("property_id", F.col("s.as_of").cast("string").alias("as_of"), "s.freshness")
