@@ -56,17 +56,19 @@ view(
 view(
     "v_o_units",
     """
-    select source_id, unit_id, count(*) as evidence_rows, count(distinct coalesce(st, '') || '/' || coalesce(us, '')) as variants,
-           max(st) as st, max(us) as us, min(row) as first_row,
-           max(case when unit_id = 'bad id' or not regexp_full_match(unit_id, '([A-Z]{1,3}-?)?[0-9]{1,4}[A-Z]?') then 'INVALID_UNIT_ID'
-                    when st is null then 'UNSUPPORTED_STATUS' when us is null then 'UNSUPPORTED_UNIT_TYPE' end) as row_error
-    from v_o_roll where section = 'current' group by 1, 2""",
+    select source_id, unit_id, count(*) filter (where code is null) as evidence_rows, count(*) filter (where code is not null) as skipped_rows,
+           min(st) filter (where code is null) as low_st, max(st) filter (where code is null) as st, min(us) filter (where code is null) as low_us,
+           max(us) filter (where code is null) as us, coalesce(min(row) filter (where code is null), min(row)) as first_row, max(code) as row_error
+    from (select *, case when unit_id = 'bad id' or not regexp_full_match(unit_id, '([A-Z]{1,3}-?)?[0-9]{1,4}[A-Z]?') then 'INVALID_UNIT_ID'
+                         when st is null then 'UNSUPPORTED_STATUS' when us is null then 'UNSUPPORTED_UNIT_TYPE' end as code
+          from v_o_roll where section = 'current') r group by 1, 2""",
 )
 view(
     "v_o_units2",
     """
-    select source_id, unit_id, first_row, evidence_rows, case when variants = 1 then st end as status, case when variants = 1 then us end as unit_use,
-           case when variants > 1 then 'DUPLICATE_UNIT_CONFLICT' else row_error end as error_code from v_o_units""",
+    select source_id, unit_id, first_row, evidence_rows, skipped_rows, case when not differ then st end as status, case when not differ then us end as unit_use,
+           case when differ then 'DUPLICATE_UNIT_CONFLICT' when evidence_rows = 0 then row_error end as error_code
+    from (select *, coalesce(low_st <> st or low_us <> us, false) as differ from v_o_units) u""",
 )
 
 
@@ -158,12 +160,29 @@ def orphan_continuation_w9(spark, d):
 
 @entry(
     "unit_dedupe_w13",
-    "select source_id, unit_id, first_row, evidence_rows, status, unit_use, error_code from v_o_units2",
+    "select source_id, unit_id, first_row, evidence_rows, skipped_rows, status, unit_use, error_code from v_o_units2",
 )
 def unit_dedupe_w13(spark, d):
     return rentroll.normalize_rent_roll(cells(spark, d), stage=cut_lineage)
 
 
+@entry(
+    "unit_evidence_w13",
+    """select source_id, unit_id, status, unit_use, error_code, evidence_rows, skipped_rows, least(evidence_rows, 2) as listed, least(skipped_rows, 2) as refused,
+        coalesce(evidence_rows > 2, false) as more_evidence, coalesce(skipped_rows > 2, false) as more_refused, first_row from v_o_units2""",
+)
+def unit_evidence_w13(spark, d):
+    """Two rows of evidence a unit, so that the flags are seen; refused rows are listed with their codes."""
+    out = rentroll.unit_evidence(rentroll.unit_rows(rentroll.current_rows(rows(spark, d))), 2)
+    size = lambda c: F.coalesce(F.size(F.filter(c, lambda x: x["row"] >= 1)), F.lit(0)).cast("bigint")
+    return out.select(
+        "source_id", "unit_id", "status", "unit_use", "error_code", "evidence_rows", "skipped_rows",
+        F.greatest(size("evidence"), F.lit(0)).alias("listed"), F.greatest(size("issues"), F.lit(0)).alias("refused"),
+        F.coalesce("evidence_truncated", F.lit(False)).alias("more_evidence"), F.coalesce("issues_truncated", F.lit(False)).alias("more_refused"),
+        F.coalesce(F.get("evidence", F.lit(0))["row"], F.get("issues", F.lit(0))["row"]).alias("first_row"),
+    )
+
+
 view(
     "v_o_counts",
     """

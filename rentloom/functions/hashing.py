@@ -29,7 +29,11 @@ def group_digest(df: DataFrame, keys: list[str], row: Column, name: str) -> Data
     shuffle, so a group sends one row per task however many rows it has, and nothing is gathered.
     """
     hashed = df.select(*keys, F.sha2(row, 256).alias("_h"))
-    word = lambda i: F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")
-    sums = hashed.groupBy(*keys).agg(F.count("*").alias("row_count"), *[F.sum(word(i)).alias(f"_w{i}") for i in range(8)])
-    parts = [F.col(c).cast("string") for c in ("row_count", *(f"_w{i}" for i in range(8)))]
+    word = lambda i: F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("bigint")
+    words = hashed.select(*keys, *[word(i).alias(f"_w{i}") for i in range(8)])
+    # Both halves of a word are summed apart as whole numbers: exact up to 2^47 rows, and cheaper than decimals.
+    halves = [F.sum(half).alias(f"{name}{i}") for i in range(8) for name, half in (("_hi", F.shiftright(f"_w{i}", 16)), ("_lo", F.col(f"_w{i}").bitwiseAND(65535)))]
+    sums = words.groupBy(*keys).agg(F.count("*").alias("row_count"), *halves)
+    total = lambda i: F.col(f"_hi{i}").cast("decimal(38,0)") * 65536 + F.col(f"_lo{i}")
+    parts = [F.col("row_count").cast("string"), *(total(i).cast("decimal(38,0)").cast("string") for i in range(8))]
     return sums.select(*keys, F.sha2(F.concat_ws(",", *parts), 256).alias(name), "row_count")

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,27 +86,36 @@ def page_budget(spans: DataFrame, n: int = PAGE_BUDGET) -> DataFrame:
     )
 
 
+FIT_BLOCK = 256
+
+
 def _fits(lines: Column, budget: int) -> Column:
     """Which lines a greedy packer keeps: a line that does not fit is left out whole and uses no budget.
 
-    The walk is one pass over a document's lines, in Arrow batches and linear in their number."""
-    size = lambda x: F.coalesce(F.length(x), F.lit(0))
-    total = F.aggregate(lines, F.lit(0).cast("bigint"), lambda acc, x: acc + size(x))
+    A document whose lines all fit needs no walk. The walk is a fold in the JVM over blocks of lines, so that the verdicts
+    that are appended one by one stay short; it only runs for documents that do not fit."""
+    sizes = F.transform(lines, lambda x: F.coalesce(F.length(x), F.lit(-1)))
+    total = F.aggregate(lines, F.lit(0).cast("bigint"), lambda acc, x: acc + F.coalesce(F.length(x), F.lit(0)))
+    nothing = F.expr("cast(array() as array<boolean>)")
+
+    def state(left: Column, out: Column) -> Column:
+        return F.struct(left.cast("bigint").alias("left"), out.alias("out"))
+
+    def line(acc: Column, n: Column) -> Column:
+        fits = (n >= 0) & (n <= acc["left"])
+        return state(acc["left"] - F.when(fits, n).otherwise(0), F.concat(acc["out"], F.array(fits)))
+
+    def walk(all_sizes: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(all_sizes) - 1) / FIT_BLOCK).cast("int"))
 
-    def walk(sizes, present, most):
-        left, out = most, []
-        for n, here in zip(sizes, present):
-            fits = bool(here) and n <= left
-            left -= n if fits else 0
-            out.append(fits)
-        return out
+        def block(acc: Column, i: Column) -> Column:
+            own = F.slice(all_sizes, i * FIT_BLOCK + 1, F.lit(FIT_BLOCK))
+            inner = F.aggregate(own, state(acc["left"], nothing), line)
+            return bind(inner, lambda x: state(x["left"], F.concat(acc["out"], x["out"])))
 
-    def greedy(sizes: pd.Series, present: pd.Series) -> pd.Series:
-        return pd.Series([walk(a, b, budget) for a, b in zip(sizes, present)])
+        return F.aggregate(blocks, state(F.lit(budget), nothing), block, lambda acc: acc["out"])
 
-    present = F.transform(lines, lambda x: x.isNotNull())
-    folded = F.pandas_udf(greedy, "array<boolean>")(F.transform(lines, size), present)
-    return F.when(total <= budget, present).otherwise(folded)
+    return F.when(total <= budget, F.transform(lines, lambda x: x.isNotNull())).otherwise(bind(sizes, walk))
 
 
 def packet_lines(docs: DataFrame, max_chars: int = MAX_PACKET_CHARS, max_line: int = MAX_LINE_CHARS) -> DataFrame:

@@ -11,12 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rentloom.functions.refusal import first_failure
+from rentloom.functions.refusal import capped_list, first_failure
 from rentloom.functions.skew import carry_forward
 from rentloom.functions.tokens import FUTURE_STATUS, header_key, status_token, use_token, valid_unit_id
 
 SHEET = ["source_id", "sheet"]
 REDACTED = "[REDACTED]"
+EVIDENCE_ROWS = 50
 PII_COLUMNS = ["tenant_name", "resident", "resident_name", "name", "payee", "phone", "email"]
 # Header words per field, and the markers that switch sections.
 FIELDS = {
@@ -35,6 +36,8 @@ CURRENT_SECTIONS = ["current residents", "current units", "current tenants", "un
 EXCLUDED_SECTIONS = [
     "future residents", "future tenants", "applicants", "future/applicants", "pending renewals", "former residents",
 ]
+# Record types of rows that add to the unit above or of the same id.
+CONTINUATIONS = ["charge", "co-tenant", "cotenant"]
 TOTALS = ["total", "totals", "grand total", "report total"]
 SPLIT_HEADER_WORDS = {
     "unit": "^(unit|unit number|unit #)$",
@@ -172,46 +175,96 @@ def carry_parent_unit(rows: DataFrame) -> DataFrame:
 
 
 def unit_rows(rows: DataFrame, layout: str = "standard") -> DataFrame:
-    """Unit rows with recognised status and use and the first failing rule."""
+    """Unit rows with recognised status and use and the first failing rule.
+
+    A continuation (record type charge or co-tenant) may leave its status or type blank; it then takes the unit's."""
     status, use = status_token(F.col("status"), layout), use_token(F.col("unit_type"))
-    units = rows.filter(F.col("unit_id").isNotNull()).withColumns({"unit_status": status, "unit_use": use})
+    continues = F.coalesce(F.lower(F.trim("record_type")).isin(CONTINUATIONS), F.lit(False))
+    units = rows.filter(F.col("unit_id").isNotNull()).withColumns(
+        {"unit_status": status, "unit_use": use, "is_extra": continues}
+    )
+
+    def unreadable(token: str, text: str) -> Column:
+        blank = F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) == 0
+        return F.col(token).isNull() & ~(F.col("is_extra") & blank)
+
     error = first_failure(
         (~valid_unit_id(F.col("unit_id")), "INVALID_UNIT_ID"),
-        (F.col("unit_status").isNull(), "UNSUPPORTED_STATUS"),
-        (F.col("unit_use").isNull(), "UNSUPPORTED_UNIT_TYPE"),
+        (unreadable("unit_status", "status"), "UNSUPPORTED_STATUS"),
+        (unreadable("unit_use", "unit_type"), "UNSUPPORTED_UNIT_TYPE"),
     )
     return units.withColumn("error_code", error)
 
 
-def unit_dedupe(units: DataFrame) -> DataFrame:
-    """One row per (source, unit): equal facts add evidence, different status or use is a conflict with NULL facts."""
-    facts = F.collect_set(F.struct(F.coalesce("unit_status", F.lit("")), F.coalesce("unit_use", F.lit(""))))
+def _without_orphans(units: DataFrame) -> DataFrame:
+    """Continuations with no full row of their unit above them are refused. Only units with continuations are looked up."""
+    key = ["source_id", "unit_id"]
+    full = units.filter(F.col("error_code").isNull() & ~F.col("is_extra"))
+    extra = units.filter("is_extra").select(*key).distinct()
+    first = full.join(extra, key, "left_semi").groupBy(*key).agg(F.min(F.struct("sheet", "row")).alias("first_full"))
+    joined = units.join(first, key, "left")
+    early = F.col("first_full").isNull() | (F.struct("sheet", "row") < F.col("first_full"))
+    orphan = F.col("is_extra") & F.col("error_code").isNull() & early
+    code = F.when(orphan, "ORPHAN_CONTINUATION").otherwise(F.col("error_code"))
+    return joined.withColumn("error_code", code).drop("first_full")
+
+
+def _merged(units: DataFrame) -> DataFrame:
+    """Facts of each (source, unit) from its good rows, and what was skipped. Combines before the shuffle."""
+    fine = F.col("error_code").isNull()
+
+    def of(fn, column: str) -> Column:
+        return fn(F.when(fine, F.col(column)))
+
     merged = units.groupBy("source_id", "unit_id").agg(
-        F.count("*").alias("evidence_rows"),
-        F.size(facts).alias("variants"),
-        F.min("row").alias("first_row"),
-        F.max("unit_status").alias("status"),
-        F.max("unit_use").alias("unit_use"),
+        F.coalesce(of(F.min, "row"), F.min("row")).alias("first_row"),
+        F.count_if(fine).alias("evidence_rows"),
+        F.count_if(~fine).alias("skipped_rows"),
+        of(F.max, "unit_status").alias("status"),
+        of(F.max, "unit_use").alias("unit_use"),
+        ((of(F.min, "unit_status") != of(F.max, "unit_status")) | (of(F.min, "unit_use") != of(F.max, "unit_use"))).alias("differ"),
         F.max("error_code").alias("row_error"),
     )
-    conflict = F.col("variants") > 1
+    conflict = F.coalesce("differ", F.lit(False))
+    error = F.when(conflict, "DUPLICATE_UNIT_CONFLICT").when(F.col("evidence_rows") == 0, F.col("row_error"))
     return merged.select(
         "source_id",
         "unit_id",
         "first_row",
         "evidence_rows",
+        "skipped_rows",
         F.when(~conflict, F.col("status")).alias("status"),
         F.when(~conflict, F.col("unit_use")).alias("unit_use"),
-        F.when(conflict, "DUPLICATE_UNIT_CONFLICT").otherwise(F.col("row_error")).alias("error_code"),
+        error.alias("error_code"),
     )
 
 
+def unit_dedupe(units: DataFrame) -> DataFrame:
+    """One row per (source, unit): equal facts add evidence, different status or use is a conflict with NULL facts.
+
+    Rows that are refused themselves are counted as skipped and leave the unit's good rows standing; a unit without a
+    good row has the code of its rows. Once two good rows differ, no row of the unit counts. ``units`` come from
+    ``unit_rows``; without its columns ``sheet`` and ``is_extra`` all rows are taken as full ones."""
+    return _merged(_without_orphans(units) if {"is_extra", "sheet"} <= set(units.columns) else units)
+
+
+def unit_evidence(units: DataFrame, n: int = EVIDENCE_ROWS) -> DataFrame:
+    """``unit_dedupe`` with the first ``n`` good rows (sheet, row) and refused rows (sheet, row, code) of each unit, in sheet
+    order, each list with a flag that tells whether more existed."""
+    key, order = ["source_id", "unit_id"], ["sheet", "row"]
+    judged = _without_orphans(units)
+    good = capped_list(judged.filter("error_code is null"), key, order, F.struct(*order), n, "evidence")
+    refused = capped_list(judged.filter("error_code is not null"), key, order, F.struct(*order, "error_code"), n, "issues")
+    return _merged(judged).join(good, key, "left").join(refused, key, "left")
+
+
 def unit_counts(units: DataFrame) -> DataFrame:
     """Occupied, vacant, down and total per (source, use) and per source (use ``unknown`` = all units).
 
-    Counts of a scope are NULL while any of its units has no recognised status, or a source holds a refused unit."""
+    Counts of a scope are NULL while any of its units has no recognised status, or a source holds a refused unit or row."""
     status = F.col("status")
-    known = units.withColumn("bad", status.isNull() | F.col("error_code").isNotNull())
+    skipped = F.col("skipped_rows") > 0 if "skipped_rows" in units.columns else F.lit(False)
+    known = units.withColumn("bad", status.isNull() | F.col("error_code").isNotNull() | skipped)
     # One row per (source, use) first, so the two groupings below never see raw units twice.
     by_use = known.groupBy("source_id", "unit_use").agg(
         *[F.count_if(status == s).alias(s) for s in ("occupied", "vacant", "down")],
