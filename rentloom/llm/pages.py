@@ -2,15 +2,17 @@
 
 Pages are cut into lines at block elements. Within each host they are sorted by URL path, and each is paired with the
 nearby page whose path shares the longest prefix, copies of it left out. The lines of both are aligned by their longest common subsequence;
-shared lines belong to the site and are deleted, inside the page's article element too. Two things add to this: where the
-article holds most of what is not shared, lines outside it go, and lines in elements that are marked as navigation, advert,
-notice, form, comment or the like go even where no other page shares them.
+lines shared with most of a few unlike neighbours belong to the site and are deleted; inside the page's article element
+all of them, two at least, must share a line, so that a title or sentence that one neighbour happens to have stays. Two things add to this:
+where the article holds most of what is not shared, lines outside it go, and lines in elements that are marked as
+navigation, advert, notice, form, comment or the like go even where no other page shares them.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
@@ -41,58 +43,126 @@ MARKS = set(
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ENDS_PARAGRAPH = BLOCKS - {"option", "caption", "legend"}
 
+# Words that, behind one of the marks, name a container of such things.
+CONTAINERS = set("area bar block box button buttons container form group inner item items list links panel posts row section slot unit wrap wrapper".split())
+BARRIERS = ("article", "body", "main")
+VOTES = 3  # unlike neighbours that decide
+
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S
+    r"<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S
 )
 LOOSE = re.compile(r"<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>[^>]*)>")
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
+LONGEST_TAG = 1 << 16  # code points in which a tag with quoted attributes is looked for; a longer one ends at its first >
 PLAIN, ARTICLE, SITE_LINE = 0, 1, 2
+FIRM, LIKELY = 2, 1
+
+
+def _named(value: str) -> int:
+    """FIRM if a class or id is a mark, LIKELY if a compound one ends in a mark or names a container of such things."""
+    found = 0
+    for name in value.split():
+        words = re.findall("[a-z0-9]+", name)
+        if len(words) == 1 and words[0] in MARKS:
+            return FIRM
+        if len(words) > 1 and (words[-1] in MARKS or (words[0] in MARKS and words[-1] in CONTAINERS)):
+            found = LIKELY
+    return found
 
 
-def _site(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is marked as none of the page's main text."""
+def _site(name: str, attributes: str, in_article: bool) -> int:
+    """Whether an element is marked as none of the page's main text: FIRM, LIKELY or 0."""
     if name in SITE or (name == "header" and not in_article):
-        return True
+        return FIRM
     if not attributes:
-        return False
+        return 0
+    found = 0
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
-            return True
-        words = set(re.split(r"[^a-z0-9]+", value))
-        if key == "role" and words & ROLES:
-            return True
-        if key in ("class", "id") and words & MARKS and name not in ("html", "body", "article", "main"):
-            return True
-        if key in ("class", "id") and "header" in words and not in_article and name not in ("html", "body", "article", "main"):
-            return True
-    return False
+            return FIRM
+        if key == "role" and set(value.split()) & ROLES:
+            return FIRM
+        if key in ("class", "id") and name not in ("html", "body", "article", "main"):
+            found = max(found, _named(value), FIRM if value == "header" and not in_article else 0)
+    return found
+
+
+class Outline:
+    """Lines of one page, and the open elements with where each name stands, so that no tag scans them all."""
+
+    def __init__(self) -> None:
+        self.lines: list[tuple[str, int, int]] = []  # text, kind, innermost likely mark around it
+        self.parts: list[str] = []
+        self.stack: list[tuple[str, bool, bool, int]] = []  # name, in something of the site, in the article, innermost likely mark
+        self.depths: dict[str, list[int]] = {}
+        self.barriers: list[int] = []
+        self.outer: list[int] = []  # likely mark → the one around it, -1 for none
+
+    def around(self) -> tuple[bool, bool, int]:
+        return self.stack[-1][1:] if self.stack else (False, False, -1)
+
+    def end_line(self) -> None:
+        if self.parts:
+            text = " ".join(entities.unescape("".join(self.parts)).split())
+            self.parts.clear()
+            if text:
+                site, own, likely = self.around()
+                self.lines.append((text, SITE_LINE if site else ARTICLE if own else PLAIN, likely))
+
+    def open(self, name: str, mark: int, site: bool, own: bool, likely: int) -> None:
+        if mark == LIKELY and not site:
+            self.outer.append(likely)
+            likely = len(self.outer) - 1
+        self.depths.setdefault(name, []).append(len(self.stack))
+        if name in BARRIERS:
+            self.barriers.append(len(self.stack))
+        self.stack.append((name, site or mark == FIRM, own, likely))
+
+    def is_open(self, name: str) -> bool:
+        return bool(self.depths.get(name))
+
+    def close(self, name: str) -> None:
+        if not self.is_open(name):
+            return
+        depth = self.depths[name][-1]
+        if self.barriers and self.barriers[-1] > depth and name not in ("html", "body", "article", "main"):
+            return
+        self.end_line()
+        self.cut(depth)
+
+    def cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            name = self.stack.pop()[0]
+            self.depths[name].pop()
+            if name in BARRIERS:
+                self.barriers.pop()
+
+    def judged(self) -> list[tuple[str, int]]:
+        """Lines with their kinds. A likely mark around more than half of the text outside the site's elements is none."""
+        weight, total = [0] * len(self.outer), 0
+        for text, kind, likely in self.lines:
+            if kind != SITE_LINE:
+                total += len(text)
+                if likely >= 0:
+                    weight[likely] += len(text)
+        for mark in range(len(self.outer) - 1, -1, -1):  # an outer mark has a smaller number
+            if self.outer[mark] >= 0:
+                weight[self.outer[mark]] += weight[mark]
+        holds: list[bool] = []
+        for mark, outer in enumerate(self.outer):
+            holds.append(2 * weight[mark] <= total or (outer >= 0 and holds[outer]))
+        return [(text, SITE_LINE if likely >= 0 and holds[likely] else kind) for text, kind, likely in self.lines]
 
 
 def lines_of(page: str) -> list[tuple[str, int]]:
-    """(text, kind) of the page's lines in order: character references decoded, white space one space, trimmed, none empty."""
-    out: list[tuple[str, int]] = []
-    parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, inside something of the site, inside the article
-    at = 0
-
-    def end_line() -> None:
-        if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
-            parts.clear()
-            if text:
-                site, own = stack[-1][1:] if stack else (False, False)
-                out.append((text, SITE_LINE if site else ARTICLE if own else PLAIN))
-
-    def pop(name: str) -> None:
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth][0] == name:
-                end_line()
-                del stack[depth:]
-                return
-            if stack[depth][0] in ("article", "body", "main") and name not in ("html", "body", "article", "main"):
-                return
+    """(text, kind) of the page's lines in order: character references decoded, white space one space, trimmed, none empty.
 
+    One pass; what closes a tag is looked for once, so tags that are never closed do not search the page again.
+    """
+    out = Outline()
+    parts = out.parts
+    at, bracket = 0, -1
     while at < len(page):
         start = page.find("<", at)
         if start < 0:
@@ -100,23 +170,32 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             break
         if start > at:
             parts.append(page[at:start])
-        token = TOKEN.match(page, start) or LOOSE.match(page, start)
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if bracket < start:
+            bracket = page.find(">", start)
+            bracket = len(page) if bracket < 0 else bracket
+        if page.startswith(("<!", "<?"), start):
+            at = min(bracket + 1, len(page))
+            continue
+        token = None
+        if bracket < len(page):
+            token = TOKEN.match(page, start, min(start + LONGEST_TAG, len(page))) or LOOSE.match(page, start, bracket + 1)
         if not token:
             parts.append("<")
             at = start + 1
             continue
         at = token.end()
-        name = (token.group("name") or "").lower()
-        if not name:
-            continue
+        name = token.group("name").lower()
         if token.group("close"):
             if name in BLOCKS:
-                end_line()
-            if name in BLOCKS or any(x[0] == name for x in stack):
-                pop(name)
+                out.end_line()
+            out.close(name)
             continue
         if name in BLOCKS:
-            end_line()
+            out.end_line()
         if name == "br":
             parts.append(" ")
         if name in RAW:
@@ -125,20 +204,20 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             continue
         if name in VOID or token.group("attributes").endswith("/"):
             continue
-        if name in ENDS_PARAGRAPH and any(x[0] == "p" for x in stack):
-            pop("p")
-        if name in ("li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
-            end_line()
-            stack.pop()
-        site, own = stack[-1][1:] if stack else (False, False)
+        if name in ENDS_PARAGRAPH and out.is_open("p"):
+            out.close("p")
+        if name in ("li", "option", "dt", "dd", "tr", "td", "th") and out.stack and out.stack[-1][0] == name:
+            out.end_line()
+            out.cut(len(out.stack) - 1)
+        site, own, likely = out.around()
         own = own or name in ("article", "main")
-        marked = _site(name, token.group("attributes"), own)
-        if marked and not site:
-            end_line()
-        if name in BLOCKS or marked:
-            stack.append((name, site or marked, own))
-    end_line()
-    return out
+        mark = _site(name, token.group("attributes"), own)
+        if mark and not site:
+            out.end_line()
+        if name in BLOCKS or mark:
+            out.open(name, mark, site, own, likely)
+    out.end_line()
+    return out.judged()
 
 
 def common_places(a: list[int], b: list[int]) -> list[int]:
@@ -176,25 +255,30 @@ def common_places(a: list[int], b: list[int]) -> list[int]:
 
 
 def kept_places(lengths: list[int], kinds: bytes, codes: list[int], partners: list[list[int]]) -> list[int]:
-    """Places of the lines that stay: those marked as the site's go, and those shared with a partner, in the article or not.
+    """Places of the lines that stay: those marked as the site's go, and those that the site's other pages share.
 
-    Partners are other line lists, nearest first. The first that shares at most half of the unmarked text is another page
-    and decides. If none does, those that lack a tenth of it or more decide together: what all of them have goes. A page
-    that is within a tenth of all its partners is one of several copies, and all of it stays. The article decides over
-    the lines outside it only where it holds most of the text that is not shared.
+    Partners are other line lists, nearest first. One that shares at most half of the unmarked text is another page; the
+    first VOTES of these decide. A line goes if two of them have it, or the only one there is; inside the article, if all
+    of them and at least two have it. If there is no such page, partners that lack a tenth of the text or more decide together: what all
+    of them have goes. A page that is within a tenth of all its partners is one of several copies, and all of it stays.
+    The article decides over the lines outside it only where it holds most of the text that is not shared.
     """
     own = [i for i, kind in enumerate(kinds) if kind != SITE_LINE]
     weight = sum(lengths[i] for i in own)
-    shared: set[int] = set()
+    unlike: list[set[int]] = []
     alike: list[set[int]] = []
     for partner in partners:
         found = {i for i in common_places(codes, partner) if kinds[i] != SITE_LINE}
         held = sum(lengths[i] for i in found)
         if 2 * held <= weight:
-            shared = found
-            break
-        if 10 * held <= 9 * weight:
+            unlike.append(found)
+            if len(unlike) == VOTES:
+                break
+        elif 10 * held <= 9 * weight:
             alike.append(found)
+    if unlike:
+        votes = Counter(i for found in unlike for i in found)
+        shared = {i for i, n in votes.items() if n >= (max(2, len(unlike)) if kinds[i] == ARTICLE else min(2, len(unlike)))}
     else:
         shared = set.intersection(*alike) if alike else set()
     left = [i for i in own if i not in shared]
