@@ -571,6 +571,35 @@ def map_t12_labels_j10(spark, d):
     return texts(out.agg(F.count("*").alias("n"), F.sum("amount").alias("amount")), "amount", scale=8)
 
 
+# A statement for every property and year. Account 4300 has an entry of its own in some statements, 4400 two of them in
+# others; 4500 is mapped twice for all, and once more in a few statements.
+view("v_labels", "select distinct property_id || '-' || substr(period, 1, 4) as source_id, account_name as source_label, account_code as code, cast(substr(property_id, 2) as int) as p from v_gl")
+
+
+@entry(
+    "map_labels_j10",
+    """select source_id, source_label, case when own then 'own_' || code when not bad then 'acct_' || code end as canonical_account,
+        case when own then 'map_own' when not bad then 'map_all' end as mapping_ref, case when bad and not own then 'INVALID_MAPPING' end as mapping_error
+        from (select *, (code = '4300' and p % 3 = 1) or (code = '4500' and p % 7 = 3) as own, (code = '4400' and p % 5 = 2) or code = '4500' as bad from v_labels) x""",
+)
+def map_labels_j10(spark, d):
+    rows = load(spark, d, "v_labels")
+    code, p = F.col("code"), F.col("p")
+
+    def entry_of(source, account, ref):
+        return F.struct(source.cast("string").alias("source_id"), "source_label", account.alias("canonical_account"), F.lit(ref).alias("mapping_ref"))
+
+    everywhere = rows.select("source_label", "code").distinct()
+    shared = entry_of(F.lit(None), F.concat(F.lit("acct_"), code), "map_all")
+    again = entry_of(F.lit(None), F.lit("another"), "map_all")
+    shared = everywhere.select(F.inline(F.when(code == "4500", F.array(shared, again)).otherwise(F.array(shared))))
+    own = entry_of(F.col("source_id"), F.concat(F.lit("own_"), code), "map_own")
+    single = ((code == "4300") & (p % 3 == 1)) | ((code == "4500") & (p % 7 == 3))
+    owned = rows.filter(single | ((code == "4400") & (p % 5 == 2)))
+    owned = owned.select(F.inline(F.when(code == "4400", F.array(own, own)).otherwise(F.array(own))))
+    return statements.map_labels(rows.drop("code", "p"), shared.unionByName(owned))
+
+
 @entry(
     "missing_months_u3",
     """select property_id, account_code, string_agg(mth, ',' order by mth) as missing from (

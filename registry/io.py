@@ -223,6 +223,26 @@ def ordered_report_rows_o2(spark, d):
     return rows.join(styled, "subject").groupBy("k", "metric", "error_code").agg(F.count("*").alias("n"))
 
 
+@entry(
+    "ordered_sink_o2",
+    """select step, count(*) as rows, step = 'written' as in_order from v_gl, (values ('written'), ('swapped')) s(step) group by 1""",
+)
+def ordered_sink_o2(spark, d):
+    """The ledger in (property, period, account) order over several files; with two of them swapped the order is gone."""
+    path, keys = scratch_dir(spark, "ordered"), ["property_id", "period", "account_code"]
+    reports.write_ordered(gl(spark, d), keys, path, 6)
+    written = reports.order_faults(spark, path, keys).isEmpty()
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    first, second = sorted(f.getPath().getName() for f in fs.listStatus(of(f"{path}/data")) if f.getPath().getName().startswith("part-"))[:2]
+    for a, b in ((first, "held"), (second, first), ("held", second)):
+        fs.rename(of(f"{path}/data/{a}"), of(f"{path}/data/{b}"))
+    swapped = reports.order_faults(spark, path, keys).isEmpty()
+    rows = spark.read.parquet(f"{path}/data").agg(F.count("*").alias("rows"))
+    steps = F.array(*[F.struct(F.lit(n).alias("step"), F.lit(v).alias("in_order")) for n, v in (("written", written), ("swapped", swapped))])
+    return rows.select("rows", F.inline(steps)).select("step", "rows", "in_order")
+
+
 @entry(
     "publish_once_s12",
     f"select property_id, kind, {m('sum(amount)', 'amount')} from v_gl group by 1, 2",

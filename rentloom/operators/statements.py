@@ -102,10 +102,54 @@ def month_coverage(columns: DataFrame, statements: DataFrame) -> DataFrame:
     )
 
 
+LABEL_PARTS = 16
+
+
+def mapping_entries(mapping: DataFrame) -> DataFrame:
+    """(source_id, source_label, canonical_account, mapping_ref, error_code): one row per scope and label.
+
+    ``mapping`` may name a ``source_id``; NULL, or no such column, is for every statement. A label given twice in one scope
+    is refused, whatever it says, so it never multiplies rows; blank labels and accounts are refused too."""
+    scope = F.col("source_id") if "source_id" in mapping.columns else F.lit(None).cast("string")
+    named = mapping.select(scope.alias("source_id"), "source_label", "canonical_account", "mapping_ref")
+    once = named.groupBy("source_id", "source_label").agg(
+        F.count("*").alias("copies"),
+        F.min("canonical_account").alias("canonical_account"),
+        F.min("mapping_ref").alias("mapping_ref"),
+    )
+    blank = lambda c: F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) == 0
+    bad = (F.col("copies") > 1) | blank("source_label") | blank("canonical_account")
+    return once.select(
+        "source_id",
+        "source_label",
+        *(F.when(~bad, F.col(c)).alias(c) for c in ("canonical_account", "mapping_ref")),
+        F.when(bad, "INVALID_MAPPING").alias("error_code"),
+    )
+
+
+def map_labels(rows: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Rows (source_id, source_label, …) with canonical_account, mapping_ref and mapping_error.
+
+    The entry of the row's own statement stands before the one for all; labels match by exact text. A refused entry maps
+    nothing and gives its code, and a refused own entry is not replaced by the one for all. Labels that every statement
+    has are dealt to ``LABEL_PARTS`` parts, each of which has the entries for all; row counts never change."""
+    entries = mapping_entries(mapping).filter("source_label is not null")
+    own = entries.filter("source_id is not null")
+    own = own.select("source_id", "source_label", F.struct("canonical_account", "mapping_ref", "error_code").alias("_own"))
+    shared = entries.filter("source_id is null")
+    shared = shared.select("source_label", F.struct("canonical_account", "mapping_ref", "error_code").alias("_all"))
+    shared = shared.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(LABEL_PARTS - 1))))
+    part = F.pmod(F.xxhash64("source_id", "source_label"), F.lit(LABEL_PARTS)).cast("int")
+    out = rows.join(own, ["source_id", "source_label"], "left").withColumn("_part", part)
+    out = out.join(shared, ["source_label", "_part"], "left").withColumn("_m", F.coalesce("_own", "_all"))
+    named = {"canonical_account": "canonical_account", "mapping_ref": "mapping_ref", "mapping_error": "error_code"}
+    return out.select(*rows.columns, *(F.col(f"_m.{c}").alias(name) for name, c in named.items()))
+
+
 def statement_rows(cells: DataFrame, statements: DataFrame, columns: DataFrame, mapping: DataFrame) -> DataFrame:
     """One row per statement row: label, kind, mapping, and its month cells as an array of parsed amounts.
 
-    The label joins its mapping by exact text, without case folding. Every month column of the source yields a cell;
+    The label joins its mapping by exact text, without case folding (see ``map_labels``). Every month column of the source yields a cell;
     an absent or blank one is an unknown amount, not zero."""
     top = statements.select("source_id", "header_row", "label_column")
     months = columns.filter(F.col("month").isNotNull()).select("source_id", "column", "month")
@@ -122,8 +166,7 @@ def statement_rows(cells: DataFrame, statements: DataFrame, columns: DataFrame,
     )
     label = F.when(F.trim("raw_label") != "", F.col("raw_label"))
     rows = rows.join(per_source, "source_id").withColumn("source_label", label)
-    mapped = mapping.select("source_label", "canonical_account", "mapping_ref")
-    rows = rows.join(mapped, "source_label", "left")
+    rows = map_labels(rows, mapping)
     kind = row_kind(F.col("source_label"), F.size("texts") > 0, F.col("canonical_account").isNotNull())
     # A month that heads two columns refuses its source in ``month_coverage``; here its first cell is shown.
     cell = lambda m: F.get(F.filter("texts", lambda t: t["month"] == m), F.lit(0))["text"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentloom.functions.refusal import any_of
@@ -111,3 +111,52 @@ def write_report(records: DataFrame, path: str) -> None:
         publish_once(frame.orderBy("subject", "period").select("value"), f"{path}/{name}", fmt)
     rows = report_rows(records).filter("error_code is null").select(*CSV_COLUMNS)
     publish_once(rows.orderBy("subject", "period", "metric"), f"{path}/metrics", "csv", header="true")
+
+
+# ---------------------------------------------------------------- ordered tables
+
+
+def _file_keys(spark, path: str, keys: list[str]) -> DataFrame:
+    """(file, rows, first_key, last_key, unsorted) of each data file as it is now, keys in the files' own row order."""
+    key = F.struct(*keys)
+    rows = spark.read.parquet(f"{path}/data").select(
+        F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.col("_metadata.row_index").alias("at"), key.alias("key")
+    )
+    # A file was written by one task, so its rows fit a window; they are compared with the row before.
+    before = F.lag("key").over(Window.partitionBy("file").orderBy("at"))
+    rows = rows.withColumn("falls", F.coalesce(F.col("key") < before, F.lit(False)))
+    return rows.groupBy("file").agg(
+        F.count("*").alias("rows"), F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count_if("falls").alias("unsorted")
+    )
+
+
+def write_ordered(df: DataFrame, keys: list[str], path: str, files: int | None = None) -> None:
+    """A table in global key order: ranges of keys, one sorted file each, and a manifest of every file's number, first and
+    last key and row count. An output that already exists refuses."""
+    ranged = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
+    publish_once(ranged.sortWithinPartitions(*keys), f"{path}/data", "parquet")
+    publish_once(_file_keys(df.sparkSession, path, keys).drop("unsorted"), f"{path}/manifest", "parquet")
+
+
+def order_faults(spark, path: str, keys: list[str]) -> DataFrame:
+    """(file, error_code) of everything that keeps ``path`` from being the ordered table its manifest describes.
+
+    FILE_MISSING and FILE_UNKNOWN: files and manifest differ. FILE_CHANGED: other rows or keys than written, as after two
+    files were swapped. FILE_UNSORTED: rows fall inside the file. FILES_OVERLAP: a file begins before the one in front ends.
+    Empty means that reading the files by name gives the rows in key order."""
+    told = spark.read.parquet(f"{path}/manifest").select("file", F.struct("rows", "first_key", "last_key").alias("told"))
+    found = _file_keys(spark, path, keys)
+    now = found.select("file", F.struct("rows", "first_key", "last_key").alias("now"), "unsorted")
+    both = told.join(now, "file", "full_outer")
+    # One row per file: the number of files is what the writing tasks were.
+    ended = F.max("now.last_key").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    codes = F.array_compact(
+        F.array(
+            F.when(F.col("now").isNull(), "FILE_MISSING"),
+            F.when(F.col("told").isNull(), "FILE_UNKNOWN"),
+            F.when(F.col("told") != F.col("now"), "FILE_CHANGED"),
+            F.when(F.col("unsorted") > 0, "FILE_UNSORTED"),
+            F.when(F.col("now.first_key") < F.col("ended"), "FILES_OVERLAP"),
+        )
+    )
+    return both.withColumn("ended", ended).select("file", F.explode(codes).alias("error_code"))
