@@ -219,7 +219,7 @@ def _stars(docs: DataFrame, buckets: DataFrame, marks: DataFrame, words: int, pe
         if turn == LEADER_ROUNDS:
             families = stages.write(_families(open_rows, marks, stages), "families")
             members = families.join(all_sets(families.select("id")), "id")
-            links, (found,) = stages.measured(_between(members, percent), "between", F.count("*"))
+            links, (found,) = stages.measured(_between(members, families, percent, stages), "between", F.count("*"))
         else:
             led = open_rows.select("id", "n", "comp", *(F.col(f"lead.{c}").alias(o) for c, o in (("id", "other"), ("n", "other_n"), ("comp", "other_comp"))))
             like = (F.col("n") * 100 >= F.col("other_n") * percent) & (F.col("other_n") * 100 >= F.col("n") * percent)
@@ -297,12 +297,14 @@ def _local_families(x: tuple, y: tuple) -> np.ndarray:
     return np.concatenate([np.where(near.any(1), a, -1), np.where(near.any(0), b, -1)])
 
 
-def _between(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that connect different components of a family; members are (id, comp, family, set).
+def _between(members: DataFrame, families: DataFrame, percent: int, stages: Stages) -> DataFrame:
+    """(a, b): links that connect different components of a family; members are the staged families (id, comp, family) with sets.
 
-    Blocks of nodes outside the family's largest component meet all blocks of the family once."""
-    comps = members.groupBy("family", "comp").agg(F.count("*").alias("n"))
+    Blocks of nodes outside the family's largest component meet all blocks of the family once. The families' counts are
+    written before the join, so that a family with most of the rows can be split there."""
+    comps = families.groupBy("family", "comp").agg(F.count("*").alias("n"))
     largest = comps.groupBy("family").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
+    largest = stages.write(largest, "largest")
     sorted_in = members.join(largest, "family").withColumn("main", F.col("comp") == F.col("top.comp"))
     sorted_in = sorted_in.withColumn("size", F.when(F.col("main"), F.col("top.n")).otherwise(F.col("all") - F.col("top.n")))
     packed = _packed(sorted_in, ["family", "main"], "size", SET_BLOCK, "id", "comp", "set")
