@@ -209,9 +209,9 @@ class Encoder:
         self.powers = self.inverse = np.ones(0, np.uint64)
 
     def forget(self) -> None:
-        self.keys, self.places, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted; the entry of each key
+        self.places, self.sizes, self.begins, self.lengths = (np.zeros(1 << 12, np.int32) for _ in range(4))
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.begins, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.text, self.held = np.zeros(1 << 18, np.uint8), 0
 
     def _grow(self, n: int) -> None:
@@ -236,28 +236,36 @@ class Encoder:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         places = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
         begins = self.held + np.cumsum(lengths) - lengths
-        for name, used, more in (("ids", "used", flat), ("text", "held", np.frombuffer(b"".join(words), np.uint8))):
-            own, start = getattr(self, name), getattr(self, used)
-            if start + len(more) > len(own):
-                own = np.concatenate([own, np.zeros(max(len(more), len(own)), own.dtype)])
-                setattr(self, name, own)
-            own[start : start + len(more)] = more
-            setattr(self, used, start + len(more))
+        self._append("ids", self.used, flat)
+        self._append("text", self.held, np.frombuffer(b"".join(words), np.uint8))
+        known = len(self.keys)
+        for name, values in {"places": places, "sizes": sizes, "begins": begins, "lengths": lengths}.items():
+            self._append(name, known, values)
+        self.used, self.held = self.used + len(flat), self.held + int(lengths.sum())
         at = np.searchsorted(self.keys, keys)
-        columns = {"keys": keys, "places": places, "sizes": sizes, "begins": begins, "lengths": lengths}
-        for name, values in columns.items():
-            setattr(self, name, np.insert(getattr(self, name), at, values))
-
-    def _strangers(self, data: np.ndarray, begin: np.ndarray, stop: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Words whose bytes are not those kept at their places."""
-        lengths = stop - begin
-        strange = self.lengths[at] != lengths
-        if strange.any():
-            like = np.flatnonzero(~strange)
-            found = like[self._strangers(data, begin[like], stop[like], at[like])] if len(like) else like
-            return np.sort(np.concatenate([np.flatnonzero(strange), found]))
-        unlike = data[ragged_index(begin, lengths)] != self.text[ragged_index(self.begins[at], lengths)]
-        return np.flatnonzero(np.logical_or.reduceat(unlike, np.cumsum(lengths) - lengths)) if unlike.any() else np.zeros(0, np.int64)
+        self.keys = np.insert(self.keys, at, keys)
+        self.entry = np.insert(self.entry, at, np.arange(known, known + len(keys), dtype=np.int32))
+
+    def _append(self, name: str, start: int, more) -> None:
+        """Put values behind the first ``start`` of an array that doubles when it is full."""
+        own = getattr(self, name)
+        if start + len(more) > len(own):
+            own = np.concatenate([own, np.zeros(max(len(more), len(own)), own.dtype)])
+            setattr(self, name, own)
+        own[start : start + len(more)] = more
+
+    def _strangers(self, data: np.ndarray, begin: np.ndarray, stop: np.ndarray, entry: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+        """Words whose bytes are not those kept in their entries. The words are all of ``data`` but its ``gaps``."""
+        lengths = (stop - begin).astype(np.int32)
+        kept = self.lengths[entry]
+        if (kept != lengths).any():  # of two words with one hash and unlike lengths, the bytes cannot be laid side by side
+            raw, text = data.tobytes(), self.text.tobytes()
+            spans = zip(begin.tolist(), stop.tolist(), self.begins[entry].tolist(), kept.tolist())
+            return np.flatnonzero([raw[a:b] != text[c : c + n] for a, b, c, n in spans])
+        first = np.cumsum(lengths, dtype=np.int32) - lengths
+        place = np.arange(int(lengths.sum()), dtype=np.int32) + np.repeat(self.begins[entry] - first, lengths)
+        unlike = np.delete(data, gaps) != self.text[place]
+        return np.flatnonzero(np.logical_or.reduceat(unlike, first)) if unlike.any() else np.zeros(0, np.int64)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text)."""
@@ -279,8 +287,9 @@ class Encoder:
             raw = data.tobytes()
             self._learn(unique[new], [raw[a:b] for a, b in zip(begin[first[new]].tolist(), stop[first[new]].tolist())])
             at = np.searchsorted(self.keys, unique)
-        lengths, places, table = self.sizes[at].astype(np.int64)[which], self.places[at][which], self.ids
-        strange = self._strangers(data, begin, stop, at[which])
+        entry = self.entry[at][which]
+        lengths, places, table = self.sizes[entry].astype(np.int64), self.places[entry].astype(np.int64), self.ids
+        strange = self._strangers(data, begin, stop, entry, marks[ends])
         if len(strange):
             raw = data.tobytes()
             flat, sizes = self._merged([raw[a:b] for a, b in zip(begin[strange].tolist(), stop[strange].tolist())])
