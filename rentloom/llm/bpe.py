@@ -111,9 +111,10 @@ END_POINT = 0x110000
 
 def word_starts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(all bytes with one zero byte behind each text, starts of words and ends of texts in them, which of these are ends)."""
-    points = np.frombuffer("\x00".join([*(t.decode() for t in texts), ""]).encode("utf-32-le"), np.uint32).copy()
+    decoded = [t.decode() for t in texts]
+    points = np.frombuffer("\x00".join([*decoded, ""]).encode("utf-32-le"), np.uint32).copy()
     data = np.frombuffer(b"\x00".join([*texts, b""]), np.uint8)
-    ends = np.cumsum(np.fromiter((len(t.decode()) for t in texts), np.int64, len(texts)) + 1) - 1
+    ends = np.cumsum(np.fromiter(map(len, decoded), np.int64, len(texts)) + 1) - 1
     points[ends] = END_POINT
     starts = scan(symbols_of(points, END_POINT))
     widths = (1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)).astype(np.int64)
@@ -189,6 +190,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
+HEAD_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def heads(data: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each word as one number; shorter words are filled up with zero bytes."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, 8)[begin]
+    return windows.view("<u8").ravel() & HEAD_MASKS[np.minimum(lengths, 8)]
+
+
 class Encoder:
     """Texts → ids, in slices of many texts at once. ``merge`` turns words into ids.
 
@@ -211,6 +222,7 @@ class Encoder:
     def forget(self) -> None:
         self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted; the entry of each key
         self.places, self.sizes, self.begins, self.lengths = (np.zeros(1 << 12, np.int32) for _ in range(4))
+        self.heads = np.zeros(1 << 12, np.uint64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.text, self.held = np.zeros(1 << 18, np.uint8), 0
 
@@ -237,9 +249,11 @@ class Encoder:
         places = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
         begins = self.held + np.cumsum(lengths) - lengths
         self._append("ids", self.used, flat)
-        self._append("text", self.held, np.frombuffer(b"".join(words), np.uint8))
+        joined = np.frombuffer(b"".join(words), np.uint8)
+        self._append("text", self.held, joined)
         known = len(self.keys)
-        for name, values in {"places": places, "sizes": sizes, "begins": begins, "lengths": lengths}.items():
+        first = heads(joined, begins - self.held, lengths)
+        for name, values in {"places": places, "sizes": sizes, "begins": begins, "lengths": lengths, "heads": first}.items():
             self._append(name, known, values)
         self.used, self.held = self.used + len(flat), self.held + int(lengths.sum())
         at = np.searchsorted(self.keys, keys)
@@ -254,18 +268,17 @@ class Encoder:
             setattr(self, name, own)
         own[start : start + len(more)] = more
 
-    def _strangers(self, data: np.ndarray, begin: np.ndarray, stop: np.ndarray, entry: np.ndarray, gaps: np.ndarray) -> np.ndarray:
-        """Words whose bytes are not those kept in their entries. The words are all of ``data`` but its ``gaps``."""
-        lengths = (stop - begin).astype(np.int32)
-        kept = self.lengths[entry]
-        if (kept != lengths).any():  # of two words with one hash and unlike lengths, the bytes cannot be laid side by side
-            raw, text = data.tobytes(), self.text.tobytes()
-            spans = zip(begin.tolist(), stop.tolist(), self.begins[entry].tolist(), kept.tolist())
-            return np.flatnonzero([raw[a:b] != text[c : c + n] for a, b, c, n in spans])
-        first = np.cumsum(lengths, dtype=np.int32) - lengths
-        place = np.arange(int(lengths.sum()), dtype=np.int32) + np.repeat(self.begins[entry] - first, lengths)
-        unlike = np.delete(data, gaps) != self.text[place]
-        return np.flatnonzero(np.logical_or.reduceat(unlike, first)) if unlike.any() else np.zeros(0, np.int64)
+    def _strangers(self, data: np.ndarray, begin: np.ndarray, stop: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Words whose length or bytes are not those kept in their entries. Up to eight bytes are compared as one number."""
+        lengths = stop - begin
+        strange = (self.lengths[entry] != lengths) | (self.heads[entry] != heads(data, begin, lengths))
+        long = np.flatnonzero(~strange & (lengths > 8))
+        if len(long):
+            rest = lengths[long] - 8
+            unlike = data[ragged_index(begin[long] + 8, rest)] != self.text[ragged_index(self.begins[entry[long]] + 8, rest)]
+            if unlike.any():
+                strange[long] = np.logical_or.reduceat(unlike, np.cumsum(rest) - rest)
+        return np.flatnonzero(strange)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text)."""
@@ -289,7 +302,7 @@ class Encoder:
             at = np.searchsorted(self.keys, unique)
         entry = self.entry[at][which]
         lengths, places, table = self.sizes[entry].astype(np.int64), self.places[entry].astype(np.int64), self.ids
-        strange = self._strangers(data, begin, stop, entry, marks[ends])
+        strange = self._strangers(data, begin, stop, entry)
         if len(strange):
             raw = data.tobytes()
             flat, sizes = self._merged([raw[a:b] for a, b in zip(begin[strange].tolist(), stop[strange].tolist())])
