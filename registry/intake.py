@@ -419,28 +419,29 @@ def parse_rent_line_f38(spark, d):
 
 # ---------------------------------------------------------------- statements
 
-# A statement per property from its 2000 actuals: months across, one line per (account, supplier group), with gaps,
-# dashes, blank rows, section rows, totals, a cumulative and an unknown column.
+# A statement for every property and year of actuals: months across, one line per (account, supplier group), with gaps,
+# dashes, blank rows, section rows, totals, a cumulative and an unknown column. The last year of the ledger is a part of one.
+# Statement headers know months of 2000 to 2099 only, so every year of the ledger stands twenty years later.
 view(
     "v_stmt_lines",
     """
-    select property_id, case when source_row = 6 and seq = 1 then '  ' else case source_row when 1 then 'Total Income ' when 7 then 'Section ' else account_name || ' ' end || cast(seq as string) end as label,
+    select property_id, property_id || '-' || year as source_id, year, case when source_row = 6 and seq = 1 then '  ' else case source_row when 1 then 'Total Income ' when 7 then 'Section ' else account_name || ' ' end || cast(seq as string) end as label,
            cast(10 + source_row * 10 + seq as int) as row, substr(period, 6, 2) as mm, source_row as line, seq, sum(amount) as amount, max(source_row) as x
-    from (select property_id, account_name, period, source_row, amount, cast(substr(source_file, length(source_file), 1) as int) % 3 as seq from v_gl where kind = 'actual' and period like '2000-%') g
-    group by 1, 2, 3, 4, 5, 6""",
+    from (select property_id, cast(cast(substr(period, 1, 4) as int) + 20 as string) as year, account_name, period, source_row, amount, cast(substr(source_file, length(source_file), 1) as int) % 3 as seq from v_gl where kind = 'actual') g
+    group by 1, 2, 3, 4, 5, 6, 7, 8""",
 )
 view(
     "v_stmt_cells",
     """
-    select property_id as source_id, row, col, text from (
-      select distinct property_id, 4 as row, 1 as col, 'Account' as text from v_stmt_lines
-      union all select distinct property_id, 4, 1 + cast(mm as int), case mm when '01' then 'Jan 2000' else '2000-' || mm end from v_stmt_lines where property_id <> 'p005' or mm <> '07'
-      union all select distinct property_id, 4, 14, 'YTD Total' from v_stmt_lines
-      union all select distinct property_id, 4, 15, 'Variance' from v_stmt_lines
-      union all select distinct property_id, row, 1, label from v_stmt_lines
-      union all select property_id, row, 1 + cast(mm as int), case when (line + seq) % 4 = 3 then '-' else cast(amount as string) end from v_stmt_lines where line <> 7
-      union all select property_id, row, 14, cast(amount as string) from v_stmt_lines where mm = '12'
-      union all select property_id, row, 15, 'x' from v_stmt_lines where mm = '12' and property_id = 'p002') c""",
+    select source_id, row, col, text from (
+      select distinct source_id, 4 as row, 1 as col, 'Account' as text from v_stmt_lines
+      union all select distinct source_id, 4, 1 + cast(mm as int), case mm when '01' then 'Jan ' || year else year || '-' || mm end from v_stmt_lines where property_id <> 'p005' or mm <> '07'
+      union all select distinct source_id, 4, 14, 'YTD Total' from v_stmt_lines
+      union all select distinct source_id, 4, 15, 'Variance' from v_stmt_lines
+      union all select distinct source_id, row, 1, label from v_stmt_lines
+      union all select source_id, row, 1 + cast(mm as int), case when (line + seq) % 4 = 3 then '-' else cast(amount as string) end from v_stmt_lines where line <> 7
+      union all select source_id, row, 14, cast(amount as string) from v_stmt_lines where mm = '12'
+      union all select source_id, row, 15, 'x' from v_stmt_lines where mm = '12' and property_id = 'p002') c""",
 )
 MAPPING_SQL = """select label as source_label, case line when 2 then 'other_income' when 3 then 'repairs_and_maintenance' when 4 then 'payroll' else 'utilities' end as canonical_account,
                  'map_' || label as mapping_ref from (select distinct label, line from v_stmt_lines where line in (2, 3, 4, 5) and seq <> 2) m"""
@@ -451,7 +452,7 @@ def stmt_cells(spark, d):
     x = load(spark, d, "v_stmt_lines")
     month, row = F.col("mm").cast("int") + 1, F.col("row")
     december, amount = F.col("mm") == "12", F.col("amount").cast("string")
-    title = F.when(F.col("mm") == "01", "Jan 2000").otherwise(F.concat(F.lit("2000-"), F.col("mm")))
+    title = F.when(F.col("mm") == "01", F.concat(F.lit("Jan "), "year")).otherwise(F.concat("year", F.lit("-"), F.col("mm")))
     top = F.lit(4)
     body = F.array(
         cell(row, month, F.when((F.col("line") + F.col("seq")) % 4 == 3, "-").otherwise(amount), F.col("line") != 7),
@@ -465,7 +466,7 @@ def stmt_cells(spark, d):
         cell(top, 15, "Variance"),
         cell(row, 1, F.col("label")),
     )
-    return exploded(x, "property_id", body).unionByName(exploded(x, "property_id", heads).distinct())
+    return exploded(x, "source_id", body).unionByName(exploded(x, "source_id", heads).distinct())
 
 
 SPARK_VIEWS["v_stmt_cells"] = stmt_cells
@@ -473,12 +474,13 @@ SPARK_VIEWS["v_stmt_cells"] = stmt_cells
 
 def stmt(spark, d):
     c = load(spark, d, "v_stmt_cells").withColumnRenamed("col", "column")
+    year = F.substring_index("source_id", "-", -1)
     s = c.select("source_id").distinct().select(
         "source_id",
         F.lit(4).alias("header_row"),
         F.lit(1).alias("label_column"),
-        F.when(F.col("source_id") == "p007", "2000-02").otherwise("2000-01").alias("first_month"),
-        F.lit("2000-12").alias("last_month"),
+        F.concat(year, F.when(F.col("source_id").startswith("p007-"), "-02").otherwise("-01")).alias("first_month"),
+        F.concat(year, F.lit("-12")).alias("last_month"),
     )
     return c, s
 
@@ -492,10 +494,10 @@ def stmt_rows(spark, d):
 view(
     "v_o_stmt_cols",
     """
-    select source_id, col, header, case when col = 1 then 'label' when col between 2 and 13 and header is not null then case when source_id = 'p007' and col = 2 then 'excluded' else 'month' end
+    select source_id, col, header, case when col = 1 then 'label' when col between 2 and 13 and header is not null then case when source_id like 'p007-%' and col = 2 then 'excluded' else 'month' end
              when col = 14 then 'cumulative' else 'unrecognized' end as role,
-           case when col between 2 and 13 and header is not null and not (source_id = 'p007' and col = 2) then '2000-' || lpad(cast(col - 1 as varchar), 2, '0') end as month,
-           case when source_id = 'p007' and col = 2 then 'MONTH_OUTSIDE_WINDOW' end as error_code, has_data
+           case when col between 2 and 13 and header is not null and not (source_id like 'p007-%' and col = 2) then split_part(source_id, '-', 2) || '-' || lpad(cast(col - 1 as varchar), 2, '0') end as month,
+           case when source_id like 'p007-%' and col = 2 then 'MONTH_OUTSIDE_WINDOW' end as error_code, has_data
     from (select source_id, col, max(case when row = 4 then text end) as header, max(case when row > 4 then 1 else 0 end) = 1 as has_data from v_stmt_cells group by 1, 2) x""",
 )
 
@@ -508,11 +510,11 @@ def column_role_f16(spark, d):
 view(
     "v_o_stmt_cover",
     """
-    select s.source_id, string_agg(case when k.month is null then e.mth end, ',' order by e.mth) as missing, count(k.month) as present,
-           max(b.error_code) as error_code
-    from (select distinct source_id from v_stmt_cells) s
-    join (select '2000-' || lpad(cast(i as varchar), 2, '0') as mth, i from range(1, 13) r(i)) e on not (s.source_id = 'p007' and e.i = 1)
-    left join v_o_stmt_cols k on k.source_id = s.source_id and k.month = e.mth
+    select s.source_id, string_agg(case when k.month is null then s.mth end, ',' order by s.mth) as missing, count(k.month) as present,
+           coalesce(max(b.error_code), case when count(k.month) = 0 then 'NO_MONTH_COLUMNS' when max(case when k.has_data then 1 else 0 end) = 0 then 'EMPTY_STATEMENT' end) as error_code
+    from (select x.source_id, split_part(x.source_id, '-', 2) || '-' || lpad(cast(r.i as varchar), 2, '0') as mth from (select distinct source_id from v_stmt_cells) x
+          join range(1, 13) r(i) on not (x.source_id like 'p007-%' and r.i = 1)) s
+    left join v_o_stmt_cols k on k.source_id = s.source_id and k.month = s.mth
     left join (select source_id, max(error_code) as error_code from v_o_stmt_cols group by 1) b on b.source_id = s.source_id group by 1""",
 )
 
@@ -602,19 +604,21 @@ def map_labels_j10(spark, d):
 
 @entry(
     "missing_months_u3",
-    """select property_id, account_code, string_agg(mth, ',' order by mth) as missing from (
-        select a.property_id, a.account_code, p.mth from (select distinct property_id, account_code from v_gl where kind = 'actual' and period like '2000-%') a
-        cross join (select '2000-' || lpad(cast(i as varchar), 2, '0') as mth from range(1, 13) r(i)) p
+    """select property_id, account_code, year, string_agg(mth, ',' order by mth) as missing from (
+        select a.property_id, a.account_code, a.year, p.mth from (select distinct property_id, account_code, substr(period, 1, 4) as year from v_gl where kind = 'actual') a
+        join (select cast(y as varchar) as year, y || '-' || lpad(cast(i as varchar), 2, '0') as mth from range(1900, 2100) q(y), range(1, 13) r(i)) p on p.year = a.year
         left join (select distinct property_id, account_code, period from v_gl where kind = 'actual') g on g.property_id = a.property_id and g.account_code = a.account_code and g.period = p.mth
-        where g.period is null) x group by 1, 2""",
+        where g.period is null) x group by 1, 2, 3""",
 )
 def missing_months_u3(spark, d):
+    """The months of every year in which a property's account has actuals, less those it has."""
     from rentloom.functions.period import month_range
 
-    g = load(spark, d, "v_gl").filter("kind = 'actual' and period like '2000-%'")
-    have = g.groupBy("property_id", "account_code").agg(F.collect_set("period").alias("have"))
-    missing = F.array_except(month_range(F.lit("2000-01"), F.lit("2000-12")), F.col("have"))
-    return have.select("property_id", "account_code", F.array_join(missing, ",").alias("missing")).filter("missing <> ''")
+    g = load(spark, d, "v_gl").filter("kind = 'actual'")
+    have = g.groupBy("property_id", "account_code", F.substring("period", 1, 4).alias("year")).agg(F.collect_set("period").alias("have"))
+    wanted = month_range(F.concat("year", F.lit("-01")), F.concat("year", F.lit("-12")))
+    missing = F.array_except(wanted, F.col("have"))
+    return have.select("property_id", "account_code", "year", F.array_join(missing, ",").alias("missing")).filter("missing <> ''")
 
 
 ISSUE_SQL = """select source_id, code, severity, count(*) as n from (
@@ -660,7 +664,7 @@ def column_overrides_x4(spark, d):
             F.filter(
                 F.array(
                     F.struct(F.lit(15).alias("column"), F.lit("descriptor").alias("role")),
-                    F.struct(F.when(F.col("source_id") == "p007", 2).alias("column"), F.lit("excluded").alias("role")),
+                    F.struct(F.when(F.col("source_id").startswith("p007-"), 2).alias("column"), F.lit("excluded").alias("role")),
                 ),
                 lambda x: x["column"].isNotNull(),
             )
