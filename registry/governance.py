@@ -694,15 +694,21 @@ view(
     "v_recon",
     """
     select l_orderkey as deal_id, case l_linenumber when 1 then 'gross_potential_rent' when 2 then 'insurance' when 3 then 'real_estate_taxes' when 4 then 'payroll' else 'noi' end as bucket,
-           case l_partkey % 3 when 0 then 'actual' when 1 then 'broker' else 'house' end as side, cast(l_extendedprice as decimal(18,2)) as amount
+           case l_partkey % 3 when 0 then 'actual' when 1 then 'broker' else 'house' end as side,
+           case when l_suppkey % 7 <> 3 then cast(l_extendedprice as decimal(18,2)) end as amount
     from lineitem""",
 )
+# A side of a bucket with any missing amount has no sum.
+view(
+    "v_recon_cells",
+    "select deal_id, bucket, side, case when count(*) = count(amount) then sum(amount) end as amount from v_recon group by 1, 2, 3",
+)
 
 
 @entry(
     "reconcile_sources_c3",
     f"""select deal_id, bucket, {m("actual", 'actual')}, {m("broker", 'broker')}, {m("house", 'house')}, {m("broker - actual", 'broker_vs_actual')}, {m("house - actual", 'house_vs_actual')} from (
-        select deal_id, bucket, sum(amount) filter (where side = 'actual') as actual, sum(amount) filter (where side = 'broker') as broker, sum(amount) filter (where side = 'house') as house from v_recon group by 1, 2) x""",
+        select deal_id, bucket, sum(amount) filter (where side = 'actual') as actual, sum(amount) filter (where side = 'broker') as broker, sum(amount) filter (where side = 'house') as house from v_recon_cells group by 1, 2) x""",
 )
 def reconcile_sources_c3(spark, d):
     out = gov.reconcile_sources(load(spark, d, "v_recon"))
@@ -711,8 +717,8 @@ def reconcile_sources_c3(spark, d):
 
 @entry(
     "reconciliation_coverage_a25",
-    """select deal_id, 4 - count(distinct bucket || side) filter (where bucket in ('gross_potential_rent', 'insurance') and side <> 'house') + 2 - count(distinct bucket || side) filter (where bucket in ('gross_potential_rent', 'insurance') and side = 'house') as missing,
-        case when count(distinct bucket || side) filter (where bucket in ('gross_potential_rent', 'insurance')) < 6 then 'REFUSED' else 'SYNTHETIC_SCOPED_PASS' end as review_status from v_recon group by 1""",
+    """select deal_id, 6 - count(amount) filter (where bucket in ('gross_potential_rent', 'insurance')) as missing,
+        case when count(amount) filter (where bucket in ('gross_potential_rent', 'insurance')) < 6 then 'REFUSED' else 'SYNTHETIC_SCOPED_PASS' end as review_status from v_recon_cells group by 1""",
 )
 def reconciliation_coverage_a25(spark, d):
     wide = gov.reconcile_sources(load(spark, d, "v_recon"))
@@ -723,7 +729,7 @@ def reconciliation_coverage_a25(spark, d):
 @entry(
     "missing_cells_u9",
     """select d.deal_id, b.bucket || '/' || s.side as cell from (select distinct deal_id from v_recon) d, (values ('insurance'), ('payroll')) b(bucket), (values ('actual'), ('broker'), ('house')) s(side)
-       where not exists (select 1 from v_recon r where r.deal_id = d.deal_id and r.bucket = b.bucket and r.side = s.side)""",
+       where not exists (select 1 from v_recon_cells r where r.deal_id = d.deal_id and r.bucket = b.bucket and r.side = s.side and r.amount is not null)""",
 )
 def missing_cells_u9(spark, d):
     wide = gov.reconcile_sources(load(spark, d, "v_recon"))

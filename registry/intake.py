@@ -391,10 +391,10 @@ def valid_unit_id_f14(spark, d):
 )
 def header_key_f10(spark, d):
     n = spark.read.parquet(f"{d}/nation.parquet")
-    raw = F.concat(F.lit("  Region:"), F.col("n_regionkey").cast("string"), F.lit(" / "), F.col("n_name"))
+    raw = F.concat(F.lit("\u00a0 Region:\u00a0"), F.col("n_regionkey").cast("string"), F.lit(" / "), F.col("n_name"))
     return n.select(
         "n_nationkey",
-        tokens.header_key(F.concat(F.lit(" "), F.col("n_name"), F.lit("  "))).alias("spaced"),
+        tokens.header_key(F.concat(F.lit(" \u00a0"), F.col("n_name"), F.lit("\u2003 "))).alias("spaced"),
         tokens.header_key(raw, "punctuation").alias("folded"),
     )
 

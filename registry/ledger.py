@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from registry.common import Register, m, texts
 from registry.sqltext import K, load, view
+from rentloom import schemas
 from rentloom.functions.hashing import group_digest
 from rentloom.functions.skew import numbered
 from rentloom.operators import ledger
+from rentloom.session import scratch_dir
+from rentloom.sources import files
 
 ENTRIES = Register()
 entry = ENTRIES.entry
@@ -202,7 +205,10 @@ def read_opening_snapshot_s9(spark, d):
             "amount": F.when(F.col("deleted") & (F.col("ok") % 20 == 3), "0").otherwise(F.col("amount")),
         }
     )
-    out = ledger.validate_opening(rows, ["snapshot"])
+    root = scratch_dir(spark, "opening")
+    columns = [c.split()[0] for c in schemas.OPENING.split(", ")]
+    rows.withColumn("sequence", F.col("ok")).select("snapshot", *columns).write.partitionBy("snapshot").json(root)
+    out = ledger.validate_opening(files.read_opening_snapshot(spark, root), ["snapshot"])
     return out.groupBy("error_code").agg(F.count("*").alias("n"))
 
 

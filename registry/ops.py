@@ -411,12 +411,12 @@ def latest_snapshot_w1(spark, d):
 
 @entry(
     "newest_snapshots_o4",
-    """select property_id, id, cast(as_of_date as varchar) as as_of from (
-        select *, row_number() over (partition by property_id order by as_of_date desc, created_at desc, id desc) as rn from v_snapshots) x where rn <= 25""",
+    """select property_id, id, cast(as_of_date as varchar) as as_of, n > 25 as truncated from (
+        select *, row_number() over (partition by property_id order by as_of_date desc, created_at desc, id desc) as rn, count(*) over (partition by property_id) as n from v_snapshots) x where rn <= 25""",
 )
 def newest_snapshots_o4(spark, d):
     s = occupancy.newest_snapshots(load(spark, d, "v_snapshots"), 25)
-    return s.select("property_id", "id", F.col("as_of_date").cast("string").alias("as_of"))
+    return s.select("property_id", "id", F.col("as_of_date").cast("string").alias("as_of"), "truncated")
 
 
 @entry(

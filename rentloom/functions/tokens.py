@@ -85,9 +85,9 @@ UNIT_ID = r"^([A-Z]{1,3}-?)?[0-9]{1,4}[A-Z]?$"
 def header_key(text: Column, variant: str = "space") -> Column:
     """Comparable header text: lower case, with white space (``space``) or also punctuation collapsed.
 
-    ``ledger`` also collapses dots and backslashes; ``punctuation`` does not."""
-    pattern = {"space": r"\s+", "punctuation": r"[\s/,:\-_]+", "ledger": r"[\s/,:\\_.-]+"}[variant]
-    return F.trim(F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), pattern, " "))
+    ``ledger`` also collapses dots and backslashes; ``punctuation`` does not. Spaces of every script count."""
+    more = {"space": "", "punctuation": "/,:_-", "ledger": r"/,:\\_.-"}[variant]
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"[\s\p{{Z}}\x1c-\x1f\x85{more}]+", " "))
 
 
 def _word_map(groups: dict[str, list[str]], key: Column) -> Column:

@@ -392,10 +392,16 @@ def register_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def reconcile_sources(rows: DataFrame) -> DataFrame:
-    """Long rows (deal_id, bucket, side, amount) as one row per bucket with both differences to the actuals."""
-    wide = rows.groupBy("deal_id", "bucket").agg(
-        *[F.sum(F.when(F.col("side") == s, F.col("amount"))).cast("decimal(38,2)").alias(s) for s in SIDES]
-    )
+    """Long rows (deal_id, bucket, side, amount) as one row per bucket with both differences to the actuals.
+
+    A side with any missing amount is NULL, and so are its differences; it never counts as the sum of the others."""
+
+    def total(side: str) -> Column:
+        here = F.col("side") == side
+        missing = F.count_if(here & F.col("amount").isNull())
+        return F.when(missing == 0, F.sum(F.when(here, F.col("amount")))).cast("decimal(38,2)").alias(side)
+
+    wide = rows.groupBy("deal_id", "bucket").agg(*map(total, SIDES))
     return wide.withColumns(
         {"broker_vs_actual": F.col("broker") - F.col("actual"), "house_vs_actual": F.col("house") - F.col("actual")}
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentloom.functions.metrics import feed_age, occupancy_check
-from rentloom.functions.refusal import all_failures, any_of, clean_text, failed, top_n
+from rentloom.functions.refusal import all_failures, any_of, clean_text, failed
 
 # Words that mark a unit as vacant in the standardized feed.
 VACANCY_MARKERS = ["vacant", "vacancy", "available", "model", "admin", "down"]
@@ -52,9 +52,12 @@ def latest_snapshot(snaps: DataFrame) -> DataFrame:
 
 
 def newest_snapshots(snaps: DataFrame, n: int = 1000) -> DataFrame:
-    """Newest n snapshots per property."""
+    """Newest n snapshots per property, and ``truncated``: whether the property has older ones than these."""
     order = [F.col("as_of_date").desc(), F.col("created_at").desc(), F.col("id").desc()]
-    return top_n(snaps, ["property_id"], order, n)
+    mine = Window.partitionBy("property_id")
+    ranked = snaps.withColumn("_rn", F.row_number().over(mine.orderBy(*order))).filter(F.col("_rn") <= n + 1)
+    flagged = ranked.withColumn("truncated", F.max("_rn").over(mine) > n)
+    return flagged.filter(F.col("_rn") <= n).drop("_rn")
 
 
 def as_of_snapshot(requests: DataFrame, snaps: DataFrame, monthly: bool = False) -> DataFrame:

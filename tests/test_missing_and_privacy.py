@@ -1,12 +1,16 @@
 """Missing amounts and months, redaction of every script's digits, headings behind every break, staging, JSON depth."""
 
+from datetime import date
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
 from rentloom import session
+from rentloom.functions import tokens
 from rentloom.functions.jsonx import flatten_json
 from rentloom.functions.text import metadata_allowlist, metadata_local_only, redact_line
-from rentloom.operators import documents, evidence, metric, ops, rentroll, requests
+from rentloom.operators import documents, evidence, governance, metric, occupancy, ops, rentroll, requests
 from rentloom.plans import review
 
 GL = "id string, property_id string, period string, kind string, account_code string, account_name string, category string, amount decimal(18,2), source_file string, source_row int, created_at string"
@@ -187,3 +191,24 @@ def test_decisions_that_are_not_approved_resolve_nothing(spark):
     events = spark.createDataFrame(rows, "run_id string, n bigint, kind string, stage string, decision_id string, field string, value string, decision_status string")
     row = governance.workflow_state(events).first()
     assert row.resolutions == ["f=2"] and row.error_code is None
+
+
+def test_reconciled_sides_with_a_missing_amount_have_no_sum(spark):
+    rows = [("d", "noi", "actual", Decimal("5.00")), ("d", "noi", "actual", None), ("d", "noi", "broker", Decimal("7.00")), ("d", "payroll", "actual", Decimal("1.00")), ("d", "payroll", "house", Decimal("4.00"))]
+    table = spark.createDataFrame(rows, "deal_id string, bucket string, side string, amount decimal(18,2)")
+    got = {r.bucket: r for r in governance.reconcile_sources(table).collect()}
+    assert (got["noi"].actual, got["noi"].broker, got["noi"].broker_vs_actual) == (None, Decimal("7.00"), None)
+    assert (got["payroll"].actual, got["payroll"].house_vs_actual, got["payroll"].broker) == (Decimal("1.00"), Decimal("3.00"), None)
+
+
+def test_newest_snapshots_say_whether_older_ones_exist(spark):
+    rows = [(p, date(2026, 1, d), 1, 0, 0, str(d), "2026", "f", d) for p, n in (("a", 3), ("b", 2)) for d in range(1, n + 1)]
+    names = "property_id string, as_of_date date, occupied int, vacant int, down int, id string, created_at string, source_file string, source_row int"
+    got = occupancy.newest_snapshots(spark.createDataFrame(rows, names), 2).collect()
+    assert sorted((r.property_id, r.id, r.truncated) for r in got) == [("a", "2", True), ("a", "3", True), ("b", "1", False), ("b", "2", False)]
+
+
+def test_header_keys_fold_spaces_of_every_script(spark):
+    text = "\u00a0 Unit\u2003\u00a0Type \u3000"
+    row = spark.createDataFrame([(text,)], "t string").select(*[tokens.header_key(F.col("t"), v).alias(v) for v in ("space", "punctuation", "ledger")]).first()
+    assert set(row) == {"unit type"}

@@ -30,6 +30,25 @@ def test_inventory(spark, tmp_path):
     assert got == {"pdf": 1, "xlsx": 1, "xls": 1, "csv": 1, "unknown": 1}
 
 
+def test_heads_read_the_first_bytes_only(spark, tmp_path):
+    for deal in ("d1", "deal two"):
+        (tmp_path / deal / "deeper").mkdir(parents=True)
+        (tmp_path / deal / "a.pdf").write_bytes(b"%PDF-1.4" + bytes(500_000))
+        (tmp_path / deal / "deeper" / "b é.csv").write_bytes(b"a,b\n" * 100)
+        (tmp_path / deal / "none").write_bytes(b"")
+    heads = files.read_heads(spark, str(tmp_path))
+    got = {(r.deal, r.path.rsplit("/", 1)[1]): (r.length, bytes(r.content)) for r in heads.collect()}
+    for deal in ("d1", "deal two"):
+        assert got[deal, "a.pdf"] == (500_008, b"%PDF-1.4" + bytes(56))
+        assert got[deal, "b é.csv"] == (400, b"a,b\n" * 16)
+    assert len(got) == 4
+    counts = {(r.deal, r.container): r["count"] for r in files.inventory_files(heads).collect()}
+    assert counts == {(d, c): 1 for d in ("d1", "deal two") for c in ("pdf", "csv")}
+    plan = heads._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("FileScan binaryFile") :].splitlines()[0]
+    assert "length" in scan and "content" not in scan.split("ReadSchema: ")[1]
+
+
 def test_opening_snapshot_is_strict(spark, tmp_path):
     path = tmp_path / "o.json"
     path.write_text('{"sequence":"x"}\n')
