@@ -8,6 +8,7 @@ from registry.common import Register, m, texts
 from registry.sqltext import load, view
 from rentloom.operators import governance as gov
 from rentloom.operators import ledger, metric, occupancy, ops, policy, requests, workflow
+from rentloom.session import cut_lineage
 
 ENTRIES = Register()
 entry = ENTRIES.entry
@@ -769,7 +770,7 @@ def chain(spark, d):
 def check_hash_chain_w18(spark, d):
     c = chain(spark, d).drop("k")
     replay = c.withColumn("seq", F.col("seq") + 1000000).filter("seq % 5 = 0")
-    out = gov.check_hash_chain(c.unionByName(replay))
+    out = gov.check_hash_chain(c.unionByName(replay), stage=cut_lineage)
     return out.select("chain", "seq", "error_code", "superseded")
 
 
@@ -788,7 +789,7 @@ def active_decisions_w19(spark, d):
         F.lit("status").alias("field"),
         F.concat(F.lit("v"), (F.col("k") % 7).cast("string")).alias("after"),
     )
-    return gov.active_decisions(changes, gov.check_hash_chain(c.drop("k"))).drop("field")
+    return gov.active_decisions(changes, gov.check_hash_chain(c.drop("k"), stage=cut_lineage)).drop("field")
 
 
 @entry(

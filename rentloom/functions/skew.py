@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+Stage = Callable[[DataFrame], DataFrame]
+
 
 def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
     """1..n per key in (bucket, order) order, without sorting a whole key in one task.
@@ -43,16 +47,26 @@ def carry_forward(df: DataFrame, keys: list[str], row: str, value: Column, name:
     return out.withColumn(name, F.coalesce("_local", "_carried")).drop("_chunk", "_value", "_local", "_carried")
 
 
-def previous(df: DataFrame, keys: list[str], row: str, value: Column, name: str, chunk: int = 10_000) -> DataFrame:
-    """``value`` of the row just before, in ``row`` order and across chunks; NULL on the first row of a key."""
-    marked = df.withColumn("_chunk", F.floor(F.col(row) / chunk)).withColumn("_value", F.struct(value.alias("v")))
+def previous(
+    df: DataFrame, keys: list[str], row: str, value: Column, name: str, chunk: int = 10_000, stage: Stage = lambda df: df
+) -> DataFrame:
+    """``value`` of the row just before, in ``row`` order and across chunks; NULL on the first row of a key.
+
+    Each chunk of row numbers is scanned once by itself. Only its first row can miss its neighbour, which is the last row
+    of an earlier chunk: a second scan over the first and last rows of all chunks finds it, and the mended first rows
+    take the place of the others. Nothing is joined. ``stage`` may write the scanned rows, which are read twice."""
+    marked = df.withColumn("_value", F.struct(value.alias("v")))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(row)
-    local = marked.withColumn("_local", F.lag("_value").over(inside))
-    ends = marked.groupBy(*keys, "_chunk").agg(F.max_by("_value", row).alias("_end"))
-    earlier = Window.partitionBy(*keys).orderBy("_chunk")
-    ends = ends.withColumn("_carried", F.lag("_end").over(earlier)).drop("_end")
-    out = local.join(ends, [*keys, "_chunk"])
-    return out.withColumn(name, F.coalesce("_local", "_carried")["v"]).drop("_chunk", "_value", "_local", "_carried")
+    local = marked.withColumn("_chunk", F.floor(F.col(row) / chunk)).withColumns(
+        {"_before": F.lag("_value").over(inside), "_last": F.lead("_value").over(inside).isNull()}
+    )
+    local = stage(local.drop("_chunk"))
+    first = F.col("_before").isNull()
+    over_ends = Window.partitionBy(*keys).orderBy(row, "_last")
+    ends = local.filter(first | F.col("_last")).withColumn("_end", F.lag("_value").over(over_ends))
+    mended = ends.filter(first).withColumn("_before", F.col("_end")).drop("_end")
+    out = local.filter(~first).unionByName(mended)
+    return out.withColumn(name, F.col("_before")["v"]).drop("_value", "_before", "_last")
 
 
 def join_present(left: DataFrame, right: DataFrame, key: str, spread: list[str]) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentloom.functions.hashing import canonical_json, prefixed_id
 from rentloom.functions.jsonx import flatten_json
 from rentloom.functions.money import PLAIN_DECIMAL, parse_money
 from rentloom.functions.refusal import all_failures, any_of, failed, first_failure
-from rentloom.functions.skew import carry_forward, join_present, previous
+from rentloom.functions.skew import Stage, carry_forward, join_present, previous
 from rentloom.operators.evidence import worst_state
 
 # Money kinds with their basis, periods, gates, blocker actions, buckets, workflow rules.
@@ -436,31 +436,39 @@ def reconciliation_coverage(wide: DataFrame, scope: list[str]) -> DataFrame:
 # ---------------------------------------------------------------- decisions
 
 
-def check_hash_chain(decisions: DataFrame) -> DataFrame:
+def check_hash_chain(decisions: DataFrame, stage: Stage = lambda df: df) -> DataFrame:
     """Decisions (chain, seq, decision_id, sha256, predecessor_sha256, supersedes array, cells array) with codes.
 
     An identical replay is ignored; the same id with other bytes refuses. Each predecessor must be the hash before,
-    and a superseded decision must be earlier, still active and about the same cells."""
+    and a superseded decision must be earlier, still active and about the same cells. Decisions with their neighbour's hash
+    are read four times; ``stage=cut_lineage`` writes them once."""
     first = decisions.groupBy("chain", "decision_id").agg(
         F.min_by(F.struct(*[c for c in decisions.columns if c not in ("chain", "decision_id")]), "seq").alias("d"),
         (F.min("sha256") != F.max("sha256")).alias("rewritten"),
         F.count("*").alias("copies"),
     )
     kept = first.select("chain", "decision_id", "d.*", "rewritten", "copies")
-    chained = previous(kept, ["chain"], "seq", F.col("sha256"), "head")
-    edges = kept.select("chain", "sha256", "seq", F.sort_array("cells").alias("cells"), F.explode("supersedes").alias("prior"))
-    prior = kept.select(
+    chained = previous(kept, ["chain"], "seq", F.col("sha256"), "head", stage=stage)
+    edges = chained.select("chain", "sha256", "seq", F.sort_array("cells").alias("cells"), F.explode("supersedes").alias("prior"))
+    prior = chained.select(
         "chain", F.col("sha256").alias("prior"), F.col("seq").alias("p_seq"), F.sort_array("cells").alias("p_cells")
     )
-    once = edges.groupBy("chain", "prior").agg(F.min("seq").alias("first_by"))
-    judged = edges.join(prior, ["chain", "prior"], "left").join(once, ["chain", "prior"])
-    bad = judged.groupBy("chain", "sha256").agg(
-        F.bool_or(F.col("p_seq").isNull() | (F.col("p_seq") >= F.col("seq"))).alias("unknown"),
-        F.bool_or(F.col("first_by") < F.col("seq")).alias("inactive"),
-        F.bool_or(F.col("p_cells") != F.col("cells")).alias("other_cells"),
-    )
-    replaced = once.select("chain", F.col("prior").alias("sha256"), F.lit(True).alias("superseded"))
-    out = chained.join(bad, ["chain", "sha256"], "left").join(replaced, ["chain", "sha256"], "left")
+    first_by = F.min("seq").over(Window.partitionBy("chain", "prior"))
+    judged = edges.join(prior, ["chain", "prior"], "left").withColumn("first_by", first_by)
+    # Each edge says something about both its decisions: what is wrong with the later one, that the earlier one is replaced.
+    later = F.struct(
+        "sha256",
+        (F.col("p_seq").isNull() | (F.col("p_seq") >= F.col("seq"))).alias("unknown"),
+        (F.col("first_by") < F.col("seq")).alias("inactive"),
+        (F.col("p_cells") != F.col("cells")).alias("other_cells"),
+        F.lit(False).alias("superseded"),
+    )
+    no = F.lit(False)
+    earlier = F.struct(F.col("prior").alias("sha256"), no.alias("unknown"), no.alias("inactive"), no.alias("other_cells"), F.lit(True).alias("superseded"))
+    said = judged.select("chain", F.inline(F.array(later, earlier)))
+    flags = ("unknown", "inactive", "other_cells", "superseded")
+    marks = said.groupBy("chain", "sha256").agg(*[F.bool_or(c).alias(c) for c in flags])
+    out = chained.join(marks, ["chain", "sha256"], "left")
     error = first_failure(
         (F.col("rewritten"), "DECISION_REWRITTEN"),
         (~F.col("predecessor_sha256").eqNullSafe(F.col("head")), "BROKEN_CHAIN"),
