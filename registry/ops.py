@@ -518,9 +518,7 @@ def four_counts_a3(spark, d):
 # ---------------------------------------------------------------- the review
 
 
-@entry(
-    "review_summary_a12",
-    f"""select r.property_id, r.period, r.actual_rows, r.budget_rows, r.missing_budget_accounts, r.budget_only_accounts,
+REVIEW_SUMMARY = f"""select r.property_id, r.period, r.actual_rows, r.budget_rows, r.missing_budget_accounts, r.budget_only_accounts,
         coalesce(v.material_variances, 0) as material_variances, mp.mapping_exceptions, o.mismatch_status, o.freshness,
         {', '.join(m('b.' + c, c) for c in BRIDGE)},
         case when r.actual_rows = 0 or r.missing_budget_accounts > 0 or o.mismatch_status = 'mismatch' then 'blocked' else 'reviewed' end as status
@@ -535,10 +533,10 @@ def four_counts_a3(spark, d):
         left join (select property_id, period, case when as_of_date is null or unit_count is null or unit_count <= 0 then 'unknown'
                           when unit_count <> denominator then 'mismatch' else 'match' end as mismatch_status,
                           case when age_days is null then 'unknown' when age_days > 45 then 'stale' else 'current' end as freshness from v_o_occ) o
-          on o.property_id = r.property_id and o.period = r.period""",
-)
-def review_summary_a12(spark, d):
-    s = plan.summary_table(gl(spark, d), *dimensions(spark, d), months_to_review=312)
+          on o.property_id = r.property_id and o.period = r.period"""
+
+
+def summary_columns(s):
     keep = "actual_rows budget_rows missing_budget_accounts budget_only_accounts material_variances".split()
     s = s.select(
         "property_id", "period", *keep, "mapping_exceptions", "mismatch_status", "freshness", *BRIDGE, "status"
@@ -546,6 +544,11 @@ def review_summary_a12(spark, d):
     return texts(s, *BRIDGE)
 
 
+@entry("review_summary_a12", REVIEW_SUMMARY)
+def review_summary_a12(spark, d):
+    return summary_columns(plan.summary_table(gl(spark, d), *dimensions(spark, d), months_to_review=312))
+
+
 @entry(
     "exceptions_a33",
     f"""select property_id, period, code, severity, count(*) as n from (

@@ -75,13 +75,16 @@ def dedupe_gl(gl: DataFrame) -> DataFrame:
     """First import by (created_at, id) wins per import key; ``copies`` and ``amounts_differ`` disclose the rest.
 
     A minimum over a struct combines before the shuffle, unlike a window, so a row imported a million times costs
-    one row per task.
+    one row per task. Of rows with ``issues`` (``validate_gl``), ``refused_rows`` counts those with a fault other than a
+    missing amount, copies that go included.
     """
     kept = F.min(F.struct("created_at", "id", "amount", "account_name", "category")).alias("k")
+    faults = F.array_remove("issues", "INVALID_AMOUNT")
+    refused = [F.count_if(F.size(faults) > 0).alias("refused_rows")] if "issues" in gl.columns else []
     return (
         gl.groupBy(*IMPORT_KEY)
-        .agg(kept, F.count("*").alias("copies"), (F.min("amount") != F.max("amount")).alias("amounts_differ"))
-        .select(*IMPORT_KEY, "k.*", "copies", "amounts_differ")
+        .agg(kept, F.count("*").alias("copies"), (F.min("amount") != F.max("amount")).alias("amounts_differ"), *refused)
+        .select(*IMPORT_KEY, "k.*", "copies", "amounts_differ", *["refused_rows" for _ in refused])
     )
 
 
@@ -115,6 +118,7 @@ def account_rollup(clean: DataFrame) -> DataFrame:
         F.size(F.collect_set(F.struct("account_name", "category"))).alias("labels"),
         F.count_if(F.col("copies") > 1).alias("duplicate_groups"),
         F.sum(F.col("copies") - 1).alias("duplicate_rows"),
+        *[F.sum(c).alias(c) for c in ("refused_rows",) if c in clean.columns],
     )
 
 

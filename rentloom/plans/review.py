@@ -327,6 +327,7 @@ def review_rollup(accounts: DataFrame) -> DataFrame:
         F.sum("duplicate_rows").alias("duplicate_rows"),
         F.count_if("is_material").alias("material_variances"),
         F.count_if(F.col("mapping_error").isNotNull()).alias("mapping_exceptions"),
+        *[F.sum(c).alias(c) for c in ("refused_rows",) if c in accounts.columns],
         *ops.bridge_sums(covered),
     )
 
@@ -340,6 +341,7 @@ def summary_table(
     months_to_review: int | None = None,
     variance_fn: ops.VarianceFn | None = ops.account_variance,
     requests: DataFrame | None = None,
+    check_rows: bool = False,
 ) -> DataFrame:
     """One row per (property, period): status, blocker codes, counts, occupancy and the NOI bridge.
 
@@ -348,11 +350,18 @@ def summary_table(
     after its period starts; without it the snapshot bound is the month end and freshness is unknown.
     ``requests(property_id, period)`` names the months to answer: one without ledger rows comes out blocked with
     MISSING_ACTUALS, with counts of zero and sums of NULL.
+
+    With ``check_rows`` each ledger row is held to the row contract (``validate_gl``) in the same pass. A month with a row
+    that breaks it is blocked with INVALID_CONTRACT: ``refused_rows`` counts these rows, and no amount of that month and no
+    number made from one is given. Rows without a property, or with a period that is no month, form such months of
+    their own.
     """
     policy = policy or Materiality()
     if requests is not None:
         requests = requests.select(*REVIEW_KEY).distinct()
         gl = gl.join(requests, REVIEW_KEY, "left_semi")
+    if check_rows:
+        gl = ops.validate_gl(gl)
     accounts = ops.actual_budget_coverage(ops.account_rollup(ops.dedupe_gl(gl)))
     accounts = with_variance(ops.with_mapping_state(accounts, mappings), variance_fn)
     threshold = F.lit(policy.variance_abs).cast("decimal(38,8)")
@@ -361,8 +370,12 @@ def summary_table(
     if requests is not None:
         counts = [c for c, kind in rows.dtypes if kind == "bigint"]
         rows = requests.join(rows, REVIEW_KEY, "left").fillna(0, counts)
+    if check_rows:
+        sums = [f"{side}_{name}" for side in ("actual", "budget") for name in ("revenue", "expenses")]
+        held = ["material_variances", *sums, "unmapped_actual", "unmapped_budget"]
+        rows = rows.withColumns({c: F.when(F.col("refused_rows") == 0, F.col(c)) for c in held})
     rows = ops.bridge_results(rows)
-    start = F.to_date(F.concat("period", F.lit("-01")))
+    start = F.concat("period", F.lit("-01")).try_cast("date")
     day = F.lit(None).cast("date") if months_to_review is None else F.add_months(start, months_to_review)
     rows = rows.withColumn("review_day", day)
     rows = rows.withColumn("bound", F.coalesce("review_day", month_end(F.col("period"))))
@@ -370,6 +383,7 @@ def summary_table(
     no_fn = F.lit(variance_fn is None)
     blockers = F.array_compact(
         F.array(
+            *[F.when(F.col("refused_rows") > 0, "INVALID_CONTRACT") for _ in range(check_rows)],
             F.when(F.col("actual_rows") == 0, "MISSING_ACTUALS"),
             F.when(F.col("invalid_accounts") > 0, "INVALID_AMOUNT"),
             F.when(F.col("missing_budget_accounts") > 0, "MISSING_BUDGET"),

@@ -40,6 +40,24 @@ def ledger(tables: dict[str, DataFrame]) -> DataFrame:
     return rows.withColumns({"amount": parsed["amount"].cast("decimal(18,2)"), "amount_error": parsed["error_code"]})
 
 
+def review_inputs(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Ledger, properties, snapshots and mappings in the form the review takes, from the tables as they are read.
+
+    Snapshot dates are text there; one that is no ``yyyy-mm-dd`` day becomes NULL, which the snapshot rules refuse.
+    """
+    day = F.col("as_of_date")
+    snapshots = tables["rent_roll_snapshots"].select(
+        "id",
+        "property_id",
+        F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), day.try_cast("date")).alias("as_of_date"),
+        *[F.col(f"{c}_units").alias(c) for c in ("occupied", "vacant", "down")],
+        "source_file",
+        "source_row",
+        "created_at",
+    )
+    return ledger(tables), tables["properties"].select("id", "name", "unit_count"), snapshots, tables["account_mappings"]
+
+
 def latest_revision(revisions: DataFrame) -> DataFrame:
     """Highest revision per (property, period)."""
     rest = [c for c in revisions.columns if c not in ("property", "period", "revision")]
