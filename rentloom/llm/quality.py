@@ -1,6 +1,6 @@
 """Quality by learned subword embeddings: hashed word and character n-gram vectors, averaged per document, softmax output.
 
-Words and the byte n-grams inside them share one hashed table; a word that repeats the one before it adds a feature of
+Words and the character n-grams inside them share one hashed table; a word that repeats the one before it adds a feature of
 its own. Vectors and output are trained together by stochastic gradient descent (Adagrad steps) in numpy on a bounded
 sample. When scoring, each feature's share of the logit is one number, so a word's share is a sum that is kept per word.
 """
@@ -26,9 +26,10 @@ REPEATED = BUCKETS  # the feature of a word that repeats the one before it
 
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(features of all words, number of features of each): the word and its byte n-grams, edges marked."""
-    data = np.frombuffer(b"".join(b"<%b>" % w for w in words), np.uint8).astype(np.uint32)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    """(features of all words, number of features of each): the word and its n-grams of code points, edges marked."""
+    marked = [f"<{w.decode(errors='replace')}>" for w in words]
+    data = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
+    sizes = np.fromiter(map(len, marked), np.int64, len(words))
     starts = np.cumsum(sizes) - sizes
     parts = [np.fromiter((xxh3_64_intdigest(w) & 0xFFFFFFFF for w in words), np.uint32, len(words))]
     owners = [np.arange(len(words))]

@@ -106,3 +106,12 @@ def test_accuracy_on_the_tables(spark, label):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     rows = CASES[label][0](docs, labels).join(labels, "doc_id").filter("held_out").collect()
     assert np.mean([r.predicted == r[label] for r in rows]) > 0.9
+
+
+def test_quality_grams_are_of_characters():
+    ids, sizes = quality.features(["naïve".encode(), "日本語".encode(), b"plain", b""])
+    # The word itself, and windows of 3 and 4 over its characters and two edge marks.
+    assert sizes.tolist() == [1 + 5 + 4, 1 + 3 + 2, 1 + 5 + 4, 1]
+    first, other = (set(quality.features([w.encode()])[0].tolist()) for w in ("日本語", "は日本語だ"))
+    assert len(first & other) == 1  # the trigram both hold; edges and words differ
+    assert quality.features([b"\xff\xfe"])[1].tolist() == [1 + 2 + 1]
