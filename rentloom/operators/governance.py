@@ -441,7 +441,7 @@ def check_hash_chain(decisions: DataFrame, stage: Stage = lambda df: df) -> Data
 
     An identical replay is ignored; the same id with other bytes refuses. Each predecessor must be the hash before,
     and a superseded decision must be earlier, still active and about the same cells. Decisions with their neighbour's hash
-    are read four times; ``stage=cut_lineage`` writes them once."""
+    are scanned six times; ``stage=cut_lineage`` writes them once."""
     first = decisions.groupBy("chain", "decision_id").agg(
         F.min_by(F.struct(*[c for c in decisions.columns if c not in ("chain", "decision_id")]), "seq").alias("d"),
         (F.min("sha256") != F.max("sha256")).alias("rewritten"),
