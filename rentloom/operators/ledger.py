@@ -89,20 +89,23 @@ def _interval_pairs(assertions: DataFrame, queries: DataFrame, span: tuple[date,
     scope = ["workspace_id", "aggregate_id"]
     begin = F.greatest(_days(F.col("valid_from"), origin), F.lit(0))
     end = F.least(F.coalesce(_days(F.col("valid_to"), origin), F.lit(NO_END)), F.lit(1 << levels))
-    facts = assertions.filter(F.col("valid_from").isNotNull() & F.col("recorded_at").isNotNull()).join(parts, scope, "left")
+    facts = assertions.filter(F.col("valid_from").isNotNull() & F.col("recorded_at").isNotNull())
+    # Dealt out before they are multiplied: a small file would be one task for all its blocks.
+    facts = facts.repartition("event_id").join(parts, scope, "left")
     part = F.pmod(F.xxhash64("event_id"), F.coalesce("parts", F.lit(1)))
     # Bounds are columns of their own, so that the steps of every level work on short expressions.
     facts = facts.select(*scope, "recorded_at", *columns, part.alias("part"), begin.alias("_begin"), end.alias("_end"))
     facts = facts.filter("_begin < _end").withColumn("_b", F.explode(_tree_blocks("_begin", "_end", levels)))
     facts = facts.select(*scope, "part", F.col("_b.level").alias("level"), F.col("_b.place").alias("place"), "recorded_at", *columns)
     day = _days(F.col("effective_at"), origin)
-    asked = queries.join(parts, scope, "left").select(
+    asked = queries.repartition("query_id").join(parts, scope, "left").select(
         *scope, "query_id", "known_at", day.alias("_day"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
     )
     level = F.explode(F.array(*(F.lit(n) for n in range(levels + 1))))
     asked = asked.withColumn("level", level).withColumn("place", F.expr("shiftright(_day, level)")).drop("_day")
     asked = asked.withColumn("part", F.col("part").cast("bigint"))
-    met = facts.join(asked, [*scope, "part", "level", "place"])
+    # Spark's estimates know nothing of the levels and parts a query is multiplied by, so both sides are always shuffled.
+    met = facts.join(asked.hint("merge"), [*scope, "part", "level", "place"])
     return met.filter("recorded_at <= known_at").select("query_id", *scope, *columns)
 
 

@@ -91,3 +91,12 @@ def test_join_is_an_equality(spark):
     rows = spark.createDataFrame([(*f[:4], Decimal(f[4]), *f[5:]) for f in facts], SCHEMA)
     plan = ledger.as_known_at(rows, spark.createDataFrame(asked, ASKED))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_multiplied_queries_are_never_broadcast(spark):
+    """A query becomes one row a level and part; the estimate of its table does not tell, so the join must not trust it."""
+    facts, asked = made(4, 60, 40, 400)
+    rows = spark.createDataFrame([(*f[:4], Decimal(f[4]), *f[5:]) for f in facts], SCHEMA)
+    plan = ledger.as_known_at(rows, spark.createDataFrame(asked, ASKED))._jdf.queryExecution().optimizedPlan().toString()
+    met = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert met and all("rightHint=(strategy=merge)" in line for line in met)
