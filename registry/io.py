@@ -538,14 +538,10 @@ def journal_state_t7(spark, d):
     root = scratch_dir(spark, "journal")
     events = journal(spark, d).withColumns({"run_id": F.col("run_id").cast("string"), "n": F.col("n").cast("bigint")})
 
-    def publish(batch, number):
-        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
-
     for rows in (events.filter("n <= 4"), events.filter("n > 4")):
         put(rows, f"{root}/in")
         stream = spark.readStream.schema(schemas.contract(schemas.JOURNAL)).parquet(f"{root}/in")
-        q = monitor.journal_state(stream).writeStream.outputMode("update").foreachBatch(publish)
-        q.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        runs.write_states(monitor.journal_state(stream), f"{root}/out", f"{root}/checkpoint", "update").awaitTermination()
     last = F.max_by(F.struct("stage", "events", "error_code"), "batch").alias("s")
     out = spark.read.parquet(f"{root}/out").groupBy("run_id").agg(last)
     return out.select(F.col("run_id").cast("bigint").alias("run_id"), "s.stage", "s.events", "s.error_code")
