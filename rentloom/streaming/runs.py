@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from rentloom import schemas
 from rentloom.operators.governance import AUTHORIZED_FROM, NEXT_STAGES, REQUIRED_VALUES
 from rentloom.operators.workflow import LAST_NUMBER, REVIEW_STATUSES
 from rentloom.streaming.commands import PROVIDER, ROCKS
@@ -19,9 +21,10 @@ RUN = (
     "run_id string, stage string, event_count bigint, waiting bigint, inputs map<string,string>, "
     "resolutions map<string,string>, resolved_by map<string,string>, approved boolean, error_code string"
 )
-COLUMNS = [part.split()[0] for part in RUN.replace("map<string,string>", "map").split(", ")]
 MAPS = ["inputs", "values", "resolutions"]
 DAY_MS = 86_400_000
+#: Runs whose events are in Python's memory at once.
+RUNS_AT_ONCE = 200
 
 
 def applied(state: dict, event: dict) -> bool:
@@ -62,74 +65,52 @@ def applied(state: dict, event: dict) -> bool:
     return True
 
 
-class RunJournal(StatefulProcessor):
-    """State of one run: what has been applied, a digest of each number, and the events that wait for a gap to fill."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "json string")
-        self.digests = handle.getMapState("digests", "n bigint", "digest string")
-        self.waiting = handle.getMapState("waiting", "n bigint", "event string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            state = json.loads(self.state.get()[0])
-        else:
-            state = {"stage": None, "count": 0, "waiting": 0, "inputs": {}, "content": None, "resolutions": {}, "resolved_by": {}}
-            state |= {"approved": False, "decisions": [], "rewritten": [], "corrupt": False}
-        arrived = {}
-        for frame in rows:
-            for n, text in zip(frame["n"].tolist(), frame["event"].tolist()):
-                digest = hashlib.sha256(text.encode()).hexdigest()
-                known = arrived[n][0] if n in arrived else (self.digests.getValue((n,)) or (None,))[0]
-                if known is None:
-                    arrived[n] = (digest, text)
-                elif known != digest and n not in state["rewritten"]:
-                    state["rewritten"].append(n)
-        for n, (digest, text) in arrived.items():
-            self.digests.updateValue((n,), (digest,))
-            if n != state["count"] + 1:
-                self.waiting.updateValue((n,), (text,))
-                state["waiting"] += 1
-        # What has just arrived is applied from memory, what waited from the state store.
-        while True:
-            n = state["count"] + 1
-            text, waited = arrived.get(n, (None, None))[1], self.waiting.getValue((n,)) if state["waiting"] else None
-            if waited is not None:
-                text = waited[0]
-                self.waiting.removeKey((n,))
-                state["waiting"] -= 1
-            if text is None:
-                break
-            if not state["corrupt"] and not applied(state, json.loads(text)):
-                state["corrupt"] = True
-            state["count"] = n
-        self.state.update((json.dumps(state),))
-        corrupt = state["corrupt"] or state["count"] == 0 or any(n <= state["count"] for n in state["rewritten"])
-        told = {"stage": state["stage"], "approved": state["approved"]}
-        told |= {name: json.dumps(state[name]) for name in ("inputs", "resolutions", "resolved_by")}
-        counts = {"event_count": state["count"], "waiting": state["waiting"], "error_code": "CORRUPT_INPUT" if corrupt else None}
-        out = {"run_id": key[0]} | {name: None if corrupt else value for name, value in told.items()} | counts
-        yield pd.DataFrame({name: [out[name]] for name in COLUMNS})
-
-    def close(self) -> None:
-        pass
+def journal_told(run_id: str | None, entries: list[dict]) -> dict:
+    """The row of ``RUN`` for the events a run has so far, one entry (n, event) for each number and content."""
+    state = {"stage": None, "count": 0, "inputs": {}, "content": None, "resolutions": {}, "resolved_by": {}}
+    state |= {"approved": False, "decisions": []}
+    slots, rewritten, corrupt = {}, set(), False
+    for entry in entries:
+        if slots.setdefault(entry["n"], entry["event"]) != entry["event"]:
+            rewritten.add(entry["n"])
+    while (n := state["count"] + 1) in slots:
+        corrupt = corrupt or n in rewritten or not applied(state, json.loads(slots[n]))
+        state["count"] = n
+    corrupt = corrupt or state["count"] == 0
+    told = {"stage": state["stage"], "approved": state["approved"]}
+    told |= {name: json.dumps(state[name]) for name in ("inputs", "resolutions", "resolved_by")}
+    counts = {"event_count": state["count"], "waiting": len(slots) - state["count"], "error_code": "CORRUPT_INPUT" if corrupt else None}
+    return {"run_id": run_id} | {name: None if corrupt else value for name, value in told.items()} | counts
 
 
 def run_states(stream: DataFrame) -> DataFrame:
     """The state of every run after each batch that brought it events, from a stream of ``workflow.EVENTS`` in any order.
 
-    Events behind a gap wait in the state store; the run moves on when the gap fills, so whatever the order of arrival the
-    last state of a run is that of ``workflow.run_records`` over all its events. The same event again changes nothing.
-    Events without a run or with a number outside 1 … 9,999 are not read.
+    The state store keeps the set of a run's (number, content) as one aggregate that combines before the shuffle, so events
+    wait there for a gap to fill and the same event again changes nothing. A run has at most 9,999 numbers. The walk over
+    the events of the runs of a batch is a function of that set and runs on Arrow batches of runs, so no event is a call
+    to the state store; whatever the order of arrival the last state of a run is that of ``workflow.run_records`` over all
+    its events. Events without a run or with a number outside 1 … 9,999 are not read.
     """
     text = F.to_json(
         F.struct("kind", "stage", "content_sha256", *(_sorted_map(c).alias(c) for c in MAPS), "decision_id", "decision_status"),
         {"ignoreNullFields": "false"},
     )
     read = stream.filter(F.col("run_id").isNotNull() & F.col("n").between(1, LAST_NUMBER))
-    rows = read.select("run_id", F.col("n").cast("bigint").alias("n"), text.alias("event"))
+    rows = read.select("run_id", F.struct(F.col("n").cast("bigint").alias("n"), text.alias("event")).alias("e"))
+    sets = rows.groupBy("run_id").agg(F.array_sort(F.collect_set("e")).alias("events"))
     plain = RUN.replace("map<string,string>", "string")
-    out = rows.groupBy("run_id").transformWithStateInPandas(RunJournal(), plain, "update", "none")
+    schema = schemas.contract(plain)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            for at in range(0, batch.num_rows, RUNS_AT_ONCE):
+                part = batch.slice(at, RUNS_AT_ONCE)
+                told = [journal_told(r["run_id"], r["events"]) for r in part.to_pylist()]
+                yield pa.RecordBatch.from_pylist(told, schema=arrow)
+
+    out = sets.mapInArrow(walk, schema)
     maps = {c: F.from_json(c, "map<string,string>") for c in ("inputs", "resolutions", "resolved_by")}
     return out.withColumns(maps)
 

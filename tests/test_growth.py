@@ -48,3 +48,12 @@ def test_journal_state_over_batches(spark, tmp_path):
         "good": ("reconciled", 6, None), "late": (None, 4, "CORRUPT_INPUT"), "again": (None, 4, "CORRUPT_INPUT"),
         "twice": (None, 5, "CORRUPT_INPUT"), "new": (None, 2, "CORRUPT_INPUT"), "odd": (None, 1, "CORRUPT_INPUT"), None: ("inspected", 1, None),
     }
+
+
+@pytest.mark.parametrize("name", ["journal", "runs"])
+def test_streams_make_no_python_call_a_run(spark, tmp_path, name):
+    ddl = schemas.JOURNAL if name == "journal" else workflow.EVENTS
+    stream = spark.readStream.schema(schemas.contract(ddl)).parquet(str(tmp_path))
+    states = monitor.journal_state(stream) if name == "journal" else runs.run_states(stream)
+    plan = states._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" in plan and "WithState" not in plan
