@@ -217,7 +217,7 @@ def read_cells_s7(spark, d):
     root = scratch_dir(spark, "cells")
     docs = load(spark, d, "documents").select("doc_id", "lang", "text")
     options = {"quoteAll": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-    put(docs.repartition(8), root, "csv", **options)
+    put(docs, root, "csv", maxRecordsPerFile="20000", **options)
     cells = files.read_cells(spark, root)
     packed = F.length(F.regexp_replace("text", r"[ \t\r\n\f\x0b]", ""))
     return cells.groupBy("column").agg(F.count("*").alias("n"), F.sum(packed).alias("chars"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rentloom import schemas
 
@@ -19,6 +21,9 @@ STANDARDIZED = {
 # First bytes of the known containers, as hex.
 MAGIC = {"xls": "D0CF11E0A1B11AE1", "xlsx": "504B", "pdf": "255044462D"}
 
+#: Cells, or characters of them, after which a task hands on what it has cut.
+CELLS_AT_ONCE, CHARS_AT_ONCE = 20_000, 1 << 22
+
 
 def read_standardized_csv(spark: SparkSession, root: str, name: str) -> DataFrame:
     """``{root}/<asset>/Standardized/{name}.csv`` of every asset; the asset comes from the path."""
@@ -35,31 +40,52 @@ def read_standardized_csv(spark: SparkSession, root: str, name: str) -> DataFram
 def read_cells(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Cell grid (source_id, sheet, row, row_end, column, text) with physical line numbers.
 
-    CSV files are read whole, one file per row, and cut into cells by the standard CSV reader inside the tasks, so
-    quoted line breaks keep their lines. Parquet input already is a grid."""
+    Spark lists the CSV files and deals them out; each task reads its files as streams and cuts them into cells by the
+    standard CSV reader, a bounded number of cells at a time, so quoted line breaks keep their lines and a file of any size
+    fits. Parquet input already is a grid."""
     if fmt == "parquet":
         return spark.read.schema(schemas.contract(schemas.CELLS)).parquet(path)
-    files = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("source_id"), "value"
-    )
+    listed = spark.read.format("binaryFile").load(path)
+    listed = listed.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("source_id"), "path")
+    schema = schemas.contract("source_id string, sheet int, row int, row_end int, column int, text string")
 
-    def cut(batches):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import csv
         import io
 
-        import pandas as pd
+        arrow = to_arrow_schema(schema)
+
+        def batch_of(cells: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells, strict=True), arrow.types, strict=True)], schema=arrow)
+
+        for batch in batches:
+            for source, at in zip(*(batch.column(c).to_pylist() for c in ("source_id", "path")), strict=True):
+                base, full = _opened(at)
+                with base.open_input_stream(full, compression="detect") as raw:
+                    reader = csv.reader(io.TextIOWrapper(raw, encoding="utf-8-sig", newline=""), strict=True)
+                    start, cells, size = 1, [], 0
+                    for row in reader:
+                        cells += [(source, 1, start, reader.line_num, i, c.strip()) for i, c in enumerate(row, 1)]
+                        start, size = reader.line_num + 1, size + sum(map(len, row))
+                        if len(cells) >= CELLS_AT_ONCE or size >= CHARS_AT_ONCE:
+                            yield batch_of(cells)
+                            cells, size = [], 0
+                    if cells:
+                        yield batch_of(cells)
+
+    return listed.mapInArrow(cut, schema)
+
+
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path there of a file that Spark has listed."""
+    scheme, _, rest = path.partition(":")
+    host, at = rest[2:].split("/", 1) if rest.startswith("//") else ("", rest.lstrip("/"))
+    return _system(scheme, host), f"{host}/{at}" if scheme in ("s3", "s3a", "gs") else f"/{at}"
 
-        for pdf in batches:
-            out = []
-            for source, text in zip(pdf["source_id"], pdf["value"], strict=True):
-                reader = csv.reader(io.StringIO(text.removeprefix("﻿"), newline=""), strict=True)
-                start = 1
-                for row in reader:
-                    out += [(source, 1, start, reader.line_num, i, c.strip()) for i, c in enumerate(row, 1)]
-                    start = reader.line_num + 1
-            yield pd.DataFrame(out, columns=["source_id", "sheet", "row", "row_end", "column", "text"])
 
-    return files.mapInPandas(cut, "source_id string, sheet int, row int, row_end int, column int, text string")
+@cache
+def _system(scheme: str, host: str) -> fs.FileSystem:
+    return fs.LocalFileSystem() if scheme == "file" else fs.FileSystem.from_uri(f"{scheme}://{host}/")[0]
 
 
 def read_opening_snapshot(spark: SparkSession, path: str) -> DataFrame:
@@ -83,17 +109,11 @@ def read_heads(spark: SparkSession, root: str, size: int = 64) -> DataFrame:
     listed = read_binary(spark, root).select("deal", "path", "length")
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        systems: dict[str, fs.FileSystem] = {}
         for batch in batches:
             found = []
             for path in batch.column("path").to_pylist():
-                scheme, _, rest = path.partition(":")
-                host, at = rest[2:].split("/", 1) if rest.startswith("//") else ("", rest.lstrip("/"))
-                base = f"{scheme}://{host}/"
-                if base not in systems:
-                    systems[base] = fs.LocalFileSystem() if scheme == "file" else fs.FileSystem.from_uri(base)[0]
-                full = f"{host}/{at}" if scheme in ("s3", "s3a", "gs") else f"/{at}"
-                with systems[base].open_input_file(full) as file:
+                base, full = _opened(path)
+                with base.open_input_file(full) as file:
                     found.append(file.read(size))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, "content"])
 

@@ -57,3 +57,12 @@ def test_streams_make_no_python_call_a_run(spark, tmp_path, name):
     states = monitor.journal_state(stream) if name == "journal" else runs.run_states(stream)
     plan = states._jdf.queryExecution().analyzed().toString()
     assert "MapInArrow" in plan and "WithState" not in plan
+
+
+def test_cells_are_handed_on_before_the_file_ends(spark, tmp_path):
+    lines = "".join(f"{i},x\n" for i in range(60_000))
+    (tmp_path / "grid.csv").write_text(lines + 'a,"b"c\n')
+    cells = files.read_cells(spark, str(tmp_path))
+    assert [(r.row, r.column, r.text) for r in cells.limit(3).collect()] == [(1, 1, "0"), (1, 2, "x"), (2, 1, "1")]
+    with pytest.raises(Exception, match="expected after"):
+        cells.count()
