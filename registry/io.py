@@ -293,7 +293,8 @@ def ordered_report_rows_o2(spark, d):
 def ordered_sink_o2(spark, d):
     """The ledger in (property, period, account) order over several files; with two of them swapped the order is gone."""
     path, keys = scratch_dir(spark, "ordered"), ["property_id", "period", "account_code"]
-    reports.write_ordered(gl(spark, d), keys, path, 6)
+    files = reports.files_for(load(spark, d, "lineitem").count(), 6)
+    reports.write_ordered(gl(spark, d), keys, path, files)
     written = reports.order_faults(spark, path, keys).isEmpty()
     of = spark._jvm.org.apache.hadoop.fs.Path
     fs = of(path).getFileSystem(spark._jsc.hadoopConfiguration())

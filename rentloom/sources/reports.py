@@ -10,6 +10,7 @@ from rentloom.functions.text import formula_unsafe
 from rentloom.operators.governance import validate_report
 
 WATERMARK = "<<BLOCKED: results are not complete; see blockers>>"
+ROWS_PER_FILE = 500_000
 CSV_COLUMNS = ["subject", "period", "metric", "amount", "currency", "citation", "watermark"]
 
 
@@ -130,6 +131,11 @@ def _file_keys(spark, path: str, keys: list[str]) -> DataFrame:
     )
 
 
+def files_for(rows: int, least: int = 1) -> int:
+    """How many files an ordered table of so many rows takes, so that the rows one task sorts do not grow with the table."""
+    return max(least, -(-rows // ROWS_PER_FILE))
+
+
 def write_ordered(df: DataFrame, keys: list[str], path: str, files: int | None = None) -> None:
     """A table in global key order: ranges of keys, one sorted file each, and a manifest of every file's number, first and
     last key and row count. An output that already exists refuses."""

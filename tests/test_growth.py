@@ -66,3 +66,7 @@ def test_cells_are_handed_on_before_the_file_ends(spark, tmp_path):
     assert [(r.row, r.column, r.text) for r in cells.limit(3).collect()] == [(1, 1, "0"), (1, 2, "x"), (2, 1, "1")]
     with pytest.raises(Exception, match="expected after"):
         cells.count()
+
+
+def test_files_grow_with_the_rows():
+    assert [reports.files_for(n, 6) for n in (0, 600_000, 36_000_000)] == [6, 6, 72]
