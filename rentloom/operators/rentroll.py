@@ -84,7 +84,10 @@ def header_row(cells: DataFrame, required: list[str] = REQUIRED) -> DataFrame:
 
 def fold_split_header(cells: DataFrame, upper: int, lower: int) -> DataFrame:
     """Two header rows joined per column, matched to a field; the first column wins where a field repeats."""
-    pair = cells.filter(F.col("row").isin(upper, lower)).groupBy(*SHEET, "column").agg(
+    # The cells of a sheet are dealt out by sheet once and both groupings run there: nothing combines before a shuffle, as a
+    # column has two cells, and grouping in the task that reads or makes the cells would sort all of them in it.
+    header = cells.filter(F.col("row").isin(upper, lower)).select(*SHEET, "row", "column", "text").repartition(*SHEET)
+    pair = header.groupBy(*SHEET, "column").agg(
         F.max(F.when(F.col("row") == upper, F.col("text"))).alias("a"),
         F.max(F.when(F.col("row") == lower, F.col("text"))).alias("b"),
     )

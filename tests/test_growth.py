@@ -70,3 +70,9 @@ def test_cells_are_handed_on_before_the_file_ends(spark, tmp_path):
 
 def test_files_grow_with_the_rows():
     assert [reports.files_for(n, 6) for n in (0, 600_000, 36_000_000)] == [6, 6, 72]
+
+
+def test_headers_are_dealt_out_by_sheet_once(spark):
+    cells = spark.createDataFrame([("a", 1, 5, 1, "Unit"), ("a", 1, 6, 1, "")], "source_id string, sheet int, row int, column int, text string")
+    plan = planned(rentroll.fold_split_header(cells, 5, 6))
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan[plan.index("Exchange") :]
