@@ -132,8 +132,7 @@ def parse_money(text: Column, currency: Column | str = "USD") -> Column:
 
 def parse_amount_lenient(text: Column) -> Column:
     """Feed amounts: drop ``$`` and ``,``, parentheses mean minus; blank or dash is 0 (the one such place)."""
-    bare = F.regexp_replace(F.trim(text), r"[$,)]", "")
-    bare = F.regexp_replace(bare, r"\(", "-")
+    bare = F.translate(F.trim(text), "($,)", "-")
     return F.when(bare.isin("", "-", "—"), F.lit("0")).otherwise(bare).try_cast("decimal(18,2)")
 
 

@@ -375,15 +375,17 @@ def t12_from_budget_comparison(feed: DataFrame, codes: DataFrame, end: DataFrame
     from rentloom.functions.money import parse_amount_lenient
     from rentloom.functions.period import parse_period
 
-    rows = feed.select(
-        "property_id",
-        parse_period(F.col("period")).alias("period"),
-        F.trim("account_code").alias("account_code"),
-        parse_amount_lenient(F.col("ptd_actual")).alias("amount"),
-    )
+    # Amounts are summed by the period's text, which has few values; periods are parsed once for each, not for each row.
+    text = F.col("period").alias("text")
     if end is None:
-        end = rows.filter(F.length("period") == 7).groupBy("property_id").agg(F.max("period").alias("end_period"))
-    return _window_sum(_monthly(rows.join(codes, "account_code", "left_semi")), end)
+        spans = feed.select("property_id", text).distinct().select("property_id", parse_period(F.col("text")).alias("period"))
+        end = spans.filter(F.length("period") == 7).groupBy("property_id").agg(F.max("period").alias("end_period"))
+    coded = feed.withColumn("account_code", F.trim("account_code")).join(codes, "account_code", "left_semi")
+    amount = parse_amount_lenient(F.col("ptd_actual"))
+    rows = coded.select("property_id", text, "account_code", amount.alias("amount")).groupBy("property_id", "text", "account_code")
+    rows = rows.agg(F.sum("amount").alias("amount"), F.count_if(F.col("amount").isNull()).alias("invalid"))
+    monthly = rows.groupBy("property_id", parse_period(F.col("text")).alias("period"), "account_code")
+    return _window_sum(monthly.agg(F.sum("amount").alias("amount"), F.sum("invalid").alias("invalid")), end)
 
 
 def trailing_12(gl: DataFrame, keys: list[str]) -> DataFrame:

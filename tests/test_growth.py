@@ -76,3 +76,16 @@ def test_headers_are_dealt_out_by_sheet_once(spark):
     cells = spark.createDataFrame([("a", 1, 5, 1, "Unit"), ("a", 1, 6, 1, "")], "source_id string, sheet int, row int, column int, text string")
     plan = planned(rentroll.fold_split_header(cells, 5, 6))
     assert plan.count("Exchange") == 1 and "Aggregate" not in plan[plan.index("Exchange") :]
+
+
+def test_periods_are_parsed_once_for_each_text(spark):
+    rows = [("p", "Mar 2026", " 1 ", "$1,000.50"), ("p", "2026-03", "1", "(0.50)"), ("p", "2026-02", "1", "-"), ("p", "2026-04", "2", "9"), ("p", "2025-05", "1", "x"), ("q", "?", "1", "5")]
+    feed = spark.createDataFrame(rows, "property_id string, period string, account_code string, ptd_actual string")
+    out = ops.t12_from_budget_comparison(feed, spark.createDataFrame([("1",)], "account_code string"))
+    assert [(r.property_id, r.as_of, r.value) for r in out.collect()] == [("p", "2026-04", None)]
+    good = ops.t12_from_budget_comparison(feed.filter("ptd_actual <> 'x'"), spark.createDataFrame([("1",)], "account_code string"))
+    assert [(r.as_of, str(r.value), r.error_code) for r in good.collect()] == [("2026-04", "1000.00", None)]
+    lines = optimized(out).splitlines()
+    for at, line in enumerate(lines):
+        if "RLIKE" in line:
+            assert any("Aggregate" in below for below in lines[at:])
