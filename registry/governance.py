@@ -975,7 +975,7 @@ def run_blockers_f42(spark, d):
     sha = F.when((k % 7 == 2) & (name == "om"), "changed").otherwise(F.concat(name, k.cast("string")))
     kind = F.when((k % 7 == 3) & (name == "t12"), "docx").otherwise("pdf")
     live = live.select(k.cast("string").alias("run_id"), "name", sha.alias("sha256"), kind.alias("format"))
-    out = workflow.run_blockers(workflow.run_records(run_journal(spark, d)), live)
+    out = workflow.run_blockers(workflow.run_records(run_journal(spark, d)), live, cut_lineage)
     text = F.array_join(F.transform("blockers", lambda b: F.concat(b["field"], F.lit(":"), b["kind"], F.lit(":"), F.coalesce(b["resolved_by"], F.lit("")))), ",")
     out = out.groupBy("error_code", "outcome", text.alias("blockers"))
     return out.agg(F.count("*").alias("runs"), F.sum(F.col("run_id").cast("bigint")).alias("ids"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentloom.functions.refusal import any_of, failed
+from rentloom.functions.skew import Stage
 from rentloom.operators.governance import AUTHORIZED_FROM, FORMATS, NEXT_STAGES, REQUIRED_INPUTS, REQUIRED_VALUES, _literals
 
 EVENTS = (
@@ -27,11 +28,13 @@ def entries(of: Column) -> Column:
 
 
 def numbered_events(events: DataFrame) -> DataFrame:
-    """One row for each number of a run, with ``rewritten`` where deliveries of it differ. Combines before it shuffles."""
+    """One row for each number of a run, with ``rewritten`` where deliveries of it differ.
+
+    Events are dealt out by run once; this grouping, and whatever follows by run, needs no other shuffle."""
     columns = [c for c in events.columns if c not in ("run_id", "n")]
     canonical = F.struct(*[entries(F.col(c)) if c in ("inputs", "values", "resolutions") else F.col(c) for c in columns])
     digest = F.sha2(F.to_json(canonical, {"ignoreNullFields": "false"}), 256)
-    read = events.filter(F.col("run_id").isNotNull() & F.col("n").between(1, LAST_NUMBER)).withColumn("digest", digest)
+    read = events.filter(F.col("run_id").isNotNull() & F.col("n").between(1, LAST_NUMBER)).repartition("run_id").withColumn("digest", digest)
     merged = read.groupBy("run_id", "n").agg(
         F.min_by(F.struct(*columns), "digest").alias("e"), (F.min("digest") != F.max("digest")).alias("rewritten")
     )
@@ -132,14 +135,16 @@ def run_records(events: DataFrame) -> DataFrame:
     )
 
 
-def run_blockers(records: DataFrame, live: DataFrame) -> DataFrame:
+def run_blockers(records: DataFrame, live: DataFrame, stage: Stage = lambda df: df) -> DataFrame:
     """Records with ``blockers`` (field, kind, resolved_by), ``outcome`` and STALE.
 
     ``live(run_id, name, sha256, format)`` says what the pinned sources hold now. One that is gone or has other bytes is
     corrupt_input, and makes an approved run STALE. An input of another format is unsupported_engineering; an input or
     value that is not there is pending_human_action. A value given by an approved review stays listed with the decision
-    that resolved it and blocks nothing. A refused run has neither blockers nor outcome.
+    that resolved it and blocks nothing. A refused run has neither blockers nor outcome. ``stage`` may write the records,
+    which are read twice.
     """
+    records = stage(records)
     pinned = records.select("run_id", F.explode("inputs").alias("name", "pinned"))
     # Sources that nobody pinned do not travel further, so a run keeps at most its own inputs.
     found = pinned.join(live.groupBy("run_id", "name").agg(F.min("sha256").alias("low"), F.max("sha256").alias("high"), F.min("format").alias("format")), ["run_id", "name"], "left")

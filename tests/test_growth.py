@@ -89,3 +89,17 @@ def test_periods_are_parsed_once_for_each_text(spark):
     for at, line in enumerate(lines):
         if "RLIKE" in line:
             assert any("Aggregate" in below for below in lines[at:])
+
+
+def test_events_are_shuffled_once(spark):
+    events = spark.createDataFrame([("a", 1, "created", None, "c", {"om": "1"}, None, None, None, None)], workflow.EVENTS)
+    assert planned(workflow.run_records(events)).count("Exchange") == 1
+
+
+def test_blockers_read_the_records_from_one_stage(spark):
+    staged = []
+    events = spark.createDataFrame([("a", 1, "created", None, "c", {"om": "1"}, None, None, None, None)], workflow.EVENTS)
+    live = spark.createDataFrame([("a", "om", "1", "pdf")], "run_id string, name string, sha256 string, format string")
+    out = workflow.run_blockers(workflow.run_records(events), live, lambda df: staged.append(df) or df)
+    assert len(staged) == 1 and [r.outcome for r in out.select("outcome").collect()] == ["needs_review_or_data"]
+    assert out.filter(F.size("blockers") > 0).count() == 1
