@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,12 +69,14 @@ def previous(
     return out.withColumn(name, F.col("_before")["v"]).drop("_value", "_before", "_last")
 
 
-def join_present(left: DataFrame, right: DataFrame, key: str, spread: list[str]) -> DataFrame:
-    """Left join on a key that may be NULL in most rows of ``left``.
+def join_present(left: DataFrame, right: DataFrame, key: str, spread: list[str], scope: Sequence[str] = ()) -> DataFrame:
+    """Left join on ``scope`` and on a key that may be NULL in most rows of ``left``.
 
-    A NULL key matches nothing, but all of them would hash to one partition. Each gets a number made from the columns
-    ``spread`` as a second key, so they are dealt out evenly; rows with a key join as ever.
+    A NULL key matches nothing, but all of them (of one scope) would hash to one partition. Each gets a number made from the
+    columns ``spread`` as one more key, so they are dealt out evenly; rows with a key join as ever.
     """
     number = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*spread), F.lit(1 << 20))).otherwise(F.lit(0))
-    marked = right.filter(F.col(key).isNotNull()).withColumn("_spread", F.lit(0).cast("bigint"))
-    return left.withColumn("_spread", number.cast("bigint")).join(marked, [key, "_spread"], "left").drop("_spread")
+    # Zero as well, but no literal: Spark takes a literal out of the join's keys, and the NULLs meet in one task again.
+    zero = F.pmod(F.xxhash64(key), F.lit(1))
+    marked = right.filter(F.col(key).isNotNull()).withColumn("_spread", zero.cast("bigint"))
+    return left.withColumn("_spread", number.cast("bigint")).join(marked, [*scope, key, "_spread"], "left").drop("_spread")

@@ -206,9 +206,12 @@ def check_stream_version(events: DataFrame) -> DataFrame:
             F.count("*").alias("corrections")
         )
     )
-    # Most events correct nothing: their NULL keys are spread, so they never meet in one task.
-    joined = events.join(before, [*stream, "version"], "left").join(target, [*stream, "supersedes_event_id"], "left")
-    joined = join_present(joined, repeats, "supersedes_event_id", [*stream, "version", "event_id"])
+    # Most events correct nothing: their NULL keys are spread, so they never meet in one task, and those of one aggregate
+    # do not either.
+    row = [*stream, "version", "event_id"]
+    joined = events.join(before, [*stream, "version"], "left")
+    joined = join_present(joined, target, "supersedes_event_id", row, stream)
+    joined = join_present(joined, repeats, "supersedes_event_id", row)
     corrects = F.col("supersedes_event_id").isNotNull()
     bad = F.array_compact(
         F.array(

@@ -7,8 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rentloom.functions.hashing import group_digest
-from rentloom.functions.skew import carry_forward, numbered, previous
-from rentloom.operators import documents
+from rentloom.functions.skew import carry_forward, join_present, numbered, previous
+from rentloom.operators import documents, ledger
 
 rows_strategy = st.lists(
     st.tuples(st.sampled_from(["hot", "hot", "hot", "b"]), st.integers(0, 60), st.one_of(st.none(), st.sampled_from("xyz"))),
@@ -75,3 +75,33 @@ def test_section_spans_match_a_loop(spark, codes):
         a, b = want.get(code, (page, end))
         want[code] = (min(a, page), max(b, end))
     assert got == want
+
+
+def test_null_keys_are_dealt_out_whatever_spark_folds(spark):
+    hot = F.when(F.col("id") >= 0, "hot").alias("s")
+    left = spark.range(2000).select(hot, "id", F.when(F.col("id") % 10 == 0, F.col("id") / 10).cast("bigint").alias("k"))
+    right = left.select("s", F.col("id").alias("k"), (F.col("id") * 3).alias("found")).filter("k <> 7").hint("merge")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        for scope in ([], ["s"]):
+            other = right if scope else right.drop("s")
+            out = join_present(left, other, "k", ["id"], scope)
+            rows = out.select("id", "k", "found").collect()
+            assert len(rows) == 2000 and all(r.found == (None if r.k is None or r.k == 7 else 3 * r.k) for r in rows)
+            sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == 2000 and max(sizes) < 1000
+    finally:
+        spark.conf.unset(coalesce)
+
+
+def test_events_of_a_hot_aggregate_that_correct_nothing_are_dealt_out(spark):
+    fields = ["'w' as workspace_id", "if(id >= 0, 'hot', 'b') as aggregate_id", "id as event_id", "id + 1 as version", "'k' as key"]
+    prior = "case when id in (8, 9) then 1L when id = 20 then 5000L end as supersedes_event_id"
+    events = spark.range(2000).selectExpr(*fields, prior, "timestamp_seconds(id) as recorded_at")
+    out = ledger.check_stream_version(events.filter("version <> 30"))
+    assert {(r.event_id, *r.issues) for r in out.filter(F.size("issues") > 0).collect()} == {
+        (8, "SECOND_CORRECTION"), (9, "SECOND_CORRECTION"), (20, "UNKNOWN_TARGET"), (30, "VERSION_GAP"),
+    }
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in x and "supersedes_event_id" in x]
+    assert len(joins) == 2 and all(x.count("_spread#") == 2 for x in joins)
