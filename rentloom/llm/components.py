@@ -1,7 +1,11 @@
-"""Connected components of a link table by alternating large-star and small-star steps, all on Spark."""
+"""Connected components of a link table: blocks of links are contracted, large-star and small-star steps join the blocks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,49 @@ from rentloom.llm.common import Stages
 
 
 SALTS = 2
+BLOCK = 1 << 16  # links that are contracted at a time
+
+
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each linked node but the smallest of its component, and that smallest node."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    label = np.arange(len(nodes))
+    while (label[x] != label[y]).any():
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+    rest = label != np.arange(len(nodes))
+    return nodes[rest], nodes[label[rest]]
+
+
+def _contracted(edges: DataFrame, block: int) -> DataFrame:
+    """Stars with the same components as the links of each task, found for some ``block`` links at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = b = np.zeros(0, np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, block):
+                x, y = (batch.column(c).slice(start, block).to_numpy() for c in ("a", "b"))
+                a, b = np.concatenate([a, x]), np.concatenate([b, y])
+                if len(a) > block:
+                    a, b = least_reachable(a, b)
+                    if len(a) > block // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                        a = b = a[:0]
+        a, b = least_reachable(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return edges.mapInArrow(run, "a bigint, b bigint")
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour or larger ones only."""
+    role = F.struct(F.col("a").alias("id"), F.lit(1).alias("up")), F.struct(F.col("b").alias("id"), F.lit(0).alias("up"))
+    ends = edges.select(F.explode(F.array(*role)).alias("end")).select("end.*")
+    seen = ends.groupBy("id").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return seen.filter("ups > 1 or ups = 1 and least = 0").isEmpty()
 
 
 def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
@@ -35,17 +82,23 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame, stages: Stages) -> DataFrame:
     """(a, b): each linked node but the smallest of its component, and that smallest node. Loops and repeats do no harm.
 
-    Only counts and a checksum come to the driver, taken while a step is written. A node with very many links is read once
-    per link in a join whose other side has one row for it and each salt, so adaptive execution can split it.
+    Links that fit one block of ``BLOCK`` are finished in it. More of them are contracted in as many blocks as they fill, for
+    as long as that halves them; then star steps over all of them follow, each contracted again, until every node knows the
+    smallest of its component. Only counts come to the driver. A node with very many links is read once per link in a
+    join whose other side has one row for it and each salt, so adaptive execution can split it.
     """
-    ordered = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    sums = F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-    edges, mark = stages.measured(ordered, "links", *sums)
-    while mark[0]:
-        last = mark
-        new, mark = stages.measured(_small(_large(edges)), "stars", *sums)
-        stages.drop(edges)
-        edges = new
-        if mark == last:
+    edges, (found,) = stages.measured(_contracted(links.select("a", "b"), BLOCK), "links", F.count("*"))
+    while found:
+        last, before = edges, found
+        edges, (found,) = stages.measured(_contracted(last.coalesce(-(-before // BLOCK)), BLOCK), "blocks", F.count("*"))
+        stages.drop(last)
+        if before <= BLOCK:
+            break
+        if 2 * found <= before:
+            continue
+        if _are_stars(edges):
             break
+        last = edges
+        edges, (found,) = stages.measured(_small(_large(last)), "stars", F.count("*"))
+        stages.drop(last)
     return edges

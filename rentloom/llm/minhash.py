@@ -181,11 +181,11 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     table = stages.write(sketches(docs, words), "sketches")
     linked = table.filter("digest is not null and doc_id is not null")
-    classes = stages.write(linked.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
-    nodes = linked.join(classes.select(F.col("digest").alias("_d"), "id"), (F.col("digest") == F.col("_d")) & (F.col("doc_id") == F.col("id")))
-    nodes = nodes.select("id", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["id"])
+    first = F.min(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands")).alias("first")
+    # Written with their bands, so that the whole sketches are dealt out once only.
+    classes = stages.write(linked.groupBy("digest").agg(first).select("digest", "first.*"), "classes")
     marks = linked.select(F.col("doc_id").alias("id"), "marks")
-    rows = nodes.select("id", "n", F.explode("bands").alias("key"))
+    rows = classes.select("id", "n", F.explode("bands").alias("key"))
     # Written, so that the join below is a plain one whose hot keys adaptive execution can split.
     shared = stages.write(rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "shared")
     buckets = stages.write(rows.join(shared, "key"), "buckets")
@@ -198,9 +198,8 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
 
 def _stars(docs: DataFrame, buckets: DataFrame, marks: DataFrame, words: int, percent: int, stages: Stages) -> DataFrame:
     """(a, b): node and smallest node of its component, for all nodes but the smallest."""
-    spark = docs.sparkSession
-    stars = spark.createDataFrame([], "a bigint, b bigint")
-    sets, tried = [], []
+    stars = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
+    sets, tried, known = [], [], False
 
     def all_sets(ids: DataFrame) -> DataFrame:
         """All sets computed so far and those of ``ids``; none is computed twice."""
@@ -209,21 +208,24 @@ def _stars(docs: DataFrame, buckets: DataFrame, marks: DataFrame, words: int, pe
         return stages.together(*sets)
 
     for turn in range(LEADER_ROUNDS + 1):
-        named = buckets.join(stars.select(F.col("a").alias("id"), F.col("b").alias("_b")), "id", "left")
-        named = named.select("key", "id", "n", F.coalesce("_b", "id").alias("comp"))
-        lead = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "comp")).alias("lead")
-        mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), lead)
+        if known:
+            named = buckets.join(stars.select(F.col("a").alias("id"), F.col("b").alias("_b")), "id", "left")
+            named = named.select("key", "id", "n", F.coalesce("_b", "id").alias("comp"))
+        else:
+            named = buckets.select("key", "id", "n", F.col("id").alias("comp"))
+        order = F.xxhash64("id", F.lit(turn))
+        lead = [F.min_by(c, order).alias(o) for c, o in (("id", "other"), ("n", "other_n"), ("comp", "other_comp"))]
+        mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), *lead)
         mixed = stages.write(mixed.filter("low < high").drop("low", "high"), "mixed")
-        open_rows = stages.write(named.join(mixed, "key"), "open")
-        stages.drop(mixed)
+        open_rows = named.join(mixed, "key")
         if turn == LEADER_ROUNDS:
+            open_rows = stages.write(open_rows.select("key", "id", "comp", "size"), "open")
             families = stages.write(_families(open_rows, marks, stages), "families")
-            members = families.join(all_sets(families.select("id")), "id")
-            links, (found,) = stages.measured(_between(members, families, percent, stages), "between", F.count("*"))
+            stages.drop(open_rows)
+            links, (found,) = stages.measured(_between(families, all_sets(families.select("id")), percent, stages), "between", F.count("*"))
         else:
-            led = open_rows.select("id", "n", "comp", *(F.col(f"lead.{c}").alias(o) for c, o in (("id", "other"), ("n", "other_n"), ("comp", "other_comp"))))
             like = (F.col("n") * 100 >= F.col("other_n") * percent) & (F.col("other_n") * 100 >= F.col("n") * percent)
-            pairs = led.filter((F.col("comp") != F.col("other_comp")) & like)
+            pairs = open_rows.filter((F.col("comp") != F.col("other_comp")) & like)
             pairs = pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
             if tried:
                 pairs = pairs.join(stages.together(*tried), ["a", "b"], "left_anti")
@@ -234,9 +236,9 @@ def _stars(docs: DataFrame, buckets: DataFrame, marks: DataFrame, words: int, pe
                 tried.append(near)
                 ends = all_sets(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
                 links, (found,) = stages.measured(_confirmed(_with(near, ends, "set"), percent), "confirmed", F.count("*"))
-        stages.drop(open_rows)
+        stages.drop(mixed)
         if found:
-            stars = components(stars.unionByName(links), stages)
+            stars, known = components(stars.unionByName(links) if known else links, stages), True
     return stars
 
 
@@ -268,12 +270,10 @@ def _families(open_rows: DataFrame, marks: DataFrame, stages: Stages) -> DataFra
     large = packed.filter("parts > 1").select("key", "part", "members")
     other = large.select("key", F.col("part").alias("other"), F.col("members").alias("y"))
     crossed = large.withColumnRenamed("members", "x").join(other, "key").filter("part <= other").select("x", "y")
-    edges = stages.write(alone.unionByName(crossed).mapInArrow(run, "a bigint, b bigint").distinct(), "family-edges")
-    stars = components(edges, stages)
-    named = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    named = named.join(stars.select(F.col("a").alias("id"), F.col("b").alias("_least")), "id", "left")
-    comps = open_rows.select("id", "comp").distinct()
-    return named.select("id", F.coalesce("_least", "id").alias("family")).join(comps, "id")
+    stars = components(alone.unionByName(crossed).mapInArrow(run, "a bigint, b bigint"), stages)
+    named = stars.select(F.col("a").alias("id"), F.col("b").alias("family"))
+    named = named.unionByName(stars.select(F.col("b").alias("id"), F.col("b").alias("family")).distinct())
+    return named.join(open_rows.select("id", "comp").distinct(), "id")
 
 
 def _local_families(x: tuple, y: tuple) -> np.ndarray:
@@ -297,20 +297,27 @@ def _local_families(x: tuple, y: tuple) -> np.ndarray:
     return np.concatenate([np.where(near.any(1), a, -1), np.where(near.any(0), b, -1)])
 
 
-def _between(members: DataFrame, families: DataFrame, percent: int, stages: Stages) -> DataFrame:
-    """(a, b): links that connect different components of a family; members are the staged families (id, comp, family) with sets.
+def _between(families: DataFrame, sets: DataFrame, percent: int, stages: Stages) -> DataFrame:
+    """(a, b): links that connect different components of a family; families are staged (id, comp, family), sets (id, set).
 
-    Blocks of nodes outside the family's largest component meet all blocks of the family once. The families' counts are
-    written before the join, so that a family with most of the rows can be split there."""
+    Blocks of nodes outside the family's largest component meet all blocks of the family once, each pair of blocks under its
+    own key, so that a family with most of the rows is dealt out by its blocks. The families' counts are written before they
+    join the ids, so that such a family can be split there too."""
     comps = families.groupBy("family", "comp").agg(F.count("*").alias("n"))
     largest = comps.groupBy("family").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
     largest = stages.write(largest, "largest")
-    sorted_in = members.join(largest, "family").withColumn("main", F.col("comp") == F.col("top.comp"))
-    sorted_in = sorted_in.withColumn("size", F.when(F.col("main"), F.col("top.n")).otherwise(F.col("all") - F.col("top.n")))
-    packed = _packed(sorted_in, ["family", "main"], "size", SET_BLOCK, "id", "comp", "set")
-    left = packed.filter(~F.col("main")).select("family", F.col("part").alias("p"), F.col("members").alias("x"))
+    blocks = [F.ceil(size / SET_BLOCK).alias(name) for name, size in (("mains", F.col("top.n")), ("others", F.col("all") - F.col("top.n")))]
+    sorted_in = families.join(largest, "family").select("id", "comp", "family", (F.col("comp") == F.col("top.comp")).alias("main"), *blocks)
+    part = F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).alias("part")
+    packed = sorted_in.select("*", part).join(sets, "id").groupBy("family", "main", "part", "mains", "others")
+    packed = stages.write(packed.agg(F.collect_list(F.struct("id", "comp", "set")).alias("members")), "set-blocks")
+    met = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda q: F.struct(F.lit(True).alias("main"), q.cast("bigint").alias("part"))),
+        F.transform(F.sequence("part", F.col("others") - 1), lambda q: F.struct(F.lit(False).alias("main"), q.cast("bigint").alias("part"))),
+    )
+    left = packed.filter(~F.col("main")).select("family", F.col("members").alias("x"), F.explode(met).alias("met")).select("family", "met.*", "x")
     right = packed.select("family", "main", "part", F.col("members").alias("y"))
-    pairs = left.join(right, "family").filter("main or p <= part").select("x", "y")
+    pairs = left.join(right, ["family", "main", "part"]).select("x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from rentloom.llm import chunks, minhash, suffixes
+from rentloom.llm import components as linking
 from rentloom.llm.common import HashCache, Stages
 from rentloom.llm.components import components
 
@@ -131,6 +132,51 @@ def test_components(spark, seed):
     assert got == {x: find(x) for x in parent if find(x) != x}
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_components_of_many_blocks(spark, monkeypatch, parts):
+    monkeypatch.setattr(linking, "BLOCK", 16)
+    rng = random.Random(parts)
+    chain = rng.sample(range(100), 100)
+    links = list(zip(chain, chain[1:])) + [(500, i) for i in range(400, 500)] + [(i, i) for i in range(600, 610)] + [(7, chain[0])] * 3
+    frame = spark.createDataFrame(links, "a long, b long").repartition(parts)
+    got = sorted(tuple(r) for r in components(frame, Stages(spark, "test")).collect())
+    assert got == [(i, 0) for i in range(1, 100)] + [(i, 400) for i in range(401, 501)]
+    assert components(spark.createDataFrame([], "a long, b long"), Stages(spark, "test")).collect() == []
+
+
+def test_links_of_one_block_take_no_star_steps(spark, monkeypatch):
+    names, write = [], Stages.write
+    monkeypatch.setattr(Stages, "write", lambda self, df, name: names.append(name) or write(self, df, name))
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long").repartition(6)
+    assert {tuple(r) for r in components(links, Stages(spark, "test")).collect()} == {(i, 0) for i in range(1, 301)}
+    assert names == ["links", "blocks"]
+    names.clear()
+    rows = near_corpus(1)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), 2).collect()} == brute_components(brute_sets(rows, 2))
+    assert names.count("classes") == 1 and "stars" not in names and len(names) <= 30
+
+
+def test_families_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LEADER_ROUNDS", 0)
+    monkeypatch.setattr(minhash, "FAMILY_BLOCK", 8)
+    monkeypatch.setattr(minhash, "SET_BLOCK", 3)
+    tables, write = {}, Stages.write
+
+    def kept(self, df, name):
+        tables[name] = write(self, df, name)
+        return tables[name]
+
+    monkeypatch.setattr(Stages, "write", kept)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(w if rng.random() < 0.985 else f"x{rng.randrange(999)}" for w in base)) for i in range(90)] + near_corpus(5)[:40]
+    rows = [(i, text) for i, (_, text) in enumerate(rows)]
+    want = brute_components(brute_sets(rows, 2))
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), 2).collect()} == want
+    blocks = tables["set-blocks"].select("family", "main", "part").collect()
+    assert len(set(blocks)) == len(blocks) and len({b.family for b in blocks}) < len(blocks) // 5
+
+
 def windows_removed(rows, n=200):
     seen = Counter(t[i : i + n] for t in rows.values() for i in range(len(t) - n + 1))
     out = {}
