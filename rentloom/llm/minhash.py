@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from rentloom.llm.common import HashCache, Stages, bounded_batches, mix32, mix64, own_columns, ragged_index, text_slices
-from rentloom.llm.components import components
+from rentloom.llm.components import components, least_reachable
 
 BANDS, ROWS = 48, 6  # a pair at 0.8 shares no band with a chance of 5e-7
 COORDINATES = BANDS * ROWS
@@ -262,7 +262,8 @@ def _families(open_rows: DataFrame, marks: DataFrame, stages: Stages) -> DataFra
                     if b >= 0 and a != ids[b]:
                         out_a.append(a)
                         out_b.append(ids[b])
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+            ends = least_reachable(np.array(out_a, np.int64), np.array(out_b, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["a", "b"])
 
     rows = open_rows.select("key", "id", "comp", "size").join(marks, "id")
     packed = _packed(rows, ["key"], "size", FAMILY_BLOCK, "id", "comp", "marks")
@@ -270,7 +271,10 @@ def _families(open_rows: DataFrame, marks: DataFrame, stages: Stages) -> DataFra
     large = packed.filter("parts > 1").select("key", "part", "members")
     other = large.select("key", F.col("part").alias("other"), F.col("members").alias("y"))
     crossed = large.withColumnRenamed("members", "x").join(other, "key").filter("part <= other").select("x", "y")
-    stars = components(alone.unionByName(crossed).mapInArrow(run, "a bigint, b bigint"), stages)
+    # Written, so that a task never keeps two Python workers.
+    edges = stages.write(alone.unionByName(crossed).mapInArrow(run, "a bigint, b bigint"), "family-edges")
+    stars = components(edges, stages)
+    stages.drop(edges)
     named = stars.select(F.col("a").alias("id"), F.col("b").alias("family"))
     named = named.unionByName(stars.select(F.col("b").alias("id"), F.col("b").alias("family")).distinct())
     return named.join(open_rows.select("id", "comp").distinct(), "id")
