@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentloom.llm.common import bounded_batches, own_columns, ragged_index, text_slices
+from rentloom.llm.common import bounded_batches, giving_back, own_columns, ragged_index, text_slices
 
 LETTER, NUMBER, OTHER, SHORT, LONG, PREFIX, SPACE, LAST, END = range(9)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACES, PREFIXED, TWO_MORE, ONE_MORE = range(8)
@@ -364,7 +364,7 @@ def encode(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "tex
                 )
 
     kind = df.schema[key].dataType.simpleString()
-    return own_columns(df, key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids binary, offsets binary")
+    return own_columns(df, key, text).mapInArrow(giving_back(run), f"`{key}` {kind}, n_tokens bigint, ids binary, offsets binary")
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -378,7 +378,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", name: str = "decode
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{schema}, `{name}` binary")
+    return df.mapInArrow(giving_back(run), f"{schema}, `{name}` binary")
 
 
 def token_digests(df: DataFrame, ranks_path: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from rentloom.llm.common import Stages, bounded_batches, fresh, own_columns, text_slices
+from rentloom.llm.common import Stages, bounded_batches, fresh, giving_back, own_columns, text_slices
 
 GEAR_BYTES = 16  # bytes that a boundary looks at
 MEAN, LEAST, MOST = 40, 16, 96
@@ -93,7 +93,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return own_columns(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, place int, high bigint, low bigint")
+    return own_columns(docs, "doc_id", "text").mapInArrow(giving_back(run), f"doc_id {kind}, place int, high bigint, low bigint")
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def surroundings(docs: DataFrame, ends: DataFrame) -> DataFrame:
     wanted = ends.groupBy("first", "high", "low").agg(F.max("opens").alias("opens"), F.max("closes").alias("closes"))
     wanted = wanted.groupBy(F.col("first").alias("doc_id")).agg(F.collect_list(F.struct("high", "low", "opens", "closes")).alias("wanted"))
     found = own_columns(docs, "doc_id", "text").join(wanted, "doc_id").select("text", "wanted")
-    return found.mapInArrow(run, "high bigint, low bigint, before binary, after binary").groupBy("high", "low").agg(F.min(F.struct("before", "after")).alias("x")).select("high", "low", "x.*")
+    return found.mapInArrow(giving_back(run), "high bigint, low bigint, before binary, after binary").groupBy("high", "low").agg(F.min(F.struct("before", "after")).alias("x")).select("high", "low", "x.*")
 
 
 def repeated_places_and_edges(docs: DataFrame) -> DataFrame:
@@ -271,4 +271,4 @@ def remove_repeats(docs: DataFrame, spans_column: str | None = None, whole: bool
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     if spans_column:
         schema += f", `{spans_column}` array<struct<start:bigint,end:bigint>>"
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(giving_back(run), schema)

@@ -6,7 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from zipfile import ZipFile
 
@@ -94,12 +94,28 @@ class Stages:
 def give_back() -> None:
     """Return the memory of freed arrays and collected batches to the system; a driver runs many stages one after the other."""
     gc.collect()
+    _trim()
+
+
+def _trim() -> None:
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, returning a task's memory when it ends: Spark keeps Python workers for later tasks and stages, and what they hold counts with theirs."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return whole
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first row, row after the last, UTF-8 texts) of neighbouring rows whose texts hold about ``limit`` bytes; null is empty.
 

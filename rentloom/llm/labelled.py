@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rentloom.llm.common import bounded_batches, own_columns, text_slices
+from rentloom.llm.common import bounded_batches, giving_back, own_columns, text_slices
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -82,7 +82,7 @@ def score(docs: DataFrame, make: Callable[[], Callable[[list[bytes]], np.ndarray
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = own_columns(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    scored = own_columns(docs, "doc_id", "text").mapInArrow(giving_back(run), f"doc_id {kind}, score double")
     predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
     return scored.select("doc_id", held_out().alias("held_out"), "score", predicted)
 
@@ -101,4 +101,4 @@ def keep(docs: DataFrame, make: Callable, threshold: float, above: bool) -> Data
             scores = np.concatenate([of(texts) for _, _, texts in text_slices(batch, "text")] or [np.zeros(0)])
             yield batch.filter(pa.array((scores >= threshold) == above))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)

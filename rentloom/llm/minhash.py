@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from rentloom.llm.common import HashCache, Stages, bounded_batches, mix32, mix64, own_columns, ragged_index, text_slices
+from rentloom.llm.common import HashCache, Stages, bounded_batches, giving_back, mix32, mix64, own_columns, ragged_index, text_slices
 from rentloom.llm.components import components, least_reachable
 
 BANDS, ROWS = 48, 6  # a pair at 0.8 shares no band with a chance of 5e-7
@@ -110,7 +110,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_shingles bigint, digest binary, bands array<bigint>, marks binary"
-    return own_columns(docs, "doc_id", "text").mapInArrow(run, schema)
+    return own_columns(docs, "doc_id", "text").mapInArrow(giving_back(run), schema)
 
 
 def _agreeing(pairs: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
                 [batch.column("a").filter(kept), batch.column("b").filter(kept), pa.array(share[near])], ["a", "b", "share"]
             )
 
-    return pairs.mapInArrow(run, "a bigint, b bigint, share double")
+    return pairs.mapInArrow(giving_back(run), "a bigint, b bigint, share double")
 
 
 def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
@@ -144,7 +144,7 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
             kept = pa.array(near, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a bigint, b bigint")
+    return pairs.mapInArrow(giving_back(run), "a bigint, b bigint")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -158,7 +158,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(sets, pa.binary())], ["id", "set"])
 
     wanted = own_columns(docs, "doc_id", "text").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "id bigint, set binary")
+    return wanted.mapInArrow(giving_back(run), "id bigint, set binary")
 
 
 def _with(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
@@ -272,7 +272,7 @@ def _families(open_rows: DataFrame, marks: DataFrame, stages: Stages) -> DataFra
     other = large.select("key", F.col("part").alias("other"), F.col("members").alias("y"))
     crossed = large.withColumnRenamed("members", "x").join(other, "key").filter("part <= other").select("x", "y")
     # Written, so that a task never keeps two Python workers.
-    edges = stages.write(alone.unionByName(crossed).mapInArrow(run, "a bigint, b bigint"), "family-edges")
+    edges = stages.write(alone.unionByName(crossed).mapInArrow(giving_back(run), "a bigint, b bigint"), "family-edges")
     stars = components(edges, stages)
     stages.drop(edges)
     named = stars.select(F.col("a").alias("id"), F.col("b").alias("family"))
@@ -331,7 +331,7 @@ def _between(families: DataFrame, sets: DataFrame, percent: int, stages: Stages)
             a, b = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a bigint, b bigint")
+    return pairs.mapInArrow(giving_back(run), "a bigint, b bigint")
 
 
 def _links(x: tuple, y: tuple, percent: int) -> list[tuple[int, int]]:

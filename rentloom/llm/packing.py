@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentloom.llm.bpe import Encoder
-from rentloom.llm.common import Stages, bounded_batches, own_columns, text_slices
+from rentloom.llm.common import Stages, bounded_batches, giving_back, own_columns, text_slices
 
 WINDOW = 1024
 
@@ -75,7 +75,7 @@ def cut(df: DataFrame, tokenizer_path: str, window: int = WINDOW, key: str = "do
 
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, start bigint, length bigint, doc_tokens bigint, ids binary, part bigint, nth bigint"
-    return own_columns(df, key, text).mapInArrow(run, schema)
+    return own_columns(df, key, text).mapInArrow(giving_back(run), schema)
 
 
 def combinations(lengths: np.ndarray, window: int, most: int = 6000) -> np.ndarray:
@@ -190,7 +190,10 @@ def place(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     groups = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     histogram = groups.groupBy("length").agg(F.sum("n").alias("n")).collect()
     rows = slots(plan({r["length"]: r["n"] for r in histogram}, window))
-    table = spark.createDataFrame(rows, "length bigint, low bigint, high bigint, first_sequence bigint, `offset` bigint")
+    names = ["length", "low", "high", "first_sequence", "offset"]
+    # An Arrow table: from Python rows Spark would start a further Python worker on each core, which then stays for a minute.
+    arrow = pa.table({name: pa.array([r[i] for r in rows], pa.int64()) for i, name in enumerate(names)})
+    table = spark.createDataFrame(arrow, "length bigint, low bigint, high bigint, first_sequence bigint, `offset` bigint")
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = groups.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     ranked = pieces.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from xxhash import xxh3_64_intdigest
 
-from rentloom.llm.common import bounded_batches, give_back, mix32, ragged_index, text_slices
+from rentloom.llm.common import bounded_batches, give_back, giving_back, mix32, ragged_index, text_slices
 from rentloom.llm.labelled import Rows, Slots, keep, score, training_rows
 
 BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4)
@@ -79,7 +79,7 @@ def collect_samples(rows: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]
                     ["doc_id", "ids", "counts", "label"],
                 )
 
-    got = rows.mapInArrow(run, "doc_id string, ids binary, counts binary, label int").toArrow()
+    got = rows.mapInArrow(giving_back(run), "doc_id string, ids binary, counts binary, label int").toArrow()
     columns = {name: got.column(name).to_pylist() for name in got.column_names}
     order = sorted(range(got.num_rows), key=lambda i: (columns["doc_id"][i], columns["ids"][i]))
     return [

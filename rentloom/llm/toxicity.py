@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from xxhash import xxh3_64_intdigest
 
-from rentloom.llm.common import bounded_batches, give_back, text_slices
+from rentloom.llm.common import bounded_batches, give_back, giving_back, ragged_index, text_slices
 from rentloom.llm.labelled import Rows, Slots, keep, score, training_rows
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 16, 16, (1, 2, 3)
-SAMPLE, EPOCHS, RATE, MOST_WORDS = 8000, 6, 0.08, 300_000
+SAMPLE, EPOCHS, RATE, MOST_WORDS = 8000, 6, 0.08, 100_000
 PAD = max(WIDTHS) - 1
+GATHERED = 1 << 16  # words whose vectors are copied at a time
 EDGES = b".,;:!?\"'()[]"
 
 # Frequent short words that tell the languages of the corpus apart.
@@ -67,10 +68,15 @@ class Model:
         return self.table[buckets & 0xFFFF] + self.table[buckets >> 16]
 
 
-def answers(model: Model, rows: np.ndarray) -> list[np.ndarray]:
-    """Answers of the filters of each width at every row; the last PAD rows of ``rows`` are padding and get none."""
+def answers(model: Model, rows: np.ndarray) -> Iterator[np.ndarray]:
+    """Answers of the filters of each width at every row, one width at a time in one array; the last PAD rows of ``rows`` are padding and get none."""
     n = len(rows) - PAD
-    return [sum(rows[j : j + n] @ part for j, part in enumerate(parts)) for parts in model.filters]
+    total, more = np.empty((n, FILTERS), np.float32), np.empty((n, FILTERS), np.float32)
+    for parts in model.filters:
+        np.matmul(rows[:n], parts[0], out=total)
+        for j, part in enumerate(parts[1:], 1):
+            total += np.matmul(rows[j : j + n], part, out=more)
+        yield total
 
 
 def sigmoid(z):
@@ -106,9 +112,11 @@ def train(samples: list[tuple[np.ndarray, int, int]], seed: int = 11) -> Model:
         for at in rng.permutation(fit):
             buckets, _, y = samples[at]
             rows = np.concatenate([model.embed(buckets), pad]) if len(buckets) else np.zeros((PAD + 1, DIM), np.float32)
-            each = answers(model, rows)
-            best = [a.argmax(0) for a in each]
-            top = np.concatenate([a[b, np.arange(FILTERS)] for a, b in zip(each, best)]) + model.bias
+            best, top = [], []
+            for a in answers(model, rows):
+                best.append(a.argmax(0))
+                top.append(a[best[-1], np.arange(FILTERS)])
+            top = np.concatenate(top) + model.bias
             live = np.maximum(top, 0)
             error = float(sigmoid(live @ model.out + model.base) - y) * float(weight[at])
             if abs(error) < 1e-3:
@@ -181,7 +189,7 @@ def collect_samples(rows: DataFrame) -> list[tuple[np.ndarray, int, int]]:
                     ["doc_id", "words", "language", "label"],
                 )
 
-    got = rows.mapInArrow(run, "doc_id string, words binary, language int, label int").toArrow().to_pydict()
+    got = rows.mapInArrow(giving_back(run), "doc_id string, words binary, language int, label int").toArrow().to_pydict()
     order = sorted(range(len(got["doc_id"])), key=lambda i: (got["doc_id"][i], got["words"][i]))
     return [(np.frombuffer(got["words"][i], np.uint32), got["language"][i], got["label"][i]) for i in order]
 
@@ -204,13 +212,14 @@ def scorer(model: Model):
         held = np.maximum(sizes, 1)
         spans = held + PAD
         starts = np.cumsum(spans) - spans
-        rows = np.zeros((int(spans.sum()), DIM), np.float32)
-        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        rows = np.zeros((int(spans.sum()) + PAD + 1, DIM), np.float32)  # PAD + 1 at the end so that every cut has an answer
+        place = ragged_index(starts, sizes)
         flat = np.concatenate(each) if each else np.zeros(0, np.int64)
-        rows[np.repeat(starts, sizes) + within] = embedded.data[flat]
+        del each
+        for at in range(0, len(flat), GATHERED):
+            rows[place[at : at + GATHERED]] = embedded.data[flat[at : at + GATHERED]]
         cuts = np.stack([starts, starts + held], axis=1).ravel()
-        padded = np.concatenate([rows, np.zeros((PAD + 1, DIM), np.float32)])  # so that every cut has an answer
-        top = np.concatenate([np.maximum.reduceat(a, cuts, axis=0)[::2] for a in answers(model, padded)], axis=1)
+        top = np.concatenate([np.maximum.reduceat(a, cuts, axis=0)[::2] for a in answers(model, rows)], axis=1)
         found = tongues.data[flat]
         doc = np.repeat(np.arange(len(texts)), sizes)[found >= 0]
         counts = np.bincount(doc * LANGUAGES + found[found >= 0], minlength=len(texts) * LANGUAGES).reshape(len(texts), LANGUAGES)

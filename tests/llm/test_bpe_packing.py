@@ -151,3 +151,10 @@ def test_least_squares_comes_near_the_best():
         for length in row[row > 0]:
             histogram[length] += x
     assert np.allclose(packing.solve(rows, histogram), [7, 5, 0, 3], atol=1e-3)
+
+
+def test_the_plan_reaches_spark_without_python_workers(spark, monkeypatch):
+    docs = spark.range(30).selectExpr("id as doc_id", "repeat('some words ', cast(id as int)) as text")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **b: pytest.fail("Python rows start workers"))
+    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert {r.doc_id for r in rows} == set(range(30))

@@ -1,14 +1,16 @@
 """Toxicity and quality: held-out accuracy, what a score may depend on, and edges."""
 
 import random
+import tracemalloc
 import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rentloom.llm import labelled, quality, toxicity
+from rentloom.llm import common, labelled, quality, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -115,3 +117,38 @@ def test_quality_grams_are_of_characters():
     first, other = (set(quality.features([w.encode()])[0].tolist()) for w in ("日本語", "は日本語だ"))
     assert len(first & other) == 1  # the trigram both hold; edges and words differ
     assert quality.features([b"\xff\xfe"])[1].tolist() == [1 + 2 + 1]
+
+
+def test_scoring_memory_of_a_megabyte():
+    rng = np.random.default_rng(3)
+    model = toxicity.train([(rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32), 0, n % 2) for n in range(1, 60)])
+    words = [b"%04d" % i for i in range(1000)]
+    texts = [b" ".join(words[i % 1000] for i in range(k, k + 2000)) for k in range(105)]  # 210,000 words
+    of = toxicity.scorer(model)
+    of([b" ".join(words)])
+    tracemalloc.start()
+    of(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # the rows of the words, and as much twice for the answers of one width: 13 MB each
+
+
+@pytest.mark.parametrize("rows", [3, 0])
+def test_a_task_gives_its_memory_back_when_it_ends(monkeypatch, rows):
+    given = []
+    monkeypatch.setattr(common, "_trim", lambda: given.append(1))
+    monkeypatch.setattr(labelled, "bounded_batches", lambda spark: None)
+
+    class Docs:  # hands out the task's function
+        sparkSession = schema = None
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = labelled.keep(Docs(), lambda: lambda texts: np.zeros(len(texts)), 0.5, above=False)
+    batch = pa.record_batch({"doc_id": list(range(rows)), "text": pa.array(["a"] * rows, pa.string())})
+    assert [b.num_rows for b in run(iter([batch, batch]))] == [rows, rows] and len(given) == 1
+    stopped = run(iter([batch, batch]))
+    next(stopped)
+    stopped.close()  # a limit ends a task early
+    assert len(given) == 2
