@@ -554,7 +554,7 @@ def run_states_t7(spark, d):
     root, events = scratch_dir(spark, "runs"), run_journal(spark, d)
     columns = [f.name for f in schemas.contract(workflow.EVENTS)]
     for half in (0, 1):
-        put(events.filter(F.pmod(F.xxhash64("run_id", "n"), F.lit(2)) == half).select(columns), f"{root}/in")
+        put(events.filter(F.pmod(F.xxhash64("run_id", "n"), F.lit(2)) == half).select(columns), f"{root}/in", compression="zstd")
         stream = spark.readStream.schema(schemas.contract(workflow.EVENTS)).parquet(f"{root}/in")
         runs.write_states(runs.run_states(stream), f"{root}/out", f"{root}/checkpoint", "update").awaitTermination()
     return record_counts(runs.last_states(spark.read.parquet(f"{root}/out")))

@@ -22,6 +22,19 @@ RUN = (
     "resolutions map<string,string>, resolved_by map<string,string>, approved boolean, error_code string"
 )
 MAPS = ["inputs", "values", "resolutions"]
+#: What the state keeps of an event besides its number; fields that are null are left out.
+FIELDS = ["kind", "stage", "content_sha256", *MAPS, "decision_id", "decision_status"]
+#: Disk that a stream of states takes: stores are closed, and their local files deleted, when the task that wrote their state
+#: ends, shuffled rows go with their batch, and the checkpoint holds compressed logs of what a batch wrote.
+STORE = {
+    PROVIDER: ROCKS,
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.compression.codec": "zstd",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.compression": "zstd",
+    "spark.sql.streaming.stateStore.rocksdb.blockSizeKB": "32",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 DAY_MS = 86_400_000
 #: Runs whose events are in Python's memory at once.
 RUNS_AT_ONCE = 200
@@ -65,16 +78,22 @@ def applied(state: dict, event: dict) -> bool:
     return True
 
 
+def _event(text: str) -> dict:
+    """An event with all of its fields. Older checkpoints hold texts that name the null fields too."""
+    return dict.fromkeys(FIELDS) | json.loads(text)
+
+
 def journal_told(run_id: str | None, entries: list[dict]) -> dict:
     """The row of ``RUN`` for the events a run has so far, one entry (n, event) for each number and content."""
     state = {"stage": None, "count": 0, "inputs": {}, "content": None, "resolutions": {}, "resolved_by": {}}
     state |= {"approved": False, "decisions": []}
     slots, rewritten, corrupt = {}, set(), False
     for entry in entries:
-        if slots.setdefault(entry["n"], entry["event"]) != entry["event"]:
+        known = slots.setdefault(entry["n"], entry["event"])
+        if known != entry["event"] and _event(known) != _event(entry["event"]):
             rewritten.add(entry["n"])
     while (n := state["count"] + 1) in slots:
-        corrupt = corrupt or n in rewritten or not applied(state, json.loads(slots[n]))
+        corrupt = corrupt or n in rewritten or not applied(state, _event(slots[n]))
         state["count"] = n
     corrupt = corrupt or state["count"] == 0
     told = {"stage": state["stage"], "approved": state["approved"]}
@@ -92,10 +111,7 @@ def run_states(stream: DataFrame) -> DataFrame:
     to the state store; whatever the order of arrival the last state of a run is that of ``workflow.run_records`` over all
     its events. Events without a run or with a number outside 1 … 9,999 are not read.
     """
-    text = F.to_json(
-        F.struct("kind", "stage", "content_sha256", *(_sorted_map(c).alias(c) for c in MAPS), "decision_id", "decision_status"),
-        {"ignoreNullFields": "false"},
-    )
+    text = F.to_json(F.struct(*(_sorted_map(c).alias(c) if c in MAPS else c for c in FIELDS)))
     read = stream.filter(F.col("run_id").isNotNull() & F.col("n").between(1, LAST_NUMBER))
     rows = read.select("run_id", F.struct(F.col("n").cast("bigint").alias("n"), text.alias("event")).alias("e"))
     sets = rows.groupBy("run_id").agg(F.array_sort(F.collect_set("e")).alias("events"))
@@ -170,19 +186,23 @@ def feed_alerts(stream: DataFrame, bound: int = 45, grace: int = 3650) -> DataFr
 
 
 def write_states(states: DataFrame, target: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """All available input; ``target`` has one folder per batch, and a batch that runs again replaces its own."""
+    """All available input; ``target`` has one folder per batch, and a batch that runs again replaces its own.
+
+    A batch is executed once, by the write, so its shuffled rows may be deleted after it."""
     spark = states.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {name: spark.conf.get(name, None) for name in STORE}
+    for name, value in STORE.items():
+        spark.conf.set(name, value)
     try:
         query = states.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
         return query.trigger(availableNow=True).start()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def last_states(written: DataFrame, key: str = "run_id") -> DataFrame:

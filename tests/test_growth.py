@@ -1,5 +1,9 @@
 """What one task, one row or one call holds does not grow with the table: plans and streams against their old shapes."""
 
+import json
+import time
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +63,34 @@ def test_streams_make_no_python_call_a_run(spark, tmp_path, name):
     assert "MapInArrow" in plan and "WithState" not in plan
 
 
+def test_states_leave_no_local_files(spark, tmp_path):
+    local = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath()).parent
+    left = lambda: {p for kind in ("StateStore*", "blockmgr-*/*/shuffle_*") for p in local.glob(kind)}
+    before, settings = left(), [spark.conf.get(name, None) for name in runs.STORE]
+    for part in ([("a", 1, "created"), ("b", 1, "created")], [("a", 2, "stage"), ("b", 2, "unheard")]):
+        rows = [(run, n, kind, "normalized" if n == 2 else None, "c", {"om": None}, None, None, None, None) for run, n, kind in part]
+        spark.createDataFrame(rows, workflow.EVENTS).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schemas.contract(workflow.EVENTS)).parquet(f"{tmp_path}/in")
+        runs.write_states(runs.run_states(stream), f"{tmp_path}/out", f"{tmp_path}/checkpoint", "update").awaitTermination()
+        until = time.time() + 20
+        while left() - before and time.time() < until:
+            time.sleep(0.2)
+        assert not left() - before
+    assert settings == [spark.conf.get(name, None) for name in runs.STORE]
+    got = {(r.run_id, r.stage, r.event_count, r.error_code) for r in runs.last_states(spark.read.parquet(f"{tmp_path}/out")).collect()}
+    assert got == {("a", "normalized", 2, None), ("b", None, 2, "CORRUPT_INPUT")}
+
+
+def test_events_without_their_null_fields_are_the_same():
+    whole = dict.fromkeys(["kind", "stage", "content_sha256", "inputs", "values", "resolutions", "decision_id", "decision_status"])
+    first = {"kind": "created", "inputs": {"om": None}}
+    entries = [{"n": 1, "event": json.dumps(e)} for e in (first, whole | first)] + [{"n": 2, "event": '{"kind":"stage","stage":"normalized"}'}]
+    told = runs.journal_told("a", entries)
+    assert (told["stage"], told["event_count"], told["inputs"], told["error_code"]) == ("normalized", 2, '{"om": null}', None)
+    other = {"n": 1, "event": json.dumps(first | {"inputs": {}})}
+    assert runs.journal_told("a", [*entries, other])["error_code"] == "CORRUPT_INPUT"
+
+
 def test_cells_are_handed_on_before_the_file_ends(spark, tmp_path):
     lines = "".join(f"{i},x\n" for i in range(60_000))
     (tmp_path / "grid.csv").write_text(lines + 'a,"b"c\n')
